@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import SparkSession
 
 
@@ -18,3 +20,13 @@ def build(app: str = "sonagrid", master: str | None = None, **conf: str) -> Spar
     for key, value in {**settings, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def share_code(spark: SparkSession) -> None:
+    """Lets Python workers of this machine import the library from where the driver
+    found it. On a cluster the package is installed, or sent with --py-files."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    environment = spark.sparkContext.environment
+    known = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in known:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *known])
