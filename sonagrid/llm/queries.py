@@ -4,23 +4,49 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sonagrid.llm import near
+from sonagrid.llm import bpe, licenses, media, near, token_ids
+from sonagrid.llm.store import Scratch
+
+#: Vocabulary files; their place is a parameter of the operators.
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+BYTE_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with Scratch(spark) as scratch:
+        folder = f"{scratch.path}/ids"
+        token_ids.write(_table(spark, sf_dir, "documents"), folder, WORD_BPE)
+        return token_ids.read(spark, folder).checkpoint()
+
+
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"), BYTE_BPE, public_tokenizers.PATTERN), BYTE_BPE)
+    return ids.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.describe(_table(spark, sf_dir, "documents"), full=False)
+
+
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.jaccard_components(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op10_ngram_jaccard,)
+    found = (op2_licenses, op3_token_ids, op4_byte_bpe, op9_media, op10_ngram_jaccard)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_licenses": licenses.oracle()}
