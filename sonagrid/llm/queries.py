@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sonagrid.llm import bpe, licenses, media, near, token_ids
+from sonagrid.llm import bpe, decontaminate, licenses, media, near, quality, token_ids, toxicity
 from sonagrid.llm.store import Scratch
 
 #: Vocabulary files; their place is a parameter of the operators.
@@ -19,6 +19,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents")).drop("spans")
 
@@ -35,6 +39,16 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+
+
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.describe(_table(spark, sf_dir, "documents"), full=False)
 
@@ -44,7 +58,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_licenses, op3_token_ids, op4_byte_bpe, op9_media, op10_ngram_jaccard)
+    found = (op1_decontamination, op2_licenses, op3_token_ids, op4_byte_bpe, op6_quality, op8_toxicity, op9_media, op10_ngram_jaccard)
     return {f.__name__: f for f in found}
 
 
