@@ -80,15 +80,19 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: i
     return train(labelled.sample(docs, labels, label, per_class))
 
 
+def _scores(model: Model, tools: list, texts: pa.Array) -> np.ndarray:
+    data, offsets = spans.column_bytes(texts)
+    view = memoryview(np.ascontiguousarray(data))
+    gain = [model.gain([view[at : min(b, at + CHUNK)] for at in range(a, b, CHUNK)], tools) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+    return model.probability(np.array(gain, float), np.diff(offsets).astype(float))
+
+
 def _scored(sent, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         tools = model.compressors()
         for batch in batches:
-            data, offsets = spans.column_bytes(batch.column(1))
-            view = memoryview(np.ascontiguousarray(data))
-            gain = [model.gain([view[at : min(b, at + CHUNK)] for at in range(a, b, CHUNK)], tools) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-            score = model.probability(np.array(gain, float), np.diff(offsets).astype(float))
+            score = _scores(model, tools, batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     return run
@@ -103,3 +107,16 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7, text: str = "te
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
     found = rows.mapInArrow(_scored(sent, threshold), "doc_id long, score double, predicted int")
     return found.select("doc_id", labelled.held_out().alias("held_out"), "score", "predicted")
+
+
+def keep(docs: DataFrame, model: Model, threshold: float = 0.7, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score at least ``threshold``, with all their columns."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tools = sent.value.compressors()
+        for batch in batches:
+            yield batch.filter(pa.array(_scores(sent.value, tools, batch.column(at)) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

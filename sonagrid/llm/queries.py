@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sonagrid.llm import bpe, decontaminate, licenses, media, near, quality, token_ids, toxicity
+from sonagrid.llm import bpe, chat, decontaminate, html_text, licenses, media, near, quality, token_ids, toxicity
 from sonagrid.llm.store import Scratch
 
 #: Vocabulary files; their place is a parameter of the operators.
@@ -39,11 +39,19 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return quality.score(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.collapse(_table(spark, sf_dir, "conversations"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
@@ -58,9 +66,9 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_decontamination, op2_licenses, op3_token_ids, op4_byte_bpe, op6_quality, op8_toxicity, op9_media, op10_ngram_jaccard)
+    found = (op1_decontamination, op2_licenses, op3_token_ids, op4_byte_bpe, op5_html_text, op6_quality, op7_chat, op8_toxicity, op9_media, op10_ngram_jaccard)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_licenses": licenses.oracle()}
+    return {"op2_licenses": licenses.oracle(), "op7_chat": chat.oracle()}

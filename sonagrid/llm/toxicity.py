@@ -189,12 +189,16 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
     return train(texts, np.array([y for _, y in rows], np.int64))
 
 
+def _scores(model: Model, texts: pa.Array) -> np.ndarray:
+    data, offsets = spans.column_bytes(texts)
+    parts = [model.score(data[offsets[a] : offsets[b]].tobytes(), np.diff(offsets[a : b + 1])) for a, b in spans.slices(offsets, 1 << 20)]
+    return np.concatenate(parts) if parts else np.zeros(0)
+
+
 def _scored(model, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = spans.column_bytes(batch.column(1))
-            parts = [model.value.score(data[offsets[a] : offsets[b]].tobytes(), np.diff(offsets[a : b + 1])) for a, b in spans.slices(offsets, 2 << 20)]
-            score = np.concatenate(parts) if parts else np.zeros(0)
+            score = _scores(model.value, batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     return run
@@ -208,3 +212,15 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, text: str = "te
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
     found = rows.mapInArrow(_scored(sent, threshold), "doc_id long, score double, predicted int")
     return found.select("doc_id", labelled.held_out().alias("held_out"), "score", "predicted")
+
+
+def keep(docs: DataFrame, model: Model, threshold: float = 0.3, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score under ``threshold``, with all their columns."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_scores(sent.value, batch.column(at)) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
