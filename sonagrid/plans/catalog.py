@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
 
-def queries():
-    return {}
+from sonagrid.plans import aggregations, confirmation, datasets, registry, relations, scalars, selections, spatial, streams
 
+__all__ = ["aggregations", "confirmation", "datasets", "flagship", "oracle_sql", "queries", "relations", "scalars", "selections", "spatial", "streams"]
 
-def oracle_sql():
-    return {}
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return registry.QUERIES["agg_species_summary"](spark, sf_dir)
+
+
+def queries() -> dict[str, registry.Query]:
+    return dict(registry.QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(registry.ORACLES)
