@@ -19,7 +19,7 @@ import pyarrow as pa
 import regex
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sonagrid.llm import ragged, spans
 from sonagrid.llm.store import partitions
@@ -192,9 +192,12 @@ def _encoded(path: str, pattern: str):
 _IDS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 
 
-def _assembled(buckets: int):
+def _assembled(buckets: int, table=None):
+    """Joins the texts of one block with the ids of its words; with ``table``, the bytes
+    of each token, the ids are decoded in the same pass."""
+    schema = _IDS if table is None else _IDS.append(pa.field("decoded", pa.binary()))
+
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        """One block with the ids of its words."""
         found = {b: _unzip(x, np.uint32, np.uint32) for b, x in zip(right.column("bucket").to_pylist(), right.column("ids").to_pylist(), strict=True)}
         rows: list[tuple] = []
         for row in left.to_pylist():
@@ -212,14 +215,28 @@ def _assembled(buckets: int):
             ids = flat[np.arange(before[-1]) + np.repeat(begins[words.kind] - before[:-1], counts)]
             cut = before[words.of_text]
             rows += [(k, int(b - a), ids[a:b].astype("<u4").tobytes()) for k, a, b in zip(row["doc_ids"], cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
-        return pa.Table.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(_IDS.types)], schema=_IDS)
+        columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate(_IDS.types)]
+        if table is not None:
+            columns.append(_bytes_of(columns[2], table.value))
+        return pa.Table.from_arrays(columns, schema=schema)
 
     return run
 
 
-def encode(docs: DataFrame, ranks: str, pattern: str, text: str = "text", key: str = "doc_id") -> DataFrame:
+def _bytes_of(ids: pa.Array, pieces: dict[int, bytes]) -> pa.Array:
+    """The join of each row's ids with the token-byte table, put together in order."""
+    return pa.array([b"".join([pieces[i] for i in np.frombuffer(x.as_buffer(), "<u4").tolist()]) for x in ids], pa.binary())
+
+
+def _token_bytes(spark: SparkSession, ranks: str):
+    """The token-byte table on all executors; it has one entry for each id."""
+    return spark.sparkContext.broadcast({i: b for b, i in ranks_of(ranks).items()})
+
+
+def encode(docs: DataFrame, ranks: str, pattern: str, text: str = "text", key: str = "doc_id", decoded: bool = False) -> DataFrame:
     """Per row of ``docs``: doc_id, n_tokens, ids (little-endian unsigned 32-bit), as the
-    tiktoken library gives for the rank file ``ranks`` without special tokens.
+    tiktoken library gives for the rank file ``ranks`` without special tokens; with
+    ``decoded``, also the bytes that the ids decode to.
 
     A null or empty text has no ids; repeated rows stay; null ids pass through; other
     columns are not looked at. ``pattern`` must be the one of ``pretoken_starts``."""
@@ -229,28 +246,22 @@ def encode(docs: DataFrame, ranks: str, pattern: str, text: str = "text", key: s
     blocks = rows.mapInArrow(_blocks, "block long, doc_ids array<long>, sizes array<long>, texts binary").repartition(count, "block")
     words = blocks.mapInArrow(_spread(buckets), "block long, bucket int, words binary")
     ids = words.repartition(count, "bucket").mapInArrow(_encoded(ranks, pattern), "block long, bucket int, ids binary")
-    return blocks.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(_assembled(buckets), "doc_id long, n_tokens long, ids binary")
+    table = _token_bytes(docs.sparkSession, ranks) if decoded else None
+    return blocks.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(_assembled(buckets, table), "doc_id long, n_tokens long, ids binary" + ", decoded binary" * decoded)
 
 
 def _decoded(table):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = table.value
         for batch in batches:
-            column, out, size, begun = batch.column(2), [], 0, 0
-            for k in range(batch.num_rows):
-                ids = np.frombuffer(column[k].as_buffer(), "<u4").tolist()
-                out.append(b"".join([pieces[i] for i in ids]))
-                size += len(out[-1])
-                if size > 16 << 20 or k == batch.num_rows - 1:
-                    part = batch.slice(begun, len(out))
-                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], ["doc_id", "n_tokens", "ids", "decoded"])
-                    out, size, begun = [], 0, k + 1
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                yield pa.RecordBatch.from_arrays([*part.columns, _bytes_of(part.column(2), table.value)], ["doc_id", "n_tokens", "ids", "decoded"])
 
     return run
 
 
 def decode(encoded: DataFrame, ranks: str) -> DataFrame:
     """Adds ``decoded``, the bytes of each row's ids, by a join with the token-byte
-    table; it has one entry for each id of the vocabulary and is sent to all executors."""
-    table = encoded.sparkSession.sparkContext.broadcast({i: b for b, i in ranks_of(ranks).items()})
+    table."""
+    table = _token_bytes(encoded.sparkSession, ranks)
     return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(_decoded(table), "doc_id long, n_tokens long, ids binary, decoded binary")

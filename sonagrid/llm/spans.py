@@ -29,7 +29,7 @@ class _Powers:
     @classmethod
     def upto(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
         if n > len(cls.up):
-            size = 1 << max(20, int(n - 1).bit_length())
+            size = ((n >> 20) + 1) << 20
             for name, base in (("up", _BASE), ("down", _INVERSE)):
                 steps = np.full(size, base, np.uint64)
                 steps[0] = 1
@@ -88,8 +88,12 @@ def span_hash(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int
     if not len(starts):
         return np.zeros(0, np.uint64)
     up, down = _Powers.upto(len(codes) + 1)
-    salt = np.uint64(1 + seed)
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((codes.astype(np.uint64) + salt) * up[: len(codes)], dtype=np.uint64)))
+    terms = codes.astype(np.uint64)
+    terms += np.uint64(1 + seed)
+    terms *= up[: len(codes)]
+    sums = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum(terms, out=sums[1:])
+    del terms
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _ODD[2])
 
 
