@@ -20,7 +20,8 @@ def haversine(lat1, lon1, lat2, lon2) -> Column:
     """Great-circle distance in metres."""
     lat1, lon1, lat2, lon2 = map(_c, (lat1, lon1, lat2, lon2))
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return F.lit(2 * EARTH_M) * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
+    # not least(1, a): that would take an unknown place for the far side of the Earth
+    return F.lit(2 * EARTH_M) * F.asin(F.sqrt(F.when(a > 1, F.lit(1.0)).otherwise(a)))
 
 
 def bbox_around(lat, lon, radius_m) -> Column:

@@ -158,7 +158,7 @@ def win_mobile_storage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.storage_kept(files, 20_000).select("id")
 
 
-@query(f"SELECT id, round({_HAV}, 3) AS step_m FROM (SELECT id, lat, lon, lag(lat) OVER w AS plat, lag(lon) OVER w AS plon FROM detections WHERE lat IS NOT NULL WINDOW w AS (PARTITION BY device_id ORDER BY window_start_ts, id)) x, LATERAL (SELECT plat AS lat, plon AS lon) a, LATERAL (SELECT x.lat AS lat, x.lon AS lon) b", _D)
+@query(f"SELECT id, CASE WHEN plat IS NOT NULL THEN round({_HAV}, 3) END AS step_m FROM (SELECT id, lat, lon, lag(lat) OVER w AS plat, lag(lon) OVER w AS plon FROM detections WHERE lat IS NOT NULL WINDOW w AS (PARTITION BY device_id ORDER BY window_start_ts, id)) x, LATERAL (SELECT plat AS lat, plon AS lon) a, LATERAL (SELECT x.lat AS lat, x.lon AS lon) b", _D)
 def win_lag_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("device_id").orderBy("window_start_ts", "id")
     rows = fx.detections(spark, sf_dir).filter("lat is not null")

@@ -42,8 +42,8 @@ def test_geohash_box_holds_its_point(spark):
 
 
 def test_haversine_and_ring(spark):
-    row = spark.range(1).select(geo.haversine(0.0, 0.0, 0.0, 1.0).alias("d"), F.size(geo.circle_ring(59.9, 41.1, 500.0)).alias("n")).first()
-    assert abs(row.d - 111195.08) < 0.01 and row.n == 49
+    row = spark.range(1).select(geo.haversine(0.0, 0.0, 0.0, 1.0).alias("d"), F.size(geo.circle_ring(59.9, 41.1, 500.0)).alias("n"), geo.haversine(F.lit(None).cast("double"), 0.0, 0.0, 1.0).alias("u")).first()
+    assert abs(row.d - 111195.08) < 0.01 and row.n == 49 and row.u is None
 
 
 def test_grid_counts_and_filters(populated):
