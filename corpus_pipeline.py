@@ -3,13 +3,11 @@ next one's documents. It belongs to the training-data operators in ``sonagrid.ll
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sonagrid.llm import bpe, decontaminate, near, quality, toxicity
-from sonagrid.llm.store import shared_folder
+from sonagrid.llm.store import Scratch
 from sonagrid.session import share_code
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -64,9 +62,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies STAGES to the table of documents."""
     share_code(spark)
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    tables = Scratch(spark)  # not closed: the last table is the result
     docs = _table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
-        docs = spark.read.parquet(f"{folder}/{k}")
+        docs = tables.table(stage(spark, docs, sf_dir), str(k))
+        if k:
+            tables.drop(str(k - 1))
     return docs
