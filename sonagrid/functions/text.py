@@ -70,22 +70,9 @@ def alert_text(name: Column, silent_since: Column, silence_sec: Column) -> Colum
 
 
 def argmax(probabilities: Column, order: Column | None = None) -> Column:
-    """Key of the largest value of a map; on ties the one that comes first in ``order``
-    (an array of keys) or else the smallest key."""
-    entries = F.map_entries(probabilities)
-    rank = (lambda k: -F.array_position(order, k)) if order is not None else (lambda k: F.lit(0))
+    """Key of the largest value of a map; on ties the key that comes first in ``order``
+    (an array of keys), or the smallest key without one."""
     if order is None:
-        entries = F.array_sort(entries)
-        best = F.array_max(F.transform(probabilities_values(probabilities), lambda v: v))
-        return F.filter(entries, lambda e: e["value"] == best)[0]["key"]
-    scored = F.transform(entries, lambda e: F.struct(e["value"].alias("v"), rank(e["key"]).alias("r"), e["key"].alias("k")))
+        order = F.array_sort(F.map_keys(probabilities))
+    scored = F.transform(F.map_entries(probabilities), lambda e: F.struct(e["value"].alias("v"), (-F.array_position(order, e["key"])).alias("r"), e["key"].alias("k")))
     return F.array_max(scored)["k"]
-
-
-def probabilities_values(probabilities: Column) -> Column:
-    return F.map_values(probabilities)
-
-
-def stage(path: Column, part: int) -> Column:
-    """The ``part``-th last segment of a path (1: the file itself)."""
-    return F.element_at(F.split(path, "/"), -part)

@@ -102,7 +102,7 @@ def recent(rows: DataFrame, as_of: datetime, hours: float = 48, column: str = "w
 
 def consent_valid(users: DataFrame, as_of: datetime, days: int = 365) -> DataFrame:
     """Users with consent that is at most ``days`` whole days old."""
-    age = F.floor(F.expr("1") * (F.unix_micros(F.lit(as_of).cast("timestamp")) - F.unix_micros(F.col("consented_at").cast("timestamp"))) / 86_400_000_000)
+    age = F.floor((F.unix_micros(F.lit(as_of).cast("timestamp")) - F.unix_micros(F.col("consented_at").cast("timestamp"))) / 86_400_000_000)
     return users.filter(F.col("consent") & (age <= days))
 
 

@@ -25,7 +25,7 @@ def chunk_timing(chunks: DataFrame, devices: DataFrame | None = None, expected_s
         interval = F.coalesce("expected_chunk_sec", F.lit(expected_sec))
     else:
         interval = F.lit(expected_sec)
-    lead = F.coalesce(between_sec("ended_at", F.col("prev.e")) * 0 + seconds(F.col("prev.e")) - seconds("started_at"), F.lit(0.0))
+    lead = F.coalesce(between_sec(F.col("prev.e"), "started_at"), F.lit(0.0))
     late = F.coalesce(F.col("started_at") < F.col("prev.s"), F.lit(False))
     overlap = F.when(late, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), lead))
     gap = F.when(late, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), -lead))
