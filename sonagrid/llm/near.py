@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from sonagrid.llm import graph, spans
 from sonagrid.llm.store import Scratch, partitions
@@ -71,13 +71,15 @@ def _profiled(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, seen = np.zeros(1 << SKETCH_BITS, np.uint32), set()
         pending: list[np.ndarray] = []
-        shift = np.uint64(64 - SKETCH_BITS)
+        held, shift = 0, np.uint64(64 - SKETCH_BITS)
 
         def flush() -> None:
+            nonlocal held
             if pending:
                 cells, counts = np.unique(np.concatenate(pending) >> shift, return_counts=True)
                 sketch[cells.astype(np.int64)] += counts.astype(np.uint32)
                 pending.clear()
+                held = 0
 
         for batch in batches:
             ns, signs = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
@@ -86,7 +88,8 @@ def _profiled(size: int):
                 if len(hashes) and signs[row] not in seen:
                     seen.add(int(signs[row]))
                     pending.append(hashes)
-                if sum(map(len, pending[-64:])) > 1 << 20 or len(pending) > 4096:
+                    held += len(hashes)
+                if held > 1 << 20:
                     flush()
             flush()
             blank = pa.nulls(batch.num_rows, pa.int32())
@@ -201,15 +204,15 @@ def _wanted(bitmap, size: int, bits: int = FILTER_BITS):
         for batch in batches:
             at = _cell(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False), bits)
             keep = ((held[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool)
-            rows, sets = [], []
-            for row, hashes in shingle_sets(batch, size, keep):
-                rows.append(row)
+            signs, sets = [], []
+            for _, hashes in shingle_sets(batch, size, keep):
+                signs.append(_signature(hashes))
                 sets.append(hashes.tobytes())
-                if len(rows) == 256:
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(sets, pa.binary())], ["doc_id", "hashes"])
-                    rows, sets = [], []
-            if rows:
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(sets, pa.binary())], ["doc_id", "hashes"])
+                if len(signs) == 256:
+                    yield pa.RecordBatch.from_arrays([pa.array(signs, pa.int64()), pa.array(sets, pa.binary())], ["sig", "hashes"])
+                    signs, sets = [], []
+            if signs:
+                yield pa.RecordBatch.from_arrays([pa.array(signs, pa.int64()), pa.array(sets, pa.binary())], ["sig", "hashes"])
 
     return run
 
@@ -245,10 +248,9 @@ def _links(spark: SparkSession, scratch: Scratch, texts: DataFrame, first: DataF
     made anew, only for the documents that a filter of fixed size lets through."""
     pairs = scratch.table(pairs, f"pairs_{name}")
     ends = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct()
-    asked = first.join(ends, "sig").select("doc_id", "sig")
-    bitmap = spark.sparkContext.broadcast(id_filter(asked.select("doc_id")))
-    made = texts.mapInArrow(_wanted(bitmap, size), "doc_id long, hashes binary")
-    sets = scratch.table(made.join(asked, "doc_id").dropDuplicates(["sig"]).select("sig", "hashes"), f"sets_{name}")
+    bitmap = spark.sparkContext.broadcast(id_filter(first.join(ends, "sig").select("doc_id")))
+    # partitioned by sig once, for both sides of the pairs
+    sets = texts.mapInArrow(_wanted(bitmap, size), "sig long, hashes binary").dropDuplicates(["sig"])
     joined = pairs.join(sets.select(F.col("sig").alias("b"), F.col("hashes").alias("set_b")), "b").join(sets.select(F.col("sig").alias("a"), F.col("hashes").alias("set_a")), "a")
     return scratch.table(joined.select("a", "b", "set_a", "set_b").mapInArrow(_verified(num, den), "a long, b long"), f"links_{name}")
 
@@ -277,11 +279,13 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, num: int = NUMERATO
         first = members.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
         sketch = spark.sparkContext.broadcast(_sketch(profiles))
         rows = texts.mapInArrow(_prefixes(sketch, size, num, den), "h long, salt int, sig long, n int, pos int").repartition(partitions(spark), "h", "salt")
-        shared = rows.groupBy("h", "salt").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).filter("lo < hi or salt > 0")
-        shared = rows.join(shared.select("h", "salt").hint("shuffle_hash"), ["h", "salt"]).select("h", "sig", "n", "pos").withColumn("indexed", F.expr(f"pos < n - ceil({2 * num} * n / {num + den}) + 1"))
+        # both uses of ``rows`` read all its columns, so they share one exchange
+        groups = rows.groupBy("h", "salt").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi"), F.min(F.struct("pos", "n", "sig")).alias("c")).filter("lo < hi or salt > 0")
+        shared = rows.join(groups.select("h", "salt", "c").hint("shuffle_hash"), ["h", "salt"]).select("h", "sig", "n", "pos", "c").withColumn("indexed", F.expr(f"pos < n - ceil({2 * num} * n / {num + den}) + 1"))
         shared = scratch.table(shared, "shared")
 
-        centres = shared.filter("indexed").groupBy("h").agg(F.min(F.struct("pos", "n", "sig")).alias("c")).select("h", "c.*")
+        centres = shared.groupBy("h").agg(F.min("c").alias("c")).select("h", "c.*")
+        shared = shared.drop("c")
         star = shared.alias("p").join(centres.alias("i"), "h").filter("i.sig <> p.sig").filter(_reaches(num, den).replace("i.n >=", "least(i.n, p.n) >=").replace("* p.n and", "* greatest(i.n, p.n) and"))
         star = star.groupBy(F.col("p.sig").alias("b"), F.col("i.sig").alias("a")).count().groupBy("b").agg(F.max(F.struct("count", "a")).alias("m"))
         tried = star.select(F.col("m.a").alias("a"), "b")
@@ -303,3 +307,17 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, num: int = NUMERATO
         found = members.join(named, "sig", "left")
         found = found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
         return found.checkpoint()
+
+
+def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", **options: int) -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of their component. Of rows that
+    repeat an id, the one with the smallest text hash stays; rows without an id stay if
+    no row with an id is in their component. All columns are kept."""
+    found = jaccard_components(docs, text=text, key=key, **options)
+    gone = found.filter("doc_id <> component_id or doc_id is null and component_id is not null").select(F.col("doc_id").alias("_gone")).distinct()
+    kept = docs.join(gone, F.col(key).eqNullSafe(F.col("_gone")), "left_anti")
+    again = found.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select(F.col("doc_id").alias("_again"))
+    once = kept.join(again, kept[key] == F.col("_again"), "left_anti")
+    repeated = kept.join(again, kept[key] == F.col("_again"), "left_semi")
+    order = Window.partitionBy(key).orderBy(F.xxhash64(text), text)
+    return once.unionByName(repeated.withColumn("_rank", F.row_number().over(order)).filter("_rank = 1").drop("_rank"))

@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +24,8 @@ from sonagrid.llm.store import partitions
 END_ID = 1
 #: A segment ends with the document that takes it to so many ids.
 SEGMENT_IDS = 1 << 19
-#: Distinct pieces whose ids a task remembers; beyond that it starts anew.
-REMEMBERED = 400_000
+#: Distinct pieces whose ids a worker remembers; beyond that it starts anew.
+REMEMBERED = 300_000
 SLICE = 8 << 20
 
 _SEGMENT = "part int, seq int, n_ids long, doc_ids array<long>, counts array<long>, codes binary"
@@ -62,9 +63,16 @@ class _Encoder:
         return ids, np.diff(totals[first])
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> _Encoder:
+    """One encoder for each Python worker: reading a vocabulary takes longer than a task
+    takes for its texts, and common pieces come again in every task."""
+    return _Encoder(path)
+
+
 def _segments(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, seq = _Encoder(path), TaskContext.get().partitionId(), 0
+        encode, part, seq = _encoder(path), TaskContext.get().partitionId(), 0
         keys: list = []
         counts: list[int] = []
         held: list[np.ndarray] = []

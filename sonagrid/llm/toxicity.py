@@ -30,7 +30,7 @@ DIM = 16
 SEGMENT_WORDS = 3
 #: Words of a training document: a longer one gives this many, from evenly spaced runs
 #: over its whole length. Scoring always reads the whole text.
-TRAIN_WORDS = 400
+TRAIN_WORDS = 320
 SEED = 7
 
 
@@ -143,6 +143,18 @@ def _sgd(bags: np.ndarray, ends: np.ndarray, y: np.ndarray, table: np.ndarray, s
             soft -= 0.1 * to_soft / np.sqrt(seen_soft)
 
 
+def _grams_of(texts: list[bytes], at_once: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``grams`` of many texts, some at a time: what is made on the way takes many times
+    the room of what stays."""
+    parts = [grams(b"".join(some), np.array([len(t) for t in some])) for some in (texts[k : k + at_once] for k in range(0, len(texts), at_once))]
+    buckets = np.concatenate([p[0].astype(np.int32) for p in parts])
+    joined = []
+    for k in (1, 2):
+        before = np.cumsum([0] + [p[k][-1] for p in parts])
+        joined.append(np.concatenate([p[k][:-1] + b for p, b in zip(parts, before, strict=False)] + [before[-1:]]))
+    return buckets, joined[0], joined[1]
+
+
 def train(texts: list[bytes], y: np.ndarray, rounds: int = 4, epochs: int = 3) -> Model:
     """Fits the model; two thirds of the texts fit the embeddings, the rest calibrates."""
     rng = np.random.default_rng(SEED)
@@ -152,7 +164,7 @@ def train(texts: list[bytes], y: np.ndarray, rounds: int = 4, epochs: int = 3) -
     sizes = np.array([len(t) for t in texts])
     kept = [t for t, f in zip(texts, fit, strict=True) if f]
     target = y[fit]
-    buckets, of_word, first = grams(b"".join(kept), sizes[fit])
+    buckets, of_word, first = _grams_of(kept)
     table = rng.uniform(-1 / DIM, 1 / DIM, (1 << BUCKET_BITS, DIM)).astype(np.float32)
     soft = rng.uniform(-1, 1, (DIM, 2)).astype(np.float32)
     lead = np.concatenate([np.arange(a, b, SEGMENT_WORDS) for a, b in zip(first[:-1], first[1:], strict=True)])
@@ -172,7 +184,8 @@ def train(texts: list[bytes], y: np.ndarray, rounds: int = 4, epochs: int = 3) -
         _sgd(np.concatenate(pieces), np.cumsum([len(x) for x in pieces]), target[text_of[some]], table, soft, epochs, rng)
     model = Model((table @ (soft[:, 1] - soft[:, 0])).astype(np.float32), (1.0, 0.0, 0.0))
     rest = [t for t, f in zip(texts, fit, strict=True) if not f]
-    x = model.features(b"".join(rest), sizes[~fit])
+    rest_sizes = sizes[~fit]
+    x = np.concatenate([model.features(b"".join(rest[k : k + 50]), rest_sizes[k : k + 50]) for k in range(0, len(rest), 50)])
     slope = labelled.logistic(x, y[~fit])
     model.scale = (float(slope[0]), float(slope[1]), float(slope[2]))
     return model
