@@ -163,12 +163,13 @@ def _prefixes(sketch, size: int, num: int, den: int):
 
 
 def _cells(bits: int):
-    """A bitmap of hashed ids for each partition, in SKETCH_PARTS parts."""
+    """A bitmap of hashed ids for each partition, in SKETCH_PARTS parts. A null counts as 0,
+    as in ``_wanted``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hit = np.zeros(1 << bits, np.uint8)
         for batch in batches:
-            hit[_cell(batch.column(0).to_numpy(zero_copy_only=False), bits)] = 1
+            hit[_cell(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False), bits)] = 1
         if hit.any():
             yield pa.RecordBatch.from_arrays([pa.array(range(SKETCH_PARTS), pa.int32()), pa.array([zstandard.ZstdCompressor(level=1).compress(np.packbits(x).tobytes()) for x in hit.reshape(SKETCH_PARTS, -1)], pa.binary())], ["part", "cells"])
 

@@ -102,6 +102,17 @@ def test_jaccard_star_without_its_centre(spark):
     assert plain((r.doc_id, r.n_shingles, r.component_id) for r in got) == plain(brute_components(rows))
 
 
+def test_jaccard_links_of_null_ids(spark):
+    """A near copy without an id, a bridge without an id, and ids beyond 2**53 beside nulls."""
+    words = [f"n{k}" for k in range(400)]
+    text = lambda a, b: " ".join(words[a:b])
+    rows = [(1, text(0, 100)), (None, text(2, 102)), (2, text(150, 250)), (None, text(160, 260)), (3, text(170, 270)), ((1 << 53) + 1, text(300, 360)), ((1 << 53) + 3, text(301, 361))]
+    got = near.jaccard_components(spark.createDataFrame([(i, t, "x", 1) for i, t in rows], KIND).repartition(1)).collect()
+    want = brute_components(rows)
+    assert [c for _, _, c in want] == [1, 1, 2, 2, 2, (1 << 53) + 1, (1 << 53) + 1]
+    assert plain((r.doc_id, r.n_shingles, r.component_id) for r in got) == plain(want)
+
+
 def test_keep_one(docs, none):
     rows = near.keep_one(docs).collect()
     want = {i for i, _, c in brute_components(odd_rows()) if i == c or c is None and i is None}
