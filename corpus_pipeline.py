@@ -31,14 +31,16 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates."""
+    """One row of each group of near duplicates, that with the smallest id."""
     return near.keep_one(docs.select(*COLUMNS))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark passage."""
-    found = decontaminate.leaks(docs, _table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.select(*COLUMNS).alias("d").join(found.alias("f"), F.expr("d.doc_id <=> f.doc_id"), "left_anti")
+    """Rows whose text holds no benchmark passage. Texts are named by their hash, since ids
+    may be null or repeated."""
+    named = docs.select(*COLUMNS, F.xxhash64("text").alias("_text"))
+    found = decontaminate.leaks(named, _table(spark, sf_dir, "benchmark"), key="_text").select(F.col("doc_id").alias("_text")).distinct()
+    return named.join(found, "_text", "left_anti").drop("_text")
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

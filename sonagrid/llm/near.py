@@ -68,7 +68,11 @@ def _signature(hashes: np.ndarray) -> int:
 
 
 def _profiled(size: int):
+    """Columns after the text (longs) are passed on."""
+    names = ["doc_id", "n", "sig", "part", "cells"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks: list[str] = []
         sketch, seen = np.zeros(1 << SKETCH_BITS, np.uint32), set()
         pending: list[np.ndarray] = []
         held, shift = 0, np.uint64(64 - SKETCH_BITS)
@@ -93,11 +97,12 @@ def _profiled(size: int):
                     flush()
             flush()
             blank = pa.nulls(batch.num_rows, pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns), pa.array(signs), blank, pa.nulls(batch.num_rows, pa.binary())], ["doc_id", "n", "sig", "part", "cells"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns), pa.array(signs), blank, pa.nulls(batch.num_rows, pa.binary()), *batch.columns[2:]], names + batch.schema.names[2:])
+            marks = batch.schema.names[2:]
         if sketch.any():
             parts = [_pack(x) for x in sketch.reshape(SKETCH_PARTS, -1)]
             none = pa.nulls(SKETCH_PARTS, pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, pa.array(range(SKETCH_PARTS), pa.int32()), pa.array(parts, pa.binary())], ["doc_id", "n", "sig", "part", "cells"])
+            yield pa.RecordBatch.from_arrays([none, none, none, pa.array(range(SKETCH_PARTS), pa.int32()), pa.array(parts, pa.binary()), *[none] * len(marks)], names + marks)
 
     return run
 
@@ -272,11 +277,19 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, num: int = NUMERATO
     text has no shingle and links with nothing, so its component is its own id.
     Repeated rows stay; rows with a null id get the component of their text, which is
     null only if no row with an id is in it. Other columns are not looked at."""
+    return _components(docs, size, num, den, text, key)
+
+
+def _components(docs: DataFrame, size: int = SHINGLE, num: int = NUMERATOR, den: int = DENOMINATOR, text: str = "text", key: str = "doc_id", marks: tuple = ()) -> DataFrame:
+    """``jaccard_components``; with ``marks`` (long columns of ``docs``) these are kept, and
+    root: a number of the row's component, null for a text without a shingle."""
     spark = docs.sparkSession
-    texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
+    marked = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"), *marks)
+    names = marked.columns[2:]
+    texts = marked.select("doc_id", "text")
     with Scratch(spark) as scratch:
-        profiles = scratch.table(texts.mapInArrow(_profiled(size), "doc_id long, n long, sig long, part int, cells binary"), "profiles")
-        members = profiles.filter("part is null").select("doc_id", "n", "sig")
+        profiles = scratch.table(marked.mapInArrow(_profiled(size), ", ".join(["doc_id long, n long, sig long, part int, cells binary", *[f"{c} long" for c in names]])), "profiles")
+        members = profiles.filter("part is null").select("doc_id", "n", "sig", *names)
         first = members.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
         sketch = spark.sparkContext.broadcast(_sketch(profiles))
         rows = texts.mapInArrow(_prefixes(sketch, size, num, den), "h long, salt int, sig long, n int, pos int").repartition(partitions(spark), "h", "salt")
@@ -304,21 +317,31 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, num: int = NUMERATO
         roots = graph.components(links).withColumnRenamed("node", "sig")
         named = first.join(roots, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
         least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-        named = named.join(least, "root").select("sig", "component_id")
+        named = named.join(least, "root").select("sig", "root", "component_id")
         found = members.join(named, "sig", "left")
-        found = found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
-        return found.checkpoint()
+        found = found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(F.col("n") > 0, F.col("root")).alias("root"), *names)
+        return (found if names else found.drop("root")).checkpoint()
 
 
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", **options: int) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their component. Of rows that
-    repeat an id, the one with the smallest text hash stays; rows without an id stay if
-    no row with an id is in their component. All columns are kept."""
-    found = jaccard_components(docs, text=text, key=key, **options)
-    gone = found.filter("doc_id <> component_id or doc_id is null and component_id is not null").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, F.col(key).eqNullSafe(F.col("_gone")), "left_anti")
-    again = found.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select(F.col("doc_id").alias("_again"))
-    once = kept.join(again, kept[key] == F.col("_again"), "left_anti")
-    repeated = kept.join(again, kept[key] == F.col("_again"), "left_semi")
-    order = Window.partitionBy(key).orderBy(F.xxhash64(text), text)
-    return once.unionByName(repeated.withColumn("_rank", F.row_number().over(order)).filter("_rank = 1").drop("_rank"))
+    """One row of each component of ``docs``: that with the smallest id (rows without an
+    id come last), then the smallest text hash. It is decided for each row: rows of one id
+    with unrelated texts are in different components and stay. A text without a shingle
+    is a component with the rows of its id that have none either; without an id it stays.
+    All columns are kept."""
+    # a row's component depends on its text only, so the id and a 128-bit hash name it
+    named = [F.col(key).cast("long").alias("_id"), F.xxhash64(text).alias("_h1"), F.xxhash64(F.lit(1), text).alias("_h2")]
+    found = _components(docs, text=text, key=key, marks=tuple(named[1:]), **options)
+    rows = found.groupBy("root", F.when(F.col("root").isNull(), F.col("doc_id")).alias("own"), "doc_id", "_h1", "_h2").count()
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("_id"), "_h1", "_h2", "count"))
+    best = rows.filter("root is not null or own is not null").groupBy("root", "own").agg(best.alias("m")).select("m._id", "m._h1", "m._h2", "m.count")
+    alone = rows.filter("root is null and own is null").select(F.col("doc_id").alias("_id"), "_h1", "_h2", F.lit(1).cast("long").alias("count"))
+    chosen = best.union(alone)
+    docs = docs.select("*", *named)
+
+    def among(some: DataFrame) -> DataFrame:
+        return docs.alias("d").join(some.alias("c"), F.expr("d._id <=> c._id and d._h1 = c._h1 and d._h2 = c._h2"), "left_semi")
+
+    # not by the columns of the join, so that copies are dropped before they are dealt out
+    repeated = among(chosen.filter("count > 1")).withColumn("_row", F.struct("_id", "_h1", "_h2")).dropDuplicates(["_row"]).drop("_row")
+    return among(chosen.filter("count = 1")).unionByName(repeated).drop("_id", "_h1", "_h2")

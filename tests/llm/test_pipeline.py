@@ -32,3 +32,12 @@ def test_stages_return_the_columns_of_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert set(stage(spark, docs, SF).columns) == set(docs.columns)
+
+
+def test_decontamination_decides_by_row(spark):
+    """Clean rows without an id, or of a repeated id, stay beside ones that leak."""
+    leak = next(r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() if len(r.text.split()) > 20)
+    rows = [(None, leak), (None, "clean words here"), (7, leak), (7, "other clean words"), (8, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.decontaminated(spark, docs, SF).collect()
+    assert {(r.doc_id, r.text) for r in got} == {(None, "clean words here"), (7, "other clean words"), (8, None)} and len(got) == 3

@@ -120,6 +120,20 @@ def test_keep_one(docs, none):
     assert near.keep_one(none).count() == 0
 
 
+def test_keep_one_decides_by_row(spark):
+    """Null ids and repeated ids with unrelated texts."""
+    rng = random.Random(8)
+    new = lambda: " ".join(f"w{rng.randrange(5000)}" for _ in range(60))
+    a, b, c, d, e, f = (new() for _ in range(6))
+    near_copy = lambda t: t + " end"
+    rows = [(1, a), (None, near_copy(a)), (None, b), (None, near_copy(b)), (None, ""), (None, None), (3, c), (7, near_copy(c)), (7, d), (7, e), (8, f), (8, f), (8, near_copy(f)), (9, ""), (9, None), (9, near_copy(e))]
+    got = near.keep_one(spark.createDataFrame([(i, t, "x", 1) for i, t in rows], KIND).repartition(3)).collect()
+    texts = [r.text for r in got if r.text]
+    assert [sum(t in (x, near_copy(x)) for t in texts) for x in (a, b, c, d, e, f)] == [1] * 6
+    assert sorted(str(r.doc_id) for r in got) == sorted(["1", "None", "None", "None", "3", "7", "7", "8", "9"])
+    assert {(7, d), (7, e), (3, c), (1, a)} <= {(r.doc_id, r.text) for r in got}
+
+
 def test_pretokens_equal_the_pattern():
     pattern = regex.compile(P.PATTERN.replace(r"(?!\S)", r"(?!\P{White_Space})").replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s+", r"\p{White_Space}+"))
     rng = random.Random(0)
