@@ -11,7 +11,9 @@ import re
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
-_RAW = {n: re.compile(rf"</{n}\b[^>]*>?", re.I) for n in ("script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "select", "math", "object", "canvas", "video", "audio")}
+_RAW = {n: re.compile(rf"</{n}\b[^>]*>?", re.I) for n in ("script", "style", "textarea", "title", "iframe")}
+#: Elements whose text stays and is set off from the words around it.
+_APART = frozenset("noscript template svg select option optgroup math object canvas video audio".split())
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
@@ -75,6 +77,8 @@ class Page:
             if name is None:
                 continue
             name = name.lower()
+            if name in _APART:
+                run.append(" ")
             if token[1]:
                 if name in open_tags:
                     k = len(open_tags) - 1
@@ -87,6 +91,8 @@ class Page:
                         pop_to(k)
                 continue
             if name in _RAW:
+                if token[0].endswith("/>") and ("svg" in open_tags or "math" in open_tags):
+                    continue  # in foreign content it has no text
                 found = _RAW[name].search(source, at)
                 at = found.end() if found else n
                 run.append(" ")
