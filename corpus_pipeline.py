@@ -39,7 +39,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Rows whose text holds no benchmark passage. Texts are named by their hash, since ids
     may be null or repeated."""
     named = docs.select(*COLUMNS, F.xxhash64("text").alias("_text"))
-    found = decontaminate.leaks(named, _table(spark, sf_dir, "benchmark"), key="_text").select(F.col("doc_id").alias("_text")).distinct()
+    found = decontaminate.leaks(named, _table(spark, sf_dir, "benchmark"), key="_text", thorough=True).select(F.col("doc_id").alias("_text")).distinct()
     return named.join(found, "_text", "left_anti").drop("_text")
 
 

@@ -270,6 +270,61 @@ def test_leaks_with_substitutions(spark):
     assert decontaminate.leaks(frame.limit(0), tests).count() == 0 and decontaminate.leaks(frame, tests.limit(0)).count() == 0
 
 
+def brute_thorough(docs, items):
+    word = re.compile(r"[0-9a-z\u0080-\U0010ffff]+")
+    found = set()
+    for i, t in docs:
+        w = word.findall((t or "").lower())
+        for k, x in items:
+            b = word.findall((x or "").lower())
+            for shift in range(-len(b) + 1, len(w)):
+                same = [b[p] == w[p + shift] for p in range(len(b)) if 0 <= p + shift < len(w)]
+                size = min(20, len(b))
+                if 13 <= len(same) < size:
+                    size = len(same)
+                least = 0.8 * size if len(b) >= 5 else size
+                runs = "".join("x" if v else " " for v in same)
+                if any(sum(same[p : p + size]) >= least for p in range(len(same) - size + 1)) or "x" * 13 in runs:
+                    found.add((i, k))
+    return found
+
+
+def test_leaks_thorough(spark):
+    """Short items with substitutions, items under 5 words, and parts of long items."""
+    rng = random.Random(12)
+    words = [f"w{k}" for k in range(400)]
+    items = [(n, " ".join(rng.choice(words) for _ in range(n))) for n in (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 19, 40)]
+    some = lambda: [rng.choice(words) for _ in range(rng.randint(0, 90))]
+    docs = []
+    for n, text in items[1:]:
+        for subs in [0, 1, 1, 1, 2, 2, 2, 2, 3]:
+            w = text.split()
+            for at in rng.sample(range(n), min(subs, n)):
+                w[at] = "changed"
+            docs.append((len(docs), " ".join(some() + w + some())))
+    long = items[-1][1].split()
+    for size in (11, 12, 13, 15, 17, 19):
+        for part in (long[:size], long[-size:], long[9 : 9 + size]):
+            for before, after in (([], []), ([], some()), (some(), []), (some(), some())):
+                docs.append((len(docs), " ".join(before + part + after)))
+                docs.append((len(docs), " ".join(before + part[:5] + ["changed"] + part[6:] + after)))
+    docs.append((len(docs), " ".join(["x"] * 300 + [items[0][1]] + ["x"] * 200 + [items[0][1]])))
+    got = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), thorough=True).collect()
+    want = brute_thorough(docs, items)
+    assert len(got) == len(want) and {(r.doc_id, r.item_id) for r in got} == want
+    assert next(r for r in got if r.doc_id == len(docs) - 1).first_word == 300
+
+
+def test_short_masks_are_lossless():
+    """Any substitutions of a fifth of 5 to 13 words leave one mask whole somewhere."""
+    from itertools import combinations
+
+    for n in range(5, 14):
+        masks = decontaminate.MASKS if n == 13 else decontaminate.SHORT_MASKS
+        placed = [sum(1 << (p + o) for p in m) for m in masks for o in range(n - m[-1])]
+        assert all(any(not m & sum(1 << p for p in c) for m in placed) for c in combinations(range(n), n // 5))
+
+
 def test_masks_are_lossless():
     """Any substitutions of a fifth of 14 to 20 words leave one mask whole somewhere."""
     from itertools import combinations
