@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -11,13 +12,28 @@ from sonagrid.sources import fixtures as fx
 from sonagrid.streaming import pipelines
 
 
-def _run(spark: SparkSession, frame: DataFrame, build, mode: str = "append") -> DataFrame:
-    """Feeds ``frame`` to a stream through a folder that all executors share."""
+def _in_order(spark: SparkSession, folder: str) -> None:
+    """Streams take files by their time of change: that of the parts follows their names."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    parts = sorted((f.getPath() for f in files.listStatus(path)), key=lambda x: x.getName())
+    now = int(time.time()) * 1000
+    for k, part in enumerate(x for x in parts if x.getName().startswith("part-")):
+        files.setTimes(part, now - 1000 * (len(parts) - k), -1)
+
+
+def _run(spark: SparkSession, frame: DataFrame, build, mode: str = "append", order: tuple[str, ...] = (), per_trigger: int = 100) -> DataFrame:
+    """Feeds ``frame`` to a stream through a folder that all executors share, by ``order``
+    if it matters to the stream."""
     from sonagrid.sources.shared import shared_folder
 
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    if order:
+        frame = frame.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
     frame.write.parquet(f"{folder}/in")
-    stream = pipelines.read_stream(spark, f"{folder}/in", frame.schema)
+    if order:
+        _in_order(spark, f"{folder}/in")
+    stream = pipelines.read_stream(spark, f"{folder}/in", frame.schema, per_trigger)
     out = build(stream)
 
     def sink(batch: DataFrame, number: int) -> None:
@@ -48,12 +64,12 @@ def stream_ingest_idempotent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def stream_chunk_timing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _run(spark, _chunks(spark, sf_dir), pipelines.chunk_timing)
+    return _run(spark, _chunks(spark, sf_dir), pipelines.chunk_timing, order=("arrival", "id"))
 
 
 @query()
 def stream_seam_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _run(spark, _detections(spark, sf_dir), pipelines.seam_dedup)
+    return _run(spark, _detections(spark, sf_dir), pipelines.seam_dedup, order=("window_start_ts", "id"))
 
 
 @query("SELECT device_id, max(seq) AS last_seq, max(started_at) AS last_started_at FROM chunks GROUP BY 1", ("chunks",))

@@ -54,7 +54,7 @@ _TIMING_STATE = T.StructType().add("prev_start", "double").add("prev_end", "doub
 
 def chunk_timing(chunks: DataFrame, expected_sec: float = EXPECTED_SEC, alert_sec: float = GAP_ALERT_SEC) -> DataFrame:
     """Timing of each chunk against the latest-started one before it; the state of a
-    device is that chunk's start and end. Within a trigger, arrival orders the chunks."""
+    device is that chunk's start and end. Triggers have to come in order of arrival."""
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         start, end = state.get if state.exists else (float("nan"), float("nan"))
@@ -79,17 +79,21 @@ _SEAM = T.StructType().add("id", "long").add("device_id", "long").add("species_s
 _SEAM_STATE = T.StructType().add("ids", T.ArrayType(T.LongType())).add("starts", T.ArrayType(T.DoubleType())).add("ends", T.ArrayType(T.DoubleType()))
 
 
-def seam_dedup(detections: DataFrame, least: float = 0.5, keep_sec: float = 7 * 86400) -> DataFrame:
+def seam_dedup(detections: DataFrame, least: float = 0.5, late: str = "7 days") -> DataFrame:
     """Marks each detection with the first canonical one that it overlaps. The state of a
-    (device, species) holds canonical spans that ended within ``keep_sec`` of the newest."""
+    (device, species) holds canonical spans that ended at the watermark or later, which
+    are all that rows within ``late`` of the newest can overlap."""
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         kept = list(zip(*state.get, strict=True)) if state.exists else []
-        out = []
-        for r in pd.concat(list(frames)).sort_values(["window_start_ts", "id"]).itertuples():
-            s, e = r.window_start_ts.timestamp(), r.window_end_ts.timestamp()
+        bound = state.getCurrentWatermarkMs() / 1000
+        kept = [x for x in kept if x[2] >= bound]
+        live, out = kept, []
+        for r in pd.concat(list(frames)).sort_values(["s", "id"]).itertuples():
+            s, e = r.s, r.e
             of = None
-            for other, s0, e0 in kept:
+            live = [x for x in live if x[2] >= s]  # the rows of a trigger come by start
+            for other, s0, e0 in live:
                 shorter = min(e - s, e0 - s0)
                 shared = max(0.0, min(e, e0) - max(s, s0))
                 if (shared / shorter if shorter > 0 else float(min(e, e0) >= max(s, s0))) >= least:
@@ -97,11 +101,12 @@ def seam_dedup(detections: DataFrame, least: float = 0.5, keep_sec: float = 7 *
                     break
             out.append((r.id, key[0], key[1], of))
             if of is None:
-                kept = [x for x in kept if x[2] >= s - keep_sec] + [(r.id, s, e)]
-        state.update(tuple(map(list, zip(*kept, strict=True))))
+                kept, live = [*kept, (r.id, s, e)], [*live, (r.id, s, e)]
+        state.update(tuple(map(list, zip(*kept, strict=True))) or ([], [], []))
         yield pd.DataFrame(out, columns=_SEAM.names).astype({"duplicate_of_id": "Int64"})
 
-    rows = detections.select("id", "device_id", "species_slug", "window_start_ts", "window_end_ts")
+    seconds = [F.col(f"window_{k}_ts").cast("double").alias(k[0]) for k in ("start", "end")]
+    rows = detections.withWatermark("window_start_ts", late).select("id", "device_id", "species_slug", "window_start_ts", *seconds)
     return rows.groupBy("device_id", "species_slug").applyInPandasWithState(run, _SEAM, _SEAM_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
