@@ -3,27 +3,69 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 
 from sonagrid.llm import spans
 
 
+#: Spans up to so many bytes are compared eight bytes at a time, all spans at once.
+SHORT = 64
+
+
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of ``data``, zeros beyond its end, as one number."""
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
+def same_bytes(a: np.ndarray, a_starts: np.ndarray, b: np.ndarray, b_starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether the span of ``a`` and that of ``b`` of the same size are equal, for each pair."""
+    out = np.ones(len(sizes), bool)
+    x, y = _eights(a), _eights(b)
+    some = np.flatnonzero((sizes > 0) & (sizes <= SHORT))
+    for at in range(0, SHORT, 8):
+        some = some[sizes[some] > at]
+        if not len(some):
+            break
+        over = np.uint64(8) * np.maximum(at + 8 - sizes[some], 0).astype(np.uint64)
+        out[some] &= ((x[a_starts[some] + at] ^ y[b_starts[some] + at]) << over) == 0
+    for k in np.flatnonzero(sizes > SHORT).tolist():
+        n = int(sizes[k])
+        out[k] = np.array_equal(a[a_starts[k] : a_starts[k] + n], b[b_starts[k] : b_starts[k] + n])
+    return out
+
+
 def distinct(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(index of one span of each kind, kind of each span, hash of each kind); kinds are
-    in the order of their hashes. Two independent 64-bit hashes have to agree; if ever
-    two spans share only the first, kinds are told apart by both."""
-    one = spans.span_hash(codes, starts, ends)
-    kinds, index, inverse = np.unique(one, return_index=True, return_inverse=True)
-    two = spans.span_hash(codes, starts, ends, seed=1)
-    if not np.array_equal(two[index][inverse], two):
-        pairs, index, inverse = np.unique(np.stack((one, two), 1), axis=0, return_index=True, return_inverse=True)
-        kinds = pairs[:, 0]
-    return index, inverse.reshape(-1), kinds
-
-
-def take(values: np.ndarray, sizes: np.ndarray, picked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Concatenates the ``picked`` items, where item k is the k-th run of ``sizes[k]``
-    values; also returns the size of each picked item."""
-    begins = np.concatenate((np.zeros(1, np.int64), np.cumsum(sizes)))[:-1]
+    """(index of one span of each kind, kind of each span, hash of each kind) for spans of
+    bytes, in the order of the first span. Spans of one hash are compared with the first of
+    them; if ever one differs, its kind is found by its bytes and comes after the others."""
+    hashes = spans.span_hash(codes, starts, ends)
+    inverse, kinds = pd.factorize(hashes)
+    inverse = inverse.astype(np.int64)
+    index = np.flatnonzero(np.concatenate(([True], inverse[1:] > np.maximum.accumulate(inverse)[:-1]))[: len(inverse)])
+    first = index[inverse]
+    sizes = ends - starts
+    equal = sizes == sizes[first]
+    some = np.flatnonzero(equal & (first != np.arange(len(first))))
+    equal[some] = same_bytes(codes, starts[some], codes, starts[first[some]], sizes[some])
+    if equal.all():
+        return index, inverse, kinds
+    known: dict[bytes, int] = {}
+    more: list[int] = []
+    for k in np.flatnonzero(~equal).tolist():
+        piece = codes[starts[k] : ends[k]].tobytes()
+        if piece not in known:
+            known[piece] = len(kinds) + len(more)
+            more.append(k)
+        inverse[k] = known[piece]
+    return np.concatenate((index, more)), inverse, np.concatenate((kinds, hashes[more]))
+
+
+def take(values: np.ndarray, sizes: np.ndarray, picked: np.ndarray, begins: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Concatenates the ``picked`` items, where item k is ``sizes[k]`` values from
+    ``begins[k]`` (by default the items lie end to end); also returns the size of each."""
+    if begins is None:
+        begins = np.cumsum(sizes) - sizes
     counts = sizes[picked]
     if not len(picked):
         return values[:0], counts

@@ -58,13 +58,16 @@ def slices(offsets: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int,
         lo = min(hi, n)
 
 
-def word_spans(kept: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the runs where ``kept`` holds, never across rows, and the
-    index of each row's first run (one more at the end)."""
+def word_spans(kept: np.ndarray, offsets: np.ndarray, cuts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the runs where ``kept`` holds, never across rows or the places
+    before which ``cuts`` holds, and the index of each row's first run (one more at the
+    end)."""
     if not len(kept):
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(len(offsets), np.int64)
     cut = np.zeros(len(kept) + 1, bool)
+    if cuts is not None:
+        cut[:-1] = cuts
     cut[offsets] = True
     before = np.concatenate(([False], kept[:-1])) & ~cut[:-1]
     after = np.concatenate((kept[1:], [False])) & ~cut[1:]

@@ -10,8 +10,21 @@ from pyspark.sql import DataFrame, SparkSession
 from sonagrid.sources.shared import shared_folder
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+#: Partitions that one driver can keep track of in a shuffle.
+MOST_PARTITIONS = 100_000
+#: Bytes of input for a partition that is dealt by this library's own repartitions.
+PARTITION_BYTES = 64 << 20
+
+
+def partitions(spark: SparkSession, source: DataFrame | None = None) -> int:
+    """The session's shuffle partitions, or more if ``source`` is so large, by its size as
+    the optimizer knows it, that they would be over ``PARTITION_BYTES`` each."""
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if source is None:
+        return least
+    size = int(str(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    unknown = int(spark.conf.get("spark.sql.defaultSizeInBytes", str((1 << 63) - 1)))
+    return least if size >= unknown else max(least, min(MOST_PARTITIONS, -(-size // PARTITION_BYTES)))
 
 
 class Scratch(AbstractContextManager):

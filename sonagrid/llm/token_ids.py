@@ -24,43 +24,153 @@ from sonagrid.llm.store import partitions
 END_ID = 1
 #: A segment ends with the document that takes it to so many ids.
 SEGMENT_IDS = 1 << 19
-#: Distinct pieces whose ids a worker remembers; beyond that it starts anew.
-REMEMBERED = 300_000
-SLICE = 8 << 20
+#: Distinct pieces whose ids a worker remembers; beyond that, those not met for longest go.
+REMEMBERED = 1 << 20
+#: Longer pieces come once; they are not remembered.
+LONGEST = 64
+SLICE = 4 << 20
 
 _SEGMENT = "part int, seq int, n_ids long, doc_ids array<long>, counts array<long>, codes binary"
-#: White space at which text can be cut without changing any id: every tokenizer here
-#: drops white space and lets no piece reach over it.
-_PIECE = spans.byte_table(drop=b" \t\n\r")
+_SPACE, _LETTER, _DIGIT, _MARK, _OTHER = range(5)
+
+
+def _byte_classes() -> np.ndarray:
+    table = np.full(256, _OTHER, np.uint8)
+    table[33:127] = _MARK
+    table[65:91] = table[97:123] = _LETTER
+    table[48:58] = _DIGIT
+    table[list(b" \t\n\r")] = _SPACE
+    return table
+
+
+_CLASSES = _byte_classes()
+
+
+def pieces(data: np.ndarray, offsets: np.ndarray, special: tuple[bytes, ...] = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, starts, ends, first piece of each text) of pieces whose ids do not depend on
+    what stands around them, for a tokenizer that lower-cases after NFC, drops white space
+    and splits letters, single digits, contractions and other marks.
+
+    Texts are cut at white space and between ASCII characters of two classes or two digits,
+    so that no combining mark loses its base; a quote stays with the letters after it, as
+    they may be a contraction. ASCII letters are lowered but for those before another
+    character, with which NFC could join them. A piece that holds one of the ``special``
+    tokens, which are found before all that, stays as it is."""
+    n = len(data)
+    low = spans.LOWER[data]
+    if n > 1:
+        apart = np.flatnonzero((low[:-1] != data[:-1]) & (data[1:] >= 0x80))
+        low[apart] = data[apart]
+    kind = _CLASSES[low]
+    kept = kind != _SPACE
+    cuts = np.zeros(n, bool)
+    if n > 1:
+        a, b = kind[:-1], kind[1:]
+        cuts[1:] = (a != _OTHER) & (b != _OTHER) & ((a != b) | (a == _DIGIT)) & ~((low[:-1] == ord("'")) & (b == _LETTER))
+    text = low.tobytes() if special else b""
+    for token in special:
+        at = text.find(token.lower())
+        while at >= 0:
+            lo, hi = at, at + len(token)
+            while lo > 0 and kept[lo - 1]:
+                lo -= 1
+            while hi < n and kept[hi]:
+                hi += 1
+            low[lo:hi] = data[lo:hi]
+            cuts[lo:hi] = False
+            at = text.find(token.lower(), hi)
+    return low, *spans.word_spans(kept, offsets, cuts)
+
+
+class _Memory:
+    """Ids of pieces met before, in the order of the hashes of their bytes. The bytes are
+    compared too, so that a hash that two pieces share does no harm."""
+
+    def __init__(self) -> None:
+        self.hashes = np.zeros(0, np.uint64)
+        self.begins = self.sizes = self.firsts = self.counts = self.met = np.zeros(0, np.int64)
+        self.raw, self.ids, self.now = np.zeros(0, np.uint8), np.zeros(0, np.uint32), 0
+
+    def find(self, hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The entry of each piece, -1 where there is none."""
+        self.now += 1
+        out = np.full(len(hashes), -1, np.int64)
+        if len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+            some = np.flatnonzero((self.hashes[at] == hashes) & (self.sizes[at] == sizes))
+            some = some[ragged.same_bytes(data, starts[some], self.raw, self.begins[at[some]], sizes[some])]
+            out[some] = at[some]
+            self.met[out[some]] = self.now
+        return out
+
+    def add(self, hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
+        """Pieces that were not found, and their ids, end to end. Long ones and those that
+        share a hash with another are left out."""
+        firsts = np.cumsum(counts) - counts
+        _, once = np.unique(hashes, return_index=True)
+        once = once[sizes[once] <= LONGEST]
+        if len(self.hashes):
+            once = once[self.hashes[np.minimum(np.searchsorted(self.hashes, hashes[once]), len(self.hashes) - 1)] != hashes[once]]
+        if len(self.hashes) + len(once) > REMEMBERED:
+            self._forget()
+            once = once[: REMEMBERED - len(self.hashes)]
+        more, added = ragged.take(data, sizes, once, starts)
+        given, lengths = ragged.take(ids, counts, once, firsts)
+        columns = (hashes[once], added, lengths, np.full(len(once), self.now), len(self.raw) + np.cumsum(added) - added, len(self.ids) + np.cumsum(lengths) - lengths)
+        every = [np.concatenate(x) for x in zip(self._columns(), columns, strict=True)]
+        order = np.argsort(every[0], kind="stable")  # two sorted runs
+        self.hashes, self.sizes, self.counts, self.met, self.begins, self.firsts = (x[order] for x in every)
+        self.raw, self.ids = np.concatenate((self.raw, more)), np.concatenate((self.ids, given))
+
+    def _columns(self) -> tuple[np.ndarray, ...]:
+        return self.hashes, self.sizes, self.counts, self.met, self.begins, self.firsts
+
+    def _forget(self) -> None:
+        """Keeps the half of the pieces that were met last."""
+        kept = np.sort(np.argsort(-self.met, kind="stable")[: REMEMBERED // 2])
+        self.raw, _ = ragged.take(self.raw, self.sizes, kept, self.begins)
+        self.ids, _ = ragged.take(self.ids, self.counts, kept, self.firsts)
+        self.hashes, self.sizes, self.counts, self.met = (x[kept] for x in self._columns()[:4])
+        self.begins, self.firsts = np.cumsum(self.sizes) - self.sizes, np.cumsum(self.counts) - self.counts
 
 
 class _Encoder:
-    """Ids of whole texts, from the ids of their distinct pieces between white space."""
+    """Ids of whole texts, from the ids of their distinct pieces."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, np.ndarray] = {}
+        self.special = tuple(t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.memory = _Memory()
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, ids of each text)."""
-        starts, ends, first = spans.word_spans(_PIECE[data], offsets)
-        index, kind, _ = ragged.distinct(data, starts, ends)
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        pieces = [data[a:b].tobytes() for a, b in zip(starts[index].tolist(), ends[index].tolist(), strict=True)]
-        fresh = [x for x in pieces if x not in self.known]
+        low, starts, ends, first = pieces(data, offsets, self.special)
+        index, kind, hashes = ragged.distinct(low, starts, ends)
+        starts, sizes = starts[index], (ends - starts)[index]
+        known = self.memory.find(hashes, low, starts, sizes)
+        fresh = np.flatnonzero(known < 0)
+        ids: list[int] = []
+        counts: list[int] = []
         for at in range(0, len(fresh), 4096):
-            some = fresh[at : at + 4096]
-            for piece, found in zip(some, self.tokenizer.encode_batch([x.decode("utf-8", "replace") for x in some], add_special_tokens=False), strict=True):
-                self.known[piece] = np.array(found.ids, np.uint32)
-        found = [self.known[x] for x in pieces]
-        sizes = np.array([len(x) for x in found], np.int64)
-        ids, counts = ragged.take(np.concatenate(found) if found else np.zeros(0, np.uint32), sizes, kind)
-        totals = np.concatenate((np.zeros(1, np.int64), np.cumsum(counts)))
-        return ids, np.diff(totals[first])
+            some = [low[a : a + n].tobytes().decode("utf-8", "replace") for a, n in zip(starts[fresh[at : at + 4096]].tolist(), sizes[fresh[at : at + 4096]].tolist(), strict=True)]
+            for found in self.tokenizer.encode_batch_fast(some, add_special_tokens=False):
+                ids += found.ids
+                counts.append(len(found))
+        more, lengths = np.array(ids, np.uint32), np.array(counts, np.int64)
+        # all ids that this slice needs: those remembered, then those made now
+        old = np.flatnonzero(known >= 0)
+        held, taken = ragged.take(self.memory.ids, self.memory.counts, known[old], self.memory.firsts)
+        counts_of, begins = np.zeros(len(index), np.int64), np.zeros(len(index), np.int64)
+        counts_of[old], counts_of[fresh] = taken, lengths
+        begins[old], begins[fresh] = np.cumsum(taken) - taken, len(held) + np.cumsum(lengths) - lengths
+        if len(fresh):
+            self.memory.add(hashes[fresh], low, starts[fresh], sizes[fresh], more, lengths)
+        every, sizes_of = ragged.take(np.concatenate((held, more)), counts_of, kind, begins)
+        totals = np.concatenate((np.zeros(1, np.int64), np.cumsum(sizes_of)))
+        return every, np.diff(totals[first])
 
 
 @lru_cache(maxsize=1)
@@ -113,7 +223,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, te
     """Writes the ids of every document, each followed by ``end_id``, in ascending order
     of doc_id (equal ids: of text; null ids first). A null text is empty."""
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    ranged = rows.repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
+    ranged = rows.repartitionByRange(partitions(docs.sparkSession, rows), "doc_id").sortWithinPartitions("doc_id", "text")
     ranged.mapInArrow(_segments(tokenizer, end_id), _SEGMENT).write.option("compression", "none").parquet(folder)
 
 

@@ -12,7 +12,7 @@ import public_tokenizers as P
 import pytest
 import regex
 
-from sonagrid.llm import bpe, chat, dac, decontaminate, dom, html_text, licenses, media, near, quality, queries, spans, token_ids, toxicity
+from sonagrid.llm import bpe, chat, dac, decontaminate, dom, html_text, licenses, media, near, quality, queries, ragged, spans, token_ids, toxicity
 from sonagrid.llm.store import Scratch
 
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -168,6 +168,33 @@ def test_dac_random_access(n, most):
         codes[n]
 
 
+def test_pieces_keep_every_id(monkeypatch):
+    """Texts of marks, cases, combining marks and special tokens that meet in all ways, with
+    a memory so small that it forgets."""
+    monkeypatch.setattr(token_ids, "REMEMBERED", 50)
+    encode = token_ids._Encoder(WORD_BPE)
+    rng = random.Random(3)
+    parts = ["a", "B", "'", "'s", "'T", "'ll", "n't", " ", "\n", "1", "23", "!", "...", "\u00e9", "e\u0301", "H\u0331", "\u0331", "I\u0307", "\u0130", "\u00df", "\u03a3", "\u6f22", "\U0001f642", "\u00a0", "\u0085", "\u200d", "\u00bd", "\u00b2", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "<|", "-", "_", "\u212a", "\x0b", "\x1c", "\ufb01", "A\u030a", "x" * 90]
+    for _ in range(150):
+        texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(30)]
+        raw = [t.encode() for t in texts]
+        ids, sizes = encode(np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in raw]))))
+        got = [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])]
+        assert got == [encode.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_distinct_spans_by_their_bytes():
+    """Words that share every polynomial hash modulo 2**64 are told apart."""
+    a = "a"
+    for _ in range(12):
+        a += a.translate(str.maketrans("ab", "ba"))
+    words = [a, a.translate(str.maketrans("ab", "ba")), "x", "", "longer than eight", a, "x", "longer than eighT"]
+    ends = np.cumsum([len(w) for w in words])
+    data = np.frombuffer("".join(words).encode(), np.uint8)
+    index, kind, _ = ragged.distinct(data, ends - [len(w) for w in words], ends)
+    assert [words[k] for k in index[kind]] == words and len(index) == len(set(words))
+
+
 def test_token_ids_files(spark, docs, none):
     from tokenizers import Tokenizer
 
