@@ -8,28 +8,18 @@ import pandas as pd
 from sonagrid.llm import spans
 
 
-#: Spans up to so many bytes are compared eight bytes at a time, all spans at once.
-SHORT = 64
-
-
-def _eights(data: np.ndarray) -> np.ndarray:
-    """The eight bytes from each place of ``data``, zeros beyond its end, as one number."""
-    padded = np.concatenate((data, np.zeros(8, np.uint8)))
-    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
-
-
 def same_bytes(a: np.ndarray, a_starts: np.ndarray, b: np.ndarray, b_starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Whether the span of ``a`` and that of ``b`` of the same size are equal, for each pair."""
     out = np.ones(len(sizes), bool)
-    x, y = _eights(a), _eights(b)
-    some = np.flatnonzero((sizes > 0) & (sizes <= SHORT))
-    for at in range(0, SHORT, 8):
+    x, y = spans.eights(a), spans.eights(b)
+    some = np.flatnonzero((sizes > 0) & (sizes <= spans.SHORT))
+    for at in range(0, spans.SHORT, 8):
         some = some[sizes[some] > at]
         if not len(some):
             break
         over = np.uint64(8) * np.maximum(at + 8 - sizes[some], 0).astype(np.uint64)
         out[some] &= ((x[a_starts[some] + at] ^ y[b_starts[some] + at]) << over) == 0
-    for k in np.flatnonzero(sizes > SHORT).tolist():
+    for k in np.flatnonzero(sizes > spans.SHORT).tolist():
         n = int(sizes[k])
         out[k] = np.array_equal(a[a_starts[k] : a_starts[k] + n], b[b_starts[k] : b_starts[k] + n])
     return out
@@ -46,7 +36,8 @@ def distinct(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[n
     first = index[inverse]
     sizes = ends - starts
     equal = sizes == sizes[first]
-    some = np.flatnonzero(equal & (first != np.arange(len(first))))
+    # up to 8 bytes, the hash tells spans of one size apart
+    some = np.flatnonzero(equal & (sizes > 8) & (first != np.arange(len(first))))
     equal[some] = same_bytes(codes, starts[some], codes, starts[first[some]], sizes[some])
     if equal.all():
         return index, inverse, kinds

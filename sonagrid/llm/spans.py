@@ -12,29 +12,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _ODD = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F], dtype=np.uint64)
-
-
-class _Powers:
-    """Powers of the base and of its inverse modulo 2**64, grown when needed."""
-
-    up = np.ones(1, np.uint64)
-    down = np.ones(1, np.uint64)
-
-    @classmethod
-    def upto(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n > len(cls.up):
-            size = ((n >> 20) + 1) << 20
-            for name, base in (("up", _BASE), ("down", _INVERSE)):
-                steps = np.full(size, base, np.uint64)
-                steps[0] = 1
-                setattr(cls, name, np.multiply.accumulate(steps))
-        return cls.up, cls.down
+#: Spans up to so many bytes are worked on eight bytes at a time, all spans at once.
+SHORT = 64
 
 
 def column_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -85,19 +69,29 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def span_hash(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
-    """64-bit hashes of the spans of ``codes`` (bytes or code points), by prefix sums
-    of a polynomial modulo 2**64."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    up, down = _Powers.upto(len(codes) + 1)
-    terms = codes.astype(np.uint64)
-    terms += np.uint64(1 + seed)
-    terms *= up[: len(codes)]
-    sums = np.zeros(len(codes) + 1, np.uint64)
-    np.cumsum(terms, out=sums[1:])
-    del terms
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _ODD[2])
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of ``data``, zeros beyond its end, as one number."""
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
+def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the spans of ``data`` (bytes). Spans of one length up to 8 have
+    different hashes if they differ."""
+    sizes = ends - starts
+    words = eights(data)
+    out = sizes.astype(np.uint64) * _ODD[2]
+    some = np.flatnonzero((sizes > 0) & (sizes <= SHORT))
+    for at in range(0, SHORT, 8):
+        if at:
+            some = some[sizes[some] > at]
+        if not len(some):
+            break
+        over = np.uint64(8) * np.maximum(at + 8 - sizes[some], 0).astype(np.uint64)
+        out[some] = mix((out[some] * _ODD[at // 8]) ^ (words[starts[some] + at] << over))
+    for k in np.flatnonzero(sizes > SHORT).tolist():
+        out[k] = xxhash.xxh3_64_intdigest(data[starts[k] : ends[k]].tobytes())
+    return out
 
 
 def window_hash(words: np.ndarray, size: int, picked: tuple[int, ...] | None = None) -> np.ndarray:

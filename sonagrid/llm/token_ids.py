@@ -28,6 +28,8 @@ SEGMENT_IDS = 1 << 19
 REMEMBERED = 1 << 20
 #: Longer pieces come once; they are not remembered.
 LONGEST = 64
+#: Words that are encoded in one text.
+TOGETHER = 64
 SLICE = 4 << 20
 
 _SEGMENT = "part int, seq int, n_ids long, doc_ids array<long>, counts array<long>, codes binary"
@@ -143,33 +145,58 @@ class _Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = tuple(t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values())
+        #: Whether an id ends a word, which every word has one of.
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.last[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
         self.memory = _Memory()
 
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, ids of each)."""
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        ids = [x for f in found for x in f.ids]
+        return np.array(ids, np.uint32), np.array([len(f) for f in found], np.int64)
+
+    def words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for texts of one word each: joined, they share what a call costs."""
+        ids, _ = self.encode([" ".join(texts[k : k + TOGETHER]) for k in range(0, len(texts), TOGETHER)])
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(texts):
+            return self.encode(texts)
+        return ids, np.diff(ends, prepend=0)
+
+    def fresh(self, low: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces, ids of each), where those of one word are encoded together."""
+        texts = [low[a : a + n].tobytes().decode("utf-8", "replace") for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
+        single = np.array([t.isalpha() for t in texts], bool)
+        counts, begins = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+        parts, held = [np.zeros(0, np.uint32)], 0
+        for some, encode in ((np.flatnonzero(single), self.words), (np.flatnonzero(~single), self.encode)):
+            for at in range(0, len(some), 4096):
+                mine = some[at : at + 4096]
+                ids, sizes = encode([texts[k] for k in mine.tolist()])
+                counts[mine], begins[mine] = sizes, held + np.cumsum(sizes) - sizes
+                parts.append(ids)
+                held += len(ids)
+        return ragged.take(np.concatenate(parts), counts, np.arange(len(counts)), begins)
+
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, ids of each text)."""
         low, starts, ends, first = pieces(data, offsets, self.special)
         index, kind, hashes = ragged.distinct(low, starts, ends)
         starts, sizes = starts[index], (ends - starts)[index]
         known = self.memory.find(hashes, low, starts, sizes)
-        fresh = np.flatnonzero(known < 0)
-        ids: list[int] = []
-        counts: list[int] = []
-        for at in range(0, len(fresh), 4096):
-            some = [low[a : a + n].tobytes().decode("utf-8", "replace") for a, n in zip(starts[fresh[at : at + 4096]].tolist(), sizes[fresh[at : at + 4096]].tolist(), strict=True)]
-            for found in self.tokenizer.encode_batch_fast(some, add_special_tokens=False):
-                ids += found.ids
-                counts.append(len(found))
-        more, lengths = np.array(ids, np.uint32), np.array(counts, np.int64)
+        new = np.flatnonzero(known < 0)
+        more, lengths = self.fresh(low, starts[new], sizes[new])
         # all ids that this slice needs: those remembered, then those made now
         old = np.flatnonzero(known >= 0)
         held, taken = ragged.take(self.memory.ids, self.memory.counts, known[old], self.memory.firsts)
-        counts_of, begins = np.zeros(len(index), np.int64), np.zeros(len(index), np.int64)
-        counts_of[old], counts_of[fresh] = taken, lengths
-        begins[old], begins[fresh] = np.cumsum(taken) - taken, len(held) + np.cumsum(lengths) - lengths
-        if len(fresh):
-            self.memory.add(hashes[fresh], low, starts[fresh], sizes[fresh], more, lengths)
-        every, sizes_of = ragged.take(np.concatenate((held, more)), counts_of, kind, begins)
-        totals = np.concatenate((np.zeros(1, np.int64), np.cumsum(sizes_of)))
+        counts, begins = np.zeros(len(index), np.int64), np.zeros(len(index), np.int64)
+        counts[old], counts[new] = taken, lengths
+        begins[old], begins[new] = np.cumsum(taken) - taken, len(held) + np.cumsum(lengths) - lengths
+        if len(new):
+            self.memory.add(hashes[new], low, starts[new], sizes[new], more, lengths)
+        every, sizes = ragged.take(np.concatenate((held, more)), counts, kind, begins)
+        totals = np.concatenate((np.zeros(1, np.int64), np.cumsum(sizes)))
         return every, np.diff(totals[first])
 
 

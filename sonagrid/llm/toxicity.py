@@ -68,7 +68,7 @@ def grams(raw: bytes, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nda
     inner[begins] = inner[begins + lengths - 1] = False
     marked[inner] = codes[codes > 0].astype(np.uint64)
     left = np.repeat(begins + lengths, lengths) - np.arange(total)
-    found, word = [spans.span_hash(codes, starts, ends, seed=5)], [np.arange(len(starts))]
+    found, word = [spans.span_hash(codes.view(np.uint8), starts * 4, ends * 4)], [np.arange(len(starts))]
     owner = np.repeat(np.arange(len(starts)), lengths)
     rolling = marked * np.uint64(0x9E3779B97F4A7C15)
     for n in range(2, max(GRAMS) + 1):
