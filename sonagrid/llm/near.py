@@ -6,18 +6,23 @@ is. Then, as in prefix-filter joins:
 
 * shingles are ordered rare first, by a frequency sketch over the whole corpus. The
   sketch has a fixed number of cells; its order decides only how much work is done,
-  never which pairs are found;
+  never which pairs are found. On a corpus that fills the cells, it still tells the
+  shingles that stand out from what a cell usually holds;
 * a set enters the index with its first ``n - ceil(2t/(1+t) n) + 1`` shingles and
   probes with its first ``n - ceil(t n) + 1``, so every pair over the threshold
   meets in some shingle;
 * length and positional filters drop pairs that cannot reach the overlap asked for,
-  and a suffix filter bounds the overlap from counts by hash range before sets are
-  compared. Each pair is verified once.
+  and a suffix filter bounds the overlap from counts by hash range, before any set is
+  sent. Each pair is verified once.
 
 Groups are never expanded into all pairs at the outset: the first round compares each
 set with the centre of the groups it is in. Later, only pairs that are still in
-different components are made, so that a group of thousands of near copies costs
-about as many comparisons as it has members, while no link is lost.
+different components are made, each with a set outside its group's largest component, so
+that a group of thousands of near copies costs about as many comparisons as it has
+members, while no component is cut.
+
+Frequent shingles are dealt over several tasks, and so are the pairs of one centre; other
+joins on a key that may be frequent go through ``skew.join_unique``.
 """
 
 from __future__ import annotations
@@ -27,9 +32,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sonagrid.llm import graph, spans
+from sonagrid.llm.skew import join_unique
 from sonagrid.llm.store import Scratch, partitions
 
 SHINGLE = 5
@@ -37,10 +43,18 @@ SHINGLE = 5
 NUMERATOR, DENOMINATOR = 3, 4
 #: Cells of the frequency sketch (2**bits) and the parts it is summed in.
 SKETCH_BITS, SKETCH_PARTS = 22, 64
-#: Bits of the filter for candidate documents.
-FILTER_BITS = 23
+#: The filter for candidate documents has so many bits (2**bits) for each, up to a bound.
+FILTER_SPARE, MOST_FILTER_BITS = 8, 28
 #: A shingle estimated to be in more sets than this is dealt over several tasks.
 SALT_ROWS = 20_000
+#: Pairs of one set that are verified in one task.
+CENTRE_PAIRS = 500
+#: Sets that share a first number, at most.
+MOST_SHARED = 100_000
+#: Ranges of hashes that the suffix filter counts by (2**bits).
+RANGE_BITS = 4
+#: Bytes of sets that a Python task hands over at once.
+HELD_BYTES = 4 << 20
 
 
 def shingle_sets(batch: pa.RecordBatch, size: int = SHINGLE, keep: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
@@ -63,13 +77,23 @@ def shingle_sets(batch: pa.RecordBatch, size: int = SHINGLE, keep: np.ndarray |
                 yield lo + k, spans.window_hash(words[a:b], b - a) if b > a else windows[:0]
 
 
-def _signature(hashes: np.ndarray) -> int:
-    return int(spans.mix(hashes ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).astype(np.int64))
+def _signature(hashes: np.ndarray, shared: frozenset = frozenset()) -> int:
+    """A number for a set. ``shared`` holds first numbers that unequal sets have in common;
+    their sets go by a second one."""
+    first = int(spans.mix(hashes ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).astype(np.int64))
+    return _second(hashes) if first in shared else first
+
+
+def _second(hashes: np.ndarray) -> int:
+    return int(spans.mix(hashes ^ np.uint64(0x2545F4914F6CDD1D)).sum(dtype=np.uint64).astype(np.int64))
+
+
+_PROFILE = "doc_id long, n long, sig long, second long, ranges array<int>, part int, cells binary"
 
 
 def _profiled(size: int):
     """Columns after the text (longs) are passed on."""
-    names = ["doc_id", "n", "sig", "part", "cells"]
+    names = [x.split()[0] for x in _PROFILE.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks: list[str] = []
@@ -86,23 +110,26 @@ def _profiled(size: int):
                 held = 0
 
         for batch in batches:
-            ns, signs = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+            many = batch.num_rows
+            ns, signs, seconds = (np.zeros(many, np.int64) for _ in range(3))
+            ranges = np.zeros((many, 1 << RANGE_BITS), np.int32)
             for row, hashes in shingle_sets(batch, size):
-                ns[row], signs[row] = len(hashes), _signature(hashes)
+                ns[row], signs[row], seconds[row] = len(hashes), _signature(hashes), _second(hashes)
+                ranges[row] = np.bincount((hashes >> np.uint64(64 - RANGE_BITS)).astype(np.int64), minlength=1 << RANGE_BITS)
                 if len(hashes) and signs[row] not in seen:
                     seen.add(int(signs[row]))
                     pending.append(hashes)
                     held += len(hashes)
-                if held > 1 << 20:
+                if held > 1 << 18:
                     flush()
             flush()
-            blank = pa.nulls(batch.num_rows, pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns), pa.array(signs), blank, pa.nulls(batch.num_rows, pa.binary()), *batch.columns[2:]], names + batch.schema.names[2:])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(many + 1, dtype=np.int32) << RANGE_BITS), pa.array(ranges.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns), pa.array(signs), pa.array(seconds), lists, pa.nulls(many, pa.int32()), pa.nulls(many, pa.binary()), *batch.columns[2:]], names + batch.schema.names[2:])
             marks = batch.schema.names[2:]
         if sketch.any():
             parts = [_pack(x) for x in sketch.reshape(SKETCH_PARTS, -1)]
             none = pa.nulls(SKETCH_PARTS, pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, pa.array(range(SKETCH_PARTS), pa.int32()), pa.array(parts, pa.binary()), *[none] * len(marks)], names + marks)
+            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(SKETCH_PARTS, pa.list_(pa.int32())), pa.array(range(SKETCH_PARTS), pa.int32()), pa.array(parts, pa.binary()), *[none] * len(marks)], names + marks)
 
     return run
 
@@ -127,17 +154,22 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array([np.minimum(x, (1 << 32) - 1).astype(np.uint32).tobytes() for x in totals.values()], pa.binary())], ["part", "cells"])
 
 
-def _sketch(profiles: DataFrame) -> np.ndarray:
+def _sketch(cells: DataFrame) -> np.ndarray:
     """The corpus-wide sketch, whose size is fixed: 2**SKETCH_BITS cells, as estimated
     counts. Partial sums are made in the tasks, then once more for each part."""
-    parts = profiles.filter("part is not null").select("part", "cells").repartition(SKETCH_PARTS, "part").mapInArrow(_summed, "part int, cells binary")
+    parts = cells.repartition(SKETCH_PARTS, "part").mapInArrow(_summed, "part int, cells binary")
     found = np.zeros((SKETCH_PARTS, (1 << SKETCH_BITS) // SKETCH_PARTS), np.uint32)
     for row in parts.toLocalIterator():
         found[row.part] = np.frombuffer(row.cells, np.uint32)
     return found.reshape(-1)
 
 
-def _prefixes(sketch, size: int, num: int, den: int):
+def _spread(often: np.ndarray, usual: int) -> np.ndarray:
+    """Tasks that shingles are dealt over, from the counts of their cells."""
+    return 1 + np.maximum(often.astype(np.int64) - usual, 0) // SALT_ROWS
+
+
+def _prefixes(sketch, usual: int, shared: frozenset, size: int, num: int, den: int):
     schema = pa.schema([("h", pa.int64()), ("salt", pa.int32()), ("sig", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,18 +179,17 @@ def _prefixes(sketch, size: int, num: int, den: int):
         for batch in batches:
             for _, hashes in shingle_sets(batch, size):
                 n = len(hashes)
-                if not n or (sig := _signature(hashes)) in seen:
+                if not n or (sig := _signature(hashes, shared)) in seen:
                     continue
                 seen.add(sig)
                 take = n - -(-num * n // den) + 1
                 often = counts[(hashes >> shift).astype(np.int64)]
                 chosen = np.argsort(often, kind="stable")[:take]
-                often = often[chosen].astype(np.int64)
-                spread = 1 + often // SALT_ROWS
+                spread = _spread(often[chosen], usual)
                 for k, x in enumerate((hashes[chosen].view(np.int64), np.where(spread > 1, sig % spread + 1, 0).astype(np.int32), np.full(take, sig, np.int64), np.full(take, n, np.int32), np.arange(take, dtype=np.int32))):
                     out[k].append(x)
                 held += take
-                if held > 100_000:
+                if held > 50_000:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], schema=schema)
                     out, held = [[] for _ in schema], 0
         if held:
@@ -172,11 +203,12 @@ def _cells(bits: int):
     as in ``_wanted``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hit = np.zeros(1 << bits, np.uint8)
+        hit = np.zeros(1 << (bits - 3), np.uint8)
         for batch in batches:
-            hit[_cell(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False), bits)] = 1
+            at = _cell(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False), bits)
+            np.bitwise_or.at(hit, at >> 3, (1 << (7 - (at & 7))).astype(np.uint8))
         if hit.any():
-            yield pa.RecordBatch.from_arrays([pa.array(range(SKETCH_PARTS), pa.int32()), pa.array([zstandard.ZstdCompressor(level=1).compress(np.packbits(x).tobytes()) for x in hit.reshape(SKETCH_PARTS, -1)], pa.binary())], ["part", "cells"])
+            yield pa.RecordBatch.from_arrays([pa.array(range(SKETCH_PARTS), pa.int32()), pa.array([zstandard.ZstdCompressor(level=1).compress(x.tobytes()) for x in hit.reshape(SKETCH_PARTS, -1)], pa.binary())], ["part", "cells"])
 
     return run
 
@@ -195,8 +227,8 @@ def _either(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array([x.tobytes() for x in totals.values()], pa.binary())], ["part", "cells"])
 
 
-def id_filter(ids: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
-    """A bitmap of fixed size that holds at least the given ids (one column)."""
+def id_filter(ids: DataFrame, bits: int) -> np.ndarray:
+    """A bitmap of 2**bits cells that holds at least the given ids (one column)."""
     parts = ids.mapInArrow(_cells(bits), "part int, cells binary").repartition(SKETCH_PARTS, "part").mapInArrow(_either, "part int, cells binary")
     found = np.zeros((SKETCH_PARTS, (1 << bits) // 8 // SKETCH_PARTS), np.uint8)
     for row in parts.toLocalIterator():
@@ -204,67 +236,70 @@ def id_filter(ids: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
     return found.reshape(-1)
 
 
-def _wanted(bitmap, size: int, bits: int = FILTER_BITS):
+def _wanted(bitmap, bits: int, shared: frozenset, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = bitmap.value
+        held, seen = bitmap.value, set()
+        signs: list[int] = []
+        sets: list[np.ndarray] = []
+
+        def made() -> pa.RecordBatch:
+            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            return pa.RecordBatch.from_arrays([pa.array(signs, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))], ["sig", "hashes"])
+
         for batch in batches:
             at = _cell(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False), bits)
             keep = ((held[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool)
-            signs, sets = [], []
             for _, hashes in shingle_sets(batch, size, keep):
-                signs.append(_signature(hashes))
-                sets.append(hashes.tobytes())
-                if len(signs) == 256:
-                    yield pa.RecordBatch.from_arrays([pa.array(signs, pa.int64()), pa.array(sets, pa.binary())], ["sig", "hashes"])
+                if not len(hashes) or (sig := _signature(hashes, shared)) in seen:
+                    continue
+                seen.add(sig)
+                signs.append(sig)
+                sets.append(hashes)
+                if 8 * sum(map(len, sets[-64:])) > HELD_BYTES or len(sets) == 512:
+                    yield made()
                     signs, sets = [], []
-            if signs:
-                yield pa.RecordBatch.from_arrays([pa.array(signs, pa.int64()), pa.array(sets, pa.binary())], ["sig", "hashes"])
+        if signs:
+            yield made()
 
     return run
 
 
-def _suffix_bound(x: np.ndarray, y: np.ndarray, bits: int = 4) -> int:
-    """An upper bound of the overlap, from counts by hash range."""
-    a, b = (np.bincount((v >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits) for v in (x, y))
-    return int(np.minimum(a, b).sum())
-
+def _screened(pairs: DataFrame, meta: DataFrame, num: int, den: int) -> DataFrame:
+    """Those of ``pairs`` (a, b: signatures) that pass the length filter and the suffix
+    filter, which bounds the overlap by counts of hashes in each range; with the number of
+    tasks that verify the pairs of ``a``, the end that is in more pairs than the other."""
+    rows, parts = pairs.count(), partitions(pairs.sparkSession)
+    for side in ("b", "a"):
+        ends = pairs.groupBy(side).agg(F.count("*").alias("held"))
+        ends = ends.join(meta.select(F.col("sig").alias(side), F.col("n").alias(f"n_{side}"), F.col("ranges").alias(f"ranges_{side}")), side).withColumn(f"of_{side}", F.col("held"))
+        found = join_unique(pairs if side == "b" else found, ends, side, rows, parts)
+    both = "aggregate(zip_with(ranges_a, ranges_b, (x, y) -> least(x, y)), 0, (x, y) -> x + y)"
+    kept = found.filter(f"{den} * least(n_a, n_b) >= {num} * greatest(n_a, n_b)").filter(f"{num + den} * {both} >= {num} * (n_a + n_b)")
+    more, less = (F.expr(f"if(of_a >= of_b, {x}, {y})") for x, y in (("a", "b"), ("b", "a")))
+    return kept.select(more.alias("a"), less.alias("b"), (1 + F.greatest("of_a", "of_b") / CENTRE_PAIRS).cast("int").alias("spread"))
 
-def _verified(num: int, den: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names = batch.schema.names
-            a, b = batch.column(names.index("set_a")), batch.column(names.index("set_b"))
-            keep = []
-            for k in range(batch.num_rows):
-                x, y = (np.frombuffer(v[k].as_buffer(), np.uint64) for v in (a, b))
-                need = -(-num * (len(x) + len(y)) // (num + den))
-                if _suffix_bound(x, y) < need:
-                    keep.append(False)
-                    continue
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(den * both >= num * (len(x) + len(y) - both))
-            kept = batch.filter(pa.array(keep, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([kept.column(names.index("a")), kept.column(names.index("b"))], ["a", "b"])
 
-    return run
-
-
-def _links(spark: SparkSession, scratch: Scratch, texts: DataFrame, first: DataFrame, pairs: DataFrame, name: str, size: int, num: int, den: int) -> DataFrame:
+def _links(spark: SparkSession, scratch: Scratch, texts: DataFrame, meta: DataFrame, pairs: DataFrame, name: str, shared: frozenset, size: int, num: int, den: int) -> DataFrame:
     """Those of ``pairs`` (a, b: signatures) that reach the threshold. The sets are
-    made anew, only for the documents that a filter of fixed size lets through."""
-    pairs = scratch.table(pairs, f"pairs_{name}")
+    made anew, only for the documents that a filter lets through."""
+    pairs = scratch.table(_screened(scratch.table(pairs, f"asked_{name}"), meta, num, den), f"pairs_{name}")
     ends = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct()
-    bitmap = spark.sparkContext.broadcast(id_filter(first.join(ends, "sig").select("doc_id")))
+    ids = scratch.table(meta.join(ends, "sig").select("doc_id"), f"ends_{name}")
+    bits = min(MOST_FILTER_BITS, max(16, (FILTER_SPARE * ids.count()).bit_length()))
+    bitmap = spark.sparkContext.broadcast(id_filter(ids, bits))
     # partitioned by sig once, for both sides of the pairs
-    sets = texts.mapInArrow(_wanted(bitmap, size), "sig long, hashes binary").dropDuplicates(["sig"])
-    joined = pairs.join(sets.select(F.col("sig").alias("b"), F.col("hashes").alias("set_b")), "b").join(sets.select(F.col("sig").alias("a"), F.col("hashes").alias("set_a")), "a")
-    return scratch.table(joined.select("a", "b", "set_a", "set_b").mapInArrow(_verified(num, den), "a long, b long"), f"links_{name}")
+    sets = texts.mapInArrow(_wanted(bitmap, bits, shared, size), "sig long, hashes array<long>").dropDuplicates(["sig"])
+    members = pairs.join(sets.select(F.col("sig").alias("b"), F.col("hashes").alias("set_b")), "b").withColumn("salt", F.pmod(F.xxhash64("b"), "spread"))
+    centres = pairs.groupBy("a").agg(F.max("spread").alias("spread")).join(sets.select(F.col("sig").alias("a"), F.col("hashes").alias("set_a")), "a")
+    centres = centres.select("a", "set_a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("spread").cast("long") - 1)).alias("salt"))
+    both = members.drop("spread").join(centres, ["a", "salt"])
+    linked = both.filter(f"{num + den} * size(array_intersect(set_a, set_b)) >= {num} * (size(set_a) + size(set_b))")
+    return scratch.table(linked.select("a", "b"), f"links_{name}")
 
 
-def _reaches(num: int, den: int) -> str:
+def _reaches(i: str, p: str, num: int, den: int) -> str:
     """Length and positional filters for a row of the index (i) and a probe (p)."""
-    need = f"ceil({num} * (i.n + p.n) / {num + den})"
-    return f"{den} * i.n >= {num} * p.n and least(i.n - i.pos, p.n - p.pos) >= {need}"
+    return f"{i}.pos < {i}.n - ceil({2 * num} * {i}.n / {num + den}) + 1 and {den} * {i}.n >= {num} * {p}.n and least({i}.n - {i}.pos, {p}.n - {p}.pos) >= ceil({num} * ({i}.n + {p}.n) / {num + den})"
 
 
 def jaccard_components(docs: DataFrame, size: int = SHINGLE, num: int = NUMERATOR, den: int = DENOMINATOR, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -280,68 +315,121 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, num: int = NUMERATO
     return _components(docs, size, num, den, text, key)
 
 
+def _profiles(scratch: Scratch, marked: DataFrame, size: int) -> tuple[DataFrame, DataFrame, DataFrame, frozenset]:
+    """(the rows with their sets' numbers, one row for each distinct set, the sketch's
+    parts, first numbers that unequal sets share). Sets are the same if their sizes and
+    both of their numbers are, 128 bits; a first number that says otherwise is replaced."""
+    names = marked.columns[2:]
+    profiles = scratch.table(marked.mapInArrow(_profiled(size), ", ".join([_PROFILE, *[f"{c} long" for c in names]])), "profiles")
+    members = profiles.filter("part is null").select("doc_id", "n", "sig", "second", "ranges", *names)
+    kinds = members.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.max("n").alias("n_hi"), F.min("second").alias("second"), F.max("second").alias("second_hi"), F.first("ranges").alias("ranges"), F.count("*").alias("copies"))
+    meta = scratch.table(kinds, "meta")
+    wrong = "n <> n_hi or second <> second_hi"
+    # about (sets)**2 / 2**65 of them: 3 for 10**10 sets
+    shared = frozenset(r.sig for r in meta.filter(wrong).select("sig").limit(MOST_SHARED + 1).collect())
+    if len(shared) > MOST_SHARED:
+        raise RuntimeError("too many sets share a number")
+    if shared:
+        members = members.withColumn("sig", F.when(F.col("sig").isin(list(shared)), F.col("second")).otherwise(F.col("sig")))
+        again = members.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.max("n").alias("n_hi"), F.min("second").alias("second"), F.max("second").alias("second_hi"), F.first("ranges").alias("ranges"), F.count("*").alias("copies"))
+        meta = scratch.table(again, "meta_again")
+        if not meta.filter(wrong).isEmpty():
+            raise RuntimeError("two sets share both numbers")
+    return members.drop("second", "ranges"), meta.select("sig", "doc_id", "n", "ranges", "copies"), profiles.filter("part is not null").select("part", "cells"), shared
+
+
+def _groups(rows: DataFrame, salted: bool) -> DataFrame:
+    """(h, salt, lo) of the shingles that are in the prefixes of two sets or more; lo is the
+    smallest of these."""
+    found = rows.groupBy("h", "salt").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi"))
+    if not salted:
+        return found.filter("lo < hi").select("h", "salt", "lo")
+    whole = found.filter("salt > 0").groupBy("h").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo < hi")
+    return found.filter("salt = 0 and lo < hi").select("h", "salt", "lo").union(found.filter("salt > 0").select("h", "salt").join(whole.select("h", "lo"), "h"))
+
+
+def _across(scratch: Scratch, shared: DataFrame, roots: DataFrame, salted: bool, num: int, den: int) -> DataFrame:
+    """Pairs (a < b) of sets in different components that meet in a shingle and pass the
+    filters. One set of each is outside the component that most sets of the shingle are in,
+    so that the inside of a large component is never gone through pair by pair."""
+    placed = scratch.table(shared.drop("lo").join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig")), "placed")
+    counts = placed.groupBy("h", "salt", "root").count()
+    by_root = counts.groupBy("h", "root").agg(F.sum("count").alias("c"))
+    mixed = by_root.groupBy("h").agg(F.max(F.struct("c", "root")).alias("m"), F.count("*").alias("k")).filter("k > 1").select("h", F.col("m.root").alias("major"))
+    mixed = counts.select("h", "salt").distinct().join(mixed, "h")
+    apart = scratch.table(placed.join(mixed, ["h", "salt"]), "apart")
+    minor = apart.filter("root <> major").select("h", F.col("salt").alias("to"), "sig", "n", "pos", "root")
+    if salted:
+        minor = minor.drop("to").join(apart.select("h", F.col("salt").alias("to")).distinct(), "h")
+    first = f"if(y.n < x.n or y.n = x.n and y.sig < x.sig, {_reaches('y', 'x', num, den)}, {_reaches('x', 'y', num, den)})"
+    pairs = minor.alias("x").join(apart.alias("y"), F.expr(f"x.h = y.h and x.to = y.salt and x.root <> y.root and (y.root = y.major or x.sig < y.sig) and {first}"))
+    return pairs.select(F.least("x.sig", "y.sig").alias("a"), F.greatest("x.sig", "y.sig").alias("b")).distinct()
+
+
 def _components(docs: DataFrame, size: int = SHINGLE, num: int = NUMERATOR, den: int = DENOMINATOR, text: str = "text", key: str = "doc_id", marks: tuple = ()) -> DataFrame:
     """``jaccard_components``; with ``marks`` (long columns of ``docs``) these are kept, and
     root: a number of the row's component, null for a text without a shingle."""
     spark = docs.sparkSession
     marked = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"), *marks)
-    names = marked.columns[2:]
+    names, parts = marked.columns[2:], partitions(spark, docs)
     texts = marked.select("doc_id", "text")
     with Scratch(spark) as scratch:
-        profiles = scratch.table(marked.mapInArrow(_profiled(size), ", ".join(["doc_id long, n long, sig long, part int, cells binary", *[f"{c} long" for c in names]])), "profiles")
-        members = profiles.filter("part is null").select("doc_id", "n", "sig", *names)
-        first = members.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
-        sketch = spark.sparkContext.broadcast(_sketch(profiles))
-        rows = texts.mapInArrow(_prefixes(sketch, size, num, den), "h long, salt int, sig long, n int, pos int").repartition(partitions(spark), "h", "salt")
+        members, meta, cells, twins = _profiles(scratch, marked, size)
+        counts = _sketch(cells)
+        usual = int(np.median(counts))
+        salted = bool(_spread(counts.max(keepdims=True), usual)[0] > 1)
+        sketch = spark.sparkContext.broadcast(counts)
+        rows = texts.mapInArrow(_prefixes(sketch, usual, twins, size, num, den), "h long, salt int, sig long, n int, pos int").repartition(parts, "h", "salt")
         # both uses of ``rows`` read all its columns, so they share one exchange
-        groups = rows.groupBy("h", "salt").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi"), F.min(F.struct("pos", "n", "sig")).alias("c")).filter("lo < hi or salt > 0")
-        shared = rows.join(groups.select("h", "salt", "c").hint("shuffle_hash"), ["h", "salt"]).select("h", "sig", "n", "pos", "c").withColumn("indexed", F.expr(f"pos < n - ceil({2 * num} * n / {num + den}) + 1"))
-        shared = scratch.table(shared, "shared")
-
-        centres = shared.groupBy("h").agg(F.min("c").alias("c")).select("h", "c.*")
-        shared = shared.drop("c")
-        star = shared.alias("p").join(centres.alias("i"), "h").filter("i.sig <> p.sig").filter(_reaches(num, den).replace("i.n >=", "least(i.n, p.n) >=").replace("* p.n and", "* greatest(i.n, p.n) and"))
-        star = star.groupBy(F.col("p.sig").alias("b"), F.col("i.sig").alias("a")).count().groupBy("b").agg(F.max(F.struct("count", "a")).alias("m"))
-        tried = star.select(F.col("m.a").alias("a"), "b")
-        links = _links(spark, scratch, texts, first, tried, "star", size, num, den)
+        shared = scratch.table(rows.join(_groups(rows, salted).hint("shuffle_hash"), ["h", "salt"]), "shared")
+
+        star = shared.filter("sig <> lo").groupBy(F.col("sig").alias("b"), F.col("lo").alias("a")).count()
+        star = star.groupBy("b").agg(F.max(F.struct("count", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
+        links = _links(spark, scratch, texts, meta, star, "star", twins, size, num, den)
+        tried = spark.read.schema("a long, b long").parquet(f"{scratch.path}/asked_star")
         roots = scratch.table(graph.components(links), "roots")
 
-        placed = shared.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-        placed = scratch.table(placed, "placed")
-        mixed = placed.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("h")
-        apart = placed.join(mixed, "h")
-        rest = apart.filter("indexed").alias("i").join(apart.alias("p"), F.expr(f"i.h = p.h and i.root <> p.root and (i.n < p.n or i.n = p.n and i.sig < p.sig) and {_reaches(num, den)}"))
-        rest = rest.select(F.col("i.sig").alias("a"), F.col("p.sig").alias("b")).distinct()
-        links = links.union(_links(spark, scratch, texts, first, rest, "rest", size, num, den))
-
-        roots = graph.components(links).withColumnRenamed("node", "sig")
-        named = first.join(roots, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-        least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-        named = named.join(least, "root").select("sig", "root", "component_id")
-        found = members.join(named, "sig", "left")
-        found = found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(F.col("n") > 0, F.col("root")).alias("root"), *names)
+        rest = _across(scratch, shared, roots, salted, num, den).join(tried, ["a", "b"], "left_anti")
+        more = _links(spark, scratch, texts, meta, rest, "rest", twins, size, num, den)
+        if not more.isEmpty():
+            roots = scratch.table(graph.components(links.union(more)), "all_roots")
+
+        named = scratch.table(meta.select("sig", "doc_id", "copies").join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig")), "named")
+        least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("held"))
+        named = scratch.table(join_unique(named.drop("doc_id"), least, "root", named.count(), parts), "components")
+        full = members.filter("n > 0")
+        found = join_unique(full, named.withColumnRenamed("copies", "held"), "sig", full.count(), parts)
+        found = found.select("doc_id", F.col("n").alias("n_shingles"), "component_id", "root", *names)
+        found = found.union(members.filter("n = 0").select("doc_id", "n", "doc_id", F.lit(None).cast("long"), *names))
         return (found if names else found.drop("root")).checkpoint()
 
 
+def unused(docs: DataFrame, *names: str) -> list[str]:
+    """The names, with marks before them until no column of ``docs`` has them."""
+    have, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in have:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", **options: int) -> DataFrame:
     """One row of each component of ``docs``: that with the smallest id (rows without an
     id come last), then the smallest text hash. It is decided for each row: rows of one id
     with unrelated texts are in different components and stay. A text without a shingle
     is a component with the rows of its id that have none either; without an id it stays.
-    All columns are kept."""
+    All columns are kept, whatever their names; an empty table stays empty."""
     # a row's component depends on its text only, so the id and a 128-bit hash name it
-    named = [F.col(key).cast("long").alias("_id"), F.xxhash64(text).alias("_h1"), F.xxhash64(F.lit(1), text).alias("_h2")]
-    found = _components(docs, text=text, key=key, marks=tuple(named[1:]), **options)
-    rows = found.groupBy("root", F.when(F.col("root").isNull(), F.col("doc_id")).alias("own"), "doc_id", "_h1", "_h2").count()
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("_id"), "_h1", "_h2", "count"))
-    best = rows.filter("root is not null or own is not null").groupBy("root", "own").agg(best.alias("m")).select("m._id", "m._h1", "m._h2", "m.count")
-    alone = rows.filter("root is null and own is null").select(F.col("doc_id").alias("_id"), "_h1", "_h2", F.lit(1).cast("long").alias("count"))
-    chosen = best.union(alone)
-    docs = docs.select("*", *named)
-
-    def among(some: DataFrame) -> DataFrame:
-        return docs.alias("d").join(some.alias("c"), F.expr("d._id <=> c._id and d._h1 = c._h1 and d._h2 = c._h2"), "left_semi")
-
-    # not by the columns of the join, so that copies are dropped before they are dealt out
-    repeated = among(chosen.filter("count > 1")).withColumn("_row", F.struct("_id", "_h1", "_h2")).dropDuplicates(["_row"]).drop("_row")
-    return among(chosen.filter("count = 1")).unionByName(repeated).drop("_id", "_h1", "_h2")
+    h1, h2 = F.xxhash64(text), F.xxhash64(F.lit(1), text)
+    found = _components(docs, text=text, key=key, marks=(h1.alias("_h1"), h2.alias("_h2")), **options)
+    row = F.struct(F.col("doc_id").isNull().alias("last"), F.coalesce("doc_id", F.lit(0)).alias("id"), "_h1", "_h2")
+    rows = found.select("root", F.when(F.col("root").isNull(), F.col("doc_id")).alias("own"), row.alias("m"))
+    best = rows.filter("root is not null or own is not null").groupBy("root", "own").agg(F.min("m").alias("m")).select("m.*")
+    blank = rows.filter("root is null and own is null").select("m.*", F.lit(True).alias("all")).distinct()
+    chosen = best.withColumn("all", F.lit(False)).union(blank)
+    last, first, one, two, every = keys = unused(docs, "_last", "_id", "_h1", "_h2", "_all")
+    id_ = F.col(key).cast("long")
+    docs = docs.withColumns({last: id_.isNull(), first: F.coalesce(id_, F.lit(0)), one: h1, two: h2}).join(chosen.toDF(*keys), keys[:4])
+    once = docs.filter(~F.col(every)).dropDuplicates(keys[:4])
+    return once.unionByName(docs.filter(every)).drop(*keys)
