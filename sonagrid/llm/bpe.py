@@ -37,12 +37,13 @@ _OTHER, _LETTER, _NUMBER, _SPACE = range(4)
 def _classes() -> np.ndarray:
     """The class of every code point, from its Unicode properties."""
     table = np.zeros(0x110000, np.uint8)
-    text = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-    for kind, pattern in ((_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+"), (_SPACE, r"\p{White_Space}+")):
-        for m in regex.finditer(pattern, text):
-            a, b = ord(m[0][0]), ord(m[0][-1])
-            for lo, hi in ([(a, b)] if b < 0xD800 or a > 0xDFFF else [(a, 0xD7FF), (0xE000, b)]):
-                table[lo : hi + 1] = kind
+    for lo in range(0, 0x110000, 0x800):
+        if 0xD800 <= lo < 0xE000:
+            continue
+        text = "".join(map(chr, range(lo, lo + 0x800)))
+        for kind, pattern in ((_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+"), (_SPACE, r"\p{White_Space}+")):
+            for m in regex.finditer(pattern, text):
+                table[lo + m.start() : lo + m.end()] = kind
     return table
 
 

@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from sonagrid.llm import near, spans
@@ -121,38 +122,45 @@ class Filter:
         return self._high
 
 
-_HITS = "doc_id long, h long, at int, block int, words array<long>"
+_HITS = "row long, doc_id long, h long, at int, block int, words array<long>"
 
 
 def _doc_rows(sent, masks: tuple[int, ...], lengths: tuple[int, ...]):
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()))
+    """Rows are numbered, as ids may be null or repeated; the result is checkpointed, so that
+    the numbers stay."""
+    names = [x.split()[0] for x in _HITS.split(", ")]
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        may = sent.value
+        may, number = sent.value, TaskContext.get().partitionId() << 33
         for batch in batches:
-            names = batch.column(0)
-            ids, hs, ats, blocks, lists = [], [], [], [], []
+            keys = batch.column(0)
+            rows, hs, ats = [], [], []
+            of_block, blocks, lists = [], [], []
             for row, words in _texts(batch):
+                mine = []
                 for k, h in enumerate(_seed_hashes(words, masks, lengths)):
                     if not len(h) or not len(at := np.flatnonzero(may(h))):
                         continue
                     if k >= len(masks) and lengths[k - len(masks)] < LEAST_WORDS:
                         # a whole short item: its first place says all
                         at = at[np.unique(h[at], return_index=True)[1]]
-                    ids.append(np.full(len(at), row))
+                    rows.append(np.full(len(at), row))
                     hs.append(h[at].view(np.int64))
                     ats.append(at.astype(np.int32))
-                mine = [x for i, x in zip(ids, ats, strict=True) if i[0] == row]
-                if mine:
-                    for b in np.unique(np.concatenate(mine) // BLOCK_WORDS).tolist():
-                        blocks.append((row, b, words[max(0, b * BLOCK_WORDS - WINDOW) : (b + 1) * BLOCK_WORDS + WINDOW + SPAN].view(np.int64)))
-            if ids:
-                at = np.concatenate(ats)
-                n = len(at)
-                yield pa.RecordBatch.from_arrays([names.take(pa.array(np.concatenate(ids))), pa.array(np.concatenate(hs)), pa.array(at), pa.array((at // BLOCK_WORDS).astype(np.int32)), pa.nulls(n, kinds[4])], ["doc_id", "h", "at", "block", "words"])
-                lists = [x[2] for x in blocks]
-                n = len(blocks)
-                yield pa.RecordBatch.from_arrays([names.take(pa.array([x[0] for x in blocks])), pa.nulls(n, kinds[1]), pa.nulls(n, kinds[2]), pa.array([x[1] for x in blocks], kinds[3]), pa.array(lists, kinds[4])], ["doc_id", "h", "at", "block", "words"])
+                    mine.append(at // BLOCK_WORDS)
+                for b in np.unique(np.concatenate(mine)).tolist() if mine else ():
+                    of_block.append(row)
+                    blocks.append(b)
+                    lists.append(words[max(0, b * BLOCK_WORDS - WINDOW) : (b + 1) * BLOCK_WORDS + WINDOW + SPAN].view(np.int64))
+            if rows:
+                row, at = np.concatenate(rows), np.concatenate(ats)
+                hits = (pa.array(number + row), keys.take(pa.array(row)), pa.array(np.concatenate(hs)), pa.array(at), pa.array((at // BLOCK_WORDS).astype(np.int32)), pa.nulls(len(at), kinds[5]))
+                yield pa.RecordBatch.from_arrays(list(hits), names)
+                many = len(blocks)
+                around = (pa.array(number + np.array(of_block)), keys.take(pa.array(of_block)), pa.nulls(many, kinds[2]), pa.nulls(many, kinds[3]), pa.array(blocks, kinds[4]), pa.array(lists, kinds[5]))
+                yield pa.RecordBatch.from_arrays(list(around), names)
+            number += batch.num_rows
 
     return run
 
@@ -207,7 +215,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, text: str
 
     Words are runs of letters and digits in lower case. Null or empty texts and items,
     and items of fewer than ``LEAST_WORDS`` words, match nothing; repeated rows count
-    once; a null doc_id or item_id stays as a value; other columns are not looked at.
+    once; a null doc_id or item_id stays as a value; other columns are not looked at, so
+    their names may clash. Texts of any length are searched whole.
 
     ``thorough``: items of ``LEAST_WORDS`` or more match by ``share`` too, shorter ones word
     for word; so do ``PART_WORDS`` words of an item in a row, and by ``share`` that many or
@@ -221,18 +230,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, text: str
     masks, lengths = (tuple(sorted({x for a in asked for x in a[k]})) for k in (0, 1))
     few = made.select("h").distinct().limit(MOST_EXACT + 1).count() <= MOST_EXACT
     if few:
-        held = np.unique(np.array([r.h for r in made.select("h").distinct().collect()], np.int64).view(np.uint64))
-        may = Filter(held, None)
+        # at most MOST_EXACT numbers, as one column
+        held = made.select("h").distinct().toArrow().column(0).to_numpy()
+        may = Filter(np.unique(held.view(np.uint64)), None)
     else:
         may = Filter(None, near.id_filter(made.select("h"), BITMAP_BITS))
     found = rows.mapInArrow(_doc_rows(spark.sparkContext.broadcast(may), masks, lengths), _HITS).checkpoint()
-    hits = found.filter("h is not null").select("doc_id", "h", "at", "block")
+    hits = found.filter("h is not null").select("row", "doc_id", "h", "at", "block")
     if seeds.limit(MOST_SENT + 1).count() <= MOST_SENT:
         seeds = F.broadcast(seeds)
-    lines = hits.join(seeds, "h").select("doc_id", "item_id", "block", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
-    blocks = found.filter("h is null").select("doc_id", "block", F.col("words").alias("doc_words"))
+    lines = hits.join(seeds, "h").select("row", "doc_id", "item_id", "block", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
+    blocks = found.filter("h is null").select("row", "block", F.col("words").alias("doc_words"))
     items = made.filter("words is not null").select("item_id", F.col("words").alias("item_words"))
-    both = lines.alias("l").join(blocks.alias("b"), F.expr("l.doc_id <=> b.doc_id and l.block = b.block")).select("l.*", "doc_words")
+    both = lines.join(blocks, ["row", "block"])
     both = both.alias("l").join(items.alias("i"), F.expr("l.item_id <=> i.item_id")).select("l.*", "item_words")
     kept = both.mapInArrow(_aligned(share, thorough), "doc_id long, item_id long, agreement double, first_word long")
     best = F.max(F.struct("agreement", (-F.col("first_word")).alias("f")))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -25,8 +26,13 @@ _CLOSES_P = BLOCK - {"html", "head", "body", "td", "th", "tr", "caption", "thead
 _ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"thead", "tbody", "tfoot"}, {"table"}), "body": ({"head"}, {"html"})}
 
 
+#: Blocks nested deeper than this hang beside each other, as in browsers; no text is lost.
+DEEPEST = 512
+
+
 class Page:
-    """Blocks in page order, as parallel lists; block 0 is the root."""
+    """Blocks in page order, as parallel lists; block 0 is the root. The time to read a page
+    grows with its length, however deep its elements are nested."""
 
     __slots__ = ("depth", "hints", "linked", "parent", "pieces", "tag")
 
@@ -39,6 +45,9 @@ class Page:
     def _read(self, source: str) -> None:
         open_tags, open_blocks = ["html"], [0]
         blocks = [0]
+        places = [0]  # of the open blocks in open_tags
+        where: dict[str, list[int]] = {"html": [0]}  # of each open tag
+        last = lambda names: max((where[x][-1] for x in names if where.get(x)), default=0)
         links, at, n = 0, 0, len(source)
         parent, depth, tags, hints, linked, pieces = self.parent, self.depth, self.tag, self.hints, self.linked, self.pieces
         run: list[str] = []
@@ -53,9 +62,11 @@ class Page:
         def pop_to(k: int) -> None:
             nonlocal links
             for name, block in zip(open_tags[k:], open_blocks[k:], strict=True):
+                where[name].pop()
                 if block >= 0:
                     end_run()
                     blocks.pop()
+                    places.pop()
                 if name == "a":
                     links -= 1
             del open_tags[k:], open_blocks[k:]
@@ -80,18 +91,13 @@ class Page:
             if name in _APART:
                 run.append(" ")
             if token[1]:
-                if name in open_tags:
-                    k = len(open_tags) - 1
-                    while open_tags[k] != name:
-                        if name not in BLOCK and open_blocks[k] >= 0:
-                            k = 0  # an inline end tag does not close a block
-                            break
-                        k -= 1
-                    if k:
-                        pop_to(k)
+                k = last([name])
+                # an inline end tag does not close a block
+                if k and (name in BLOCK or places[-1] < k):
+                    pop_to(k)
                 continue
             if name in _RAW:
-                if token[0].endswith("/>") and ("svg" in open_tags or "math" in open_tags):
+                if token[0].endswith("/>") and last(("svg", "math")):
                     continue  # in foreign content it has no text
                 found = _RAW[name].search(source, at)
                 at = found.end() if found else n
@@ -103,39 +109,34 @@ class Page:
                 else:
                     run.append(" " if name == "br" else "")
                 continue
-            if name in _CLOSES_P and "p" in open_tags:
-                k = len(open_tags) - 1
-                while open_tags[k] not in ("p", "td", "th", "table"):
-                    k -= 1
-                if open_tags[k] == "p":
-                    pop_to(k)
+            if name in _CLOSES_P and (k := last(["p"])) > last(("td", "th", "table")):
+                pop_to(k)
             if name in _ENDS:
                 ends, border = _ENDS[name]
-                k = len(open_tags) - 1
-                while k and open_tags[k] not in ends and open_tags[k] not in border:
-                    k -= 1
-                if k and open_tags[k] in ends:
-                    first = k
-                    while k and open_tags[k] not in border:
-                        first = k if open_tags[k] in ends else first
-                        k -= 1
-                    pop_to(first)
+                edge = last(border)
+                first = [where[x][k] for x in ends if x in where and (k := bisect_right(where[x], edge)) < len(where[x])]
+                if first:
+                    pop_to(min(first))
             if name in BLOCK:
                 if name == "html":
                     continue
                 end_run()
-                parent.append(blocks[-1])
-                depth.append(depth[blocks[-1]] + 1)
+                above = blocks[-1] if depth[blocks[-1]] < DEEPEST else parent[blocks[-1]]
+                parent.append(above)
+                depth.append(depth[above] + 1)
                 tags.append(name)
                 linked.append(0)
                 attributes = token[3]
                 hints.append(" ".join(f"{m[1]} {m[2] or m[3] or m[4] or ''}" if m[1].lower() in ("role", "hidden", "aria-hidden") else (m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(attributes) if m[1].lower() != "style" or "none" in m[0]) if attributes and not attributes.isspace() else "")
                 blocks.append(len(tags) - 1)
+                places.append(len(open_tags))
+                where.setdefault(name, []).append(len(open_tags))
                 open_tags.append(name)
                 open_blocks.append(len(tags) - 1)
             elif not token[0].endswith("/>"):
                 if name == "a":
                     links += 1
+                where.setdefault(name, []).append(len(open_tags))
                 open_tags.append(name)
                 open_blocks.append(-1)
         end_run()

@@ -77,10 +77,15 @@ class Batch:
                 marks[b + block] += text.count(".") + text.count(",")
         links = np.array([x for p in pages for x in p.linked], float)
         below, linked = own.copy(), links.copy()
-        self.levels = [np.flatnonzero(self.depth == d) for d in range(1, int(self.depth.max(initial=0)) + 1)]
-        for level in reversed(self.levels):
-            below += np.bincount(self.parent[level], below[level], n)
-            linked += np.bincount(self.parent[level], linked[level], n)
+        order = np.argsort(self.depth, kind="stable")
+        #: Nodes of each depth from 1 on; those of one parent follow each other.
+        self.levels = np.split(order, np.searchsorted(self.depth[order], np.arange(1, int(self.depth.max(initial=0)) + 1)))[1:]
+        self.levels = [level[np.argsort(self.parent[level], kind="stable")] for level in self.levels]
+        self.runs = [np.flatnonzero(np.diff(self.parent[level], prepend=-1)) for level in self.levels]
+        for level, run in zip(reversed(self.levels), reversed(self.runs), strict=True):
+            up = self.parent[level[run]]
+            below[up] += np.add.reduceat(below[level], run)
+            linked[up] += np.add.reduceat(linked[level], run)
         self.real = np.column_stack((np.ones(n), np.log1p(own) / 5, own > 0, np.minimum(1, links / np.maximum(own, 1)), np.log1p(below) / 8, np.minimum(1, linked / np.maximum(below, 1)), np.minimum(1, 20 * marks / np.maximum(own, 20)), self.depth / 10))
         above = np.where(self.parent >= 0, tag[self.parent], len(_TAGS) - 1)
         names = [(k, f) for k, hints in enumerate(h for p in pages for h in p.hints) if hints for f in _name_features(hints)]
@@ -101,11 +106,10 @@ class Batch:
         belief[:, 1] = self.unary(weights)
         potential = pairs[self.pair]  # node, parent state, own state
         up = np.zeros((n, 2))
-        for level in reversed(self.levels):
+        for level, run in zip(reversed(self.levels), reversed(self.runs), strict=True):
             message = np.logaddexp(*np.moveaxis(potential[level] + belief[level][:, None, :], 2, 0))
             up[level] = message
-            for state in (0, 1):
-                belief[:, state] += np.bincount(self.parent[level], message[:, state], n)
+            belief[self.parent[level[run]]] += np.add.reduceat(message, run, axis=0)
         joint = np.zeros((n, 2, 2))
         full = belief.copy()
         for level in self.levels:

@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: Labelled documents of each class that a model is fitted on, at most.
 PER_CLASS = 1500
-#: Pieces of a sampled document and bytes of a piece, at most. Pieces are evenly spaced
-#: over the whole text; only training reads pieces.
-PIECES, PIECE_BYTES = 16, 1024
+#: Bytes of a class's sampled texts together, at most. A document is taken with its whole
+#: text or not at all.
+CLASS_BYTES = 32 << 20
 
 
 def held_out(key: str = "doc_id") -> Column:
@@ -20,42 +17,26 @@ def held_out(key: str = "doc_id") -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(key).cast("string")), F.lit(4)) == 2, F.lit(False))
 
 
-def pieces(text: bytes, most: int = PIECES, size: int = PIECE_BYTES) -> list[bytes]:
-    """The text cut into runs of ``size`` bytes at character borders; evenly spaced ones
-    if there are over ``most``."""
-    out, at = [], 0
-    while at < len(text):
-        end = min(len(text), at + size)
-        while end < len(text) and text[end] & 0xC0 == 0x80:
-            end += 1
-        out.append(text[at:end])
-        at = end
-    if len(out) > most:
-        out = [out[k * len(out) // most] for k in range(most)]
-    return out
-
-
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = [pieces(x.as_py() or b"") for x in batch.column(2)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.binary()))], ["doc_id", "label", "pieces"])
-
-
-def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int = PER_CLASS, text: str = "text", key: str = "doc_id") -> list[tuple[list[bytes], int]]:
-    """(pieces, label) of at most ``per_class`` documents of each class whose rows are
-    not held out, chosen by a hash of the id, in the order of that hash. What reaches the
-    driver is bounded by 2 * per_class * PIECES * PIECE_BYTES."""
+def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int = PER_CLASS, text: str = "text", key: str = "doc_id", class_bytes: int = CLASS_BYTES) -> list[tuple[bytes, int]]:
+    """(whole text, label) of at most ``per_class`` documents of each class whose rows are
+    not held out, chosen by a hash of the id, in the order of that hash, as long as the texts
+    of a class are ``class_bytes`` together. An id that is labelled both ways counts for
+    neither class; of several texts of one id, the least is taken. A null text is empty. What
+    reaches the driver is bounded by 2 * class_bytes."""
     rows = labels.filter(~held_out(key) & F.col(key).isNotNull() & F.col(label).isin(0, 1)).select(F.col(key).cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
+    rows = rows.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("other")).filter("label = other").drop("other")
     order = F.xxhash64("doc_id")
     chosen = None
     for value in (0, 1):
-        some = rows.filter(F.col("label") == value).dropDuplicates(["doc_id"]).orderBy(order, "doc_id").limit(per_class)
+        some = rows.filter(F.col("label") == value).orderBy(order, "doc_id").limit(per_class)
         chosen = some if chosen is None else chosen.union(some)
     texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
     # at most 2 * per_class rows of two numbers
-    joined = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
-    found = joined.mapInArrow(_cut, "doc_id long, label int, pieces array<binary>").dropDuplicates(["doc_id"]).orderBy(order, "doc_id").collect()
-    return [([bytes(x) for x in r.pieces], r.label) for r in found]
+    joined = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min(F.coalesce("text", F.lit(b""))).alias("text"))
+    # at most 2 * per_class rows
+    before = F.sum(F.octet_length("text")).over(Window.partitionBy("label").orderBy(order, "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    found = joined.withColumn("so_far", before).filter(F.col("so_far") <= class_bytes).orderBy(order, "doc_id").select("text", "label").collect()
+    return [(bytes(r.text), r.label) for r in found]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 60) -> np.ndarray:

@@ -72,37 +72,36 @@ def fingerprints(samples: np.ndarray) -> np.ndarray:
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("n_fingerprints", pa.int64()), ("wav", pa.binary()), ("fingerprints", pa.list_(pa.int64()))])
 
 
-def _described(full: bool):
-    schema = _OUT if full else pa.schema([f for f in _OUT][:-2])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = spans.column_bytes(batch.column(1))
-            for lo, hi in spans.slices(offsets):
-                rows = []
-                for k in range(lo, hi):
-                    text = data[offsets[k] : offsets[k + 1]].tobytes()
-                    stored = write_wav(text.ljust(max(UNIT, -(-len(text) // UNIT) * UNIT)))
-                    _, payload = read_wav(stored)
-                    marks = fingerprints(np.frombuffer(payload, np.uint8))
-                    kinds, counts = np.unique(marks & 0xFFFFFF, return_counts=True)
-                    top = np.lexsort((kinds, -counts))[:8]
-                    feature = ",".join(f"{kinds[i]:06x}:{counts[i]}" for i in top)
-                    rows.append((len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), feature, len(marks), *((stored, marks) if full else ())))
-                columns = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *(pa.array(list(x), schema.field(k + 1).type) for k, x in enumerate(columns))], schema=schema)
-
-    return run
-
-
-def describe(docs: DataFrame, full: bool = True, text: str = "text", key: str = "doc_id") -> DataFrame:
+def feature_of(marks: np.ndarray) -> str:
+    """The eight commonest peak pairs, each with its count and the frame it first comes in."""
+    kinds, first, counts = np.unique(marks & 0xFFFFFF, return_index=True, return_counts=True)
+    top = np.lexsort((kinds, -counts))[:8]
+    return ",".join(f"{kinds[i]:06x}:{counts[i]}@{marks[first[i]] >> 24}" for i in top)
+
+
+def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        data, offsets = spans.column_bytes(batch.column(1))
+        for lo, hi in spans.slices(offsets):
+            rows = []
+            for k in range(lo, hi):
+                text = data[offsets[k] : offsets[k + 1]].tobytes()
+                stored = write_wav(text.ljust(max(UNIT, -(-len(text) // UNIT) * UNIT)))
+                _, payload = read_wav(stored)
+                marks = fingerprints(np.frombuffer(payload, np.uint8))
+                rows.append((len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), feature_of(marks), len(marks), stored, marks))
+            columns = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *(pa.array(list(x), _OUT.field(k + 1).type) for k, x in enumerate(columns))], schema=_OUT)
+
+
+def describe(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Per row of ``docs``: the UTF-8 bytes of the text, padded with spaces to a positive
     multiple of 192, stored as a WAV file and read back; sizes, digests, ``feature`` (the
-    eight commonest peak pairs and their counts), and with ``full`` the file and its
-    time-coded fingerprints.
+    eight commonest peak pairs, their counts and first frames), the file and its time-coded
+    fingerprints.
 
     A null or empty text is 192 spaces; equal texts give equal values; repeated rows
     stay, null ids pass through, other columns are not looked at. A long text is
     transformed in blocks of frames."""
-    kind = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_fingerprints long" + ", wav binary, fingerprints array<long>" * full
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text")).mapInArrow(_described(full), kind)
+    kind = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_fingerprints long, wav binary, fingerprints array<long>"
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text")).mapInArrow(_described, kind)

@@ -42,7 +42,7 @@ SHINGLE = 5
 #: Jaccard threshold as a fraction: NUMERATOR / DENOMINATOR = 0.75.
 NUMERATOR, DENOMINATOR = 3, 4
 #: Cells of the frequency sketch (2**bits) and the parts it is summed in.
-SKETCH_BITS, SKETCH_PARTS = 22, 64
+SKETCH_BITS, SKETCH_PARTS = 22, 16
 #: The filter for candidate documents has so many bits (2**bits) for each, up to a bound.
 FILTER_SPARE, MOST_FILTER_BITS = 8, 28
 #: A shingle estimated to be in more sets than this is dealt over several tasks.
@@ -159,17 +159,17 @@ def _sketch(cells: DataFrame) -> np.ndarray:
     counts. Partial sums are made in the tasks, then once more for each part."""
     parts = cells.repartition(SKETCH_PARTS, "part").mapInArrow(_summed, "part int, cells binary")
     found = np.zeros((SKETCH_PARTS, (1 << SKETCH_BITS) // SKETCH_PARTS), np.uint32)
-    for row in parts.toLocalIterator():
+    for row in parts.collect():  # of a fixed size together
         found[row.part] = np.frombuffer(row.cells, np.uint32)
     return found.reshape(-1)
 
 
-def _spread(often: np.ndarray, usual: int) -> np.ndarray:
+def _spread(often: np.ndarray, usual: int, salt_rows: int) -> np.ndarray:
     """Tasks that shingles are dealt over, from the counts of their cells."""
-    return 1 + np.maximum(often.astype(np.int64) - usual, 0) // SALT_ROWS
+    return 1 + np.maximum(often.astype(np.int64) - usual, 0) // salt_rows
 
 
-def _prefixes(sketch, usual: int, shared: frozenset, size: int, num: int, den: int):
+def _prefixes(sketch, usual: int, salt_rows: int, shared: frozenset, size: int, num: int, den: int):
     schema = pa.schema([("h", pa.int64()), ("salt", pa.int32()), ("sig", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,7 +185,7 @@ def _prefixes(sketch, usual: int, shared: frozenset, size: int, num: int, den: i
                 take = n - -(-num * n // den) + 1
                 often = counts[(hashes >> shift).astype(np.int64)]
                 chosen = np.argsort(often, kind="stable")[:take]
-                spread = _spread(often[chosen], usual)
+                spread = _spread(often[chosen], usual, salt_rows)
                 for k, x in enumerate((hashes[chosen].view(np.int64), np.where(spread > 1, sig % spread + 1, 0).astype(np.int32), np.full(take, sig, np.int64), np.full(take, n, np.int32), np.arange(take, dtype=np.int32))):
                     out[k].append(x)
                 held += take
@@ -231,7 +231,7 @@ def id_filter(ids: DataFrame, bits: int) -> np.ndarray:
     """A bitmap of 2**bits cells that holds at least the given ids (one column)."""
     parts = ids.mapInArrow(_cells(bits), "part int, cells binary").repartition(SKETCH_PARTS, "part").mapInArrow(_either, "part int, cells binary")
     found = np.zeros((SKETCH_PARTS, (1 << bits) // 8 // SKETCH_PARTS), np.uint8)
-    for row in parts.toLocalIterator():
+    for row in parts.collect():  # of a fixed size together
         found[row.part] = np.frombuffer(row.cells, np.uint8)
     return found.reshape(-1)
 
@@ -282,7 +282,10 @@ def _screened(pairs: DataFrame, meta: DataFrame, num: int, den: int) -> DataFram
 def _links(spark: SparkSession, scratch: Scratch, texts: DataFrame, meta: DataFrame, pairs: DataFrame, name: str, shared: frozenset, size: int, num: int, den: int) -> DataFrame:
     """Those of ``pairs`` (a, b: signatures) that reach the threshold. The sets are
     made anew, only for the documents that a filter lets through."""
-    pairs = scratch.table(_screened(scratch.table(pairs, f"asked_{name}"), meta, num, den), f"pairs_{name}")
+    asked = scratch.table(pairs, f"asked_{name}")
+    if asked.isEmpty():
+        return asked
+    pairs = scratch.table(_screened(asked, meta, num, den), f"pairs_{name}")
     ends = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct()
     ids = scratch.table(meta.join(ends, "sig").select("doc_id"), f"ends_{name}")
     bits = min(MOST_FILTER_BITS, max(16, (FILTER_SPARE * ids.count()).bit_length()))
@@ -338,14 +341,19 @@ def _profiles(scratch: Scratch, marked: DataFrame, size: int) -> tuple[DataFrame
     return members.drop("second", "ranges"), meta.select("sig", "doc_id", "n", "ranges", "copies"), profiles.filter("part is not null").select("part", "cells"), shared
 
 
-def _groups(rows: DataFrame, salted: bool) -> DataFrame:
-    """(h, salt, lo) of the shingles that are in the prefixes of two sets or more; lo is the
-    smallest of these."""
-    found = rows.groupBy("h", "salt").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi"))
+def _shared(scratch: Scratch, rows: DataFrame, salted: bool, parts: int) -> DataFrame:
+    """The rows of shingles that are in the prefixes of two sets or more, with lo, the
+    smallest of these sets."""
+    # both uses of ``rows`` read all its columns, so they share one exchange
+    groups = rows.groupBy("h", "salt").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi"), F.max("n").alias("most_n"), F.max("pos").alias("most_pos"))
+    groups = groups.filter("(lo < hi or salt > 0) and most_n > most_pos - 1").select("h", "salt", "lo")
+    found = scratch.table(rows.join(groups.hint("shuffle_hash"), ["h", "salt"]), "shared")
     if not salted:
-        return found.filter("lo < hi").select("h", "salt", "lo")
-    whole = found.filter("salt > 0").groupBy("h").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo < hi")
-    return found.filter("salt = 0 and lo < hi").select("h", "salt", "lo").union(found.filter("salt > 0").select("h", "salt").join(whole.select("h", "lo"), "h"))
+        return found
+    dealt = scratch.table(found.filter("salt > 0").drop("lo"), "dealt")  # those of frequent shingles
+    whole = dealt.groupBy("h").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi"), F.count("*").alias("held")).filter("lo < hi").drop("hi")
+    whole = join_unique(dealt, whole, "h", dealt.count(), parts)
+    return scratch.table(found.filter("salt = 0").unionByName(whole), "all_shared")
 
 
 def _across(scratch: Scratch, shared: DataFrame, roots: DataFrame, salted: bool, num: int, den: int) -> DataFrame:
@@ -366,7 +374,7 @@ def _across(scratch: Scratch, shared: DataFrame, roots: DataFrame, salted: bool,
     return pairs.select(F.least("x.sig", "y.sig").alias("a"), F.greatest("x.sig", "y.sig").alias("b")).distinct()
 
 
-def _components(docs: DataFrame, size: int = SHINGLE, num: int = NUMERATOR, den: int = DENOMINATOR, text: str = "text", key: str = "doc_id", marks: tuple = ()) -> DataFrame:
+def _components(docs: DataFrame, size: int = SHINGLE, num: int = NUMERATOR, den: int = DENOMINATOR, text: str = "text", key: str = "doc_id", marks: tuple = (), salt_rows: int = SALT_ROWS) -> DataFrame:
     """``jaccard_components``; with ``marks`` (long columns of ``docs``) these are kept, and
     root: a number of the row's component, null for a text without a shingle."""
     spark = docs.sparkSession
@@ -377,11 +385,10 @@ def _components(docs: DataFrame, size: int = SHINGLE, num: int = NUMERATOR, den:
         members, meta, cells, twins = _profiles(scratch, marked, size)
         counts = _sketch(cells)
         usual = int(np.median(counts))
-        salted = bool(_spread(counts.max(keepdims=True), usual)[0] > 1)
+        salted = bool(_spread(counts.max(keepdims=True), usual, salt_rows)[0] > 1)
         sketch = spark.sparkContext.broadcast(counts)
-        rows = texts.mapInArrow(_prefixes(sketch, usual, twins, size, num, den), "h long, salt int, sig long, n int, pos int").repartition(parts, "h", "salt")
-        # both uses of ``rows`` read all its columns, so they share one exchange
-        shared = scratch.table(rows.join(_groups(rows, salted).hint("shuffle_hash"), ["h", "salt"]), "shared")
+        rows = texts.mapInArrow(_prefixes(sketch, usual, salt_rows, twins, size, num, den), "h long, salt int, sig long, n int, pos int").repartition(parts, "h", "salt")
+        shared = _shared(scratch, rows, salted, parts)
 
         star = shared.filter("sig <> lo").groupBy(F.col("sig").alias("b"), F.col("lo").alias("a")).count()
         star = star.groupBy("b").agg(F.max(F.struct("count", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")

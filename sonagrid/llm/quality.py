@@ -58,8 +58,13 @@ def _dictionary(samples: list[bytes]) -> bytes:
         return b"\n".join(samples)[-DICTIONARY:]
 
 
-def train(rows: list[tuple[list[bytes], int]]) -> Model:
+def chunks(text: bytes) -> list[bytes]:
+    return [text[at : at + CHUNK] for at in range(0, len(text), CHUNK)]
+
+
+def train(texts: list[tuple[bytes, int]]) -> Model:
     """Half of the documents make the dictionaries, the others calibrate."""
+    rows = [(chunks(text), y) for text, y in texts]
     sides = [[c for k, (found, y) in enumerate(rows) if y == value and k % 2 == 0 for c in found] for value in (1, 0)]
     if not all(sides) or len({y for _, y in rows[1::2]}) < 2:
         share = sum(y for _, y in rows) / len(rows) if rows else 0.5
@@ -76,7 +81,7 @@ def train(rows: list[tuple[list[bytes], int]]) -> Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = labelled.PER_CLASS) -> Model:
-    """Trains on at most ``per_class`` labelled documents of each class."""
+    """Trains on the whole texts of at most ``per_class`` labelled documents of each class."""
     return train(labelled.sample(docs, labels, label, per_class))
 
 

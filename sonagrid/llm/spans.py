@@ -42,6 +42,23 @@ def slices(offsets: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int,
         lo = min(hi, n)
 
 
+def cuts(text: bytes, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of one text, each cut after a space or line end, of about ``most`` bytes;
+    longer where there is none."""
+    at = 0
+    while at < len(text):
+        end = at + most
+        if end < len(text):
+            end = max(text.rfind(b" ", at, end), text.rfind(b"\n", at, end)) + 1
+            if end <= at:
+                after = [x for x in (text.find(b" ", at + most), text.find(b"\n", at + most)) if x >= 0]
+                end = min(after) + 1 if after else len(text)
+        yield at, min(end, len(text))
+        at = end
+    if not text:
+        yield 0, 0
+
+
 def word_spans(kept: np.ndarray, offsets: np.ndarray, cuts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the runs where ``kept`` holds, never across rows or the places
     before which ``cuts`` holds, and the index of each row's first run (one more at the

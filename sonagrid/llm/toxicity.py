@@ -28,9 +28,8 @@ GRAMS = (3, 4, 5)
 BUCKET_BITS = 18
 DIM = 16
 SEGMENT_WORDS = 3
-#: Words of a training document: a longer one gives this many, from evenly spaced runs
-#: over its whole length. Scoring always reads the whole text.
-TRAIN_WORDS = 320
+#: Bytes of text that are looked at together; a longer text is cut after white space.
+SLICE_BYTES = 256 << 10
 SEED = 7
 
 
@@ -48,39 +47,80 @@ def _folded() -> np.ndarray:
     return table
 
 
+class _Marked:
+    """The words of texts laid end to end, each with a mark before and after it."""
+
+    def __init__(self, raw: bytes, sizes: np.ndarray) -> None:
+        data = np.frombuffer(raw, np.uint8)
+        heads = np.flatnonzero((data & 0xC0) != 0x80)
+        points = np.frombuffer(raw.decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
+        codes = _folded()[points]
+        #: ``first``: the first word of each text, one more at the end.
+        starts, ends, self.first = spans.word_spans(codes > 0, np.searchsorted(heads, np.concatenate((np.zeros(1, np.int64), np.cumsum(sizes)))))
+        self.whole = spans.span_hash(codes.view(np.uint8), starts * 4, ends * 4) >> np.uint64(64 - BUCKET_BITS)
+        self.lengths = ends - starts + 2
+        self.begins = np.cumsum(self.lengths) - self.lengths
+        total = int(self.lengths.sum())
+        self.codes = np.ones(total, np.uint64)
+        inner = np.ones(total, bool)
+        inner[self.begins] = inner[self.begins + self.lengths - 1] = False
+        self.codes[inner] = codes[codes > 0]
+        self.left = np.repeat(self.begins + self.lengths, self.lengths) - np.arange(total)
+
+    def grams(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each length: the places where an n-gram starts, and its bucket."""
+        rolling = self.codes * np.uint64(0x9E3779B97F4A7C15)
+        for n in range(2, max(GRAMS) + 1):
+            rolling = rolling[:-1] * np.uint64(0xD6E8FEB86659FD93) + self.codes[n - 1 :]
+            if n in GRAMS:
+                at = np.flatnonzero(self.left[: len(rolling)] >= n)
+                yield at, (spans.mix(rolling[at]) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+
+
 def grams(raw: bytes, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For texts laid end to end: the buckets of all n-grams, the first n-gram of each
+    """For texts laid end to end: the buckets of all n-grams and words, the first of each
     word (one more at the end) and the first word of each text (one more at the end)."""
-    data = np.frombuffer(raw, np.uint8)
-    heads = np.flatnonzero((data & 0xC0) != 0x80)
-    points = np.frombuffer(raw.decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
-    offsets = np.searchsorted(heads, np.concatenate((np.zeros(1, np.int64), np.cumsum(sizes))))
-    codes = _folded()[points]
-    starts, ends, first = spans.word_spans(codes > 0, offsets)
-    if not len(starts):
+    marked = _Marked(raw, sizes)
+    if not len(marked.begins):
         return np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(len(sizes) + 1, np.int64)
-    # each word with one mark before and one after it, words end to end
-    lengths = ends - starts + 2
-    begins = np.cumsum(lengths) - lengths
-    total = int(lengths.sum())
-    marked = np.ones(total, np.uint64)
-    inner = np.ones(total, bool)
-    inner[begins] = inner[begins + lengths - 1] = False
-    marked[inner] = codes[codes > 0].astype(np.uint64)
-    left = np.repeat(begins + lengths, lengths) - np.arange(total)
-    found, word = [spans.span_hash(codes.view(np.uint8), starts * 4, ends * 4)], [np.arange(len(starts))]
-    owner = np.repeat(np.arange(len(starts)), lengths)
-    rolling = marked * np.uint64(0x9E3779B97F4A7C15)
-    for n in range(2, max(GRAMS) + 1):
-        rolling = rolling[:-1] * np.uint64(0xD6E8FEB86659FD93) + marked[n - 1 :]
-        if n in GRAMS:
-            at = np.flatnonzero(left[: len(rolling)] >= n)
-            found.append(spans.mix(rolling[at]))
-            word.append(owner[at])
-    every, words = np.concatenate(found), np.concatenate(word)
+    found, word = [marked.whole.astype(np.int64)], [np.arange(len(marked.begins))]
+    for at, buckets in marked.grams():
+        found.append(buckets)
+        word.append(np.searchsorted(marked.begins, at, side="right") - 1)
+    words = np.concatenate(word)
     order = np.argsort(words, kind="stable")
-    buckets = (every[order] >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
-    return buckets, np.concatenate((np.zeros(1, np.int64), np.cumsum(np.bincount(words, minlength=len(starts))))), first
+    return np.concatenate(found)[order], np.concatenate((np.zeros(1, np.int64), np.cumsum(np.bincount(words, minlength=len(marked.begins))))), marked.first
+
+
+def word_sums(weights: np.ndarray, raw: bytes, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For texts laid end to end: each word's summed weight and number of n-grams, and the
+    first word of each text (one more at the end)."""
+    marked = _Marked(raw, sizes)
+    if not len(marked.begins):
+        return np.zeros(0), np.zeros(0, np.int64), np.zeros(len(sizes) + 1, np.int64)
+    here = np.zeros(len(marked.codes))
+    count = np.ones(len(marked.begins), np.int64)
+    for at, buckets in marked.grams():
+        here[at] += weights[buckets]
+    for n in GRAMS:
+        count += np.maximum(marked.lengths - n + 1, 0)
+    return np.add.reduceat(here, marked.begins) + weights[marked.whole.astype(np.int64)], count, marked.first
+
+
+def _segments(value: np.ndarray, count: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The two features of each text from the sums and sizes of its words."""
+    sums, many = (np.concatenate((np.zeros(1), np.cumsum(x, dtype=np.float64))) for x in (value, count))
+    out = np.full((len(first) - 1, 2), -1.0)
+    lead = np.arange(len(value))
+    stop = np.minimum(lead + SEGMENT_WORDS, np.repeat(first[1:], np.diff(first)))
+    mean = (sums[stop] - sums[lead]) / np.maximum(many[stop] - many[lead], 1)
+    for k, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
+        if b > a:
+            mine = mean[a : max(a + 1, b - SEGMENT_WORDS + 1)]
+            top = int(mine.argmax())
+            rest = np.concatenate((mine[: max(0, top - SEGMENT_WORDS + 1)], mine[top + SEGMENT_WORDS :]))
+            out[k] = mine[top], rest.max() if len(rest) else mine[top]
+    return out
 
 
 @dataclass
@@ -91,24 +131,17 @@ class Model:
     def features(self, raw: bytes, sizes: np.ndarray) -> np.ndarray:
         """For each text, the mean weight of its highest segment and of the highest that
         shares no word with it."""
-        buckets, of_word, first = grams(raw, sizes)
-        sums = np.concatenate((np.zeros(1), np.cumsum(self.weights[buckets], dtype=np.float64)))[of_word]
-        out = np.full((len(sizes), 2), -1.0)
-        lead = np.arange(len(of_word) - 1)
-        ends = np.repeat(first[1:], np.diff(first))
-        stop = np.minimum(lead + SEGMENT_WORDS, ends)
-        value = (sums[stop] - sums[lead]) / np.maximum(of_word[stop] - of_word[lead], 1)
-        for k, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
-            if b > a:
-                mine = value[a : max(a + 1, b - SEGMENT_WORDS + 1)]
-                top = int(mine.argmax())
-                rest = np.concatenate((mine[: max(0, top - SEGMENT_WORDS + 1)], mine[top + SEGMENT_WORDS :]))
-                out[k] = mine[top], rest.max() if len(rest) else mine[top]
-        return out
+        return _segments(*word_sums(self.weights, raw, sizes))
+
+    def long_features(self, raw: bytes) -> np.ndarray:
+        """The same for one text of any length."""
+        parts = [word_sums(self.weights, raw[a:b], np.array([b - a])) for a, b in spans.cuts(raw, SLICE_BYTES)]
+        value, count = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+        return _segments(value, count, np.array([0, len(value)]))
 
     def score(self, raw: bytes, sizes: np.ndarray) -> np.ndarray:
         high, second, base = self.scale
-        x = self.features(raw, sizes)
+        x = self.long_features(raw) if len(sizes) == 1 else self.features(raw, sizes)
         p = 1 / (1 + np.exp(-np.clip(high * x[:, 0] + second * x[:, 1] + base, -30, 30)))
         return np.where(sizes == 0, 0.0, p)
 
@@ -172,8 +205,8 @@ def train(texts: list[bytes], y: np.ndarray, rounds: int = 4, epochs: int = 3) -
     text_of = np.searchsorted(first, lead, side="right") - 1
     for k in range(rounds):
         if k:
-            weights = table @ (soft[:, 1] - soft[:, 0])
-            sums = np.concatenate((np.zeros(1), np.cumsum(weights[buckets], dtype=np.float64)))[of_word]
+            weights = (table @ (soft[:, 1] - soft[:, 0])).astype(np.float32)
+            sums = np.concatenate((np.zeros(1), np.cumsum(np.add.reduceat(weights[buckets], of_word[:-1]), dtype=np.float64)))
             value = (sums[stop] - sums[lead]) / np.maximum(of_word[stop] - of_word[lead], 1)
             order = np.lexsort((-value, text_of))
             rank = np.arange(len(order)) - np.searchsorted(text_of[order], text_of[order])
@@ -192,19 +225,14 @@ def train(texts: list[bytes], y: np.ndarray, rounds: int = 4, epochs: int = 3) -
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = labelled.PER_CLASS) -> Model:
-    """Trains on at most ``per_class`` labelled documents of each class."""
+    """Trains on the whole texts of at most ``per_class`` labelled documents of each class."""
     rows = labelled.sample(docs, labels, label, per_class)
-    texts = []
-    for found, _ in rows:
-        words = b" ".join(found).split()
-        runs = max(1, -(-len(words) // TRAIN_WORDS))
-        texts.append(b" ".join(w for k, w in enumerate(words) if k // 40 % runs == 0))
-    return train(texts, np.array([y for _, y in rows], np.int64))
+    return train([text for text, _ in rows], np.array([y for _, y in rows], np.int64))
 
 
 def _scores(model: Model, texts: pa.Array) -> np.ndarray:
     data, offsets = spans.column_bytes(texts)
-    parts = [model.score(data[offsets[a] : offsets[b]].tobytes(), np.diff(offsets[a : b + 1])) for a, b in spans.slices(offsets, 1 << 20)]
+    parts = [model.score(data[offsets[a] : offsets[b]].tobytes(), np.diff(offsets[a : b + 1])) for a, b in spans.slices(offsets, SLICE_BYTES)]
     return np.concatenate(parts) if parts else np.zeros(0)
 
 

@@ -41,3 +41,38 @@ def test_decontamination_decides_by_row(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = corpus_pipeline.decontaminated(spark, docs, SF).collect()
     assert {(r.doc_id, r.text) for r in got} == {(None, "clean words here"), (7, "other clean words"), (8, None)} and len(got) == 3
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, _h1 long, score double, root long, _text long"
+
+
+@pytest.fixture(scope="module")
+def odd_documents(spark, tmp_path_factory):
+    """Nulls in every column, empty and very long texts, repeated rows, clashing columns."""
+    texts = [None, "", "  ", "plain words in a row that say little of note", " ".join(f"w{k % 900}" for k in range(20_000))]
+    rows = [(i, t, None, "s", None, 1, 2.0, 3, 4) for i in (1, 1, None) for t in texts] + [(2, texts[3], None, None, 1, None, None, None, None)]
+    folder = str(tmp_path_factory.mktemp("odd") / "documents")
+    spark.createDataFrame(rows, ODD).write.parquet(folder)
+    return spark.read.parquet(folder)
+
+
+@pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES], ids=lambda f: f.__name__)
+def test_stages_on_odd_documents(spark, odd_documents, stage):
+    docs = odd_documents
+    got = stage(spark, docs, SF)
+    rows = got.collect()
+    last = stage is corpus_pipeline.STAGES[-1][1]
+    assert got.columns == (["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] if last else list(corpus_pipeline.COLUMNS))
+    assert stage(spark, docs.limit(0), SF).count() == 0
+    if last or stage is corpus_pipeline.decontaminated:
+        assert len(rows) == 16
+    elif stage is corpus_pipeline.one_of_each_group:
+        kept = sorted((str(r.doc_id), len(r.text or "")) for r in rows)
+        # the two long texts of three rows each, one blank row of id 1, three without an id
+        assert [k for k in kept if k[1] > 2] == [("1", 44), ("1", len(docs.filter("length(text) > 1000").first().text))]
+        assert sum(k[0] == "1" for k in kept) == 3 and sum(k[0] == "None" for k in kept) == 3
+    else:  # rows of one text fare alike
+        counts = {}
+        for r in rows:
+            counts[r.text] = counts.get(r.text, 0) + 1
+        assert all(n == (4 if t and t.startswith("plain") else 3) for t, n in counts.items())

@@ -11,8 +11,9 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 import regex
+from pyspark.sql import functions as F
 
-from sonagrid.llm import bpe, chat, dac, decontaminate, dom, html_text, licenses, media, near, quality, queries, ragged, spans, token_ids, toxicity
+from sonagrid.llm import bpe, chat, dac, decontaminate, dom, html_text, licenses, media, near, quality, queries, ragged, skew, spans, token_ids, toxicity
 from sonagrid.llm.store import Scratch
 
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -113,6 +114,46 @@ def test_jaccard_links_of_null_ids(spark):
     assert plain((r.doc_id, r.n_shingles, r.component_id) for r in got) == plain(want)
 
 
+def test_jaccard_with_frequent_keys_apart(spark, monkeypatch):
+    """Keys that are dealt over tasks or joined apart give the same groups: near copies of two
+    bases that share a passage, exact copies, and texts between."""
+    monkeypatch.setattr(skew, "FEW", 3)
+    monkeypatch.setattr(near, "CENTRE_PAIRS", 4)
+    rng = random.Random(11)
+    passage = [f"p{k}" for k in range(12)]
+    bases = [[f"{b}{k}" for k in range(70)] + passage for b in "xyz"]
+    rows = [(k, " ".join(w if rng.random() > 0.02 else "changed" for w in rng.choice(bases)), "x", 1) for k in range(120)]
+    rows += [(200 + k, " ".join(passage), "x", 1) for k in range(15)] + [(300 + k, " ".join([*passage, "more"]), "x", 1) for k in range(15)]
+    got = near._components(spark.createDataFrame(rows, KIND).repartition(3), salt_rows=5).collect()
+    assert plain((r.doc_id, r.n_shingles, r.component_id) for r in got) == plain(brute_components(rows))
+
+
+def test_pairs_are_verified_once(spark, monkeypatch):
+    """No pair of sets is asked for in both rounds, and none twice in one."""
+    asked = []
+    screened = near._screened
+    monkeypatch.setattr(near, "_screened", lambda pairs, *rest: asked.extend((min(r), max(r)) for r in pairs.select("a", "b").collect()) or screened(pairs, *rest))
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(60)]
+    rows = [(k, " ".join(w if rng.random() > 0.03 else f"c{rng.randrange(9)}" for w in base), "x", 1) for k in range(60)]
+    got = near.jaccard_components(spark.createDataFrame(rows, KIND)).collect()
+    assert len(asked) == len(set(asked)) > 30
+    assert plain((r.doc_id, r.n_shingles, r.component_id) for r in got) == plain(brute_components(rows))
+
+
+def test_sets_that_share_a_first_number():
+    hashes = np.arange(5, dtype=np.uint64)
+    first = near._signature(hashes)
+    assert near._signature(hashes, frozenset({first})) == near._second(hashes) != first
+
+
+def test_keep_one_with_any_column_names(spark):
+    rows = [(1, "a b c d e f", 1, 2, 3, 4, 5), (2, "a b c d e f", 1, 2, 3, 4, 5), (3, None, 1, 2, 3, 4, 5)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, _h1 long, _H2 long, _id long, _last long, root long")
+    got = near.keep_one(frame)
+    assert got.columns == frame.columns and {tuple(r) for r in got.collect()} == {rows[0], rows[2]}
+
+
 def test_keep_one(docs, none):
     rows = near.keep_one(docs).collect()
     want = {i for i, _, c in brute_components(odd_rows()) if i == c or c is None and i is None}
@@ -253,6 +294,32 @@ def test_media(docs, none):
     assert media.describe(none).count() == 0
 
 
+def plain_fingerprints(samples: bytes) -> list[int]:
+    """The peak pairs by a plain transform of one frame at a time."""
+    x = np.frombuffer(samples, np.uint8).astype(np.float32)
+    peaks = []
+    for at in range(0, len(x) - 191, 96):
+        power = np.abs(np.fft.rfft((x[at : at + 192] - 128) * np.hanning(192).astype(np.float32)))
+        peaks.append([lo + int(power[lo:hi].argmax()) for lo, hi in ((1, 8), (8, 24), (24, 97))])
+    return [k << 24 | peaks[k][b] << 16 | peaks[k + 1][(b + d) % 3] << 8 | (2 * b + d) for k in range(len(peaks) - 1) for b in range(3) for d in (0, 1)] or [p << 16 | b for b, p in enumerate(peaks[0])]
+
+
+def test_media_of_long_texts(spark):
+    """Past one block of frames; clashing columns; repeated rows."""
+    rng = random.Random(9)
+    long = "".join(rng.choice("abc def.\n") for _ in range(media.BLOCK * media.HOP + 5000))
+    rows = [(1, long, b"w"), (2, "short", b"w"), (2, "short", b"w")]
+    got = media.describe(spark.createDataFrame(rows, "doc_id long, text string, wav binary")).collect()
+    assert len(got) == 3
+    for r in got:
+        _, samples = media.read_wav(bytes(r.wav))
+        marks = plain_fingerprints(samples)
+        assert samples.rstrip() == dict((i, t) for i, t, _ in rows)[r.doc_id].encode().rstrip() and r.fingerprints == marks
+        kinds = [m & 0xFFFFFF for m in marks]
+        best = sorted(set(kinds), key=lambda k: (-kinds.count(k), k))[:8] if len(kinds) < 100 else None
+        assert best is None or r.feature == ",".join(f"{k:06x}:{kinds.count(k)}@{kinds.index(k)  // 6 if len(kinds) > 3 else 0}" for k in best)
+
+
 def test_fingerprint_finds_a_tone():
     t = np.arange(8000)
     tone = (128 + 100 * np.sin(2 * np.pi * 1000 * t / media.RATE)).astype(np.uint8)
@@ -342,6 +409,21 @@ def test_leaks_thorough(spark):
     assert next(r for r in got if r.doc_id == len(docs) - 1).first_word == 300
 
 
+def test_leaks_of_odd_rows(spark):
+    """Ids that are null or repeated, a long text, extra columns of the operator's own names."""
+    rng = random.Random(6)
+    words = [f"w{k}" for k in range(500)]
+    item = [rng.choice(words) for _ in range(30)]
+    filler = lambda n: [rng.choice(words) for _ in range(n)]
+    texts = [(None, filler(70) + item), (None, filler(300)), (None, filler(3) + item[:15]), (5, filler(40_000) + item + filler(9)), (5, filler(80)), (6, []), (7, item)]
+    docs = [(i, " ".join(t)) for i, t in texts] + [(7, " ".join(item)), (8, None)]
+    frame = spark.createDataFrame([(*d, 1, 2, 3, 4, 5) for d in docs], "doc_id long, text string, h long, at long, block long, words long, item_id long").repartition(2)
+    tests = spark.createDataFrame([(1, " ".join(item), 0), (None, " ".join(item[5:25]), 0)], "item_id long, text string, h long")
+    for thorough, brute in ((False, brute_leaks), (True, brute_thorough)):
+        got = decontaminate.leaks(frame, tests, thorough=thorough).collect()
+        assert plain((r.doc_id, r.item_id) for r in got) == plain(brute([d for d in docs if d[0] != 5 or len(d[1]) < 1000], [(1, " ".join(item)), (None, " ".join(item[5:25]))]) | {(5, 1), (5, None)})
+
+
 def test_short_masks_are_lossless():
     """Any substitutions of a fifth of 5 to 13 words leave one mask whole somewhere."""
     from itertools import combinations
@@ -372,6 +454,23 @@ def test_pages(spark):
     assert html_text.extract(rows).count() == 5 and html_text.extract(rows.limit(0)).count() == 0
 
 
+def test_deep_and_long_pages(spark):
+    """Very many open tags are read in a time that grows with the page; no text is lost."""
+    import time
+
+    deep = ["<div>" * 100_000 + "deep text" + "</div>" * 100_000, "<b>" * 50_000 + "bold</i>" * 500, "<ul><li>" * 30_000 + "item", "<p><i>" * 30_000 + "para"]
+    for page, words in zip(deep, ("deep text", "bold " * 500, "item", "para"), strict=True):
+        began = time.process_time()
+        found = dom.Page(page)
+        html_text.Batch([found])
+        assert time.process_time() - began < 20
+        assert "".join("".join(t for _, t in found.pieces).split()) == words.replace(" ", "")
+    article = "<article>" + "".join(f"<p>Sentence number {k} of a long article, with words.</p>" for k in range(20_000)) + "</article>"
+    rows = spark.createDataFrame([(1, "u", article, "x", 3), (2, "u", deep[0], "y", 4)], "page_id long, url string, html string, text string, n_chars int")
+    got = {r.page_id: r for r in html_text.extract(rows).collect()}
+    assert got[1].n_chars == len(got[1].text) and got[1].text.count("\n") == 19_999 and got[1].text.endswith("number 19999 of a long article, with words.")
+
+
 @pytest.mark.parametrize("name", ["svg", "math", "canvas", "video", "audio", "object", "select", "template", "noscript"])
 @pytest.mark.parametrize("form", ["<{}/>", "<{}>", "<{}>inside</{}>", "<{}><title/></{}>"])
 def test_elements_that_lose_no_text(name, form):
@@ -463,6 +562,39 @@ def test_classifiers_on_held_out_rows(spark, module, label, least):
     assert module.score(docs, none).count() == 504
 
 
+@pytest.mark.parametrize(("module", "label"), [(quality, "quality"), (toxicity, "toxic")])
+def test_classifiers_on_odd_rows(spark, module, label):
+    """Repeated rows, a very long text, clashing columns; ids labelled both ways or with
+    several texts give the same model however the rows are dealt."""
+    docs, labels = labelled_tables(spark)
+    long = " ".join(r.text for r in docs.filter("doc_id < 400").collect()) * 12
+    more = spark.createDataFrame([(1, "another text of this id"), (77_000, long), (77_001, "x" * 600_000), (77_002, "zorkblat"), (77_002, "zorkblat")], docs.schema)
+    both = spark.createDataFrame([(3, 0, 1), (3, 1, 0), (77_000, 1, 0)], labels.schema)
+    docs, labels = docs.union(more).withColumns({"score": F.lit("own"), "label": F.lit(1)}), labels.union(both)
+    one, two = (module.fit(docs.repartition(n), labels.repartition(n)) for n in (1, 5))
+    rows = [sorted(((r.doc_id or -1, round(r.score, 9)) for r in module.score(docs, m).collect())) for m in (one, two)]
+    assert rows[0] == rows[1] and len(rows[0]) == 509
+    assert len({x for x in rows[0] if x[0] == 77_002}) == 1
+    assert set(module.keep(docs, one).columns) == set(docs.columns)
+
+
+def test_long_text_scores_as_its_words(spark):
+    """A text that is cut scores as it does in one piece."""
+    docs, labels = labelled_tables(spark)
+    model = toxicity.fit(docs, labels)
+    text = " ".join(r.text for r in docs.filter("doc_id < 200").collect()).encode()
+    assert len(list(spans.cuts(text, 500))) > 10 and b"".join(text[a:b] for a, b in spans.cuts(text, 500)) == text
+    whole = model.features(text, np.array([len(text)]))
+    toxicity_slice, toxicity.SLICE_BYTES = toxicity.SLICE_BYTES, 500
+    try:
+        assert np.allclose(model.long_features(text), whole)
+    finally:
+        toxicity.SLICE_BYTES = toxicity_slice
+    buckets, of_word, first = toxicity.grams(text, np.array([len(text)]))
+    value, count, again = toxicity.word_sums(model.weights, text, np.array([len(text)]))
+    assert np.array_equal(first, again) and np.array_equal(count, np.diff(of_word)) and np.allclose(value, np.add.reduceat(model.weights[buckets], of_word[:-1]), atol=1e-4)
+
+
 def test_registered_queries():
     names = sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.queries())
     assert names == list(range(1, 11))
