@@ -206,14 +206,19 @@ def hotspots(rows: DataFrame, eps_m: float = 500.0, least: int = 3, hours: int =
 def density_clusters(points: DataFrame, eps_m: float, least: int) -> DataFrame:
     """id, species_slug, bucket, cluster: core points (at least ``least`` points within
     reach, with themselves) that reach each other, and the points that they reach. The
-    cluster is named after its smallest core id; labels spread until they settle."""
+    cluster is named after its smallest core id; labels spread until they settle.
+
+    Points of one place are one weighted place throughout, so that a device that reports
+    from one spot makes no pairs with itself."""
     shared_folder(points.sparkSession)
     keys = ["species_slug", "bucket"]
-    pairs = neighbours(points, eps_m, keys).checkpoint()
-    core = pairs.groupBy(*keys, "id").agg(F.count("*").alias("n")).filter(F.col("n") >= least - 1).select(*keys, "id").checkpoint()
-    alone = core if least > 1 else points.select(*keys, "id")
-    links = pairs.join(alone, [*keys, "id"]).join(alone.withColumnRenamed("id", "other"), [*keys, "other"]).checkpoint()
-    label = alone.withColumn("cluster", F.col("id")).checkpoint()
+    places = points.groupBy(*keys, "lat", "lon").agg(F.min("id").alias("id"), F.count("*").alias("n")).checkpoint()
+    weights = places.select(*keys, F.col("id").alias("other"), "n")
+    pairs = neighbours(places, eps_m, keys).checkpoint()
+    around = pairs.join(weights, [*keys, "other"]).groupBy(*keys, "id").agg(F.sum("n").alias("more"))
+    core = places.join(around, [*keys, "id"], "left").filter(F.col("n") + F.coalesce("more", F.lit(0)) >= least).select(*keys, "id").checkpoint()
+    links = pairs.join(core, [*keys, "id"]).join(core.withColumnRenamed("id", "other"), [*keys, "other"]).checkpoint()
+    label = core.withColumn("cluster", F.col("id")).checkpoint()
     changed_ = 1
     while changed_:
         near = links.join(label.select(*keys, F.col("id").alias("other"), F.col("cluster").alias("c")), [*keys, "other"]).groupBy(*keys, "id").agg(F.min("c").alias("c"))
@@ -222,8 +227,9 @@ def density_clusters(points: DataFrame, eps_m: float, least: int) -> DataFrame:
         fresh = fresh.join(jump, [*keys, "to"]).select(*keys, "id", "cluster", F.least("to", "far").alias("to")).checkpoint()
         changed_ = fresh.filter("cluster <> to").limit(1).count()
         label = fresh.select(*keys, "id", F.col("to").alias("cluster"))
-    border = pairs.join(label.withColumnRenamed("id", "other"), [*keys, "other"]).join(alone, [*keys, "id"], "left_anti").groupBy(*keys, "id").agg(F.min("cluster").alias("cluster"))
-    return label.unionByName(border)
+    border = pairs.join(label.withColumnRenamed("id", "other"), [*keys, "other"]).join(core, [*keys, "id"], "left_anti").groupBy(*keys, "id").agg(F.min("cluster").alias("cluster"))
+    found = label.unionByName(border).join(places.select(*keys, "id", "lat", "lon"), [*keys, "id"]).drop("id")
+    return points.select(*keys, "id", "lat", "lon").join(found, [*keys, "lat", "lon"]).select(*keys, "id", "cluster")
 
 
 def features(rows: DataFrame, geometry: Column, *properties: str) -> DataFrame:

@@ -29,7 +29,7 @@ def _same(name: str, as_: str) -> None:
 
 for _name, _as in {
     "join_cell_covered": "geo_cell_covered", "agg_grid": "geo_grid_heatmap", "agg_hotspot_stats": "geo_hotspots", "win_prev_chunk": "join_prev_chunk", "win_mobile_confirm_gap": "vote_mobile",
-    "snk_device_events": "str_gap_event", "str_clock_skew": "flt_chunk_valid", "ml_report": "agg_class_report", "dml_mobile": "dml_mobile_retention", "dml_register": "dml_latest_view", "dml_consent": "dml_upsert", "src_audio_decode": "src_audio_sniff",
+    "snk_device_events": "str_gap_event", "str_clock_skew": "flt_chunk_valid", "ml_report": "agg_class_report", "dml_mobile": "dml_mobile_retention", "dml_register": "dml_latest_view", "dml_consent": "dml_upsert",
 }.items():
     _same(_name, _as)
 
@@ -40,6 +40,22 @@ def src_chunk_upload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.chunk_fields(rows, 9).withColumn("size_bytes", F.col("size_bytes").cast("bigint"))
 
 
+@query("SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN 'unsupported: flac' WHEN vec_id % 5 = 0 THEN 'damaged' END AS reason, CASE WHEN vec_id % 7 <> 0 AND vec_id % 5 <> 0 THEN 64 END AS samples, CASE WHEN vec_id % 7 <> 0 AND vec_id % 5 <> 0 THEN round(list_sum(list_transform(embedding, lambda x: floor(x::DOUBLE * 1000) / 32768)) / 64, 5) END AS mean FROM embeddings")
+def src_audio_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recordings of 64 samples, made of the table's arrays, some of them damaged or of
+    another format, decoded to mono samples."""
+
+    @F.pandas_udf("binary")
+    def recording(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: files.encode_wav((v.astype(float) * 1000 // 1).astype("<i2"), 8000))
+
+    content = recording("embedding")
+    content = F.when(F.col("vec_id") % 7 == 0, F.lit(b"fLaC....")).when(F.col("vec_id") % 5 == 0, F.substring(content, 1, 20)).otherwise(content)
+    rows = files.decoded_audio(fx.table(spark, sf_dir, "embeddings").select("vec_id", content.alias("content")), "vec_id", 8000)
+    total = F.aggregate("samples", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return rows.select("vec_id", "reason", F.when(F.col("samples").isNotNull(), F.size("samples")).alias("samples"), F.round(total / 64, 5).alias("mean"))
+
+
 @query("SELECT * FROM (VALUES ('1', 'A', 'russia'), ('2', 'C', 'finland')) t(id, q, cnt)")
 def src_xenocanto(spark: SparkSession, sf_dir: str) -> DataFrame:
     saved = spark.createDataFrame([('{"recordings": [{"id": "1", "q": "A", "cnt": "russia"}, {"id": "2", "q": "C", "cnt": "finland"}]}',)], "value string")
@@ -91,7 +107,7 @@ def _written(spark: SparkSession, sf_dir: str, raw: bool) -> DataFrame:
     frame.write.parquet(f"{folder}/in")
     stream = pipelines.read_stream(spark, f"{folder}/in", frame.schema)
     pipelines.write_detections(stream, f"{folder}/out", f"{folder}/state", f"{folder}/raw" if raw else None).awaitTermination()
-    return spark.read.schema(frame.schema).parquet(f"{folder}/{'raw' if raw else 'out'}")
+    return spark.read.parquet(f"{folder}/{'raw' if raw else 'out'}").select(frame.columns)
 
 
 @query("SELECT id, device_id, species_slug FROM detections", _D)
@@ -238,5 +254,10 @@ def dml_finalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT DISTINCT species_slug, count(*) OVER (PARTITION BY species_slug) AS pairs FROM (SELECT a.species_slug FROM detections a JOIN detections b ON a.species_slug = b.species_slug AND a.id <> b.id AND a.lat = b.lat AND a.lon = b.lon)", _D)
 def join_same_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points of one place are counted, not paired; other places within reach are paired."""
+    shared_folder(spark)
     rows = fx.detections(spark, sf_dir).filter("lat is not null")
-    return neighbours(rows, 0.5, ["species_slug"]).groupBy("species_slug").agg(F.count("*").alias("pairs"))
+    places = rows.groupBy("species_slug", "lat", "lon").agg(F.min("id").alias("id"), F.count("*").alias("n")).checkpoint()
+    near = neighbours(places, 0.5, ["species_slug"]).join(places.select("id", "n"), "id").join(places.select(F.col("id").alias("other"), F.col("n").alias("m")), "other")
+    pairs = near.select("species_slug", (F.col("n") * F.col("m")).alias("pairs")).union(places.filter("n > 1").select("species_slug", (F.col("n") * (F.col("n") - 1)).alias("pairs")))
+    return pairs.groupBy("species_slug").agg(F.sum("pairs").alias("pairs"))

@@ -33,9 +33,9 @@ def join_species_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.with_species_name(fx.detections(spark, sf_dir), _species(spark, sf_dir)).select("id", "species_slug", "ru", "habitat")
 
 
-@query("SELECT d.id, d.device_id, coalesce(v.name, d.device_id::VARCHAR) AS name FROM detections d LEFT JOIN (SELECT * FROM devices WHERE device_id % 7 <> 0) v ON v.device_id = d.device_id", ("detections", "devices"))
+@query("SELECT d.id, d.device_id, coalesce(v.name, d.device_id::VARCHAR) AS name FROM detections d LEFT JOIN devices v ON v.device_id = d.device_id", ("detections", "devices"))
 def join_device_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return joins.with_device_name(fx.detections(spark, sf_dir), fx.devices(spark, sf_dir).filter("device_id % 7 <> 0")).select("id", "device_id", "name")
+    return joins.with_device_name(fx.detections(spark, sf_dir), fx.devices(spark, sf_dir)).select("id", "device_id", "name")
 
 
 @query("SELECT d.id, d.device_id, round(CASE WHEN v.device_type = 'mobile' THEN d.lat ELSE v.lat END, 6) AS lat, round(CASE WHEN v.device_type = 'mobile' THEN d.lon ELSE v.lon END, 6) AS lon FROM detections d LEFT JOIN devices v ON v.device_id = d.device_id", ("detections", "devices"))

@@ -37,14 +37,14 @@ def topk_grid_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return zones.grid(_located(spark, sf_dir)).orderBy(F.desc("cnt"), "cell").limit(20).select("cell", "cnt")
 
 
-_COVERED = f"""SELECT c.cell, coalesce(bool_or(2 * 6371008.8 * asin(least(1.0, sqrt(pow(sin(radians(nlat - v.lat) / 2), 2) + cos(radians(v.lat)) * cos(radians(nlat)) * pow(sin(radians(clon + greatest(-180 / 32768.0, least(180 / 32768.0, (v.lon - clon) / cos(radians(nlat)))) - v.lon) / 2), 2)))) <= 300.0), FALSE) AS covered
+_COVERED = f"""SELECT c.cell, coalesce(bool_or(2 * 6371008.8 * asin(least(1.0, sqrt(pow(sin(radians(nlat - v.lat) / 2), 2) + cos(radians(v.lat)) * cos(radians(nlat)) * pow(sin(radians(clon + greatest(-180 / 32768.0, least(180 / 32768.0, (v.lon - clon) / cos(radians(nlat)))) - v.lon) / 2), 2)))) <= 50.0), FALSE) AS covered
   FROM (SELECT DISTINCT cell, floor((lat + 90) / 180 * 32768) * 180 / 32768 - 90 + 90 / 32768.0 AS clat, floor((lon + 180) / 360 * 32768) * 360 / 32768 - 180 + 180 / 32768.0 AS clon FROM {_CELLS}) c
-  CROSS JOIN (SELECT DISTINCT lat, lon FROM devices WHERE is_active AND device_id % 5 = 1) v, LATERAL (SELECT least(greatest(v.lat, clat - 90 / 32768.0), clat + 90 / 32768.0) AS nlat) GROUP BY 1"""
+  CROSS JOIN (SELECT DISTINCT lat, lon FROM devices WHERE is_active) v, LATERAL (SELECT least(greatest(v.lat, clat - 90 / 32768.0), clat + 90 / 32768.0) AS nlat) GROUP BY 1"""
 
 
 def _covered(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = zones.grid(_located(spark, sf_dir)).select("cell")
-    return zones.covered_cells(cells, fx.devices(spark, sf_dir).filter("device_id % 5 = 1"), 300.0)
+    return zones.covered_cells(cells, fx.devices(spark, sf_dir), 50.0)
 
 
 @query(_COVERED, ("detections", "devices"))
@@ -121,27 +121,23 @@ def geo_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return zones.spread(_located(spark, sf_dir)).select(F.round("spread", 3).alias("spread"))
 
 
-_KDE = """WITH o AS (SELECT avg(lat) AS lat0, avg(lon) AS lon0, sum(confidence) AS t FROM detections WHERE lat IS NOT NULL AND device_id <= 20),
-  p AS (SELECT (lon - lon0) * 111320 * cos(radians(lat0)) AS x, (lat - lat0) * 111320 AS y, confidence / t AS w FROM detections, o WHERE lat IS NOT NULL AND device_id <= 20),
+_KDE = """WITH o AS (SELECT avg(lat) AS lat0, avg(lon) AS lon0, sum(confidence) AS t FROM detections WHERE lat IS NOT NULL),
+  p AS (SELECT (lon - lon0) * 111320 * cos(radians(lat0)) AS x, (lat - lat0) * 111320 AS y, confidence / t AS w FROM detections, o WHERE lat IS NOT NULL),
   m AS (SELECT sum(w * x) AS mx, sum(w * y) AS my, sum(w * w) AS w2, sum(w * x * x) AS xx, sum(w * y * y) AS yy, sum(w * x * y) AS xy, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM p),
   c AS (SELECT *, (xx - mx * mx) * f AS cxx, (yy - my * my) * f AS cyy, (xy - mx * my) * f AS cxy FROM (SELECT *, pow(500 / greatest(x1 - x0, y1 - y0), 2) / (1 - w2) AS f FROM m)),
   g AS (SELECT c.*, cxx * cyy - cxy * cxy AS det, i::INT AS gx, j::INT AS gy, x0 - 500 + i * (x1 - x0 + 1000) / 7 AS px, y0 - 500 + j * (y1 - y0 + 1000) / 7 AS py FROM c, range(8) a(i), range(8) b(j))
   SELECT gx, gy, round(1e9 * sum(w * exp(-0.5 * (cyy * (px - x) * (px - x) - 2 * cxy * (px - x) * (py - y) + cxx * (py - y) * (py - y)) / det) / (2 * pi() * sqrt(det))), 3) AS density FROM g, p GROUP BY 1, 2"""
 
 
-def _few(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _located(spark, sf_dir).filter("device_id <= 20")
-
-
 @query(_KDE.replace("WITH o AS", "SELECT * FROM (WITH o AS", 1) + ")", _D)
 def geo_kde(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = zones.kde(_few(spark, sf_dir), 500.0, size=8, fold_m=0)
+    k = zones.kde(_located(spark, sf_dir), 500.0, size=8, fold_m=0)
     return k.select("gx", "gy", F.round(F.col("density") * 1e9, 3).alias("density"))
 
 
 @query()
 def geo_contour(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return zones.contours(zones.kde(_few(spark, sf_dir), 500.0, size=32))
+    return zones.contours(zones.kde(_located(spark, sf_dir), 500.0, size=32))
 
 
 @query()

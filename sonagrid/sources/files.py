@@ -61,17 +61,55 @@ def resample(samples: np.ndarray, rate: int, to: int) -> np.ndarray:
 
 
 def decode_wav(content: bytes, rate: int = 32_000) -> np.ndarray:
-    """Mono float samples of a PCM WAV file at ``rate``; the mean of its channels."""
-    with wave.open(io.BytesIO(content), "rb") as f:
-        width, channels, own = f.getsampwidth(), f.getnchannels(), f.getframerate()
-        raw = f.readframes(f.getnframes())
+    """Mono float samples of a PCM WAV file of 8 to 32 bits at ``rate``; the mean of its
+    channels. Raises ValueError for a file that cannot be read."""
+    try:
+        with wave.open(io.BytesIO(content), "rb") as f:
+            width, channels, own = f.getsampwidth(), f.getnchannels(), f.getframerate()
+            raw = f.readframes(f.getnframes())
+    except (wave.Error, EOFError) as e:
+        raise ValueError("damaged") from e
+    raw = raw[: len(raw) // (width * channels) * width * channels]
     if width == 1:
         x = (np.frombuffer(raw, np.uint8).astype(np.float32) - 128) / 128
+    elif width == 3:  # as the upper bytes of 32-bit numbers
+        wide = np.zeros((len(raw) // 3, 4), np.uint8)
+        wide[:, 1:] = np.frombuffer(raw, np.uint8).reshape(-1, 3)
+        x = wide.view("<i4").reshape(-1).astype(np.float32) / (1 << 31)
     else:
         x = np.frombuffer(raw, {2: "<i2", 4: "<i4"}[width]).astype(np.float32) / (1 << (8 * width - 1))
     return resample(x.reshape(-1, channels).mean(axis=1), own, rate)
 
 
+def encode_wav(samples: np.ndarray, rate: int) -> bytes:
+    """Mono 16-bit samples as a WAV file."""
+    out = io.BytesIO()
+    with wave.open(out, "wb") as f:
+        f.setnchannels(1)
+        f.setsampwidth(2)
+        f.setframerate(rate)
+        f.writeframes(samples.astype("<i2").tobytes())
+    return out.getvalue()
+
+
+def decoded_audio(rows: DataFrame, key: str, rate: int = 32_000) -> DataFrame:
+    """key, samples (mono, at ``rate``), reason for each row's ``content``. Bytes that are no
+    WAV file, or a damaged one, have no samples but a reason; they fail no job."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            found: list = []
+            for content, kind in zip(frame["content"], frame["kind"], strict=True):
+                try:
+                    found.append((decode_wav(bytes(content), rate), None) if kind == "wav" else (None, f"unsupported: {kind}"))
+                except ValueError as e:
+                    found.append((None, str(e)))
+            yield pd.DataFrame({key: frame[key], "samples": [x for x, _ in found], "reason": [r for _, r in found]})
+
+    kind = F.coalesce(sniff_format("content"), F.lit("nothing")).alias("kind")
+    return rows.select(key, "content", kind).mapInPandas(run, f"{key} {dict(rows.dtypes)[key]}, samples array<float>, reason string")
+
+
 def log_mel(samples: np.ndarray, rate: int = 32_000, size: int = 1024, hop: int = 320, bands: int = 128) -> np.ndarray:
     """Z-scored log-mel spectrogram (HTK scale) of samples, bands by frames."""
     x = np.pad(samples, size // 2)
@@ -101,12 +139,16 @@ def rolled(values: Column, by: int) -> Column:
 
 def audio_features(files: DataFrame, rate: int = 32_000, clip_sec: float = 5.0, stride_sec: float = 2.5) -> DataFrame:
     """path, idx, start_sec, mel for each analysis window of a file. The content column is
-    dropped in the same stage, so audio is never shuffled."""
+    dropped in the same stage, so audio is never shuffled. Files that cannot be read have no
+    windows; ``decoded_audio`` says why."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for path, content in zip(frame["path"], frame["content"], strict=True):
-                x = decode_wav(content, rate)
+                try:
+                    x = decode_wav(content, rate)
+                except ValueError:
+                    continue
                 size, step = int(clip_sec * rate), int(stride_sec * rate)
                 x = np.pad(x, (0, max(0, size - len(x))))
                 starts = list(range(0, len(x) - size + 1, step))

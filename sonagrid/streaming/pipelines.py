@@ -110,15 +110,26 @@ def seam_dedup(detections: DataFrame, least: float = 0.5, late: str = "7 days")
     return rows.groupBy("device_id", "species_slug").applyInPandasWithState(run, _SEAM, _SEAM_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def write_detections(stream: DataFrame, path: str, checkpoint: str, raw_path: str | None = None, on_batch: Callable[[DataFrame, int], None] | None = None):
-    """Appends each micro-batch to a table (and a raw copy if asked), then calls
-    ``on_batch``, for alerts or automatic batches. Returns the started query."""
+def detection_sink(path: str, raw_path: str | None = None, on_batch: Callable[[DataFrame, int], None] | None = None) -> Callable[[DataFrame, int], None]:
+    """Writes a micro-batch to the part of a table that has its number (and a raw copy if
+    asked), then calls ``on_batch``, for alerts or automatic batches. A batch that comes
+    again after a failure takes the place of what it wrote before."""
 
     def sink(batch: DataFrame, number: int) -> None:
-        batch.write.mode("append").parquet(path)
-        if raw_path:
-            batch.write.mode("append").parquet(raw_path)
+        several = raw_path or on_batch
+        if several:
+            batch = batch.persist()  # it is computed once for all that follows
+        for folder in filter(None, (path, raw_path)):
+            batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")
         if on_batch:
             on_batch(batch, number)
+        if several:
+            batch.unpersist()
+
+    return sink
 
-    return stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+def write_detections(stream: DataFrame, path: str, checkpoint: str, raw_path: str | None = None, on_batch: Callable[[DataFrame, int], None] | None = None):
+    """Starts a query that hands each micro-batch to ``detection_sink``; the table has a
+    partition column ``batch``."""
+    return stream.writeStream.foreachBatch(detection_sink(path, raw_path, on_batch)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

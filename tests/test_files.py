@@ -36,6 +36,27 @@ def test_dataset_folder_and_features(spark, tmp_path):
     assert {r.audio_format for r in fields} == {"wav"} and all(len(r.sha256) == 64 and r.accepted for r in fields)
 
 
+def test_decoded_audio_of_any_bytes(spark):
+    """8 to 32 bits, two channels, another rate; damaged and foreign bytes become a reason."""
+    def made(width: int, channels: int = 1, rate: int = 8000) -> bytes:
+        out, x = io.BytesIO(), np.repeat(np.sin(np.arange(800) / 20) * 0.5, channels)
+        raw = {1: lambda: (x * 128 + 128).astype(np.uint8).tobytes(), 2: lambda: (x * 32768).astype("<i2").tobytes(), 3: lambda: b"".join(int(v * (1 << 23)).to_bytes(3, "little", signed=True) for v in x), 4: lambda: (x * (1 << 31)).astype("<i4").tobytes()}[width]()
+        with wave.open(out, "wb") as f:
+            f.setnchannels(channels)
+            f.setsampwidth(width)
+            f.setframerate(rate)
+            f.writeframes(raw)
+        return out.getvalue()
+
+    good = [made(1), made(2), made(3), made(4), made(2, 2), made(2, 1, 4000)]
+    rows = [(k, c) for k, c in enumerate([*good, made(2)[:30], b"RIFF....WAVE", b"fLaC", b"", None])]
+    got = {r.k: r for r in files.decoded_audio(spark.createDataFrame(rows, "k int, content binary"), "k", 8000).collect()}
+    assert [len(got[k].samples) for k in range(6)] == [800] * 5 + [1600]
+    for k in range(5):
+        assert np.allclose(got[k].samples, np.sin(np.arange(800) / 20) * 0.5, atol=0.01)
+    assert [(got[k].samples, got[k].reason) for k in range(6, 11)] == [(None, "damaged"), (None, "damaged"), (None, "unsupported: flac"), (None, "unsupported: unknown"), (None, "unsupported: nothing")]
+
+
 def test_registry_manifest_and_rest(spark, tmp_path):
     (tmp_path / "r.json").write_text('{"a": {"ru": "A", "habitat": "wetland"}}')
     assert files.registry_file(spark, str(tmp_path / "r.json")).collect()[0].habitat == "wetland"

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sonagrid.functions import geo, text, time
-from sonagrid.operators import aggregates, dataset, filters, ingest, voting, zones
+from sonagrid.operators import aggregates, dataset, filters, ingest, joins, voting, zones
 from sonagrid.operators.filters import ObservationFilter
 
 T0 = datetime(2024, 5, 1, 6, 0, 0)
@@ -202,6 +202,40 @@ def test_hotspots_find_two_groups(spark):
         assert sorted(r.detections for r in found) == [4, 6]
 
 
+def test_clusters_equal_brute_force(spark):
+    """Density clusters with many points of one place, against a plain search."""
+    import random
+    from math import asin, cos, radians, sin, sqrt
+
+    rng = random.Random(4)
+    spots = [(59.9 + rng.randrange(40) * 4e-4, 41.1 + rng.randrange(40) * 8e-4) for _ in range(60)]
+    points = [(i, rng.choice("ab"), rng.choice([*spots, spots[0], spots[0]])) for i in range(160)]
+    frame = spark.createDataFrame([(i, s, 1, *x) for i, s, x in points], "id long, species_slug string, bucket int, lat double, lon double")
+
+    def apart(p, q):
+        (a, b), (c, d) = (map(radians, x) for x in (p, q))
+        return 2 * geo.EARTH_M * asin(sqrt(sin((c - a) / 2) ** 2 + cos(a) * cos(c) * sin((d - b) / 2) ** 2))
+
+    for eps, least in ((120.0, 3), (200.0, 5), (50.0, 1)):
+        near = {i: {j for j, t, y in points if t == s and apart(x, y) <= eps} for i, s, x in points}
+        core = {i for i in near if len(near[i]) >= least}
+        label = {i: i for i in core}
+        while True:
+            after = {i: min(label[j] for j in near[i] & core) for i in core}
+            if after == label:
+                break
+            label = after
+        want = label | {i: min(label[j] for j in near[i] & core) for i in near if i not in core and near[i] & core}
+        got = {r.id: r.cluster for r in zones.density_clusters(frame, eps, least).collect()}
+        assert got == want
+
+
+def test_missing_device_goes_by_its_id(spark):
+    devices = spark.createDataFrame([("dev_a", "North")], "device_id string, name string")
+    rows = detections(spark, [(1, "dev_a", "s", 0.9, 0, 1.0, 1.0), (2, "dev_b", "s", 0.9, 0, 1.0, 1.0)])
+    assert {r.id: r.name for r in joins.with_device_name(rows, devices).collect()} == {1: "North", 2: "dev_b"}
+
+
 def test_chunk_rejection(spark):
     rows = chunks(spark, [(0, 60), (0, 10), (0, 200), (0, 0)])
     found = rows.select("id", filters.chunk_rejection(F.lit(T0 + timedelta(seconds=90))).alias("why")).collect()
