@@ -32,8 +32,16 @@ def csv_lines(rows: DataFrame, sep: str = ",") -> DataFrame:
 
 
 def mobile_csv_rows(rows: DataFrame) -> DataFrame:
-    num = lambda c: F.coalesce(F.format_string("%.3f", F.col(c)), F.lit(""))
-    return rows.select(F.col("id").cast("string").alias("id"), "species_slug", num("confidence").alias("confidence"), _stamp("window_start_ts").alias("start"), F.when(F.col("lat").isNull(), "").otherwise(num("lat")).alias("lat"), F.when(F.col("lon").isNull(), "").otherwise(num("lon")).alias("lon"))
+    """Twelve text columns of an export on the device: confidence with three places, times
+    in milliseconds, text that may hold a comma in quotes. Needs species names (ru, habitat),
+    votes_count, created_at and corrected."""
+    millis = lambda c: F.unix_millis(F.col(c).cast("timestamp")).cast("string")
+    plain = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(F.coalesce(c, F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+    return rows.select(
+        F.col("id").cast("string").alias("id"), "species_slug", quoted(F.col("ru")).alias("species_ru"), "habitat", F.coalesce(F.format_string("%.3f", F.col("confidence")), F.lit("")).alias("confidence"), plain("votes_count").alias("votes_count"),
+        millis("window_start_ts").alias("window_start_ts"), millis("window_end_ts").alias("window_end_ts"), plain("lat").alias("lat"), plain("lon").alias("lon"), quoted(_stamp("created_at")).alias("created_at_iso"), quoted(F.col("corrected")).alias("user_corrected_species"),
+    )
 
 
 def geojson_rows(rows: DataFrame) -> DataFrame:

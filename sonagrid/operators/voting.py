@@ -19,13 +19,14 @@ def classify(species: Column, prob: Column, threshold: float = THRESHOLD, noise:
     return F.when((species == noise) | (prob < threshold) | species.isNull(), "uncertain").otherwise("detected")
 
 
-def window_starts(duration_sec: Column, clip: float = CLIP_SEC, stride: float = STRIDE_SEC, tail: bool = True) -> Column:
+def window_starts(duration_sec: Column, clip: float = CLIP_SEC, stride: float = STRIDE_SEC, tail: bool = True, least_rest: float = 0.0) -> Column:
     """Starts of the windows of a series; a last one ends with the series if the regular
-    ones leave a rest."""
+    ones leave a rest and more than ``least_rest`` seconds follow the last regular start
+    (half a stride by the rule of the offline tool)."""
     last = F.floor((duration_sec - clip) / stride)
     regular = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0)).cast("int")), lambda i: i * F.lit(stride))
     rest = duration_sec - clip - last * stride
-    with_tail = F.when((duration_sec > clip) & (rest > 0), F.concat(regular, F.array(duration_sec - clip))).otherwise(regular)
+    with_tail = F.when((duration_sec > clip) & (rest > 0) & (rest + clip > least_rest), F.concat(regular, F.array(duration_sec - clip))).otherwise(regular)
     return with_tail if tail else regular
 
 

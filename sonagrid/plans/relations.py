@@ -278,10 +278,18 @@ def snk_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.csv_rows(rows)
 
 
-@query(f"SELECT id::VARCHAR AS id, species_slug, printf('%.3f', confidence) AS confidence, {_STAMP} AS start, coalesce(printf('%.3f', lat + 0.0000071), '') AS lat, coalesce(printf('%.3f', lon + 0.0000071), '') AS lon FROM detections", _D)
+@query(
+    f"""SELECT d.id::VARCHAR AS id, d.species_slug, '"' || coalesce(r.ru, d.species_slug) || '"' AS species_ru, coalesce(r.habitat, 'other') AS habitat, printf('%.3f', confidence) AS confidence, (d.id % 4)::VARCHAR AS votes_count,
+    (epoch_us(window_start_ts) // 1000)::VARCHAR AS window_start_ts, (epoch_us(window_end_ts) // 1000)::VARCHAR AS window_end_ts, CASE WHEN lat IS NULL THEN '' ELSE (d.id % 90)::VARCHAR || '.5' END AS lat, CASE WHEN lat IS NULL THEN '' ELSE (d.id % 170)::VARCHAR || '.25' END AS lon,
+    '"' || {_STAMP} || '"' AS created_at_iso, CASE WHEN d.id % 5 = 0 THEN '"a ""b"", c"' ELSE '""' END AS user_corrected_species FROM detections d LEFT JOIN {_SPECIES} ON r.slug = d.species_slug""",
+    _D,
+)
 def snk_csv_mobile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    off = 0.0000071  # keeps the made coordinates off rounding ties
-    return export.mobile_csv_rows(fx.detections(spark, sf_dir).withColumns({"lat": F.col("lat") + off, "lon": F.col("lon") + off}))
+    """Coordinates that every engine prints alike."""
+    rows = joins.with_species_name(fx.detections(spark, sf_dir), _species(spark, sf_dir))
+    at = lambda n, part: F.when(F.col("lat").isNotNull(), (F.col("id") % n) + part)
+    rows = rows.withColumns({"votes_count": F.col("id") % 4, "created_at": F.col("window_start_ts"), "corrected": F.when(F.col("id") % 5 == 0, 'a "b", c'), "lon": at(170, 0.25), "lat": at(90, 0.5)})
+    return export.mobile_csv_rows(rows)
 
 
 @query("SELECT id, CASE WHEN lat IS NULL THEN 'null' ELSE 'Point' END AS kind, round(lon, 7) AS lon, round(lat, 7) AS lat, species_slug FROM detections", _D)

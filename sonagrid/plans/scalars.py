@@ -220,11 +220,18 @@ def fn_crop_roll(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.table(spark, sf_dir, "embeddings").select("vec_id", F.round(files.crop_or_pad(e, 10)[0], 6).alias("first_cropped"), F.round(files.rolled(e, 5)[0], 6).alias("rolled_first"))
 
 
-@query("SELECT * FROM (VALUES (12.5::DOUBLE, '0.0,2.5,5.0,7.5'), (11.0::DOUBLE, '0.0,2.5,5.0,6.0'), (3.0::DOUBLE, '0.0')) t(dur, starts)")
+def _starts_sql(stride: float, least: float) -> str:
+    last = f"floor((dur - 5) / {stride})"
+    return f"""array_to_string(list_transform(list_transform(range(0, (greatest({last}, 0) + 1)::BIGINT), lambda i: i * {stride}::DOUBLE)
+      || CASE WHEN dur > 5 AND dur - 5 - {last} * {stride} > 0 AND dur - {last} * {stride} > {least} THEN [dur - 5] ELSE [] END, lambda x: printf('%.2f', x)), ',')"""
+
+
+@query(f"SELECT vec_id, {_starts_sql(2.5, 0)} AS starts, {_starts_sql(12, 6)} AS wide FROM (SELECT vec_id, (vec_id % 203) * 0.25::DOUBLE AS dur FROM embeddings)")
 def fn_window_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(12.5,), (11.0,), (3.0,)], "dur double")
-    starts = F.transform(voting.window_starts(F.col("dur")), lambda x: F.format_string("%.1f", x.cast("double")))
-    return rows.select("dur", F.array_join(starts, ",").alias("starts"))
+    """By both rules for the last window; they differ where the stride is over two windows."""
+    rows = fx.table(spark, sf_dir, "embeddings").select("vec_id", (F.col("vec_id") % 203 * 0.25).alias("dur"))
+    text = lambda starts: F.array_join(F.transform(starts, lambda x: F.format_string("%.2f", x.cast("double"))), ",")
+    return rows.select("vec_id", text(voting.window_starts(F.col("dur"))).alias("starts"), text(voting.window_starts(F.col("dur"), stride=12.0, least_rest=6.0)).alias("wide"))
 
 
 @query("SELECT event_id, CAST(regexp_extract(props, '\"k\": *([0-9]+)', 1) AS INT) AS k FROM events")
