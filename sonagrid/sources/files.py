@@ -106,7 +106,7 @@ def decoded_audio(rows: DataFrame, key: str, rate: int = 32_000) -> DataFrame:
                     found.append((None, str(e)))
             yield pd.DataFrame({key: frame[key], "samples": [x for x, _ in found], "reason": [r for _, r in found]})
 
-    kind = F.coalesce(sniff_format("content"), F.lit("nothing")).alias("kind")
+    kind = F.when(F.col("content").isNull(), "nothing").otherwise(sniff_format("content")).alias("kind")
     return rows.select(key, "content", kind).mapInPandas(run, f"{key} {dict(rows.dtypes)[key]}, samples array<float>, reason string")
 
 
