@@ -25,8 +25,8 @@ from sonagrid.llm import ragged, spans
 from sonagrid.llm.store import partitions
 
 BLOCK_BYTES = 4 << 20
-#: Most buckets of distinct words: more would make rows of a few bytes.
-MOST_BUCKETS = 1024
+#: Most buckets of distinct words: more would make rows of a word or two.
+MOST_BUCKETS = 8192
 #: Words whose ids a bucket remembers; beyond that it starts anew.
 REMEMBERED = 500_000
 
@@ -241,13 +241,14 @@ def encode(docs: DataFrame, ranks: str, pattern: str, text: str = "text", key: s
 
     A null or empty text has no ids; repeated rows stay; null ids pass through; other
     columns are not looked at. ``pattern`` must be the one of ``pretoken_starts``."""
-    count = partitions(docs.sparkSession)
-    buckets = min(MOST_BUCKETS, count)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
+    count = partitions(docs.sparkSession, rows)
+    buckets = min(MOST_BUCKETS, count)
     blocks = rows.mapInArrow(_blocks, "block long, doc_ids array<long>, sizes array<long>, texts binary").repartition(count, "block")
     words = blocks.mapInArrow(_spread(buckets), "block long, bucket int, words binary")
     ids = words.repartition(count, "bucket").mapInArrow(_encoded(ranks, pattern), "block long, bucket int, ids binary")
     table = _token_bytes(docs.sparkSession, ranks) if decoded else None
+    # a bucket's rows are worked on one batch at a time, so its memory is that of one batch
     return blocks.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(_assembled(buckets, table), "doc_id long, n_tokens long, ids binary" + ", decoded binary" * decoded)
 
 
