@@ -120,6 +120,26 @@ def snk_raw_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _written(spark, sf_dir, raw=True)
 
 
+@query("SELECT id, species_slug FROM detections WHERE CASE WHEN id % 2 = 0 THEN species_slug IN ('click', 'view') ELSE species_slug IN ('view', 'error', 'signup') END", _D)
+def src_registry_reload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two micro-batches (even ids, then odd ones); the registry file changes between."""
+    folder = f"{shared_folder(spark)}/reload-{uuid.uuid4().hex}"
+    frame = fx.detections(spark, sf_dir).select("id", "species_slug")
+    for rest in (0, 1):
+        frame.filter(F.col("id") % 2 == rest).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+
+    def publish(*slugs: str) -> None:
+        text = ", ".join(f'"{s}": {{"ru": "{s}", "habitat": "other"}}' for s in slugs)
+        spark.createDataFrame([("{" + text + "}",)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/registry")
+
+    publish("click", "view")
+    again = lambda batch, number: publish("view", "error", "signup")
+    sink = pipelines.detection_sink(f"{folder}/out", on_batch=again, prepare=pipelines.whitelisted(lambda: files.registry_file(spark, f"{folder}/registry")))
+    stream = pipelines.read_stream(spark, f"{folder}/in", frame.schema, per_trigger=1)
+    stream.writeStream.foreachBatch(sink).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("id", "species_slug")
+
+
 @query("SELECT device_id, name || ' is silent since ' || strftime(last_seen_at, '%H:%M') || ' (' || floor(silence_sec / 60)::BIGINT || ' min)' AS msg FROM (" + relations._STALE + ")", ("devices",))
 def snk_alert(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = relations._stale(spark, sf_dir)

@@ -110,12 +110,14 @@ def seam_dedup(detections: DataFrame, least: float = 0.5, late: str = "7 days")
     return rows.groupBy("device_id", "species_slug").applyInPandasWithState(run, _SEAM, _SEAM_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def detection_sink(path: str, raw_path: str | None = None, on_batch: Callable[[DataFrame, int], None] | None = None) -> Callable[[DataFrame, int], None]:
+def detection_sink(path: str, raw_path: str | None = None, on_batch: Callable[[DataFrame, int], None] | None = None, prepare: Callable[[DataFrame], DataFrame] | None = None) -> Callable[[DataFrame, int], None]:
     """Writes a micro-batch to the part of a table that has its number (and a raw copy if
     asked), then calls ``on_batch``, for alerts or automatic batches. A batch that comes
-    again after a failure takes the place of what it wrote before."""
+    again after a failure takes the place of what it wrote before. ``prepare`` is called for
+    each micro-batch, so that a registry which it reads is read anew each time."""
 
     def sink(batch: DataFrame, number: int) -> None:
+        batch = prepare(batch) if prepare else batch
         several = raw_path or on_batch
         if several:
             batch = batch.persist()  # it is computed once for all that follows
@@ -129,6 +131,11 @@ def detection_sink(path: str, raw_path: str | None = None, on_batch: Callable[[D
     return sink
 
 
+def whitelisted(registry: Callable[[], DataFrame]) -> Callable[[DataFrame], DataFrame]:
+    """Keeps the detections of species that the registry has when it is called."""
+    return lambda batch: batch.join(F.broadcast(registry().select(F.col("slug").alias("species_slug")).distinct()), "species_slug", "left_semi").select(batch.columns)  # a registry has a few hundred rows
+
+
 def write_detections(stream: DataFrame, path: str, checkpoint: str, raw_path: str | None = None, on_batch: Callable[[DataFrame, int], None] | None = None):
     """Starts a query that hands each micro-batch to ``detection_sink``; the table has a
     partition column ``batch``."""
