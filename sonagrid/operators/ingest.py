@@ -90,15 +90,25 @@ def _islands(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.withColumn("island", F.sum(F.when(F.col("s") < F.col("reach"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("reach")
 
 
-def mark_duplicates(detections: DataFrame, least: float = 0.5, keys: tuple[str, ...] = ("device_id", "species_slug")) -> DataFrame:
+def at_seam(detections: DataFrame, zones: DataFrame, margin_sec: float = 1.0) -> DataFrame:
+    """Adds at_seam to detections with a chunk_id: whether the span touches the part of its
+    chunk that the chunk's predecessor has too, give or take ``margin_sec``. ``zones`` is
+    ``overlap_zone`` of the chunks; the inside of a chunk holds no duplicates."""
+    z = zones.select(F.col("id").alias("chunk_id"), "zone_start", "zone_end")
+    touches = (F.col("zone_end") > F.col("zone_start")) & (seconds("window_start_ts") < F.col("zone_end") + margin_sec) & (seconds("window_end_ts") > F.col("zone_start") - margin_sec)
+    return detections.join(z, "chunk_id", "left").withColumn("at_seam", F.coalesce(touches, F.lit(False))).drop("zone_start", "zone_end")
+
+
+def mark_duplicates(detections: DataFrame, least: float = 0.5, keys: tuple[str, ...] = ("device_id", "species_slug"), may: str | None = None) -> DataFrame:
     """id, duplicate_of_id: in the order of (start, id) a detection is a duplicate of the
     first canonical one that it overlaps by ``least`` of the shorter interval. Duplicates
-    absorb nothing.
+    absorb nothing. ``may`` names a boolean column (as of ``at_seam``): where it is not true,
+    a detection is canonical whatever it overlaps.
 
     The fold is sequential, so groups are cut first into runs of overlapping intervals,
     between which nothing can match."""
-    rows = detections.select(*keys, "id", seconds("window_start_ts").alias("s"), seconds("window_end_ts").alias("e"))
-    rows = _islands(rows, list(keys)).groupBy(*keys, "island").agg(F.sort_array(F.collect_list(F.struct("s", "id", "e"))).alias("list"))
+    rows = detections.select(*keys, "id", seconds("window_start_ts").alias("s"), seconds("window_end_ts").alias("e"), (F.coalesce(F.col(may), F.lit(False)) if may else F.lit(True)).alias("may"))
+    rows = _islands(rows, list(keys)).groupBy(*keys, "island").agg(F.sort_array(F.collect_list(F.struct("s", "id", "e", "may"))).alias("list"))
 
     def fraction(a: Column, b: Column) -> Column:
         shared = F.greatest(F.lit(0.0), F.least(a["e"], b["e"]) - F.greatest(a["s"], b["s"]))
@@ -108,7 +118,7 @@ def mark_duplicates(detections: DataFrame, least: float = 0.5, keys: tuple[str,
     start = F.struct(F.slice("list", 1, 0).alias("canon"), F.expr("cast(array() as array<struct<id: bigint, of: bigint>>)").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
-        hit = F.try_element_at(F.filter(acc["canon"], lambda c: fraction(c, x) >= least), F.lit(1))
+        hit = F.try_element_at(F.filter(acc["canon"], lambda c: x["may"] & (fraction(c, x) >= least)), F.lit(1))
         row = F.struct(x["id"].alias("id"), hit["id"].alias("of"))
         return F.struct(F.when(hit.isNull(), F.concat(acc["canon"], F.array(x))).otherwise(acc["canon"]).alias("canon"), F.concat(acc["out"], F.array(row)).alias("out"))
 

@@ -175,6 +175,14 @@ def str_seam_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _duplicates(spark, sf_dir)
 
 
+@query()
+def str_seam_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A detection is of the chunk of its event; only those at the seam can be duplicates."""
+    zones_ = ingest.overlap_zone(ingest.chunk_timing(fx.chunks(spark, sf_dir)))
+    rows = ingest.at_seam(fx.detections(spark, sf_dir).withColumn("chunk_id", F.col("id")), zones_)
+    return ingest.mark_duplicates(rows, may="at_seam")
+
+
 @query()
 def str_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fx.detections(spark, sf_dir).withColumn("chunk_id", F.to_date("window_start_ts"))

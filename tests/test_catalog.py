@@ -86,3 +86,27 @@ def test_sink_takes_a_batch_twice(spark, tmp_path):
     for folder in ("out", "raw"):
         assert sorted(r.id for r in spark.read.parquet(f"{tmp_path}/{folder}").collect()) == list(range(8))
     assert seen == [(0, 5), (1, 3), (1, 3)]
+
+
+@pytest.mark.parametrize("name", ["str_seam_dedup", "str_chunk_dedup", "str_seam_gate"])
+def test_duplicates_equal_a_plain_fold(spark, name):
+    """The queries of duplicates over the whole table against a loop in plain Python."""
+    from sonagrid.operators import ingest
+    from sonagrid.sources import fixtures as fx
+
+    rows = fx.detections(spark, SF).collect()
+    seam = {}
+    if name == "str_seam_gate":
+        seam = {r.id: (r.zone_start, r.zone_end) for r in ingest.overlap_zone(ingest.chunk_timing(fx.chunks(spark, SF))).collect()}
+    second = lambda t: pd.Timestamp(t).timestamp()
+    kept, want = {}, {}
+    for r in sorted(rows, key=lambda r: (r.window_start_ts, r.id)):
+        s, e = second(r.window_start_ts), second(r.window_end_ts)
+        near = kept.setdefault((r.device_id, r.species_slug, r.window_start_ts.date() if name == "str_chunk_dedup" else None), [])
+        a, b = seam.get(r.id, (0.0, 1e18))
+        may = b > a and s < b + 1 and e > a - 1
+        want[r.id] = next((i for i, x, y in near if may and (min(e, y) - max(s, x)) / min(e - s, y - x) >= 0.5), None)
+        if want[r.id] is None:
+            near.append((r.id, s, e))
+    got = {r.id: r.duplicate_of_id for r in catalog.queries()[name](spark, SF).collect()}
+    assert got == want and any(v is not None for v in want.values())

@@ -148,6 +148,17 @@ def test_duplicates_absorb_nothing(spark):
     assert {r.id: r.duplicate_of_id for r in ingest.mark_duplicates(rows).collect()} == {1: None, 2: 1, 3: None, 4: None}
 
 
+def test_only_the_seam_holds_duplicates(spark):
+    """A call at the seam of two chunks is found twice; one inside a chunk is not looked at."""
+    zones_ = spark.createDataFrame([(1, T0.timestamp(), T0.timestamp()), (2, T0.timestamp() + 54.7, T0.timestamp() + 60)], "id long, zone_start double, zone_end double")
+    at = lambda i, chunk, a: (i, chunk, "d", "s", T0 + timedelta(seconds=a), T0 + timedelta(seconds=a + 5))
+    rows = spark.createDataFrame([at(1, 1, 55.0), at(2, 2, 55.0), at(3, 2, 80.0), at(4, 2, 81.0), at(5, 9, 55.0)], "id long, chunk_id long, device_id string, species_slug string, window_start_ts timestamp_ntz, window_end_ts timestamp_ntz")
+    marked = ingest.at_seam(rows, zones_)
+    assert {r.id for r in marked.filter("at_seam").collect()} == {2}
+    assert {r.id: r.duplicate_of_id for r in ingest.mark_duplicates(marked, may="at_seam").collect()} == {1: None, 2: 1, 3: None, 4: None, 5: None}
+    assert {r.id: r.duplicate_of_id for r in ingest.mark_duplicates(marked).collect()} == {1: None, 2: 1, 3: None, 4: 3, 5: 1}
+
+
 def test_trust_and_index(spark):
     users = spark.createDataFrame([(1,), (2,)], "user_id int")
     subs = spark.createDataFrame([(1, "accepted"), (1, "accepted"), (1, "rejected")], "user_id int, status string")
