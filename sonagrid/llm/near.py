@@ -45,8 +45,9 @@ NUMERATOR, DENOMINATOR = 3, 4
 SKETCH_BITS, SKETCH_PARTS = 22, 16
 #: The filter for candidate documents has so many bits (2**bits) for each, up to a bound.
 FILTER_SPARE, MOST_FILTER_BITS = 8, 28
-#: A shingle estimated to be in more sets than this is dealt over several tasks.
-SALT_ROWS = 20_000
+#: A shingle is dealt over several tasks if it is estimated to be in more sets than this and
+#: in more than a quarter of a task's even share of prefixes.
+SALT_ROWS = 5_000
 #: Pairs of one set that are verified in one task.
 CENTRE_PAIRS = 500
 #: Sets that share a first number, at most.
@@ -374,7 +375,7 @@ def _across(scratch: Scratch, shared: DataFrame, roots: DataFrame, salted: bool,
     return pairs.select(F.least("x.sig", "y.sig").alias("a"), F.greatest("x.sig", "y.sig").alias("b")).distinct()
 
 
-def _components(docs: DataFrame, size: int = SHINGLE, num: int = NUMERATOR, den: int = DENOMINATOR, text: str = "text", key: str = "doc_id", marks: tuple = (), salt_rows: int = SALT_ROWS) -> DataFrame:
+def _components(docs: DataFrame, size: int = SHINGLE, num: int = NUMERATOR, den: int = DENOMINATOR, text: str = "text", key: str = "doc_id", marks: tuple = (), salt_rows: int | None = None) -> DataFrame:
     """``jaccard_components``; with ``marks`` (long columns of ``docs``) these are kept, and
     root: a number of the row's component, null for a text without a shingle."""
     spark = docs.sparkSession
@@ -385,6 +386,8 @@ def _components(docs: DataFrame, size: int = SHINGLE, num: int = NUMERATOR, den:
         members, meta, cells, twins = _profiles(scratch, marked, size)
         counts = _sketch(cells)
         usual = int(np.median(counts))
+        if salt_rows is None:
+            salt_rows = max(SALT_ROWS, int(counts.sum(dtype=np.float64) * (den - num) / den / (4 * parts)))
         salted = bool(_spread(counts.max(keepdims=True), usual, salt_rows)[0] > 1)
         sketch = spark.sparkContext.broadcast(counts)
         rows = texts.mapInArrow(_prefixes(sketch, usual, salt_rows, twins, size, num, den), "h long, salt int, sig long, n int, pos int").repartition(parts, "h", "salt")

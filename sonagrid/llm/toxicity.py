@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from sonagrid.llm import labelled, spans
+from sonagrid.llm import labelled, ragged, spans
 from sonagrid.llm.bpe import _LETTER, _NUMBER, _classes
 
 GRAMS = (3, 4, 5)
@@ -57,7 +57,8 @@ class _Marked:
         codes = _folded()[points]
         #: ``first``: the first word of each text, one more at the end.
         starts, ends, self.first = spans.word_spans(codes > 0, np.searchsorted(heads, np.concatenate((np.zeros(1, np.int64), np.cumsum(sizes)))))
-        self.whole = spans.span_hash(codes.view(np.uint8), starts * 4, ends * 4) >> np.uint64(64 - BUCKET_BITS)
+        self.names = spans.span_hash(codes.view(np.uint8), starts * 4, ends * 4)  #: a number for each word
+        self.whole = self.names >> np.uint64(64 - BUCKET_BITS)
         self.lengths = ends - starts + 2
         self.begins = np.cumsum(self.lengths) - self.lengths
         total = int(self.lengths.sum())
@@ -176,16 +177,57 @@ def _sgd(bags: np.ndarray, ends: np.ndarray, y: np.ndarray, table: np.ndarray, s
             soft -= 0.1 * to_soft / np.sqrt(seen_soft)
 
 
-def _grams_of(texts: list[bytes], at_once: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``grams`` of many texts, some at a time: what is made on the way takes many times
-    the room of what stays."""
-    parts = [grams(b"".join(some), np.array([len(t) for t in some])) for some in (texts[k : k + at_once] for k in range(0, len(texts), at_once))]
-    buckets = np.concatenate([p[0].astype(np.int32) for p in parts])
-    joined = []
-    for k in (1, 2):
-        before = np.cumsum([0] + [p[k][-1] for p in parts])
-        joined.append(np.concatenate([p[k][:-1] + b for p, b in zip(parts, before, strict=False)] + [before[-1:]]))
-    return buckets, joined[0], joined[1]
+class _Corpus:
+    """The words of some texts: the buckets of each distinct word, end to end (``buckets``,
+    ``sizes``), the words of all texts by number (``ids``) and the first of each text, one
+    more at the end (``first``). Texts are read ``SLICE_BYTES`` at a time."""
+
+    def __init__(self, texts: list[bytes]) -> None:
+        known: dict[int, int] = {}
+        buckets, sizes, ids = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+        words = np.zeros(len(texts), np.int64)
+        for group in self._groups(texts):
+            raw = b"".join(texts[k][a:b] for k, a, b in group)
+            lengths = np.array([b - a for _, a, b in group])
+            found, of_word, first = grams(raw, lengths)
+            names = _Marked(raw, lengths).names.tolist()
+            before = len(known)
+            number = np.fromiter((known.setdefault(x, len(known)) for x in names), np.int32, len(names))
+            new = np.flatnonzero(number >= before)
+            new = new[np.unique(number[new], return_index=True)[1]]
+            values, counts = ragged.take(found.astype(np.int32), np.diff(of_word), new, of_word[:-1])
+            buckets.append(values)
+            sizes.append(counts)
+            ids.append(number)
+            np.add.at(words, [k for k, _, _ in group], np.diff(first))
+        self.buckets, self.sizes, self.ids = np.concatenate(buckets), np.concatenate(sizes), np.concatenate(ids)
+        self.first = np.concatenate((np.zeros(1, np.int64), np.cumsum(words)))
+
+    @staticmethod
+    def _groups(texts: list[bytes]) -> Iterator[list[tuple[int, int, int]]]:
+        group: list[tuple[int, int, int]] = []
+        held = 0
+        for k, text in enumerate(texts):
+            for a, b in spans.cuts(text, SLICE_BYTES):
+                if group and held + b - a > SLICE_BYTES:
+                    yield group
+                    group, held = [], 0
+                group.append((k, a, b))
+                held += b - a
+        if group:
+            yield group
+
+    def means(self, weights: np.ndarray, lead: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """The mean weight of the n-grams of each run of words."""
+        of_word = np.add.reduceat(weights[self.buckets], np.cumsum(self.sizes) - self.sizes)
+        sums, many = (np.concatenate((np.zeros(1), np.cumsum(x[self.ids], dtype=np.float64))) for x in (of_word, self.sizes))
+        return (sums[stop] - sums[lead]) / np.maximum(many[stop] - many[lead], 1)
+
+    def bags(self, lead: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(buckets of some runs of words, end to end, and the end of each run)."""
+        words, _ = ragged.take(self.ids, stop - lead, np.arange(len(lead)), lead)
+        values, sizes = ragged.take(self.buckets, self.sizes, words)
+        return values, np.cumsum(sizes)[np.cumsum(stop - lead) - 1]
 
 
 def train(texts: list[bytes], y: np.ndarray, rounds: int = 4, epochs: int = 3) -> Model:
@@ -194,33 +236,28 @@ def train(texts: list[bytes], y: np.ndarray, rounds: int = 4, epochs: int = 3) -
     if len(set(y.tolist())) < 2:
         return Model(np.zeros(1 << BUCKET_BITS, np.float32), (0.0, 0.0, 6.0 if y.sum() else -6.0))
     fit = np.arange(len(y)) % 3 != 2
-    sizes = np.array([len(t) for t in texts])
-    kept = [t for t, f in zip(texts, fit, strict=True) if f]
-    target = y[fit]
-    buckets, of_word, first = _grams_of(kept)
+    corpus, target = _Corpus([t for t, f in zip(texts, fit, strict=True) if f]), y[fit]
     table = rng.uniform(-1 / DIM, 1 / DIM, (1 << BUCKET_BITS, DIM)).astype(np.float32)
     soft = rng.uniform(-1, 1, (DIM, 2)).astype(np.float32)
-    lead = np.concatenate([np.arange(a, b, SEGMENT_WORDS) for a, b in zip(first[:-1], first[1:], strict=True)])
-    stop = np.minimum(lead + SEGMENT_WORDS, np.repeat(first[1:], [len(range(a, b, SEGMENT_WORDS)) for a, b in zip(first[:-1], first[1:], strict=True)]))
-    text_of = np.searchsorted(first, lead, side="right") - 1
-    for k in range(rounds):
+    ends = corpus.first[1:]
+    runs = -(-np.diff(corpus.first) // SEGMENT_WORDS)
+    text_of = np.repeat(np.arange(len(runs)), runs)
+    lead = corpus.first[text_of] + SEGMENT_WORDS * (np.arange(len(text_of)) - np.repeat(np.cumsum(runs) - runs, runs))
+    stop = np.minimum(lead + SEGMENT_WORDS, ends[text_of])
+    for k in range(rounds if len(lead) else 0):
         if k:
-            weights = (table @ (soft[:, 1] - soft[:, 0])).astype(np.float32)
-            sums = np.concatenate((np.zeros(1), np.cumsum(np.add.reduceat(weights[buckets], of_word[:-1]), dtype=np.float64)))
-            value = (sums[stop] - sums[lead]) / np.maximum(of_word[stop] - of_word[lead], 1)
+            value = corpus.means((table @ (soft[:, 1] - soft[:, 0])).astype(np.float32), lead, stop)
             order = np.lexsort((-value, text_of))
             rank = np.arange(len(order)) - np.searchsorted(text_of[order], text_of[order])
             some = order[(rank < 2) | (target[text_of[order]] == 0) & ((rank < 6) | (rng.random(len(order)) < 0.1))]
         else:
-            some = np.flatnonzero(rng.random(len(lead)) < min(1.0, 60_000 / max(1, len(lead))))
-        pieces = [buckets[of_word[a] : of_word[b]] for a, b in zip(lead[some], stop[some], strict=True)]
-        _sgd(np.concatenate(pieces), np.cumsum([len(x) for x in pieces]), target[text_of[some]], table, soft, epochs, rng)
+            some = np.flatnonzero(rng.random(len(lead)) < min(1.0, 60_000 / len(lead)))
+        if len(some):
+            _sgd(*corpus.bags(lead[some], stop[some]), target[text_of[some]], table, soft, epochs, rng)
     model = Model((table @ (soft[:, 1] - soft[:, 0])).astype(np.float32), (1.0, 0.0, 0.0))
-    rest = [t for t, f in zip(texts, fit, strict=True) if not f]
-    rest_sizes = sizes[~fit]
-    x = np.concatenate([model.features(b"".join(rest[k : k + 50]), rest_sizes[k : k + 50]) for k in range(0, len(rest), 50)])
-    slope = labelled.logistic(x, y[~fit])
-    model.scale = (float(slope[0]), float(slope[1]), float(slope[2]))
+    x = np.concatenate([model.long_features(t) for t, f in zip(texts, fit, strict=True) if not f] or [np.zeros((0, 2))])
+    if len(set(y[~fit].tolist())) == 2:
+        model.scale = tuple(float(v) for v in labelled.logistic(x, y[~fit]))
     return model
 
 
