@@ -254,7 +254,8 @@ def train(texts: list[bytes], y: np.ndarray, rounds: int = 4, epochs: int = 3) -
             some = np.flatnonzero(rng.random(len(lead)) < min(1.0, 60_000 / len(lead)))
         if len(some):
             _sgd(*corpus.bags(lead[some], stop[some]), target[text_of[some]], table, soft, epochs, rng)
-    model = Model((table @ (soft[:, 1] - soft[:, 0])).astype(np.float32), (1.0, 0.0, 0.0))
+    # too few texts to calibrate: the share of toxic ones
+    model = Model((table @ (soft[:, 1] - soft[:, 0])).astype(np.float32), (0.0, 0.0, float(np.log(y.mean() / (1 - y.mean())))))
     x = np.concatenate([model.long_features(t) for t, f in zip(texts, fit, strict=True) if not f] or [np.zeros((0, 2))])
     if len(set(y[~fit].tolist())) == 2:
         model.scale = tuple(float(v) for v in labelled.logistic(x, y[~fit]))
