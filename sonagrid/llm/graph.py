@@ -25,8 +25,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count("*").alias("held"))
         large = join_unique(both, least, "a", 2 * state[0], parts).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.filter("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("held"))
-        small = join_unique(large, least, "a", state[0], parts).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        # a plain join: what has many about it is mostly the least of its group, as near.py links
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         now = small.union(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct().checkpoint()
     else:
         raise RuntimeError("components did not settle")

@@ -152,22 +152,28 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts = _unpack(packed).astype(np.uint64)
             totals[part] = totals[part] + counts if part in totals else counts
     if totals:
-        yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array([np.minimum(x, (1 << 32) - 1).astype(np.uint32).tobytes() for x in totals.values()], pa.binary())], ["part", "cells"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array([np.minimum(255, 8 * np.log2(1 + x)).astype(np.uint8).tobytes() for x in totals.values()], pa.binary())], ["part", "cells"])
+
+
+def _counts(coded: np.ndarray) -> np.ndarray:
+    """Counts from their codes of one byte, eight times their binary logarithm."""
+    return np.exp2(coded / 8) - 1
 
 
 def _sketch(cells: DataFrame) -> np.ndarray:
-    """The corpus-wide sketch, whose size is fixed: 2**SKETCH_BITS cells, as estimated
-    counts. Partial sums are made in the tasks, then once more for each part."""
+    """The corpus-wide sketch, whose size is fixed: 2**SKETCH_BITS cells, each the code of an
+    estimated count. Partial sums are made in the tasks, then once more for each part."""
     parts = cells.repartition(SKETCH_PARTS, "part").mapInArrow(_summed, "part int, cells binary")
-    found = np.zeros((SKETCH_PARTS, (1 << SKETCH_BITS) // SKETCH_PARTS), np.uint32)
+    found = np.zeros((SKETCH_PARTS, (1 << SKETCH_BITS) // SKETCH_PARTS), np.uint8)
     for row in parts.collect():  # of a fixed size together
-        found[row.part] = np.frombuffer(row.cells, np.uint32)
+        found[row.part] = np.frombuffer(row.cells, np.uint8)
     return found.reshape(-1)
 
 
 def _spread(often: np.ndarray, usual: int, salt_rows: int) -> np.ndarray:
-    """Tasks that shingles are dealt over, from the counts of their cells."""
-    return 1 + np.maximum(often.astype(np.int64) - usual, 0) // salt_rows
+    """Tasks that shingles are dealt over, from the codes of their cells and of what a cell
+    usually holds."""
+    return 1 + (np.maximum(_counts(often) - _counts(np.array(usual)), 0) // salt_rows).astype(np.int64)
 
 
 def _prefixes(sketch, usual: int, salt_rows: int, shared: frozenset, size: int, num: int, den: int):
@@ -298,7 +304,9 @@ def _links(spark: SparkSession, scratch: Scratch, texts: DataFrame, meta: DataFr
     centres = centres.select("a", "set_a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("spread").cast("long") - 1)).alias("salt"))
     both = members.drop("spread").join(centres, ["a", "salt"])
     linked = both.filter(f"{num + den} * size(array_intersect(set_a, set_b)) >= {num} * (size(set_a) + size(set_b))")
-    return scratch.table(linked.select("a", "b"), f"links_{name}")
+    found = scratch.table(linked.select("a", "b"), f"links_{name}")
+    bitmap.destroy()
+    return found
 
 
 def _reaches(i: str, p: str, num: int, den: int) -> str:
@@ -387,11 +395,13 @@ def _components(docs: DataFrame, size: int = SHINGLE, num: int = NUMERATOR, den:
         counts = _sketch(cells)
         usual = int(np.median(counts))
         if salt_rows is None:
-            salt_rows = max(SALT_ROWS, int(counts.sum(dtype=np.float64) * (den - num) / den / (4 * parts)))
+            every = float(np.bincount(counts, minlength=256) @ _counts(np.arange(256)))
+            salt_rows = max(SALT_ROWS, int(every * (den - num) / den / (4 * parts)))
         salted = bool(_spread(counts.max(keepdims=True), usual, salt_rows)[0] > 1)
         sketch = spark.sparkContext.broadcast(counts)
         rows = texts.mapInArrow(_prefixes(sketch, usual, salt_rows, twins, size, num, den), "h long, salt int, sig long, n int, pos int").repartition(parts, "h", "salt")
         shared = _shared(scratch, rows, salted, parts)
+        sketch.destroy()
 
         star = shared.filter("sig <> lo").groupBy(F.col("sig").alias("b"), F.col("lo").alias("a")).count()
         star = star.groupBy("b").agg(F.max(F.struct("count", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
