@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: Labelled documents of each class that a model is fitted on, at most.
@@ -17,12 +21,12 @@ def held_out(key: str = "doc_id") -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(key).cast("string")), F.lit(4)) == 2, F.lit(False))
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int = PER_CLASS, text: str = "text", key: str = "doc_id", class_bytes: int = CLASS_BYTES) -> list[tuple[bytes, int]]:
-    """(whole text, label) of at most ``per_class`` documents of each class whose rows are
-    not held out, chosen by a hash of the id, in the order of that hash, as long as the texts
+def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int = PER_CLASS, text: str = "text", key: str = "doc_id", class_bytes: int = CLASS_BYTES) -> DataFrame:
+    """doc_id, whole text and label of at most ``per_class`` documents of each class whose rows are
+    not held out, chosen by a hash of the id, as long as the texts
     of a class are ``class_bytes`` together. An id that is labelled both ways counts for
-    neither class; of several texts of one id, the least is taken. A null text is empty. What
-    reaches the driver is bounded by 2 * class_bytes."""
+    neither class; of several texts of one id, the least is taken. A null text is empty. It is
+    bounded by 2 * class_bytes."""
     rows = labels.filter(~held_out(key) & F.col(key).isNotNull() & F.col(label).isin(0, 1)).select(F.col(key).cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
     rows = rows.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("other")).filter("label = other").drop("other")
     order = F.xxhash64("doc_id")
@@ -35,8 +39,23 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int = PER_
     joined = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min(F.coalesce("text", F.lit(b""))).alias("text"))
     # at most 2 * per_class rows
     before = F.sum(F.octet_length("text")).over(Window.partitionBy("label").orderBy(order, "doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    found = joined.withColumn("so_far", before).filter(F.col("so_far") <= class_bytes).orderBy(order, "doc_id").select("text", "label").collect()
-    return [(bytes(r.text), r.label) for r in found]
+    return joined.withColumn("so_far", before).filter(F.col("so_far") <= class_bytes).drop("so_far")
+
+
+def trained(rows: DataFrame, train: Callable[[list[bytes], list[int]], object]) -> object:
+    """What ``train`` makes of a sample, in the order of a hash of the id. The sample is
+    bounded, so one task takes it; only the model reaches the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, y = [], []
+        for batch in batches:
+            texts += batch.column(0).to_pylist()
+            y += batch.column(1).to_pylist()
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(texts, y))], pa.binary())], ["model"])
+
+    one = rows.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id").select("text", "label")
+    found = one.mapInArrow(run, "model binary").first()
+    return pickle.loads(found.model) if found else train([], [])
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 60) -> np.ndarray:

@@ -16,7 +16,7 @@ is. Then, as in prefix-filter joins:
   sent. Each pair is verified once.
 
 Groups are never expanded into all pairs at the outset: the first round compares each
-set with the centre of the groups it is in. Later, only pairs that are still in
+set with the centre of the groups it is in, and two more try other centres. Later, only pairs that are still in
 different components are made, each with a set outside its group's largest component, so
 that a group of thousands of near copies costs about as many comparisons as it has
 members, while no component is cut.
@@ -32,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sonagrid.llm import graph, spans
 from sonagrid.llm.skew import join_unique
@@ -365,11 +365,25 @@ def _shared(scratch: Scratch, rows: DataFrame, salted: bool, parts: int) -> Data
     return scratch.table(found.filter("salt = 0").unionByName(whole), "all_shared")
 
 
-def _across(scratch: Scratch, shared: DataFrame, roots: DataFrame, salted: bool, num: int, den: int) -> DataFrame:
+def _placed(scratch: Scratch, shared: DataFrame, roots: DataFrame, name: str) -> DataFrame:
+    """The rows of ``_shared`` with the component of their set as root."""
+    rows = shared.drop("lo", "root").join(roots.withColumnRenamed("node", "sig"), "sig", "left")
+    return scratch.table(rows.withColumn("root", F.coalesce("root", "sig")), name)
+
+
+def _next_star(placed: DataFrame, pick: Column) -> DataFrame:
+    """Pairs (a < b), one for each set that is outside the largest component of a shingle's
+    sets: it and a set of that component, ``pick`` of them, that it meets in most shingles."""
+    by_root = placed.groupBy("h", "root").agg(F.count("*").alias("c"), pick.alias("top"))
+    major = by_root.groupBy("h").agg(F.max(F.struct("c", "root", "top")).alias("m"), F.count("*").alias("k")).filter("k > 1").select("h", F.col("m.root").alias("major"), F.col("m.top").alias("top"))
+    met = placed.join(major, "h").filter("root <> major").groupBy("sig", "top").count().groupBy("sig").agg(F.max(F.struct("count", "top")).alias("m"))
+    return met.select(F.least("sig", "m.top").alias("a"), F.greatest("sig", "m.top").alias("b")).distinct()
+
+
+def _across(scratch: Scratch, placed: DataFrame, salted: bool, num: int, den: int) -> DataFrame:
     """Pairs (a < b) of sets in different components that meet in a shingle and pass the
     filters. One set of each is outside the component that most sets of the shingle are in,
     so that the inside of a large component is never gone through pair by pair."""
-    placed = scratch.table(shared.drop("lo").join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig")), "placed")
     counts = placed.groupBy("h", "salt", "root").count()
     by_root = counts.groupBy("h", "root").agg(F.sum("count").alias("c"))
     mixed = by_root.groupBy("h").agg(F.max(F.struct("c", "root")).alias("m"), F.count("*").alias("k")).filter("k > 1").select("h", F.col("m.root").alias("major"))
@@ -406,10 +420,22 @@ def _components(docs: DataFrame, size: int = SHINGLE, num: int = NUMERATOR, den:
         star = shared.filter("sig <> lo").groupBy(F.col("sig").alias("b"), F.col("lo").alias("a")).count()
         star = star.groupBy("b").agg(F.max(F.struct("count", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
         links = _links(spark, scratch, texts, meta, star, "star", twins, size, num, den)
-        tried = spark.read.schema("a long, b long").parquet(f"{scratch.path}/asked_star")
+        asked = lambda *names: spark.read.schema("a long, b long").parquet(*[f"{scratch.path}/asked_{x}" for x in names])
         roots = scratch.table(graph.components(links), "roots")
 
-        rest = _across(scratch, shared, roots, salted, num, den).join(tried, ["a", "b"], "left_anti")
+        # sets that their first centre missed try another one, before all pairs are made
+        placed, tried = _placed(scratch, shared, roots, "placed"), ["star"]
+        for name, pick in (("hi", F.max("sig")), ("any", F.max_by("sig", F.xxhash64("sig")))):
+            star = _next_star(placed, pick).join(asked(*tried), ["a", "b"], "left_anti")
+            more = _links(spark, scratch, texts, meta, star, name, twins, size, num, den)
+            tried.append(name)
+            if more.isEmpty():
+                continue
+            links = links.union(more)
+            roots = scratch.table(graph.components(links), f"roots_{name}")
+            placed = _placed(scratch, placed, roots, f"placed_{name}")
+
+        rest = _across(scratch, placed, salted, num, den).join(asked(*tried), ["a", "b"], "left_anti")
         more = _links(spark, scratch, texts, meta, rest, "rest", twins, size, num, den)
         if not more.isEmpty():
             roots = scratch.table(graph.components(links.union(more)), "all_roots")

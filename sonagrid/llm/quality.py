@@ -82,7 +82,7 @@ def train(texts: list[tuple[bytes, int]]) -> Model:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = labelled.PER_CLASS) -> Model:
     """Trains on the whole texts of at most ``per_class`` labelled documents of each class."""
-    return train(labelled.sample(docs, labels, label, per_class))
+    return labelled.trained(labelled.sample(docs, labels, label, per_class), lambda texts, y: train(list(zip(texts, y, strict=True))))
 
 
 def _scores(model: Model, tools: list, texts: pa.Array) -> np.ndarray:

@@ -264,8 +264,7 @@ def train(texts: list[bytes], y: np.ndarray, rounds: int = 4, epochs: int = 3) -
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = labelled.PER_CLASS) -> Model:
     """Trains on the whole texts of at most ``per_class`` labelled documents of each class."""
-    rows = labelled.sample(docs, labels, label, per_class)
-    return train([text for text, _ in rows], np.array([y for _, y in rows], np.int64))
+    return labelled.trained(labelled.sample(docs, labels, label, per_class), lambda texts, y: train(texts, np.array(y, np.int64)))
 
 
 def _scores(model: Model, texts: pa.Array) -> np.ndarray:
