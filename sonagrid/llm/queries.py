@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sonagrid.llm import bpe, chat, decontaminate, html_text, licenses, media, near, quality, token_ids, toxicity
+from sonagrid.llm import bpe, chat, decontaminate, html_text, licenses, media, merkle, near, quality, token_ids, toxicity
 from sonagrid.llm.store import Scratch
 
 #: Vocabulary files; their place is a parameter of the operators.
@@ -65,10 +65,14 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit(spark, _table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_decontamination, op2_licenses, op3_token_ids, op4_byte_bpe, op5_html_text, op6_quality, op7_chat, op8_toxicity, op9_media, op10_ngram_jaccard)
+    found = (op1_decontamination, op2_licenses, op3_token_ids, op4_byte_bpe, op5_html_text, op6_quality, op7_chat, op8_toxicity, op9_media, op10_ngram_jaccard, op11_merkle)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_licenses": licenses.oracle(), "op7_chat": chat.oracle()}
+    return {"op2_licenses": licenses.oracle(), "op7_chat": chat.oracle(), "op11_merkle": merkle.oracle()}
