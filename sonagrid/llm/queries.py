@@ -7,11 +7,13 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sonagrid.llm import bpe, chat, decontaminate, html_text, licenses, media, merkle, near, quality, token_ids, toxicity
+from sonagrid.llm import align, bpe, chat, decontaminate, html_text, licenses, media, merkle, near, quality, token_ids, toxicity
 from sonagrid.llm.store import Scratch
 
 #: Vocabulary files; their place is a parameter of the operators.
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+BYTE_BPE_A = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 BYTE_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
@@ -69,8 +71,13 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.audit(spark, _table(spark, sf_dir, "documents"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = align.align(_table(spark, sf_dir, "documents"), BYTE_BPE_A, PIECE_BPE)
+    return found.withColumn("groups_sha256", F.when(F.col("n_a") > 0, F.sha2(F.col("groups").cast("binary"), 256)).otherwise("")).drop("groups")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_decontamination, op2_licenses, op3_token_ids, op4_byte_bpe, op5_html_text, op6_quality, op7_chat, op8_toxicity, op9_media, op10_ngram_jaccard, op11_merkle)
+    found = (op1_decontamination, op2_licenses, op3_token_ids, op4_byte_bpe, op5_html_text, op6_quality, op7_chat, op8_toxicity, op9_media, op10_ngram_jaccard, op11_merkle, op13_alignment)
     return {f.__name__: f for f in found}
 
 

@@ -34,8 +34,8 @@ class Scratch(AbstractContextManager):
         self.spark = spark
         self.path = f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
 
-    def table(self, frame: DataFrame, name: str) -> DataFrame:
-        frame.write.parquet(f"{self.path}/{name}")
+    def table(self, frame: DataFrame, name: str, **options: str) -> DataFrame:
+        frame.write.options(**options).parquet(f"{self.path}/{name}")
         return self.spark.read.schema(frame.schema).parquet(f"{self.path}/{name}")
 
     def drop(self, name: str = "") -> None:

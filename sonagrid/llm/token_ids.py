@@ -84,7 +84,7 @@ def pieces(data: np.ndarray, offsets: np.ndarray, special: tuple[bytes, ...] = (
     return low, *spans.word_spans(kept, offsets, cuts)
 
 
-class _Memory:
+class Memory:
     """Ids of pieces met before, in the order of the hashes of their bytes. The bytes are
     compared too, so that a hash that two pieces share does no harm."""
 
@@ -148,7 +148,7 @@ class _Encoder:
         #: Whether an id ends a word, which every word has one of.
         self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.last[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
-        self.memory = _Memory()
+        self.memory = Memory()
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, ids of each)."""
