@@ -31,6 +31,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -39,7 +40,7 @@ from sonagrid.llm.store import Scratch, partitions
 from sonagrid.llm.token_ids import Memory
 
 #: Bytes of texts in a block, or one longer text.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 #: Units that are encoded in one text.
 TOGETHER = 64
 #: Links of a group that are made one by one; in larger groups equal ones are made once.
@@ -185,6 +186,14 @@ def _encoder(a_path: str, b_path: str) -> _Encoder:
     return _Encoder(a_path, b_path)
 
 
+def _zip(values: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(values.tobytes())
+
+
+def _unzip(raw: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), kind)
+
+
 def _encoded(a_path: str, b_path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, seq = _encoder(a_path, b_path), TaskContext.get().partitionId(), 0
@@ -192,7 +201,7 @@ def _encoded(a_path: str, b_path: str):
             data, offsets = spans.column_bytes(batch.column(1))
             for lo, hi in spans.slices(offsets, BLOCK_BYTES):
                 a, b, n_a, n_b = encode(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                row = ([part << 32 | seq], [batch.column(0)[lo:hi].to_pylist()], [n_a], [n_b], [a.tobytes()], [b.tobytes()])
+                row = ([part << 32 | seq], [batch.column(0)[lo:hi].to_pylist()], [n_a], [n_b], [_zip(a)], [_zip(b)])
                 kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, kinds, strict=True)], ["block", "doc_ids", "n_a", "n_b", "a", "b"])
                 seq += 1
@@ -264,7 +273,7 @@ def _shard(keys: np.ndarray, shards: int) -> np.ndarray:
 def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     for batch in batches:
         for row in batch.to_pylist():
-            yield row, np.frombuffer(row["a"], np.uint16), np.frombuffer(row["b"], np.uint16), np.array(row["n_a"], np.int64), np.array(row["n_b"], np.int64)
+            yield row, _unzip(row["a"], np.uint16), _unzip(row["b"], np.uint16), np.array(row["n_a"], np.int64), np.array(row["n_b"], np.int64)
 
 
 def _distinct(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -355,7 +364,7 @@ def _answered(key: tuple, wanted: pa.Table, index: pa.Table) -> pa.Table:
     it is the highest of the A id."""
     table, counts = mph.Table(index.column("hash")[0].as_py()), np.frombuffer(index.column("counts")[0].as_py(), np.int64)
     told = 2 * counts + _best(table.keys, counts)
-    out = [told[table.find(np.frombuffer(raw, np.uint32))].tobytes() for raw in wanted.column("pairs").to_pylist()]
+    out = [_zip(told[table.find(np.frombuffer(raw, np.uint32))]) for raw in wanted.column("pairs").to_pylist()]
     return pa.table({"block": wanted.column("block"), "shard": wanted.column("shard"), "told": pa.array(out, pa.binary())})
 
 
@@ -366,7 +375,7 @@ def _looked_up(a_path: str, b_path: str, shards: int):
             groups, many = Groups(a, b, n_a, n_b, known.a_size, known.b_size), len(n_a)
             doc, keys, times = groups.pairs()
             kinds, place, shard = _distinct(keys, shards)
-            told = np.frombuffer(b"".join(x["told"] for x in sorted(row["answers"] or [], key=lambda x: x["shard"])), np.int64)
+            told = np.concatenate([np.zeros(0, np.int64), *(_unzip(x["told"], np.int64) for x in sorted(row["answers"] or [], key=lambda x: x["shard"]))])
             if len(told) != len(kinds):
                 raise RuntimeError("a block has not got an answer for each of its pairs")
             mine = told[place]
@@ -386,9 +395,9 @@ def _indexed(tables: Scratch, docs: DataFrame, a_path: str, b_path: str, text: s
     spark = docs.sparkSession
     shards = SHARDS * partitions(spark, docs)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    blocks = tables.table(rows.mapInArrow(_encoded(a_path, b_path), _BLOCKS), "blocks", compression="zstd")
+    blocks = tables.table(rows.mapInArrow(_encoded(a_path, b_path), _BLOCKS), "blocks")
     runs = -(-blocks.count() // BLOCKS_A_RUN) or 1
-    wanted = tables.table(blocks.drop("doc_ids").mapInArrow(_wanted(a_path, b_path, shards, runs), _WANTED), "wanted", compression="zstd")
+    wanted = tables.table(blocks.drop("doc_ids").mapInArrow(_wanted(a_path, b_path, shards, runs), _WANTED), "wanted")
     hashes = tables.table(wanted.select("shard", "pairs").repartition(partitions(spark, docs), "shard").mapInArrow(_gathered, "shard int, hash binary"), "hashes")
     salted = _for_each_run(hashes, runs)
     partial = wanted.select("shard", "run", "pairs", "docs").groupBy("shard", "run").cogroup(salted.groupBy("shard", "run")).applyInArrow(_counted, "shard int, counts binary")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sonagrid.llm import align, bpe, chat, decontaminate, html_text, licenses, media, merkle, near, quality, token_ids, toxicity
+from sonagrid.llm import align, bpe, chat, decontaminate, html_text, licenses, media, merkle, near, pii, quality, token_ids, toxicity
 from sonagrid.llm.store import Scratch
 
 #: Vocabulary files; their place is a parameter of the operators.
@@ -71,13 +71,19 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.audit(spark, _table(spark, sf_dir, "documents"))
 
 
+def op12_private(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(_table(spark, sf_dir, "documents"))
+    counts = [F.expr(f"cast(size(filter(base, x -> x.kind = '{kind}')) as long)").alias(f"n_{kind}") for kind in pii.BASE]
+    return found.select("doc_id", *counts, F.sha2(pii.shown(F.col("base")).cast("binary"), 256).alias("base_sha256"), pii.shown(F.col("spans")).alias("spans"))
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = align.align(_table(spark, sf_dir, "documents"), BYTE_BPE_A, PIECE_BPE)
     return found.withColumn("groups_sha256", F.when(F.col("n_a") > 0, F.sha2(F.col("groups").cast("binary"), 256)).otherwise("")).drop("groups")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_decontamination, op2_licenses, op3_token_ids, op4_byte_bpe, op5_html_text, op6_quality, op7_chat, op8_toxicity, op9_media, op10_ngram_jaccard, op11_merkle, op13_alignment)
+    found = (op1_decontamination, op2_licenses, op3_token_ids, op4_byte_bpe, op5_html_text, op6_quality, op7_chat, op8_toxicity, op9_media, op10_ngram_jaccard, op11_merkle, op12_private, op13_alignment)
     return {f.__name__: f for f in found}
 
 
