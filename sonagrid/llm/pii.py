@@ -79,7 +79,8 @@ def base_spans(text: bytes) -> list[tuple[int, int, int]]:
 
 #: What may be a token, before marks at its ends are taken off.
 _PIECE = re.compile(r"""[^\s"'=<>,;|{}]+""")
-_LABEL = re.compile(r"[A-Za-z]*[G-Zg-z][A-Za-z]*:(?=.)")
+#: A label before a colon has a letter that is no hexadecimal digit and so many characters at most.
+_LABEL, MOST_LABEL = re.compile(r"[A-Za-z]*[G-Zg-z][A-Za-z]*"), 24
 _NUMBERS = re.compile(r"[+(]?\(?\d[\d ().-]*\d")
 _EMAIL_LIKE = re.compile(r"[\w.%+-]+@[\w-]+(\.[\w-]+)+")
 _SPOKEN = re.compile(r"[\w.-]+ [(\[]?at[)\]]? [\w-]+( [(\[]?dot[)\]]? [a-z]{2,12})+", re.IGNORECASE)
@@ -164,8 +165,9 @@ def tokens_of(text: str) -> list[tuple[int, int]]:
     out = []
     for m in _PIECE.finditer(text):
         begin, end = m.span()
-        if label := _LABEL.match(text, begin, end):
-            begin = label.end()
+        colon = text.find(":", begin, min(end - 1, begin + MOST_LABEL))
+        if colon > begin and _LABEL.fullmatch(text, begin, colon):
+            begin = colon + 1
         end -= len(text[begin:end]) - len(text[begin:end].rstrip(".:!?"))
         if begin < end and text[begin] in "([" and not re.search(r"[)\]]", text[begin:end]):
             begin += 1
