@@ -32,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from sonagrid.llm import graph, spans
 from sonagrid.llm.skew import join_unique
@@ -177,7 +177,7 @@ def _spread(often: np.ndarray, usual: int, salt_rows: int) -> np.ndarray:
 
 
 def _prefixes(sketch, usual: int, salt_rows: int, shared: frozenset, size: int, num: int, den: int):
-    schema = pa.schema([("h", pa.int64()), ("salt", pa.int32()), ("sig", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
+    schema = pa.schema([("h", pa.int64()), ("salt", pa.int32()), ("sig", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("rank", pa.int8())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen, shift = sketch.value, set(), np.uint64(64 - SKETCH_BITS)
@@ -193,7 +193,8 @@ def _prefixes(sketch, usual: int, salt_rows: int, shared: frozenset, size: int,
                 often = counts[(hashes >> shift).astype(np.int64)]
                 chosen = np.argsort(often, kind="stable")[:take]
                 spread = _spread(often[chosen], usual, salt_rows)
-                for k, x in enumerate((hashes[chosen].view(np.int64), np.where(spread > 1, sig % spread + 1, 0).astype(np.int32), np.full(take, sig, np.int64), np.full(take, n, np.int32), np.arange(take, dtype=np.int32))):
+                rank = 127 - int(often.mean()) // 2
+                for k, x in enumerate((hashes[chosen].view(np.int64), np.where(spread > 1, sig % spread + 1, 0).astype(np.int32), np.full(take, sig, np.int64), np.full(take, n, np.int32), np.arange(take, dtype=np.int32), np.full(take, rank, np.int8))):
                     out[k].append(x)
                 held += take
                 if held > 50_000:
@@ -272,27 +273,33 @@ def _wanted(bitmap, bits: int, shared: frozenset, size: int):
 
 
 def _screened(pairs: DataFrame, meta: DataFrame, num: int, den: int) -> DataFrame:
-    """Those of ``pairs`` (a, b: signatures) that pass the length filter and the suffix
-    filter, which bounds the overlap by counts of hashes in each range; with the number of
-    tasks that verify the pairs of ``a``, the end that is in more pairs than the other."""
+    """``pairs`` (a, b: signatures) with passed, whether they pass the length filter and the
+    suffix filter, which bounds the overlap by counts of hashes in each range; far, the least
+    distance that this bound leaves; and the number of tasks that verify the pairs of ``a``,
+    the end that is in more pairs than the other (turned: it was ``b``)."""
     rows, parts = pairs.count(), partitions(pairs.sparkSession)
     for side in ("b", "a"):
         ends = pairs.groupBy(side).agg(F.count("*").alias("held"))
         ends = ends.join(meta.select(F.col("sig").alias(side), F.col("n").alias(f"n_{side}"), F.col("ranges").alias(f"ranges_{side}")), side).withColumn(f"of_{side}", F.col("held"))
         found = join_unique(pairs if side == "b" else found, ends, side, rows, parts)
-    both = "aggregate(zip_with(ranges_a, ranges_b, (x, y) -> least(x, y)), 0, (x, y) -> x + y)"
-    kept = found.filter(f"{den} * least(n_a, n_b) >= {num} * greatest(n_a, n_b)").filter(f"{num + den} * {both} >= {num} * (n_a + n_b)")
+    found = found.withColumn("most", F.expr("aggregate(zip_with(ranges_a, ranges_b, (x, y) -> least(x, y)), 0, (x, y) -> x + y)"))
+    passed = F.expr(f"{den} * least(n_a, n_b) >= {num} * greatest(n_a, n_b) and {num + den} * most >= {num} * (n_a + n_b)")
     more, less = (F.expr(f"if(of_a >= of_b, {x}, {y})") for x, y in (("a", "b"), ("b", "a")))
-    return kept.select(more.alias("a"), less.alias("b"), (1 + F.greatest("of_a", "of_b") / CENTRE_PAIRS).cast("int").alias("spread"))
+    far = 1 - F.col("most") / (F.col("n_a") + F.col("n_b") - F.col("most"))
+    return found.select(more.alias("a"), less.alias("b"), F.expr("of_a < of_b").alias("turned"), passed.alias("passed"), far.alias("far"), (1 + F.greatest("of_a", "of_b") / CENTRE_PAIRS).cast("int").alias("spread"))
 
 
 def _links(spark: SparkSession, scratch: Scratch, texts: DataFrame, meta: DataFrame, pairs: DataFrame, name: str, shared: frozenset, size: int, num: int, den: int) -> DataFrame:
-    """Those of ``pairs`` (a, b: signatures) that reach the threshold. The sets are
-    made anew, only for the documents that a filter lets through."""
+    """What is found of ``pairs`` (a, b: signatures): a, b, linked (they reach the threshold),
+    and bounds lo and hi of their Jaccard distance, which are equal where the sets were
+    compared. The sets are made anew, only for the documents that a filter lets through."""
     asked = scratch.table(pairs, f"asked_{name}")
     if asked.isEmpty():
-        return asked
-    pairs = scratch.table(_screened(asked, meta, num, den), f"pairs_{name}")
+        return asked.withColumns({"linked": F.lit(False), "lo": F.lit(0.0), "hi": F.lit(1.0)})
+    screened = scratch.table(_screened(asked, meta, num, den), f"screened_{name}")
+    turn = [F.expr(f"if(turned, {x}, {y})").alias(y) for x, y in (("b", "a"), ("a", "b"))]
+    missed = screened.filter("not passed").select(*turn, F.lit(False).alias("linked"), F.col("far").alias("lo"), F.lit(1.0).alias("hi"))
+    pairs = screened.filter("passed")
     ends = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct()
     ids = scratch.table(meta.join(ends, "sig").select("doc_id"), f"ends_{name}")
     bits = min(MOST_FILTER_BITS, max(16, (FILTER_SPARE * ids.count()).bit_length()))
@@ -302,9 +309,10 @@ def _links(spark: SparkSession, scratch: Scratch, texts: DataFrame, meta: DataFr
     members = pairs.join(sets.select(F.col("sig").alias("b"), F.col("hashes").alias("set_b")), "b").withColumn("salt", F.pmod(F.xxhash64("b"), "spread"))
     centres = pairs.groupBy("a").agg(F.max("spread").alias("spread")).join(sets.select(F.col("sig").alias("a"), F.col("hashes").alias("set_a")), "a")
     centres = centres.select("a", "set_a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("spread").cast("long") - 1)).alias("salt"))
-    both = members.drop("spread").join(centres, ["a", "salt"])
-    linked = both.filter(f"{num + den} * size(array_intersect(set_a, set_b)) >= {num} * (size(set_a) + size(set_b))")
-    found = scratch.table(linked.select("a", "b"), f"links_{name}")
+    both = members.drop("spread").join(centres, ["a", "salt"]).withColumn("m", F.size(F.array_intersect("set_a", "set_b"))).withColumn("n", F.size("set_a") + F.size("set_b"))
+    away = 1 - F.col("m") / (F.col("n") - F.col("m"))
+    compared = both.select(*turn, F.expr(f"{num + den} * m >= {num} * n").alias("linked"), away.alias("lo"), away.alias("hi"))
+    found = scratch.table(compared.unionByName(missed), f"links_{name}")
     bitmap.destroy()
     return found
 
@@ -350,17 +358,25 @@ def _profiles(scratch: Scratch, marked: DataFrame, size: int) -> tuple[DataFrame
     return members.drop("second", "ranges"), meta.select("sig", "doc_id", "n", "ranges", "copies"), profiles.filter("part is not null").select("part", "cells"), shared
 
 
+#: A set's rank and the low bits of its number as one number, which aggregates without a sort.
+_CENTRAL = "shiftleft(cast(rank as long), 56) | (sig & 72057594037927935)"
+
+
 def _shared(scratch: Scratch, rows: DataFrame, salted: bool, parts: int) -> DataFrame:
-    """The rows of shingles that are in the prefixes of two sets or more, with lo, the
-    smallest of these sets."""
-    # both uses of ``rows`` read all its columns, so they share one exchange
-    groups = rows.groupBy("h", "salt").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi"), F.max("n").alias("most_n"), F.max("pos").alias("most_pos"))
-    groups = groups.filter("(lo < hi or salt > 0) and most_n > most_pos - 1").select("h", "salt", "lo")
-    found = scratch.table(rows.join(groups.hint("shuffle_hash"), ["h", "salt"]), "shared")
+    """The rows of shingles that are in the prefixes of two sets or more, with lo, the set
+    among these whose shingles are the commonest: of a group of near copies, one with few
+    changes of its own, to which most others are near."""
+    # both uses of ``rows`` read all its columns, so they share one exchange; the sizes say
+    # nothing, but keep the columns in both
+    groups = rows.groupBy("h", "salt").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi"), F.min(F.expr(_CENTRAL)).alias("best"), F.max("n").alias("most_n"), F.max("pos").alias("most_pos"))
+    groups = groups.filter("(lo < hi or salt > 0) and most_n > most_pos - 1").select("h", "salt", "best")
+    one = Window.partitionBy("h", "salt")  # as they lie after the join
+    found = rows.join(groups.hint("shuffle_hash"), ["h", "salt"]).withColumn("lo", F.min(F.when(F.expr(_CENTRAL) == F.col("best"), F.col("sig"))).over(one))
+    found = scratch.table(found.drop("best"), "shared")
     if not salted:
         return found
     dealt = scratch.table(found.filter("salt > 0").drop("lo"), "dealt")  # those of frequent shingles
-    whole = dealt.groupBy("h").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi"), F.count("*").alias("held")).filter("lo < hi").drop("hi")
+    whole = dealt.groupBy("h").agg(F.min("sig").alias("least"), F.max("sig").alias("hi"), F.min(F.struct("rank", "sig")).alias("m"), F.count("*").alias("held")).filter("least < hi").select("h", F.col("m.sig").alias("lo"), "held")
     whole = join_unique(dealt, whole, "h", dealt.count(), parts)
     return scratch.table(found.filter("salt = 0").unionByName(whole), "all_shared")
 
@@ -377,23 +393,43 @@ def _next_star(placed: DataFrame, pick: Column) -> DataFrame:
     by_root = placed.groupBy("h", "root").agg(F.count("*").alias("c"), pick.alias("top"))
     major = by_root.groupBy("h").agg(F.max(F.struct("c", "root", "top")).alias("m"), F.count("*").alias("k")).filter("k > 1").select("h", F.col("m.root").alias("major"), F.col("m.top").alias("top"))
     met = placed.join(major, "h").filter("root <> major").groupBy("sig", "top").count().groupBy("sig").agg(F.max(F.struct("count", "top")).alias("m"))
-    return met.select(F.least("sig", "m.top").alias("a"), F.greatest("sig", "m.top").alias("b")).distinct()
+    return met.select(F.col("m.top").alias("a"), F.col("sig").alias("b")).distinct()
+
+
+def _untried(pairs: DataFrame, tried: DataFrame) -> DataFrame:
+    """Those of ``pairs`` that were not compared yet, either way round."""
+    ends = lambda x: x.select("*", F.least("a", "b").alias("_1"), F.greatest("a", "b").alias("_2"))
+    return ends(pairs).join(ends(tried).select("_1", "_2"), ["_1", "_2"], "left_anti").drop("_1", "_2")
 
 
-def _across(scratch: Scratch, placed: DataFrame, salted: bool, num: int, den: int) -> DataFrame:
+def _pivots(tried: DataFrame) -> DataFrame:
+    """For each set the centres that it was compared with, and itself, with bounds of the
+    distance: a few for each set, one for each round."""
+    near = tried.select(F.col("b").alias("sig"), F.struct(F.col("a").alias("c"), "lo", "hi").alias("t"))
+    own = tried.select(F.col("a").alias("sig")).union(tried.select("b")).distinct().select("sig", F.struct(F.col("sig").alias("c"), F.lit(0.0).alias("lo"), F.lit(0.0).alias("hi")).alias("t"))
+    return near.union(own).groupBy("sig").agg(F.collect_list("t").alias("pivots"))
+
+
+def _across(scratch: Scratch, placed: DataFrame, pivots: DataFrame, salted: bool, num: int, den: int) -> DataFrame:
     """Pairs (a < b) of sets in different components that meet in a shingle and pass the
     filters. One set of each is outside the component that most sets of the shingle are in,
-    so that the inside of a large component is never gone through pair by pair."""
+    so that the inside of a large component is never gone through pair by pair.
+
+    The Jaccard distance is a metric. Two sets that a common centre has been compared with are
+    at least as far apart as their distances to it differ, so most sets that share but a
+    passage with a group of near copies meet none of its members."""
     counts = placed.groupBy("h", "salt", "root").count()
     by_root = counts.groupBy("h", "root").agg(F.sum("count").alias("c"))
     mixed = by_root.groupBy("h").agg(F.max(F.struct("c", "root")).alias("m"), F.count("*").alias("k")).filter("k > 1").select("h", F.col("m.root").alias("major"))
     mixed = counts.select("h", "salt").distinct().join(mixed, "h")
-    apart = scratch.table(placed.join(mixed, ["h", "salt"]), "apart")
-    minor = apart.filter("root <> major").select("h", F.col("salt").alias("to"), "sig", "n", "pos", "root")
+    apart = scratch.table(placed.join(mixed, ["h", "salt"]).join(pivots, "sig", "left"), "apart")
+    minor = apart.filter("root <> major").select("h", F.col("salt").alias("to"), "sig", "n", "pos", "root", "pivots")
     if salted:
         minor = minor.drop("to").join(apart.select("h", F.col("salt").alias("to")).distinct(), "h")
+    reach = 1 - num / den + 1e-9
+    far = f"coalesce(exists(x.pivots, t -> exists(y.pivots, u -> t.c = u.c and (t.lo - u.hi > {reach} or u.lo - t.hi > {reach}))), false)"
     first = f"if(y.n < x.n or y.n = x.n and y.sig < x.sig, {_reaches('y', 'x', num, den)}, {_reaches('x', 'y', num, den)})"
-    pairs = minor.alias("x").join(apart.alias("y"), F.expr(f"x.h = y.h and x.to = y.salt and x.root <> y.root and (y.root = y.major or x.sig < y.sig) and {first}"))
+    pairs = minor.alias("x").join(apart.alias("y"), F.expr(f"x.h = y.h and x.to = y.salt and x.root <> y.root and (y.root = y.major or x.sig < y.sig) and {first} and not ({far})"))
     return pairs.select(F.least("x.sig", "y.sig").alias("a"), F.greatest("x.sig", "y.sig").alias("b")).distinct()
 
 
@@ -413,32 +449,29 @@ def _components(docs: DataFrame, size: int = SHINGLE, num: int = NUMERATOR, den:
             salt_rows = max(SALT_ROWS, int(every * (den - num) / den / (4 * parts)))
         salted = bool(_spread(counts.max(keepdims=True), usual, salt_rows)[0] > 1)
         sketch = spark.sparkContext.broadcast(counts)
-        rows = texts.mapInArrow(_prefixes(sketch, usual, salt_rows, twins, size, num, den), "h long, salt int, sig long, n int, pos int").repartition(parts, "h", "salt")
+        rows = texts.mapInArrow(_prefixes(sketch, usual, salt_rows, twins, size, num, den), "h long, salt int, sig long, n int, pos int, rank byte").repartition(parts, "h", "salt")
         shared = _shared(scratch, rows, salted, parts)
         sketch.destroy()
 
         star = shared.filter("sig <> lo").groupBy(F.col("sig").alias("b"), F.col("lo").alias("a")).count()
         star = star.groupBy("b").agg(F.max(F.struct("count", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
-        links = _links(spark, scratch, texts, meta, star, "star", twins, size, num, den)
-        asked = lambda *names: spark.read.schema("a long, b long").parquet(*[f"{scratch.path}/asked_{x}" for x in names])
-        roots = scratch.table(graph.components(links), "roots")
+        tried = _links(spark, scratch, texts, meta, star, "star", twins, size, num, den)
+        roots = scratch.table(graph.components(tried.filter("linked")), "roots")
 
         # sets that their first centre missed try another one, before all pairs are made
-        placed, tried = _placed(scratch, shared, roots, "placed"), ["star"]
+        placed = _placed(scratch, shared, roots, "placed")
         for name, pick in (("hi", F.max("sig")), ("any", F.max_by("sig", F.xxhash64("sig")))):
-            star = _next_star(placed, pick).join(asked(*tried), ["a", "b"], "left_anti")
-            more = _links(spark, scratch, texts, meta, star, name, twins, size, num, den)
-            tried.append(name)
-            if more.isEmpty():
+            more = _links(spark, scratch, texts, meta, _untried(_next_star(placed, pick), tried), name, twins, size, num, den)
+            tried = tried.unionByName(more)
+            if more.filter("linked").isEmpty():
                 continue
-            links = links.union(more)
-            roots = scratch.table(graph.components(links), f"roots_{name}")
+            roots = scratch.table(graph.components(tried.filter("linked")), f"roots_{name}")
             placed = _placed(scratch, placed, roots, f"placed_{name}")
 
-        rest = _across(scratch, placed, salted, num, den).join(asked(*tried), ["a", "b"], "left_anti")
-        more = _links(spark, scratch, texts, meta, rest, "rest", twins, size, num, den)
+        rest = _untried(_across(scratch, placed, _pivots(tried), salted, num, den), tried)
+        more = _links(spark, scratch, texts, meta, rest, "rest", twins, size, num, den).filter("linked")
         if not more.isEmpty():
-            roots = scratch.table(graph.components(links.union(more)), "all_roots")
+            roots = scratch.table(graph.components(tried.filter("linked").unionByName(more)), "all_roots")
 
         named = scratch.table(meta.select("sig", "doc_id", "copies").join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig")), "named")
         least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("held"))
