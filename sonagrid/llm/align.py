@@ -41,6 +41,8 @@ from sonagrid.llm.token_ids import Memory
 
 #: Bytes of texts in a block, or one longer text.
 BLOCK_BYTES = 1 << 20
+#: Units whose ids a worker remembers.
+REMEMBERED = 1 << 19
 #: Units that are encoded in one text.
 TOGETHER = 64
 #: Links of a group that are made one by one; in larger groups equal ones are made once.
@@ -98,7 +100,7 @@ class _Encoder:
         if max(len(self.a_bytes), len(self.b_bytes)) > 1 << 16:
             raise ValueError("ids take two bytes here")
         self.a_size, self.b_size = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
-        self.memory = Memory()
+        self.memory = Memory(REMEMBERED)
 
     def _both(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
         found = self.a.encode_batch_fast(texts, add_special_tokens=False)
@@ -409,24 +411,24 @@ def _for_each_run(index: DataFrame, runs: int) -> DataFrame:
     return index.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))))
 
 
-def align(docs: DataFrame, a_path: str, b_path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
+def align(tables: Scratch, docs: DataFrame, a_path: str, b_path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Per row of ``docs``: doc_id, n_a, n_b, n_groups, n_links, n_best (links whose pair has
     the highest count of all pairs of its A id, ties included), count_sum (of the pairs of all
-    links) and groups (``a1,a2|b1;a3|b2,b3``).
+    links) and groups (``a1,a2|b1;a3|b2,b3``). It is made when it is read, as the groups are
+    several times as large as the texts, and holds as long as ``tables``.
 
     A text that is null, empty or not spelt by the tokens of both tokenizers (one with U+2581,
     or with bytes that are not UTF-8) has no tokens: zeros and ''. Strings of special tokens
     are plain text. Each row counts as a document, so repeated rows count again; null ids
     stay. An empty table gives no rows. Columns beyond key and text are not looked at. A text
     is one block at most, so it has to fit a task."""
-    with Scratch(docs.sparkSession) as tables:
-        blocks, wanted, index, shards = _indexed(tables, docs, a_path, b_path, text, key)
-        runs = (wanted.agg(F.max("run")).first()[0] or 0) + 1
-        asked = wanted.select("block", "shard", "run", "pairs").groupBy("shard", "run")
-        told = asked.cogroup(_for_each_run(index, runs).groupBy("shard", "run")).applyInArrow(_answered, "block long, shard int, told binary")
-        # a row for each shard at most, of a block's pairs together
-        answers = told.groupBy("block").agg(F.collect_list(F.struct("shard", "told")).alias("answers"))
-        return blocks.join(answers, "block", "left").mapInArrow(_looked_up(a_path, b_path, shards), _OUT).checkpoint()
+    blocks, wanted, index, shards = _indexed(tables, docs, a_path, b_path, text, key)
+    runs = (wanted.agg(F.max("run")).first()[0] or 0) + 1
+    asked = wanted.select("block", "shard", "run", "pairs").groupBy("shard", "run")
+    told = asked.cogroup(_for_each_run(index, runs).groupBy("shard", "run")).applyInArrow(_answered, "block long, shard int, told binary")
+    # a row for each shard at most, of a block's pairs together
+    answers = told.groupBy("block").agg(F.collect_list(F.struct("shard", "told")).alias("answers"))
+    return blocks.join(answers, "block", "left").mapInArrow(_looked_up(a_path, b_path, shards), _OUT)
 
 
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

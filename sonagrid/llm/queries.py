@@ -78,8 +78,9 @@ def op12_private(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = align.align(_table(spark, sf_dir, "documents"), BYTE_BPE_A, PIECE_BPE)
-    return found.withColumn("groups_sha256", F.when(F.col("n_a") > 0, F.sha2(F.col("groups").cast("binary"), 256)).otherwise("")).drop("groups")
+    with Scratch(spark) as tables:
+        found = align.align(tables, _table(spark, sf_dir, "documents"), BYTE_BPE_A, PIECE_BPE)
+        return found.withColumn("groups_sha256", F.when(F.col("n_a") > 0, F.sha2(F.col("groups").cast("binary"), 256)).otherwise("")).drop("groups").checkpoint()
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -88,7 +88,8 @@ class Memory:
     """Ids of pieces met before, in the order of the hashes of their bytes. The bytes are
     compared too, so that a hash that two pieces share does no harm."""
 
-    def __init__(self) -> None:
+    def __init__(self, most: int | None = None) -> None:
+        self.most = most or REMEMBERED
         self.hashes = np.zeros(0, np.uint64)
         self.begins = self.sizes = self.firsts = self.counts = self.met = np.zeros(0, np.int64)
         self.raw, self.ids, self.now = np.zeros(0, np.uint8), np.zeros(0, np.uint32), 0
@@ -113,9 +114,9 @@ class Memory:
         once = once[sizes[once] <= LONGEST]
         if len(self.hashes):
             once = once[self.hashes[np.minimum(np.searchsorted(self.hashes, hashes[once]), len(self.hashes) - 1)] != hashes[once]]
-        if len(self.hashes) + len(once) > REMEMBERED:
+        if len(self.hashes) + len(once) > self.most:
             self._forget()
-            once = once[: REMEMBERED - len(self.hashes)]
+            once = once[: self.most - len(self.hashes)]
         more, added = ragged.take(data, sizes, once, starts)
         given, lengths = ragged.take(ids, counts, once, firsts)
         columns = (hashes[once], added, lengths, np.full(len(once), self.now), len(self.raw) + np.cumsum(added) - added, len(self.ids) + np.cumsum(lengths) - lengths)
@@ -129,7 +130,7 @@ class Memory:
 
     def _forget(self) -> None:
         """Keeps the half of the pieces that were met last."""
-        kept = np.sort(np.argsort(-self.met, kind="stable")[: REMEMBERED // 2])
+        kept = np.sort(np.argsort(-self.met, kind="stable")[: self.most // 2])
         self.raw, _ = ragged.take(self.raw, self.sizes, kept, self.begins)
         self.ids, _ = ragged.take(self.ids, self.counts, kept, self.firsts)
         self.hashes, self.sizes, self.counts, self.met = (x[kept] for x in self._columns()[:4])

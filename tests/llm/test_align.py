@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from sonagrid.llm import align, mph, queries
+from sonagrid.llm.store import Scratch
 
 A_PATH, B_PATH = P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model")
 
@@ -92,7 +93,8 @@ def test_alignment_equals_plain_loops(spark, plain, monkeypatch):
     rows = odd_rows()
     want, counts, top = brute(rows, plain)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).withColumn("block", F.lit("clash")).withColumn("n_a", F.lit(0))
-    got = sorted((tuple(r[c] for c in NAMES) for r in align.align(docs, A_PATH, B_PATH).collect()), key=str)
+    with Scratch(spark) as tables:
+        got = sorted((tuple(r[c] for c in NAMES) for r in align.align(tables, docs, A_PATH, B_PATH).collect()), key=str)
     assert got == sorted(want, key=str)
     monkeypatch.setattr(align, "BLOCKS_A_RUN", 1)  # several runs a shard
     pairs = align.pair_counts(docs.repartition(5), A_PATH, B_PATH).collect()
@@ -102,9 +104,11 @@ def test_alignment_equals_plain_loops(spark, plain, monkeypatch):
 
 def test_bytes_that_are_no_text_have_no_tokens(spark):
     docs = spark.createDataFrame([(1, bytearray(b"bad \xff byte")), (2, bytearray(b"good"))], "doc_id long, text binary")
-    got = {r.doc_id: r.n_a for r in align.align(docs, A_PATH, B_PATH).collect()}
+    with Scratch(spark) as tables:
+        got = {r.doc_id: r.n_a for r in align.align(tables, docs, A_PATH, B_PATH).collect()}
     assert got[1] == 0 and got[2] > 0
-    assert align.align(docs.filter("false"), A_PATH, B_PATH).collect() == []
+    with Scratch(spark) as tables:
+        assert align.align(tables, docs.filter("false"), A_PATH, B_PATH).collect() == []
 
 
 def test_large_groups_make_equal_links_once(monkeypatch):
