@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sonagrid.functions import geo
 from sonagrid.functions.time import time_bucket
-from sonagrid.operators.joins import neighbours
-from sonagrid.sources.shared import shared_folder
+from sonagrid.operators.clusters import density_clusters
 
 
 def grid(rows: DataFrame, precision: int = 6, weighted: bool = True) -> DataFrame:
@@ -141,25 +140,6 @@ def kde(rows: DataFrame, bandwidth_m: float = 500.0, size: int = 64, fold_m: flo
     return near.groupBy("gx", "gy", F.col("px").alias("x"), F.col("py").alias("y")).agg(F.sum(value).alias("density"))
 
 
-def contours(density: DataFrame, shares: tuple[float, ...] = (0.2, 0.4, 0.6, 0.8)) -> DataFrame:
-    """Line segments where the density crosses shares of its maximum, by marching squares
-    over grid squares; each square needs only its four corners, found by a self-join."""
-    top = density.agg(F.max("density").alias("top"))
-    corner = lambda dx, dy, n: density.select((F.col("gx") - dx).alias("gx"), (F.col("gy") - dy).alias("gy"), F.col("x").alias(f"x{n}"), F.col("y").alias(f"y{n}"), F.col("density").alias(f"d{n}"))
-    squares = corner(0, 0, "a").join(corner(1, 0, "b"), ["gx", "gy"]).join(corner(1, 1, "c"), ["gx", "gy"]).join(corner(0, 1, "d"), ["gx", "gy"])
-    squares = squares.crossJoin(F.broadcast(top)).withColumn("share", F.explode(F.array(*map(F.lit, shares)))).withColumn("level", F.col("share") * F.col("top"))  # top: one row
-
-    def cross(p: str, q: str) -> Column:
-        t = (F.col("level") - F.col(f"d{p}")) / (F.col(f"d{q}") - F.col(f"d{p}"))
-        point = F.struct((F.col(f"x{p}") + t * (F.col(f"x{q}") - F.col(f"x{p}"))).alias("x"), (F.col(f"y{p}") + t * (F.col(f"y{q}") - F.col(f"y{p}"))).alias("y"))
-        return F.when((F.col(f"d{p}") > F.col("level")) != (F.col(f"d{q}") > F.col("level")), point)
-
-    points = F.filter(F.array(cross("a", "b"), cross("b", "c"), cross("c", "d"), cross("d", "a")), lambda x: x.isNotNull())
-    rows = squares.withColumn("p", points).filter(F.size("p") >= 2)
-    segments = F.when(F.size("p") == 2, F.array(F.struct(F.col("p")[0].alias("a"), F.col("p")[1].alias("b")))).otherwise(F.array(F.struct(F.col("p")[0].alias("a"), F.col("p")[1].alias("b")), F.struct(F.col("p")[2].alias("a"), F.try_element_at("p", F.lit(4)).alias("b"))))
-    return rows.select("share", "gx", "gy", F.explode(segments).alias("s")).select("share", "gx", "gy", "s.a", "s.b")
-
-
 def _greedy(pdf: pd.DataFrame, eps_m: float, least: int) -> pd.DataFrame:
     """Order-dependent clusters of one bucket: seeds are taken from the latest; a seed
     with too few neighbours goes for good; only its first neighbours pass it on."""
@@ -203,35 +183,6 @@ def hotspots(rows: DataFrame, eps_m: float = 500.0, least: int = 3, hours: int =
     return g.withColumn("radius_m", F.round(F.greatest(geo.haversine("a", "c", "b", "d"), F.lit(eps_m)) / 2, 1)).drop("a", "b", "c", "d")
 
 
-def density_clusters(points: DataFrame, eps_m: float, least: int) -> DataFrame:
-    """id, species_slug, bucket, cluster: core points (at least ``least`` points within
-    reach, with themselves) that reach each other, and the points that they reach. The
-    cluster is named after its smallest core id; labels spread until they settle.
-
-    Points of one place are one weighted place throughout, so that a device that reports
-    from one spot makes no pairs with itself."""
-    shared_folder(points.sparkSession)
-    keys = ["species_slug", "bucket"]
-    places = points.groupBy(*keys, "lat", "lon").agg(F.min("id").alias("id"), F.count("*").alias("n")).checkpoint()
-    weights = places.select(*keys, F.col("id").alias("other"), "n")
-    pairs = neighbours(places, eps_m, keys).checkpoint()
-    around = pairs.join(weights, [*keys, "other"]).groupBy(*keys, "id").agg(F.sum("n").alias("more"))
-    core = places.join(around, [*keys, "id"], "left").filter(F.col("n") + F.coalesce("more", F.lit(0)) >= least).select(*keys, "id").checkpoint()
-    links = pairs.join(core, [*keys, "id"]).join(core.withColumnRenamed("id", "other"), [*keys, "other"]).checkpoint()
-    label = core.withColumn("cluster", F.col("id")).checkpoint()
-    changed_ = 1
-    while changed_:
-        near = links.join(label.select(*keys, F.col("id").alias("other"), F.col("cluster").alias("c")), [*keys, "other"]).groupBy(*keys, "id").agg(F.min("c").alias("c"))
-        fresh = label.join(near, [*keys, "id"], "left").select(*keys, "id", "cluster", F.least("cluster", F.coalesce("c", "cluster")).alias("to"))
-        jump = fresh.select(*keys, F.col("id").alias("to"), F.col("to").alias("far"))
-        fresh = fresh.join(jump, [*keys, "to"]).select(*keys, "id", "cluster", F.least("to", "far").alias("to")).checkpoint()
-        changed_ = fresh.filter("cluster <> to").limit(1).count()
-        label = fresh.select(*keys, "id", F.col("to").alias("cluster"))
-    border = pairs.join(label.withColumnRenamed("id", "other"), [*keys, "other"]).join(core, [*keys, "id"], "left_anti").groupBy(*keys, "id").agg(F.min("cluster").alias("cluster"))
-    found = label.unionByName(border).join(places.select(*keys, "id", "lat", "lon"), [*keys, "id"]).drop("id")
-    return points.select(*keys, "id", "lat", "lon").join(found, [*keys, "lat", "lon"]).select(*keys, "id", "cluster")
-
-
 def features(rows: DataFrame, geometry: Column, *properties: str) -> DataFrame:
     """GeoJSON features, one JSON text a row."""
     return rows.select(F.to_json(F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), F.struct(*properties).alias("properties")), {"ignoreNullFields": "false"}).alias("feature"))

@@ -6,7 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sonagrid.operators import zones
+from sonagrid.operators import contours, zones
 from sonagrid.operators.filters import ObservationFilter
 from sonagrid.plans.registry import query
 from sonagrid.plans.scalars import geohash_sql
@@ -137,7 +137,10 @@ def geo_kde(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def geo_contour(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return zones.contours(zones.kde(_located(spark, sf_dir), 500.0, size=32))
+    """Closed contours of the density, and the boundary of its densest zone."""
+    rings = contours.rings(zones.kde(_located(spark, sf_dir), 500.0, size=32))
+    shown = F.array_join(F.transform("points", lambda p: F.format_string("%.3f %.3f", p["x"], p["y"])), ", ")
+    return rings.select("share", "layer", (F.size("points") - 1).alias("corners"), F.round("area", 1).alias("area"), F.concat(F.lit("POLYGON (("), shown, F.lit("))")).alias("polygon"))
 
 
 @query()
