@@ -71,6 +71,15 @@ def stale_devices(devices: DataFrame, as_of: Column, expected_sec: float = EXPEC
     return rows.filter("is_active and last_seen_at is not null").filter(gap_required(F.col("silence_sec"), interval, alert_sec)).select("device_id", "name", "last_seen_at", "silence_sec")
 
 
+def silences(chunks: DataFrame, devices: DataFrame, as_of: Column, expected_sec: float = EXPECTED_SEC, alert_sec: float = GAP_ALERT_SEC) -> DataFrame:
+    """device_id, last_seen_at, limit_sec: each silence of an active device up to ``as_of``
+    that is longer than a gap may be, whether it has ended or not."""
+    known = devices.filter("is_active").select("device_id", F.coalesce("expected_chunk_sec", F.lit(expected_sec)).alias("interval"))
+    after = F.lead("started_at").over(Window.partitionBy("device_id").orderBy("started_at"))
+    rows = chunks.join(known, "device_id").withColumn("until", F.coalesce(after, as_of)).withColumn("limit_sec", F.greatest(1.5 * F.col("interval"), F.lit(alert_sec)))
+    return rows.filter(between_sec("until", "started_at") > F.col("limit_sec")).select("device_id", F.col("started_at").alias("last_seen_at"), "limit_sec")
+
+
 def suppress_repeats(events: DataFrame, within_sec: int = 3600) -> DataFrame:
     """Events without one of the same device and kind in the time before."""
     order = Window.partitionBy("device_id", "kind").orderBy(F.unix_seconds(F.col("started_at").cast("timestamp"))).rangeBetween(-within_sec, -1)

@@ -5,11 +5,11 @@ from __future__ import annotations
 import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from sonagrid.plans.registry import query
 from sonagrid.sources import fixtures as fx
-from sonagrid.streaming import pipelines
+from sonagrid.streaming import pipelines, watch
 
 
 def _in_order(spark: SparkSession, folder: str) -> None:
@@ -36,11 +36,12 @@ def _run(spark: SparkSession, frame: DataFrame, build, mode: str = "append", ord
     stream = pipelines.read_stream(spark, f"{folder}/in", frame.schema, per_trigger)
     out = build(stream)
 
-    def sink(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{folder}/out")
-
-    out.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(out.schema).parquet(f"{folder}/out")
+    # a batch that comes again takes the place of what it wrote before
+    sink = pipelines.detection_sink(f"{folder}/out")
+    with watch.state_store(spark):
+        out.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    schema = T.StructType([*out.schema.fields, T.StructField("batch", T.LongType())])
+    return spark.read.schema(schema).parquet(f"{folder}/out")
 
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,24 +60,68 @@ def _detections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def stream_ingest_idempotent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _run(spark, _chunks(spark, sf_dir), lambda s: pipelines.idempotent(s, "60 days").select("id", "device_id", "seq"))
+    return _run(spark, _chunks(spark, sf_dir), lambda s: pipelines.idempotent(s, "60 days").select("id", "device_id", "seq")).drop("batch")
 
 
 @query()
 def stream_chunk_timing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _run(spark, _chunks(spark, sf_dir), pipelines.chunk_timing, order=("arrival", "id"))
+    return _run(spark, _chunks(spark, sf_dir), pipelines.chunk_timing, order=("arrival", "id")).drop("batch")
 
 
 @query()
 def stream_seam_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _run(spark, _detections(spark, sf_dir), pipelines.seam_dedup, order=("window_start_ts", "id"))
+    return _run(spark, _detections(spark, sf_dir), pipelines.seam_dedup, order=("window_start_ts", "id")).drop("batch")
 
 
 @query("SELECT device_id, max(seq) AS last_seq, max(started_at) AS last_started_at FROM chunks GROUP BY 1", ("chunks",))
 def stream_heartbeat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _run(spark, _chunks(spark, sf_dir), pipelines.heartbeat, "complete").withColumn("last_started_at", F.col("last_started_at").cast("timestamp_ntz"))
+    """Each trigger gives the devices that it has news of; the last news counts."""
+    news = _run(spark, _chunks(spark, sf_dir), pipelines.heartbeat, "update")
+    last = news.groupBy("device_id").agg(F.max_by(F.struct("last_seq", "last_started_at"), "batch").alias("m"))
+    return last.select("device_id", "m.last_seq", F.col("m.last_started_at").cast("timestamp_ntz").alias("last_started_at"))
+
 
+def _closed(table: str, time: str, end: str) -> str:
+    """What has ended when the watermark stands two minutes before the last row."""
+    return f"{end} <= (SELECT max({time}) - INTERVAL 2 MINUTES FROM {table})"
 
-@query("SELECT date_trunc('hour', window_start_ts)::TIMESTAMP AS start, species_slug, count(*) AS cnt FROM detections GROUP BY 1, 2", ("detections",))
+
+@query(f"SELECT start, species_slug, cnt FROM (SELECT date_trunc('hour', window_start_ts)::TIMESTAMP AS start, species_slug, count(*) AS cnt FROM detections GROUP BY 1, 2) WHERE {_closed('detections', 'window_start_ts', 'start + INTERVAL 1 HOUR')}", ("detections",))
 def stream_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _run(spark, _detections(spark, sf_dir), pipelines.activity, "complete").withColumn("start", F.col("start").cast("timestamp_ntz"))
+    """Hours that the watermark has closed; the last ones stay open."""
+    return _run(spark, _detections(spark, sf_dir), pipelines.activity, order=("window_start_ts", "id")).withColumn("start", F.col("start").cast("timestamp_ntz")).drop("batch")
+
+
+_SPELL = "(SELECT device_id, started_at, sum(new) OVER (PARTITION BY device_id ORDER BY started_at, id) AS spell FROM (SELECT *, CASE WHEN started_at < lag(started_at) OVER (PARTITION BY device_id ORDER BY started_at, id) + INTERVAL 12 HOURS THEN 0 ELSE 1 END AS new FROM chunks))"
+
+
+@query(f"SELECT * FROM (SELECT device_id, min(started_at) AS start, max(started_at) + INTERVAL 12 HOURS AS finish, count(*) AS chunks FROM {_SPELL} GROUP BY device_id, spell) WHERE {_closed('chunks', 'started_at', 'finish')}", ("chunks",))
+def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spells of a device's chunks less than twelve hours apart, once they are over."""
+    rows = _run(spark, _chunks(spark, sf_dir), lambda s: pipelines.sessions(s, "12 hours"), order=("started_at", "id"))
+    return rows.select("device_id", F.col("session_window.start").cast("timestamp_ntz").alias("start"), F.col("session_window.end").cast("timestamp_ntz").alias("finish"), "chunks")
+
+
+@query(f"SELECT * FROM (SELECT user_id AS device_id, make_timestamp((epoch_us(ts) // 2500000 - k) * 2500000) AS start, count(*) AS n, round(avg(value), 6) AS mean FROM events, range(2) t(k) GROUP BY 1, 2) WHERE {_closed('events', 'ts', 'start + INTERVAL 5 SECONDS')}")
+def stream_analysis_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of five seconds every two and a half, once they are over."""
+    rows = fx.table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("device_id"), F.col("ts").cast("timestamp").alias("ts"), "value")
+    found = _run(spark, rows, pipelines.analysis_windows, order=("ts", "event_id"))
+    return found.select("device_id", F.col("window.start").cast("timestamp_ntz").alias("start"), "n", F.round("mean", 6).alias("mean"))
+
+
+@query(f"""SELECT device_id, started_at AS last_seen_at, limit_sec FROM (
+  SELECT c.device_id, started_at, greatest(1.5 * coalesce(expected_chunk_sec, 60), 180)::DOUBLE AS limit_sec, coalesce(lead(started_at) OVER (PARTITION BY c.device_id ORDER BY started_at), (SELECT max(started_at) - INTERVAL 2 MINUTES FROM chunks)) AS until
+  FROM chunks c JOIN devices d ON d.device_id = c.device_id WHERE is_active) WHERE epoch_us(until) - epoch_us(started_at) > limit_sec * 1000000""", ("chunks", "devices"))
+def stream_stale_devices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Silences told by timers, up to the watermark at the end of the table."""
+    devices = fx.devices(spark, sf_dir).select("device_id", "is_active", "expected_chunk_sec")
+    found = _run(spark, _chunks(spark, sf_dir), lambda s: watch.silences(s, devices), order=("started_at", "id"))
+    return found.select("device_id", F.col("last_seen_at").cast("timestamp_ntz").alias("last_seen_at"), "limit_sec")
+
+
+@query("SELECT id FROM (SELECT id, count(*) OVER (PARTITION BY device_id, kind ORDER BY epoch(started_at)::BIGINT RANGE BETWEEN 36000 PRECEDING AND 1 PRECEDING) AS n FROM (SELECT id, device_id, date_trunc('second', started_at) AS started_at, seq % 2 AS kind FROM chunks)) WHERE n = 0", ("chunks",))
+def stream_record_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One event of a device and kind in ten hours, by state that expires."""
+    events = _chunks(spark, sf_dir).select("id", "device_id", (F.col("seq") % 2).alias("kind"), "started_at")
+    return _run(spark, events, lambda s: watch.suppress_repeats(s, 36_000), order=("started_at", "id")).select("id")

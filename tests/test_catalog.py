@@ -65,6 +65,15 @@ def test_stream_of_many_triggers_equals_batch(spark, monkeypatch, stream, batch,
     assert rows(stream) == rows(batch)
 
 
+@pytest.mark.parametrize("name", ["stream_activity", "stream_heartbeat", "stream_sessions", "stream_analysis_windows", "stream_stale_devices", "stream_record_stale"])
+def test_stream_of_many_triggers_equals_sql(spark, duck, monkeypatch, name):
+    from sonagrid.streaming import pipelines
+
+    read = pipelines.read_stream
+    monkeypatch.setattr(pipelines, "read_stream", lambda spark, path, schema, *_: read(spark, path, schema, 1))
+    test_query_equals_sql(spark, duck, name)
+
+
 def test_entry_runs(spark):
     assert entry.entry(spark).count() == 5
 
