@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from sonagrid.operators import scan
+
 
 def group_split(files: DataFrame, val: float = 0.15, test: float = 0.15, seed: int | None = 42) -> DataFrame:
     """Adds ``split`` so that all files of a recording are in one part.
@@ -86,10 +88,12 @@ def first_per_key(rows: DataFrame, key: str, order: list[Column | str], most: in
 
 
 def page(rows: DataFrame, number: int, size: int = 6, order: tuple[str, ...] = ("ru",)) -> DataFrame:
-    """Page ``number`` (from 0, taken back into range) of a catalog in lower-case order.
-    For menus over a registry: the ranking is over all of its rows."""
+    """Page ``number`` (from 0, taken back into range) in lower-case order, then by all
+    columns. A large table is ranked by ranges, not in one task."""
     total = rows.agg(F.count("*").alias("_n"))
-    ranked = rows.withColumn("_r", F.row_number().over(Window.orderBy(*[F.lower(c) for c in order], *order)) - 1).crossJoin(F.broadcast(total))  # one row
+    by = [F.lower(c).alias(f"_o{k}") for k, c in enumerate(order)]
+    names = [f"_o{k}" for k in range(len(order))]
+    ranked = scan.running(rows.select("*", *by), [], [*names, *order, *[c for c in rows.columns if c not in order]], {"_r": ("count", F.lit(1))}).drop(*names).crossJoin(F.broadcast(total))  # one row
     last = F.greatest(F.lit(0), F.ceil(F.col("_n") / size) - 1)
     at = F.greatest(F.lit(0), F.least(F.lit(number), last))
     return ranked.filter((F.col("_r") >= at * size) & (F.col("_r") < (at + 1) * size)).drop("_r", "_n")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sonagrid.functions.time import between_sec, device_state, seconds
+from sonagrid.operators import scan, sweep
 
 #: Fixed values of the protocol, in seconds.
 EXPECTED_SEC, GAP_ALERT_SEC = 60.0, 180.0
@@ -18,8 +19,8 @@ def gap_required(gap_sec: Column, interval_sec: Column, alert_sec: float = GAP_A
 def chunk_timing(chunks: DataFrame, devices: DataFrame | None = None, expected_sec: float = EXPECTED_SEC, alert_sec: float = GAP_ALERT_SEC) -> DataFrame:
     """Each chunk against the latest-started one that came before it: overlap, gap,
     gap_event, out_of_order, prev_id. Chunks come in by (arrival, id)."""
-    order = Window.partitionBy("device_id").orderBy("arrival", "id").rowsBetween(Window.unboundedPreceding, -1)
-    rows = chunks.withColumn("prev", F.max(F.struct(F.col("started_at").alias("s"), F.col("id").alias("i"), F.col("ended_at").alias("e"))).over(order))
+    last = F.struct(F.col("started_at").alias("s"), F.col("id").alias("i"), F.col("ended_at").alias("e"))
+    rows = scan.running(chunks, ["device_id"], ["arrival", "id"], {"prev": ("max", last)})
     if devices is not None:
         rows = rows.join(devices.select("device_id", "expected_chunk_sec"), "device_id", "left")
         interval = F.coalesce("expected_chunk_sec", F.lit(expected_sec))
@@ -59,6 +60,12 @@ def heartbeat(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("device_id").agg(F.max("seq").alias("last_seq"), F.max("started_at").alias("last_started_at"), F.max("ended_at").alias("last_ended_at"), F.count("*").alias("chunks"))
 
 
+def heartbeat_so_far(chunks: DataFrame) -> DataFrame:
+    """Adds seq_so_far and start_so_far, the heartbeat of the device as each chunk came in."""
+    rows = scan.running(chunks, ["device_id"], ["arrival", "id"], {"_seq": ("max", F.col("seq")), "_start": ("max", F.col("started_at"))})
+    return rows.withColumn("seq_so_far", F.greatest("seq", "_seq")).withColumn("start_so_far", F.greatest("started_at", "_start")).drop("_seq", "_start")
+
+
 def device_states(devices: DataFrame, as_of: Column, expected_sec: float = EXPECTED_SEC) -> DataFrame:
     interval = F.coalesce("expected_chunk_sec", F.lit(expected_sec))
     return devices.withColumn("silence_sec", between_sec(as_of, "last_seen_at")).withColumn("state", device_state("last_seen_at", as_of, interval))
@@ -92,11 +99,14 @@ def gap_report(stale: DataFrame, events: DataFrame) -> DataFrame:
     return a.unionByName(events.select("device_id", "kind", "duration_sec"))
 
 
-def _islands(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Numbers the runs of intervals that touch; runs never overlap each other."""
-    order = Window.partitionBy(*keys).orderBy("s", "id")
-    rows = rows.withColumn("reach", F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1)))
-    return rows.withColumn("island", F.sum(F.when(F.col("s") < F.col("reach"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("reach")
+def islands(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Numbers the runs of intervals (s, e) that touch, as island; runs never overlap each
+    other. The rows of a key are told apart by (s, id)."""
+    heavy = scan.heavy_keys(rows, keys)
+    rows = scan.running(rows, keys, ["s", "id"], {"reach": ("max", F.col("e"))}, heavy)
+    rows = rows.withColumn("new", F.when(F.col("s") < F.col("reach"), 0).otherwise(1)).drop("reach")
+    rows = scan.running(rows, keys, ["s", "id"], {"island": ("sum", F.col("new"))}, heavy)
+    return rows.withColumn("island", F.col("island") + F.col("new")).drop("new")
 
 
 def at_seam(detections: DataFrame, zones: DataFrame, margin_sec: float = 1.0) -> DataFrame:
@@ -114,25 +124,13 @@ def mark_duplicates(detections: DataFrame, least: float = 0.5, keys: tuple[str,
     absorb nothing. ``may`` names a boolean column (as of ``at_seam``): where it is not true,
     a detection is canonical whatever it overlaps.
 
-    The fold is sequential, so groups are cut first into runs of overlapping intervals,
-    between which nothing can match."""
-    rows = detections.select(*keys, "id", seconds("window_start_ts").alias("s"), seconds("window_end_ts").alias("e"), (F.coalesce(F.col(may), F.lit(False)) if may else F.lit(True)).alias("may"))
-    rows = _islands(rows, list(keys)).groupBy(*keys, "island").agg(F.sort_array(F.collect_list(F.struct("s", "id", "e", "may"))).alias("list"))
-
-    def fraction(a: Column, b: Column) -> Column:
-        shared = F.greatest(F.lit(0.0), F.least(a["e"], b["e"]) - F.greatest(a["s"], b["s"]))
-        shorter = F.least(a["e"] - a["s"], b["e"] - b["s"])
-        return F.when(shorter > 0, shared / shorter).otherwise(F.when((F.least(a["e"], b["e"]) >= F.greatest(a["s"], b["s"])), F.lit(1.0)).otherwise(F.lit(0.0)))
-
-    start = F.struct(F.slice("list", 1, 0).alias("canon"), F.expr("cast(array() as array<struct<id: bigint, of: bigint>>)").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        hit = F.try_element_at(F.filter(acc["canon"], lambda c: x["may"] & (fraction(c, x) >= least)), F.lit(1))
-        row = F.struct(x["id"].alias("id"), hit["id"].alias("of"))
-        return F.struct(F.when(hit.isNull(), F.concat(acc["canon"], F.array(x))).otherwise(acc["canon"]).alias("canon"), F.concat(acc["out"], F.array(row)).alias("out"))
-
-    folded = F.aggregate("list", start, step, lambda acc: acc["out"])
-    return rows.select(F.explode(folded).alias("r")).select(F.col("r.id").alias("id"), F.col("r.of").alias("duplicate_of_id"))
+    Groups are cut first into runs of overlapping intervals, between which nothing can
+    match; a sweep goes through each with the canonical spans that are still open."""
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    rows = detections.select(*keys, "id", micros("window_start_ts").alias("s"), micros("window_end_ts").alias("e"), (F.coalesce(F.col(may), F.lit(False)) if may else F.lit(True)).alias("may"))
+    # an interval without length touches what ends where it begins
+    runs = islands(rows.withColumn("until", F.col("e")).withColumn("e", F.col("e") + 1), list(keys)).withColumn("e", F.col("until"))
+    return sweep.first_match(runs, keys, least, absorbing=True).withColumnRenamed("of_id", "duplicate_of_id")
 
 
 def storage_kept(files: DataFrame, limit_bytes: int) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sonagrid.functions import geo
 from sonagrid.functions.time import time_bucket
+from sonagrid.operators import scan
 from sonagrid.operators.clusters import density_clusters
 
 
@@ -108,6 +109,13 @@ def auto_bandwidth(rows: DataFrame, first: int = 200) -> DataFrame:
     return steps.agg(F.coalesce(F.least(F.greatest(F.try_element_at(list_, (F.size(list_) / 2).cast("int") + 1) / 2, F.lit(150.0)), F.lit(2000.0)), F.lit(300.0)).alias("bandwidth"))
 
 
+def steps(rows: DataFrame) -> DataFrame:
+    """Adds step_m, the distance to the device's place before, in the order of time."""
+    place = F.struct("window_start_ts", "id", "lat", "lon")
+    found = scan.running(rows, ["device_id"], ["window_start_ts", "id"], {"_before": ("max", place)})
+    return found.withColumn("step_m", geo.haversine("_before.lat", "_before.lon", "lat", "lon")).drop("_before")
+
+
 def spread(rows: DataFrame) -> DataFrame:
     """One row: the larger range of the points in metres; 100 for a single place."""
     p = _plane(rows)

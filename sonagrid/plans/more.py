@@ -194,7 +194,7 @@ def set_window_index_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT device_id, min(window_start_ts) AS start, max(window_end_ts) AS until, count(*) AS n FROM (SELECT *, sum(CASE WHEN window_start_ts < reach THEN 0 ELSE 1 END) OVER (PARTITION BY device_id ORDER BY window_start_ts, id) AS island FROM (SELECT *, max(window_end_ts) OVER (PARTITION BY device_id ORDER BY window_start_ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM detections)) GROUP BY device_id, island", _D)
 def win_merge_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fx.detections(spark, sf_dir).withColumn("s", F.col("window_start_ts")).withColumn("e", F.col("window_end_ts"))
-    return ingest._islands(rows, ["device_id"]).groupBy("device_id", "island").agg(F.min("s").alias("start"), F.max("e").alias("until"), F.count("*").alias("n")).drop("island")
+    return ingest.islands(rows, ["device_id"]).groupBy("device_id", "island").agg(F.min("s").alias("start"), F.max("e").alias("until"), F.count("*").alias("n")).drop("island")
 
 
 @query('SELECT "class", recording_id, CAST(row_number() OVER (PARTITION BY "class" ORDER BY recording_id) AS INT) AS rank, count(*) OVER (PARTITION BY "class") AS n FROM (SELECT DISTINCT "class", recording_id FROM recordings)', ("recordings",))

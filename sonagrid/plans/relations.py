@@ -6,8 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from sonagrid.functions import geo
-from sonagrid.operators import aggregates, export, ingest, joins, states
+from sonagrid.operators import aggregates, export, ingest, joins, states, zones
 from sonagrid.plans.registry import query
 from sonagrid.sources import fixtures as fx
 
@@ -119,8 +118,7 @@ def str_heartbeat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT id, max(seq) OVER w AS seq_so_far, max(started_at) OVER w AS start_so_far FROM chunks WINDOW w AS (PARTITION BY device_id ORDER BY arrival, id ROWS UNBOUNDED PRECEDING)", ("chunks",))
 def win_heartbeat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("device_id").orderBy("arrival", "id").rowsBetween(Window.unboundedPreceding, 0)
-    return fx.chunks(spark, sf_dir).select("id", F.max("seq").over(w).alias("seq_so_far"), F.max("started_at").over(w).alias("start_so_far"))
+    return ingest.heartbeat_so_far(fx.chunks(spark, sf_dir)).select("id", "seq_so_far", "start_so_far")
 
 
 _STALE = "SELECT device_id, name, last_seen_at, round(epoch(TIMESTAMP '2024-01-31') - epoch(last_seen_at), 3)::DOUBLE AS silence_sec FROM devices WHERE is_active AND epoch(TIMESTAMP '2024-01-31') - epoch(last_seen_at) > greatest(1.5 * coalesce(expected_chunk_sec, 60), 180)"
@@ -160,9 +158,8 @@ def win_mobile_storage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT id, CASE WHEN plat IS NOT NULL THEN round({_HAV}, 3) END AS step_m FROM (SELECT id, lat, lon, lag(lat) OVER w AS plat, lag(lon) OVER w AS plon FROM detections WHERE lat IS NOT NULL WINDOW w AS (PARTITION BY device_id ORDER BY window_start_ts, id)) x, LATERAL (SELECT plat AS lat, plon AS lon) a, LATERAL (SELECT x.lat AS lat, x.lon AS lon) b", _D)
 def win_lag_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("device_id").orderBy("window_start_ts", "id")
-    rows = fx.detections(spark, sf_dir).filter("lat is not null")
-    return rows.select("id", F.round(geo.haversine(F.lag("lat").over(w), F.lag("lon").over(w), "lat", "lon"), 3).alias("step_m"))
+    rows = zones.steps(fx.detections(spark, sf_dir).filter("lat is not null"))
+    return rows.select("id", F.round("step_m", 3).alias("step_m"))
 
 
 
