@@ -208,7 +208,7 @@ def _aligned(share: float, thorough: bool):
     return run
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, text: str = "text", key: str = "doc_id", item: str = "item_id", thorough: bool = False) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, text: str = "text", key: str = "doc_id", item: str = "item_id", thorough: bool = True) -> DataFrame:
     """One row for each document and benchmark item that it holds: doc_id, item_id,
     agreement (the largest share of equal words in an aligned window) and first_word (the
     first place of such a window, words from 0).

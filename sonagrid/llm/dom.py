@@ -10,8 +10,12 @@ import html
 import re
 from bisect import bisect_right
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
-_ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: An attribute as browsers read it: the name runs to white space, a slash, = or >; a value
+#: without quotes to white space or >, whatever quotes are in it.
+_VALUE = r"""(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))?)?"""
+_ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*)" + _VALUE)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[\s/]|[^\s/>][^\s/>=]*" + _VALUE.replace("([^", "(?:[^") + ")*+)>?", re.S)
+_HINTS = frozenset(("class", "id", "role", "hidden", "aria-hidden", "style"))
 _RAW = {n: re.compile(rf"</{n}\b[^>]*>?", re.I) for n in ("script", "style", "textarea", "title", "iframe")}
 #: Elements whose text stays and is set off from the words around it.
 _APART = frozenset("noscript template svg select option optgroup math object canvas video audio".split())
@@ -26,6 +30,16 @@ _CLOSES_P = BLOCK - {"html", "head", "body", "td", "th", "tr", "caption", "thead
 _ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"thead", "tbody", "tfoot"}, {"table"}), "body": ({"head"}, {"html"})}
 
 
+def _hints(attributes: str) -> str:
+    """What the attributes of a block say about it."""
+    out = []
+    for m in _ATTRIBUTE.finditer(attributes):
+        if (name := m[1].lower()) in _HINTS and (name != "style" or "none" in m[0]):
+            value = m[2] or m[3] or m[4] or ""
+            out.append(f"{m[1]} {value}" if name in ("role", "hidden", "aria-hidden") else value)
+    return " ".join(out)
+
+
 #: Blocks nested deeper than this hang beside each other, as in browsers; no text is lost.
 DEEPEST = 512
 
@@ -126,8 +140,7 @@ class Page:
                 depth.append(depth[above] + 1)
                 tags.append(name)
                 linked.append(0)
-                attributes = token[3]
-                hints.append(" ".join(f"{m[1]} {m[2] or m[3] or m[4] or ''}" if m[1].lower() in ("role", "hidden", "aria-hidden") else (m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(attributes) if m[1].lower() != "style" or "none" in m[0]) if attributes and not attributes.isspace() else "")
+                hints.append(_hints(token[3]))
                 blocks.append(len(tags) - 1)
                 places.append(len(open_tags))
                 where.setdefault(name, []).append(len(open_tags))

@@ -230,6 +230,11 @@ class _Corpus:
         return values, np.cumsum(sizes)[np.cumsum(stop - lead) - 1]
 
 
+#: Segments of the sampled texts that the first round is fitted on, about; later rounds take
+#: the highest segments of every text, and this share of the other segments of clean ones.
+FIRST_SEGMENTS, CLEAN_SHARE = 60_000, 0.1
+
+
 def train(texts: list[bytes], y: np.ndarray, rounds: int = 4, epochs: int = 3) -> Model:
     """Fits the model; two thirds of the texts fit the embeddings, the rest calibrates."""
     rng = np.random.default_rng(SEED)
@@ -249,9 +254,9 @@ def train(texts: list[bytes], y: np.ndarray, rounds: int = 4, epochs: int = 3) -
             value = corpus.means((table @ (soft[:, 1] - soft[:, 0])).astype(np.float32), lead, stop)
             order = np.lexsort((-value, text_of))
             rank = np.arange(len(order)) - np.searchsorted(text_of[order], text_of[order])
-            some = order[(rank < 2) | (target[text_of[order]] == 0) & ((rank < 6) | (rng.random(len(order)) < 0.1))]
+            some = order[(rank < 2) | (target[text_of[order]] == 0) & ((rank < 6) | (rng.random(len(order)) < CLEAN_SHARE))]
         else:
-            some = np.flatnonzero(rng.random(len(lead)) < min(1.0, 60_000 / len(lead)))
+            some = np.flatnonzero(rng.random(len(lead)) < min(1.0, FIRST_SEGMENTS / len(lead)))
         if len(some):
             _sgd(*corpus.bags(lead[some], stop[some]), target[text_of[some]], table, soft, epochs, rng)
     # too few texts to calibrate: the share of toxic ones
