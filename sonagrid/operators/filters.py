@@ -36,6 +36,8 @@ class ObservationFilter:
     limit: int | None = field(default=None, compare=False)
 
     def __post_init__(self) -> None:
+        if self.limit is not None and self.limit > MOST_ROWS:
+            raise ValueError(f"a limit is at most {MOST_ROWS} rows; without one, all rows are taken")
         object.__setattr__(self, "hours", tuple(sorted({h % 24 for h in self.hours})))
         if self.bbox is not None:
             min_lon, min_lat, max_lon, max_lat = self.bbox
@@ -87,7 +89,7 @@ class ObservationFilter:
     def apply(self, detections: DataFrame) -> DataFrame:
         rows = detections.filter(self.predicate())
         if self.limit is not None:
-            rows = rows.orderBy("window_start_ts", "id").limit(min(self.limit, MOST_ROWS))
+            rows = rows.orderBy("window_start_ts", "id").limit(self.limit)
         return rows
 
 

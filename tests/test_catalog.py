@@ -78,6 +78,17 @@ def test_entry_runs(spark):
     assert entry.entry(spark).count() == 5
 
 
+@pytest.mark.parametrize("missing", ["sonagrid.llm", "corpus_pipeline", "zstandard", "tiktoken"])
+def test_entry_without_what_the_subpackage_needs(missing):
+    """The core queries stay when the subpackage, or a library that it needs, is not there."""
+    import subprocess
+    import sys
+
+    code = f"import sys; sys.modules[{missing!r}] = None; import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120, cwd=os.path.dirname(os.path.abspath(entry.__file__)), check=True).stdout.split()
+    assert int(out[0]) >= len(catalog.queries()) and int(out[1]) >= len(catalog.oracle_sql())
+
+
 def test_queries_without_sql_give_rows(spark):
     for name in set(catalog.queries()) - set(catalog.oracle_sql()):
         assert catalog.queries()[name](spark, SF).limit(1).count() == 1, name

@@ -80,6 +80,12 @@ def test_limit_takes_the_earliest(populated):
     assert {r.device_id for r in rows} == {"dev_b"}
 
 
+def test_a_limit_is_kept_or_refused():
+    assert ObservationFilter(limit=200_000).limit == 200_000
+    with pytest.raises(ValueError, match="200000"):
+        ObservationFilter(limit=200_001)
+
+
 def test_hourly_is_filled_and_peak_takes_lowest(spark):
     rows = detections(spark, [(1, "d", "s", 0.9, 0, 1.0, 1.0), (2, "d", "s", 0.9, 60, 1.0, 1.0)])
     hours = aggregates.hourly(rows).collect()
