@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sonagrid.plans import aggregations, confirmation, datasets, registry, relations, scalars, selections, spatial, streams
+from sonagrid.plans import aggregations, confirmation, datasets, registry, relations, scalars, selections, spatial, streams, training
 from sonagrid.plans import more  # isort: skip - it builds on the others
 
-__all__ = ["aggregations", "confirmation", "datasets", "flagship", "more", "oracle_sql", "queries", "relations", "scalars", "selections", "spatial", "streams"]
+__all__ = ["aggregations", "confirmation", "datasets", "flagship", "more", "oracle_sql", "queries", "relations", "scalars", "selections", "spatial", "streams", "training"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
