@@ -16,10 +16,12 @@ is. Then, as in prefix-filter joins:
   sent. Each pair is verified once.
 
 Groups are never expanded into all pairs at the outset: the first round compares each
-set with the centre of the groups it is in, and two more try other centres. Later, only pairs that are still in
-different components are made, each with a set outside its group's largest component, so
-that a group of thousands of near copies costs about as many comparisons as it has
-members, while no component is cut.
+set with the centre of the groups it is in, a set whose shingles are common, and one more
+tries another centre. Later, only pairs that are still in different components are made,
+each with a set outside its group's largest component, and only if their distances to the
+centres that both were compared with leave it open whether they link (the Jaccard distance
+is a metric). So a group of thousands of near copies costs about as many comparisons as it
+has members, while no component is cut.
 
 Frequent shingles are dealt over several tasks, and so are the pairs of one centre; other
 joins on a key that may be frequent go through ``skew.join_unique``.
@@ -460,13 +462,11 @@ def _components(docs: DataFrame, size: int = SHINGLE, num: int = NUMERATOR, den:
 
         # sets that their first centre missed try another one, before all pairs are made
         placed = _placed(scratch, shared, roots, "placed")
-        for name, pick in (("hi", F.max("sig")), ("any", F.max_by("sig", F.xxhash64("sig")))):
-            more = _links(spark, scratch, texts, meta, _untried(_next_star(placed, pick), tried), name, twins, size, num, den)
-            tried = tried.unionByName(more)
-            if more.filter("linked").isEmpty():
-                continue
-            roots = scratch.table(graph.components(tried.filter("linked")), f"roots_{name}")
-            placed = _placed(scratch, placed, roots, f"placed_{name}")
+        more = _links(spark, scratch, texts, meta, _untried(_next_star(placed, F.max("sig")), tried), "next", twins, size, num, den)
+        tried = tried.unionByName(more)
+        if not more.filter("linked").isEmpty():
+            roots = scratch.table(graph.components(tried.filter("linked")), "roots_next")
+            placed = _placed(scratch, placed, roots, "placed_next")
 
         rest = _untried(_across(scratch, placed, _pivots(tried), salted, num, den), tried)
         more = _links(spark, scratch, texts, meta, rest, "rest", twins, size, num, den).filter("linked")
