@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from sonagrid.plans.registry import query
 from sonagrid.sources import fixtures as fx
-from sonagrid.streaming import pipelines, watch
+from sonagrid.streaming import exports, pipelines, watch
 
 
 def _in_order(spark: SparkSession, folder: str) -> None:
@@ -22,9 +22,8 @@ def _in_order(spark: SparkSession, folder: str) -> None:
         files.setTimes(part, now - 1000 * (len(parts) - k), -1)
 
 
-def _run(spark: SparkSession, frame: DataFrame, build, mode: str = "append", order: tuple[str, ...] = (), per_trigger: int = 100) -> DataFrame:
-    """Feeds ``frame`` to a stream through a folder that all executors share, by ``order``
-    if it matters to the stream."""
+def _fed(spark: SparkSession, frame: DataFrame, order: tuple[str, ...] = (), per_trigger: int = 100) -> tuple[DataFrame, str]:
+    """(``frame`` as a stream, by ``order`` if it matters; a folder for what it writes)."""
     from sonagrid.sources.shared import shared_folder
 
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
@@ -33,7 +32,13 @@ def _run(spark: SparkSession, frame: DataFrame, build, mode: str = "append", ord
     frame.write.parquet(f"{folder}/in")
     if order:
         _in_order(spark, f"{folder}/in")
-    stream = pipelines.read_stream(spark, f"{folder}/in", frame.schema, per_trigger)
+    return pipelines.read_stream(spark, f"{folder}/in", frame.schema, per_trigger), folder
+
+
+def _run(spark: SparkSession, frame: DataFrame, build, mode: str = "append", order: tuple[str, ...] = (), per_trigger: int = 100) -> DataFrame:
+    """What a stream has written when ``frame`` has run out, with the number of the
+    micro-batch."""
+    stream, folder = _fed(spark, frame, order, per_trigger)
     out = build(stream)
 
     # a batch that comes again takes the place of what it wrote before
@@ -125,3 +130,13 @@ def stream_record_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One event of a device and kind in ten hours, by state that expires."""
     events = _chunks(spark, sf_dir).select("id", "device_id", (F.col("seq") % 2).alias("kind"), "started_at")
     return _run(spark, events, lambda s: watch.suppress_repeats(s, 36_000), order=("started_at", "id")).select("id")
+
+
+@query("SELECT id, user_id, (r - 1) // 40 AS export, (r - 1) % 40 + 1 AS place FROM (SELECT id, user_id, row_number() OVER (ORDER BY id) AS r, count(*) OVER () AS n FROM submissions WHERE status = 'pending') WHERE (r - 1) // 40 < n // 40", ("submissions",))
+def stream_auto_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Waiting submissions, exported forty at a time as soon as so many wait."""
+    rows = fx.submissions(spark, sf_dir).filter("status = 'pending'").select("id", "user_id")
+    stream, folder = _fed(spark, rows, ("id",))
+    stream.writeStream.foreachBatch(exports.auto_batch(f"{folder}/out", 40)).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    schema = T.StructType([*rows.schema.fields, T.StructField("export", T.LongType()), T.StructField("place", T.LongType()), T.StructField("batch", T.LongType())])
+    return spark.read.schema(schema).parquet(f"{folder}/out/export").drop("batch")

@@ -65,7 +65,7 @@ def test_stream_of_many_triggers_equals_batch(spark, monkeypatch, stream, batch,
     assert rows(stream) == rows(batch)
 
 
-@pytest.mark.parametrize("name", ["stream_activity", "stream_heartbeat", "stream_sessions", "stream_analysis_windows", "stream_stale_devices", "stream_record_stale"])
+@pytest.mark.parametrize("name", ["stream_activity", "stream_heartbeat", "stream_sessions", "stream_analysis_windows", "stream_stale_devices", "stream_record_stale", "stream_auto_batch"])
 def test_stream_of_many_triggers_equals_sql(spark, duck, monkeypatch, name):
     from sonagrid.streaming import pipelines
 
@@ -108,6 +108,18 @@ def test_sink_takes_a_batch_twice(spark, tmp_path):
     assert seen == [(0, 5), (1, 3), (1, 3)]
 
 
+def test_exports_of_replayed_batches(spark, tmp_path):
+    """Every row is exported once, whatever micro-batch comes again, at any point."""
+    from sonagrid.streaming import exports
+
+    sink = exports.auto_batch(str(tmp_path), 10)
+    part = lambda a, b: spark.range(a, b)
+    for number, (a, b) in ((0, (0, 7)), (0, (0, 7)), (1, (7, 25)), (1, (7, 25)), (2, (25, 26)), (2, (25, 26)), (3, (26, 44))):
+        sink(part(a, b), number)
+    found = sorted((r.id, r.export, r.place) for r in spark.read.parquet(f"{tmp_path}/export").collect())
+    assert found == [(k, k // 10, k % 10 + 1) for k in range(40)]
+
+
 @pytest.mark.parametrize("name", ["str_seam_dedup", "str_chunk_dedup", "str_seam_gate"])
 def test_duplicates_equal_a_plain_fold(spark, name):
     """The queries of duplicates over the whole table against a loop in plain Python."""
