@@ -125,13 +125,13 @@ _KDE = """WITH o AS (SELECT avg(lat) AS lat0, avg(lon) AS lon0, sum(confidence)
   p AS (SELECT (lon - lon0) * 111320 * cos(radians(lat0)) AS x, (lat - lat0) * 111320 AS y, confidence / t AS w FROM detections, o WHERE lat IS NOT NULL),
   m AS (SELECT sum(w * x) AS mx, sum(w * y) AS my, sum(w * w) AS w2, sum(w * x * x) AS xx, sum(w * y * y) AS yy, sum(w * x * y) AS xy, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM p),
   c AS (SELECT *, (xx - mx * mx) * f AS cxx, (yy - my * my) * f AS cyy, (xy - mx * my) * f AS cxy FROM (SELECT *, pow(500 / greatest(x1 - x0, y1 - y0), 2) / (1 - w2) AS f FROM m)),
-  g AS (SELECT c.*, cxx * cyy - cxy * cxy AS det, i::INT AS gx, j::INT AS gy, x0 - 500 + i * (x1 - x0 + 1000) / 7 AS px, y0 - 500 + j * (y1 - y0 + 1000) / 7 AS py FROM c, range(8) a(i), range(8) b(j))
+  g AS (SELECT c.*, cxx * cyy - cxy * cxy AS det, i::INT AS gx, j::INT AS gy, x0 - 500 + i * (x1 - x0 + 1000) / 63 AS px, y0 - 500 + j * (y1 - y0 + 1000) / 63 AS py FROM c, range(64) a(i), range(64) b(j))
   SELECT gx, gy, round(1e9 * sum(w * exp(-0.5 * (cyy * (px - x) * (px - x) - 2 * cxy * (px - x) * (py - y) + cxx * (py - y) * (py - y)) / det) / (2 * pi() * sqrt(det))), 3) AS density FROM g, p GROUP BY 1, 2"""
 
 
 @query(_KDE.replace("WITH o AS", "SELECT * FROM (WITH o AS", 1) + ")", _D)
 def geo_kde(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = zones.kde(_located(spark, sf_dir), 500.0, size=8, fold_m=0)
+    k = zones.kde(_located(spark, sf_dir), 500.0, fold_m=0)
     return k.select("gx", "gy", F.round(F.col("density") * 1e9, 3).alias("density"))
 
 

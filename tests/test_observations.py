@@ -199,14 +199,36 @@ def test_time_bucket_starts_anew_each_day(spark):
     assert row.a.startswith("2024-01-01 20:00:00")
 
 
-def test_density_and_contours(spark):
-    rows = detections(spark, [(i, "d", "s", 0.9, i, 59.9 + (i % 7) * 0.001, 41.1 + (i % 5) * 0.002) for i in range(60)])
-    density = zones.kde(rows, 500.0, size=24).cache()
-    assert density.count() == 24 * 24
-    # folding points into small squares hardly moves the density
-    exact = zones.kde(rows, 500.0, size=24, fold_m=0)
-    off = density.alias("a").join(exact.alias("b"), ["gx", "gy"]).agg((F.max(F.abs(F.col("a.density") - F.col("b.density"))) / F.max("b.density")).alias("m")).first().m
-    assert off < 0.01
+def test_density_equals_a_plain_sum(spark):
+    """The bounded kernel over summed places against every point at every node."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    points = [(i, "d", "s", round(float(rng.uniform(0.3, 1)), 3), i, 59.9 + int(rng.integers(30)) * 1e-3, 41.1 + int(rng.integers(30)) * 2e-3) for i in range(300)]
+    rows = detections(spark, points)
+    for some in (rows, rows.withColumn("confidence", F.lit(0.7))):
+        data = some.select("lat", "lon", "confidence").collect()
+        lat, lon, c = (np.array([r[k] for r in data]) for k in range(3))
+        w = c / c.sum()
+        x, y = (lon - lon.mean()) * geo.DEGREE_M * np.cos(np.radians(lat.mean())), (lat - lat.mean()) * geo.DEGREE_M
+        spread = max(np.ptp(x), np.ptp(y))
+        d = np.stack((x, y)) - np.array([[(w * x).sum()], [(w * y).sum()]])
+        cov = (w * d) @ d.T * (200 / spread) ** 2 / (1 - (w**2).sum())
+        gx, gy = (np.linspace(v.min() - 200, v.max() + 200, 32) for v in (x, y))
+        inverse = np.linalg.inv(cov)
+        want = np.zeros((32, 32))
+        for a, b, v in zip(x, y, w, strict=True):
+            dx, dy = gx[:, None] - a, gy[None, :] - b
+            want += v * np.exp(-0.5 * (inverse[0, 0] * dx**2 + 2 * inverse[0, 1] * dx * dy + inverse[1, 1] * dy**2)) / (2 * np.pi * np.sqrt(np.linalg.det(cov)))
+        found = zones.kde(some, 200.0, size=32, fold_m=0).collect()
+        got = np.zeros((32, 32))
+        for r in found:
+            got[r.gx, r.gy] = r.density
+            assert abs(r.x - gx[r.gx]) < 1e-6 and abs(r.y - gy[r.gy]) < 1e-6
+        assert len(found) == 1024 and np.abs(got - want).max() < 1e-9 * want.max()
+        folded = {(r.gx, r.gy): r.density for r in zones.kde(some, 200.0, size=32).collect()}
+        assert max(abs(folded[r.gx, r.gy] - r.density) for r in found) < 0.01 * want.max()
+    assert zones.kde(rows.filter("false")).collect() == [] and zones.kde(rows.limit(1)).collect() == []
 
 
 def test_hotspots_find_two_groups(spark):
