@@ -49,3 +49,16 @@ def parse_bound(text: Column, upper: bool = False) -> Column:
 
 def millis(ms: Column) -> Column:
     return F.timestamp_millis(ms)
+
+
+def overlap_length(start_a, end_a, start_b, end_b) -> Column:
+    """What two intervals share; 0 if they only touch or lie apart."""
+    return F.greatest(F.lit(0), F.least(end_a, end_b) - F.greatest(start_a, start_b))
+
+
+def overlap_share(start_a, end_a, start_b, end_b) -> Column:
+    """The share of the shorter interval that the other has too. Of an interval without length
+    it is 1 where the other holds its place, 0 elsewhere."""
+    shorter = F.least(end_a - start_a, end_b - start_b)
+    held = F.least(end_a, end_b) >= F.greatest(start_a, start_b)
+    return F.when(shorter > 0, overlap_length(start_a, end_a, start_b, end_b) / shorter).otherwise(F.when(held, F.lit(1.0)).otherwise(F.lit(0.0)))

@@ -91,3 +91,8 @@ def mark_synced(rows: DataFrame, pushed: DataFrame) -> DataFrame:
     """The table with pushed rows marked; to be written as its next version."""
     p = pushed.select("id", F.lit(1).alias("_p"))
     return rows.join(p, "id", "left").withColumn("sync_status", F.coalesce("_p", "sync_status")).drop("_p")
+
+
+def write_alerts(messages: DataFrame, path: str) -> None:
+    """Alert texts (column msg), a line each, after those that are there."""
+    messages.select("msg").write.mode("append").text(path)

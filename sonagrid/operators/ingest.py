@@ -38,6 +38,24 @@ def gap_events(timing: DataFrame) -> DataFrame:
     return timing.filter("gap_event").select(F.col("id").alias("chunk_id"), "device_id", F.lit("gap").alias("kind"), F.col("prev_ended_at").alias("started_at"), F.col("started_at").alias("ended_at"), F.col("gap_sec").alias("duration_sec"))
 
 
+def state_events(reports: DataFrame) -> DataFrame:
+    """An event for each report (device_id, at, id, is_active) that differs from the
+    device's report before: deactivated or reactivated."""
+    rows = scan.running(reports, ["device_id"], ["at", "id"], {"before": ("max", F.struct("at", "id", "is_active"))})
+    kind = F.when(F.col("is_active"), "reactivated").otherwise("deactivated")
+    return rows.filter("is_active <> before.is_active").select("device_id", kind.alias("kind"), F.col("at").alias("started_at"), F.lit(None).cast("double").alias("duration_sec"))
+
+
+def error_events(jobs: DataFrame, attempts: int = 2) -> DataFrame:
+    """An event for each failed job (device_id, at, attempts, failed) that was tried so often."""
+    return jobs.filter(F.col("failed") & (F.col("attempts") >= attempts)).select("device_id", F.lit("error").alias("kind"), F.col("at").alias("started_at"), F.lit(None).cast("double").alias("duration_sec"))
+
+
+def device_events(gaps: DataFrame, states: DataFrame, errors: DataFrame) -> DataFrame:
+    """device_id, kind, started_at, duration_sec of all three kinds of events."""
+    return gaps.select("device_id", "kind", "started_at", "duration_sec").unionByName(states).unionByName(errors)
+
+
 def overlap_zone(timing: DataFrame) -> DataFrame:
     """Start and end, in seconds, of the part of a chunk that its predecessor has too."""
     start = seconds("started_at")

@@ -39,3 +39,33 @@ def transition_allowed(before: str = "before", after: str = "after"):
     for a, bs in sorted(TRANSITIONS.items()):
         found = found | (F.col(before) == a) & F.col(after).isin(*sorted(bs))
     return found
+
+
+def replaced(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """``table`` with ``rows`` inserted; a row of a known key takes the place of the old one,
+    nulls included."""
+    return table.join(rows.select(key), key, "left_anti").unionByName(rows)
+
+
+def consented(users: DataFrame, consents: DataFrame) -> DataFrame:
+    """``users`` (user_id, name, consent, consented_at) after ``consents`` (user_id, name, at),
+    of which the latest of a user counts: it sets the consent and its time, and the name
+    where it has one; unknown users are added."""
+    new = latest(consents, "user_id", ["at"]).select("user_id", F.col("name").alias("_name"), "at")
+    both = users.join(new, "user_id", "full_outer")
+    came = F.col("at").isNotNull()
+    return both.select("user_id", F.coalesce("_name", "name").alias("name"), F.when(came, True).otherwise(F.col("consent")).alias("consent"), F.coalesce("at", "consented_at").alias("consented_at"))
+
+
+def registered(events: DataFrame) -> DataFrame:
+    """Devices from their events (device_id, kind: registered, updated, activated or
+    deactivated; name, at, id): the last name that was given, whether the device is active
+    (from its registration on), when it was registered and last changed."""
+    named, switched = F.col("name").isNotNull(), F.col("kind").isin("activated", "deactivated", "registered")
+    order = F.struct("at", "id")
+    return events.groupBy("device_id").agg(
+        F.max_by(F.when(named, F.col("name")), F.when(named, order)).alias("name"),
+        F.max_by(F.col("kind") != "deactivated", F.when(switched, order)).alias("is_active"),
+        F.min(F.when(F.col("kind") == "registered", F.col("at"))).alias("created_at"),
+        F.max("at").alias("updated_at"),
+    ).filter("created_at is not null")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sonagrid.operators import dataset
+from sonagrid.operators import dataset, export
 from sonagrid.plans.registry import query
 from sonagrid.sources import fixtures as fx
+from sonagrid.sources.shared import shared_folder
 
 _R = ("recordings",)
 _SPLIT = """(SELECT r.*, CASE WHEN n = 1 THEN 'train' WHEN n = 2 THEN CASE WHEN k = 1 THEN 'train' ELSE 'val' END WHEN k <= nt THEN 'test' WHEN k <= nt + nv THEN 'val' ELSE 'train' END AS split
@@ -52,4 +55,7 @@ def agg_validation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f'SELECT split, count(*) AS n FROM {_SPLIT} GROUP BY 1', _R)
 def snk_split_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _split(spark, sf_dir).groupBy("split").agg(F.count("*").alias("n"))
+    """The manifests as written, read back."""
+    folder = f"{shared_folder(spark)}/split-{uuid.uuid4().hex}"
+    export.write_split(_split(spark, sf_dir), folder)
+    return spark.read.schema("class string, recording_id string, file long, split string").json(folder).groupBy("split").agg(F.count("file").alias("n"))

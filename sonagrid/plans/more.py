@@ -29,7 +29,7 @@ def _same(name: str, as_: str) -> None:
 
 for _name, _as in {
     "join_cell_covered": "geo_cell_covered", "agg_grid": "geo_grid_heatmap", "agg_hotspot_stats": "geo_hotspots", "win_prev_chunk": "join_prev_chunk", "win_mobile_confirm_gap": "vote_mobile",
-    "snk_device_events": "str_gap_event", "str_clock_skew": "flt_chunk_valid", "ml_report": "agg_class_report", "dml_mobile": "dml_mobile_retention", "dml_register": "dml_latest_view", "dml_consent": "dml_upsert",
+    "str_clock_skew": "flt_chunk_valid", "ml_report": "agg_class_report",
 }.items():
     _same(_name, _as)
 
@@ -143,7 +143,9 @@ def src_registry_reload(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT device_id, name || ' is silent since ' || strftime(last_seen_at, '%H:%M') || ' (' || floor(silence_sec / 60)::BIGINT || ' min)' AS msg FROM (" + relations._STALE + ")", ("devices",))
 def snk_alert(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = relations._stale(spark, sf_dir)
-    return rows.select("device_id", text.alert_text(F.col("name"), F.col("last_seen_at"), F.col("silence_sec")).alias("msg"))
+    folder = f"{shared_folder(spark)}/alerts-{uuid.uuid4().hex}"
+    export.write_alerts(rows.select(text.alert_text(F.col("name"), F.col("last_seen_at"), F.col("silence_sec")).alias("msg")), folder)
+    return spark.read.text(folder).select(F.regexp_extract("value", "^device ([0-9]+) ", 1).cast("bigint").alias("device_id"), F.col("value").alias("msg"))
 
 
 @query("SELECT device_id FROM (" + relations._STALE + ")", ("devices",))
@@ -281,3 +283,53 @@ def join_same_place(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = neighbours(places, 0.5, ["species_slug"]).join(places.select("id", "n"), "id").join(places.select(F.col("id").alias("other"), F.col("n").alias("m")), "other")
     pairs = near.select("species_slug", (F.col("n") * F.col("m")).alias("pairs")).union(places.filter("n > 1").select("species_slug", (F.col("n") * (F.col("n") - 1)).alias("pairs")))
     return pairs.groupBy("species_slug").agg(F.sum("pairs").alias("pairs"))
+
+
+@query(
+    f"""SELECT device_id, kind, started_at, duration_sec FROM (
+      SELECT device_id, kind, started_at, duration_sec FROM (SELECT device_id, 'gap' AS kind, prev_ended_at AS started_at, round(gap_sec, 3) AS duration_sec FROM ({relations._FULL}) WHERE gap_event) UNION ALL
+      SELECT device_id, CASE WHEN on_ THEN 'reactivated' ELSE 'deactivated' END, started_at, NULL FROM (SELECT *, lag(on_) OVER (PARTITION BY device_id ORDER BY started_at, id) AS was FROM (SELECT *, seq % 5 <> 0 AS on_ FROM chunks)) WHERE on_ <> was UNION ALL
+      SELECT device_id, 'error', started_at, NULL FROM chunks WHERE seq % 7 = 0 AND seq % 4 >= 2)""",
+    ("devices", "chunks"),
+)
+def snk_device_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gap, state and error events as written, read back."""
+    chunks = fx.chunks(spark, sf_dir)
+    gaps = ingest.gap_events(ingest.chunk_timing(chunks, fx.devices(spark, sf_dir))).withColumn("duration_sec", F.round("duration_sec", 3))
+    at = F.col("started_at").alias("at")
+    states_ = ingest.state_events(chunks.select("device_id", at, "id", (F.col("seq") % 5 != 0).alias("is_active")))
+    errors = ingest.error_events(chunks.select("device_id", at, (F.col("seq") % 4).alias("attempts"), (F.col("seq") % 7 == 0).alias("failed")))
+    folder = f"{shared_folder(spark)}/device-events-{uuid.uuid4().hex}"
+    ingest.device_events(gaps, states_, errors).write.partitionBy("kind").parquet(folder)
+    return spark.read.parquet(folder).select("device_id", "kind", "started_at", "duration_sec")
+
+
+@query("SELECT coalesce(c.user_id, u.user_id) AS user_id, coalesce(c.name, u.name) AS name, CASE WHEN c.at IS NOT NULL THEN TRUE ELSE u.consent END AS consent, c.at AS consented_at FROM users u FULL JOIN (SELECT o_custkey + 5 AS user_id, arg_max(o_orderdate, o_orderkey) AS at, nullif(arg_max(CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority ELSE '' END, o_orderkey), '') AS name FROM orders GROUP BY 1) c ON c.user_id = u.user_id", ("users",))
+def dml_consent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Consents of users, some of them new; the last one of a user counts."""
+    orders = fx.table(spark, sf_dir, "orders")
+    users = fx.users(spark, sf_dir).select("user_id", "name", "consent", F.lit(None).cast(dict(orders.dtypes)["o_orderdate"]).alias("consented_at"))
+    last = states.latest(orders.select((F.col("o_custkey") + 5).alias("user_id"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderpriority")).alias("name"), F.col("o_orderdate").alias("at"), "o_orderkey"), "user_id", ["o_orderkey"])
+    return states.consented(users, last.select("user_id", "name", "at"))
+
+
+_KIND = "CASE WHEN id % 7 = 0 THEN 'deactivated' WHEN id % 7 = 1 THEN 'activated' WHEN id % 7 < 4 THEN 'registered' ELSE 'updated' END"
+
+
+@query(f"SELECT * FROM (SELECT device_id, arg_max(name, (started_at, id)) FILTER (WHERE name IS NOT NULL) AS name, arg_max(kind <> 'deactivated', (started_at, id)) FILTER (WHERE kind <> 'updated') AS is_active, min(started_at) FILTER (WHERE kind = 'registered') AS created_at, max(started_at) AS updated_at FROM (SELECT *, {_KIND} AS kind, CASE WHEN id % 3 = 0 THEN 'name ' || id END AS name FROM chunks) GROUP BY device_id) WHERE created_at IS NOT NULL", ("chunks",))
+def dml_register(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Devices as their events leave them."""
+    rows = fx.chunks(spark, sf_dir).select("device_id", F.expr(_KIND).alias("kind"), F.when(F.col("id") % 3 == 0, F.concat(F.lit("name "), F.col("id").cast("string"))).alias("name"), F.col("started_at").alias("at"), "id")
+    return states.registered(rows)
+
+
+@query("SELECT id, species_slug, CASE WHEN r <= 100 AND sync_status = 0 THEN 1 ELSE sync_status END AS sync_status FROM (SELECT *, sum(CASE WHEN sync_status = 0 THEN 1 ELSE 0 END) OVER (ORDER BY window_start_ts, id) AS r FROM (SELECT id, window_start_ts, CASE WHEN id % 11 = 0 THEN 'again' ELSE species_slug END AS species_slug, CASE WHEN id % 11 = 0 THEN 0 ELSE id % 3 END AS sync_status FROM detections)) WHERE window_start_ts >= TIMESTAMP '2024-01-05'", ("detections",))
+def dml_mobile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A phone's table through one cycle: rows that come again replace the old ones and wait
+    anew, the first hundred that wait are pushed and marked, old ones go."""
+    rows = fx.detections(spark, sf_dir).select("id", "window_start_ts", "species_slug", (F.col("id") % 3).alias("sync_status"))
+    again = rows.filter("id % 11 = 0").withColumn("species_slug", F.lit("again")).withColumn("sync_status", F.lit(0).cast("bigint"))
+    table = states.replaced(rows, again, "id")
+    pushed = table.filter("sync_status = 0").orderBy("window_start_ts", "id").limit(100).select("id", F.lit(1).cast("bigint").alias("_now"))
+    marked = table.join(pushed, "id", "left").withColumn("sync_status", F.coalesce("_now", "sync_status")).drop("_now")
+    return states.expired(marked, "2024-01-05", "window_start_ts").select("id", "species_slug", "sync_status")

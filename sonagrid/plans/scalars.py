@@ -146,10 +146,8 @@ def fn_gap_required(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT vec_id, round(len, 6)::DOUBLE AS len, round(CASE WHEN short > 0 THEN len / short ELSE 1 END, 6)::DOUBLE AS frac FROM (SELECT vec_id, greatest(0, least(10, vec_id % 17) - greatest(3, vec_id % 5)) AS len, least(7, vec_id % 17 - vec_id % 5) AS short FROM embeddings WHERE vec_id % 17 > vec_id % 5)")
 def fn_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = fx.table(spark, sf_dir, "embeddings").filter("vec_id % 17 > vec_id % 5")
-    a0, a1, b0, b1 = F.lit(3), F.lit(10), F.col("vec_id") % 5, F.col("vec_id") % 17
-    size = F.greatest(F.lit(0), F.least(a1, b1) - F.greatest(a0, b0))
-    short = F.least(a1 - a0, b1 - b0)
-    return e.select("vec_id", F.round(size.cast("double"), 6).alias("len"), F.round(F.when(short > 0, size / short).otherwise(F.lit(1.0)), 6).alias("frac"))
+    spans = F.lit(3), F.lit(10), F.col("vec_id") % 5, F.col("vec_id") % 17
+    return e.select("vec_id", F.round(time.overlap_length(*spans).cast("double"), 6).alias("len"), F.round(time.overlap_share(*spans), 6).alias("frac"))
 
 
 @query("SELECT * FROM (VALUES ('/d/anas/rec_12_part03.wav', 'rec_12'), ('XC77-clip9.WAV', 'XC77'), ('a_chunk4_x.wav', 'a'), ('plain.wav', 'plain'), ('PART_Part1.wav', 'PART')) t(path, recording)")
