@@ -291,14 +291,23 @@ def _screened(pairs: DataFrame, meta: DataFrame, num: int, den: int) -> DataFram
     return found.select(more.alias("a"), less.alias("b"), F.expr("of_a < of_b").alias("turned"), passed.alias("passed"), far.alias("far"), (1 + F.greatest("of_a", "of_b") / CENTRE_PAIRS).cast("int").alias("spread"))
 
 
-def _links(spark: SparkSession, scratch: Scratch, texts: DataFrame, meta: DataFrame, pairs: DataFrame, name: str, shared: frozenset, size: int, num: int, den: int) -> DataFrame:
+def _counted(pairs: DataFrame) -> DataFrame:
+    """``pairs`` in the form of ``_screened``, all of them passed."""
+    ends = pairs.groupBy("a").agg(F.count("*").alias("held")).withColumn("of_a", F.col("held"))
+    found = join_unique(pairs, ends, "a", pairs.count(), partitions(pairs.sparkSession))
+    return found.select("a", "b", F.lit(False).alias("turned"), F.lit(True).alias("passed"), F.lit(0.0).alias("far"), (1 + F.col("of_a") / CENTRE_PAIRS).cast("int").alias("spread"))
+
+
+def _links(spark: SparkSession, scratch: Scratch, texts: DataFrame, meta: DataFrame, pairs: DataFrame, name: str, shared: frozenset, size: int, num: int, den: int, screen: bool = True) -> DataFrame:
     """What is found of ``pairs`` (a, b: signatures): a, b, linked (they reach the threshold),
     and bounds lo and hi of their Jaccard distance, which are equal where the sets were
-    compared. The sets are made anew, only for the documents that a filter lets through."""
+    compared. The sets are made anew, only for the documents that a filter lets through.
+    Without ``screen`` all pairs are compared: of those that the metric leaves open, hardly
+    any would not pass the other filters."""
     asked = scratch.table(pairs, f"asked_{name}")
     if asked.isEmpty():
         return asked.withColumns({"linked": F.lit(False), "lo": F.lit(0.0), "hi": F.lit(1.0)})
-    screened = scratch.table(_screened(asked, meta, num, den), f"screened_{name}")
+    screened = scratch.table(_screened(asked, meta, num, den) if screen else _counted(asked), f"screened_{name}")
     turn = [F.expr(f"if(turned, {x}, {y})").alias(y) for x, y in (("b", "a"), ("a", "b"))]
     missed = screened.filter("not passed").select(*turn, F.lit(False).alias("linked"), F.col("far").alias("lo"), F.lit(1.0).alias("hi"))
     pairs = screened.filter("passed")
@@ -413,8 +422,8 @@ def _pivots(tried: DataFrame) -> DataFrame:
 
 
 def _across(scratch: Scratch, placed: DataFrame, pivots: DataFrame, salted: bool, num: int, den: int) -> DataFrame:
-    """Pairs (a < b) of sets in different components that meet in a shingle and pass the
-    filters. One set of each is outside the component that most sets of the shingle are in,
+    """Pairs of sets in different components that meet in a shingle and pass the filters, each
+    one way round. One set of each, a, is outside the component that most sets of the shingle are in,
     so that the inside of a large component is never gone through pair by pair.
 
     The Jaccard distance is a metric. Two sets that a common centre has been compared with are
@@ -432,7 +441,8 @@ def _across(scratch: Scratch, placed: DataFrame, pivots: DataFrame, salted: bool
     far = f"coalesce(exists(x.pivots, t -> exists(y.pivots, u -> t.c = u.c and (t.lo - u.hi > {reach} or u.lo - t.hi > {reach}))), false)"
     first = f"if(y.n < x.n or y.n = x.n and y.sig < x.sig, {_reaches('y', 'x', num, den)}, {_reaches('x', 'y', num, den)})"
     pairs = minor.alias("x").join(apart.alias("y"), F.expr(f"x.h = y.h and x.to = y.salt and x.root <> y.root and (y.root = y.major or x.sig < y.sig) and {first} and not ({far})"))
-    return pairs.select(F.least("x.sig", "y.sig").alias("a"), F.greatest("x.sig", "y.sig").alias("b")).distinct()
+    found = pairs.select(F.col("x.sig").alias("a"), F.col("y.sig").alias("b"), F.least("x.sig", "y.sig").alias("_1"), F.greatest("x.sig", "y.sig").alias("_2"))
+    return found.dropDuplicates(["_1", "_2"]).select("a", "b")
 
 
 def _components(docs: DataFrame, size: int = SHINGLE, num: int = NUMERATOR, den: int = DENOMINATOR, text: str = "text", key: str = "doc_id", marks: tuple = (), salt_rows: int | None = None) -> DataFrame:
@@ -469,7 +479,7 @@ def _components(docs: DataFrame, size: int = SHINGLE, num: int = NUMERATOR, den:
             placed = _placed(scratch, placed, roots, "placed_next")
 
         rest = _untried(_across(scratch, placed, _pivots(tried), salted, num, den), tried)
-        more = _links(spark, scratch, texts, meta, rest, "rest", twins, size, num, den).filter("linked")
+        more = _links(spark, scratch, texts, meta, rest, "rest", twins, size, num, den, screen=False).filter("linked")
         if not more.isEmpty():
             roots = scratch.table(graph.components(tried.filter("linked").unionByName(more)), "all_roots")
 

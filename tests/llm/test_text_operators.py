@@ -128,11 +128,28 @@ def test_jaccard_with_frequent_keys_apart(spark, monkeypatch):
     assert plain((r.doc_id, r.n_shingles, r.component_id) for r in got) == plain(brute_components(rows))
 
 
+def test_the_metric_rules_out_no_link(spark):
+    """Copies of one base at all distances from it, about the threshold most of all, and texts
+    that share but a passage with it: the same groups, and the pairs that the distances to a
+    centre leave open are few."""
+    rng = random.Random(21)
+    base = [f"b{k}" for k in range(120)]
+    rows = []
+    for k in range(150):
+        w = list(base)
+        for at in rng.sample(range(120), rng.choice((0, 1, 2, 3, 3, 4, 4, 5, 6, 9))):
+            w[at] = f"c{k}_{at}"
+        rows.append((k, " ".join(w), "x", 1))
+    rows += [(300 + k, " ".join([f"o{k}_{j}" for j in range(60)] + base[:30]), "x", 1) for k in range(60)]
+    got = near.jaccard_components(spark.createDataFrame(rows, KIND).repartition(3)).collect()
+    assert plain((r.doc_id, r.n_shingles, r.component_id) for r in got) == plain(brute_components(rows))
+
+
 def test_pairs_are_verified_once(spark, monkeypatch):
     """No pair of sets is asked for in both rounds, and none twice in one."""
     asked = []
-    screened = near._screened
-    monkeypatch.setattr(near, "_screened", lambda pairs, *rest: asked.extend((min(r), max(r)) for r in pairs.select("a", "b").collect()) or screened(pairs, *rest))
+    links = near._links
+    monkeypatch.setattr(near, "_links", lambda *args, **more: asked.extend((min(r), max(r)) for r in args[4].select("a", "b").collect()) or links(*args, **more))
     rng = random.Random(5)
     base = [f"w{k}" for k in range(60)]
     rows = [(k, " ".join(w if rng.random() > 0.03 else f"c{rng.randrange(9)}" for w in base), "x", 1) for k in range(60)]
