@@ -628,7 +628,7 @@ def test_long_text_scores_as_its_words(spark):
 
 def test_registered_queries():
     names = sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.queries())
-    assert names == list(range(1, 11))
+    assert names == list(range(1, 14))
 
 
 def test_hash_of_spans_is_by_content():
