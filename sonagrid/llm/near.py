@@ -298,13 +298,15 @@ def _counted(pairs: DataFrame) -> DataFrame:
     return found.select("a", "b", F.lit(False).alias("turned"), F.lit(True).alias("passed"), F.lit(0.0).alias("far"), (1 + F.col("of_a") / CENTRE_PAIRS).cast("int").alias("spread"))
 
 
-def _links(spark: SparkSession, scratch: Scratch, texts: DataFrame, meta: DataFrame, pairs: DataFrame, name: str, shared: frozenset, size: int, num: int, den: int, screen: bool = True) -> DataFrame:
+def _links(spark: SparkSession, scratch: Scratch, texts: DataFrame, meta: DataFrame, pairs: DataFrame, name: str, shared: frozenset, size: int, num: int, den: int, screen: bool = True, last: tuple[str, ...] = ()) -> DataFrame:
     """What is found of ``pairs`` (a, b: signatures): a, b, linked (they reach the threshold),
     and bounds lo and hi of their Jaccard distance, which are equal where the sets were
     compared. The sets are made anew, only for the documents that a filter lets through.
     Without ``screen`` all pairs are compared: of those that the metric leaves open, hardly
-    any would not pass the other filters."""
+    any would not pass the other filters. ``last`` names the tables that only ``pairs`` reads;
+    they are removed once it is written."""
     asked = scratch.table(pairs, f"asked_{name}")
+    scratch.done(*last)
     if asked.isEmpty():
         return asked.withColumns({"linked": F.lit(False), "lo": F.lit(0.0), "hi": F.lit(1.0)})
     screened = scratch.table(_screened(asked, meta, num, den) if screen else _counted(asked), f"screened_{name}")
@@ -325,6 +327,7 @@ def _links(spark: SparkSession, scratch: Scratch, texts: DataFrame, meta: DataFr
     compared = both.select(*turn, F.expr(f"{num + den} * m >= {num} * n").alias("linked"), away.alias("lo"), away.alias("hi"))
     found = scratch.table(compared.unionByName(missed), f"links_{name}")
     bitmap.destroy()
+    scratch.done(f"asked_{name}", f"screened_{name}", f"ends_{name}")
     return found
 
 
@@ -464,6 +467,7 @@ def _components(docs: DataFrame, size: int = SHINGLE, num: int = NUMERATOR, den:
         rows = texts.mapInArrow(_prefixes(sketch, usual, salt_rows, twins, size, num, den), "h long, salt int, sig long, n int, pos int, rank byte").repartition(parts, "h", "salt")
         shared = _shared(scratch, rows, salted, parts)
         sketch.destroy()
+        scratch.done()
 
         star = shared.filter("sig <> lo").groupBy(F.col("sig").alias("b"), F.col("lo").alias("a")).count()
         star = star.groupBy("b").agg(F.max(F.struct("count", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
@@ -471,15 +475,17 @@ def _components(docs: DataFrame, size: int = SHINGLE, num: int = NUMERATOR, den:
         roots = scratch.table(graph.components(tried.filter("linked")), "roots")
 
         # sets that their first centre missed try another one, before all pairs are made
-        placed = _placed(scratch, shared, roots, "placed")
+        placed, held = _placed(scratch, shared, roots, "placed"), "placed"
+        scratch.done("shared", *("dealt", "all_shared") * salted)
         more = _links(spark, scratch, texts, meta, _untried(_next_star(placed, F.max("sig")), tried), "next", twins, size, num, den)
         tried = tried.unionByName(more)
         if not more.filter("linked").isEmpty():
             roots = scratch.table(graph.components(tried.filter("linked")), "roots_next")
-            placed = _placed(scratch, placed, roots, "placed_next")
+            placed, held = _placed(scratch, placed, roots, "placed_next"), "placed_next"
+            scratch.done("placed")
 
         rest = _untried(_across(scratch, placed, _pivots(tried), salted, num, den), tried)
-        more = _links(spark, scratch, texts, meta, rest, "rest", twins, size, num, den, screen=False).filter("linked")
+        more = _links(spark, scratch, texts, meta, rest, "rest", twins, size, num, den, screen=False, last=("apart", held)).filter("linked")
         if not more.isEmpty():
             roots = scratch.table(graph.components(tried.filter("linked").unionByName(more)), "all_roots")
 

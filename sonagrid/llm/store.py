@@ -43,5 +43,13 @@ class Scratch(AbstractContextManager):
         path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
         path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
+    def done(self, *names: str) -> None:
+        """Removes tables that nothing reads any more, and lets Spark remove the files of
+        shuffles that no plan needs: its cleaner learns of them when the driver collects its
+        garbage, which a driver with memory to spare puts off."""
+        for name in names:
+            self.drop(name)
+        self.spark._jvm.System.gc()
+
     def __exit__(self, *_: object) -> None:
         self.drop()
