@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Mapping
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -27,16 +28,58 @@ BASE = {
     "cc by nc": "cc-by-nc",
 }
 
-#: Further templates: label and wording.
-TEMPLATES = {
-    "gpl": "<<beginOptional>>licensed under the<<endOptional>> gnu <<beginOptional>>lesser<<endOptional>> <<beginOptional>>affero<<endOptional>> general public license",
+#: A version of a Creative Commons licence and what may follow it.
+_VERSION = " ".join(f"<<beginOptional>>{x}<<endOptional>>" for x in ("1", "2", "3", "4", "0", "5", "international", "unported", "generic", "united states", "public"))
+#: The parts of these licences as they are spelt.
+_PARTS = {"by": ("attribution",), "nc": ("noncommercial", "non commercial"), "nd": ("noderivatives", "no derivatives", "noderivs"), "sa": ("sharealike", "share alike")}
+
+
+def _commons(*parts: str) -> tuple[str, ...]:
+    """The full name of a Creative Commons licence in all spellings, and its short name. A
+    short name that begins another one has to stand before a version."""
+    short = f"cc {' '.join(parts)}"
+    ends = [""] if parts[-1] in ("nd", "sa") else [" 1 0", " 2 0", " 2 5", " 3 0", " 4 0"]
+    return (*(f"creative commons {' '.join(x)} {_VERSION} license" for x in product(*(_PARTS[p] for p in parts))), *(short + x for x in ends))
+
+
+#: Further labels and their wording, in one or several forms.
+TEMPLATES: dict[str, str | tuple[str, ...]] = {
+    "gpl": "gnu general public license",
+    "lgpl": ("gnu lesser general public license", "gnu library general public license"),
+    "agpl": "gnu affero general public license",
+    "gfdl": "gnu free documentation license",
+    "mpl": "mozilla public license",
+    "epl": "eclipse public license",
+    "cddl": "common development and distribution license",
+    "eupl": ("european union public licence", "european union public license"),
+    "ms-pl": "microsoft public license",
+    "artistic": "artistic license",
+    "psf": "python software foundation license",
+    "ofl": "sil open font license",
     "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy of <<var;name=what;most=8>> to deal in the software without restriction",
     "bsd": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
+    "bsd-3-clause": "neither the name of <<var;name=holder;most=12>> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "isc": "permission to use copy modify and <<beginOptional>>or<<endOptional>> distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "0bsd": "permission to use copy modify and <<beginOptional>>or<<endOptional>> distribute this software for any purpose with or without fee is hereby granted the software is provided as is",
+    "boost": ("boost software license", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
+    "zlib": "in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely",
+    "unlicense": "this is free and unencumbered software released into the public domain",
     "apache-2-notice": "licensed under the apache license version 2 <<beginOptional>>0<<endOptional>> <<beginOptional>>the license<<endOptional>> you may not use <<var;name=what;most=4>> except in compliance with the license",
-    "cc-by": "creative commons attribution <<beginOptional>>noncommercial<<endOptional>> <<beginOptional>>sharealike<<endOptional>> <<var;name=version;most=3>> <<beginOptional>>international<<endOptional>> license",
+    "cc0": ("cc0 1 0 universal", "creative commons zero"),
+    "cc-by": _commons("by"),
+    "cc-by-sa": _commons("by", "sa"),
+    "cc-by-nd": _commons("by", "nd"),
+    "cc-by-nc": _commons("by", "nc"),
+    "cc-by-nc-sa": _commons("by", "nc", "sa"),
+    "cc-by-nc-nd": _commons("by", "nc", "nd"),
     "spdx": "spdx license identifier <<var;name=id;most=1>>",
 }
 
+
+def _forms(template: str | tuple[str, ...]) -> tuple[str, ...]:
+    return (template,) if isinstance(template, str) else template
+
+
 _MARK = re.compile(r"<<(beginOptional|endOptional|var;[^>]*)>>")
 _WORD = re.compile(r"[a-z0-9\x80-\U0010ffff]+")
 
@@ -136,9 +179,9 @@ class Automaton:
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64()), ("spans", pa.list_(pa.struct([("label", pa.string()), ("first", pa.int64()), ("end", pa.int64())])))])
 
 
-def _scanned(base: Mapping[str, str], templates: Mapping[str, str]):
+def _scanned(base: Mapping[str, str], templates: Mapping[str, str | tuple[str, ...]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automata = [(label, True, Automaton(phrase)) for phrase, label in base.items()] + [(label, False, Automaton(t)) for label, t in templates.items()]
+        automata = [(label, True, Automaton(phrase)) for phrase, label in base.items()] + [(label, False, Automaton(x)) for label, t in templates.items() for x in _forms(t)]
         by_word: dict[bytes, list] = {}
         for entry in automata:
             for word in entry[2].opening:
@@ -173,13 +216,13 @@ def _scanned(base: Mapping[str, str], templates: Mapping[str, str]):
     return run
 
 
-def scan(docs: DataFrame, base: Mapping[str, str] | None = None, templates: Mapping[str, str] | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
+def scan(docs: DataFrame, base: Mapping[str, str] | None = None, templates: Mapping[str, str | tuple[str, ...]] | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Per row of ``docs``: doc_id, n_words, n_base, first_word, last_word, base_labels,
     labels, score and the matched ``spans`` (label, first word, end).
 
     Words are runs of ASCII letters and digits and of characters beyond ASCII, after
     lower-casing A-Z. ``base`` maps plain phrases to labels; n_base counts all places
-    where one stands. The score is 1 - 2**-(number of distinct labels). A null or empty
+    where one stands. ``templates`` maps labels to one wording or several. The score is 1 - 2**-(number of distinct labels). A null or empty
     text has no words, empty labels and score 0; repeated rows stay, null ids pass
     through, other columns are not looked at."""
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
@@ -196,7 +239,7 @@ def oracle() -> str:
     count = "len(string_split(left(s, {0}), '  ')) - CASE WHEN {0} = 0 THEN 1 ELSE 0 END"
     named = lambda found: "array_to_string(list_sort(list_distinct(list_filter([" + ", ".join(found) + "], lambda x: x IS NOT NULL))), ',')"
     plain = [f"CASE WHEN contains(s, '{x}') THEN '{BASE[p]}' END" for p, x in base.items()]
-    more = [f"CASE WHEN regexp_matches(s, '{as_regex(t)}') THEN '{label}' END" for label, t in TEMPLATES.items()]
+    more = [f"CASE WHEN regexp_matches(s, '{"|".join(map(as_regex, _forms(t)))}') THEN '{label}' END" for label, t in TEMPLATES.items()]
     return f"""
     WITH w AS (
       SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM documents

@@ -278,9 +278,10 @@ def test_licenses(spark, docs, none):
     texts = {
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated files to deal in the software without restriction": "mit-grant",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of one two three four five six seven eight nine to deal in the software without restriction": "",
-        "the GNU Affero General Public License": "gpl",
+        "the GNU Affero General Public License": "agpl",
         "the GNU Strange General Public License": "",
-        "Licensed under the GNU Lesser General Public License": "gpl",
+        "Licensed under the GNU Lesser General Public License": "lgpl",
+        "under the GNU General Public License, version 3": "gpl",
         "SPDX-License-Identifier: Zlib": "spdx",
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.": "apache-2,apache-2-notice",
         "Licensed under the Apache License, Version 2; you may not ever use this file except in compliance with the License.": "apache-2",
@@ -289,6 +290,31 @@ def test_licenses(spark, docs, none):
     assert [r.labels for r in sorted(found, key=lambda r: r.doc_id)] == list(texts.values())
 
 
+@pytest.mark.parametrize(("source", "labels"), [
+    ("Creative Commons Attribution 4.0 International License", "cc-by"), ("Creative Commons Attribution License", "cc-by"), ("CC BY 4.0", "cc-by"), ("cc by the way", ""),
+    ("Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License", "cc-by-nc-nd"), ("Creative Commons Attribution-NonCommercial 4.0 International Public License", "cc-by-nc"),
+    ("Creative Commons Attribution-Share Alike 3.0 Unported License", "cc-by-sa"), ("Creative Commons Attribution Non-Commercial ShareAlike 2.5 Generic License", "cc-by-nc-sa"),
+    ("Creative Commons Attribution-NoDerivs 3.0 United States License", "cc-by-nd"), ("CC-BY-SA-4.0", "cc-by-sa"), ("CC BY-NC 4.0", "cc-by-nc"), ("CC BY-NC-ND 4.0", "cc-by-nc,cc-by-nc-nd"), ("CC0 1.0 Universal", "cc0"),
+    ("Creative Commons Attribution Something 4.0 International License", ""),
+    ("the Mozilla Public License, v. 2.0", "mpl"), ("Boost Software License - Version 1.0", "boost"), ("the Eclipse Public License 2.0", "epl"),
+    ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "isc"),
+    ('Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. THE SOFTWARE IS PROVIDED "AS IS"', "0bsd"),
+    ("Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", "bsd-3-clause"),
+    ("This is free and unencumbered software released into the public domain.", "unlicense"),
+])
+def test_license_variants(source, labels):
+    """A variant has its own label and never that of a less restrictive one."""
+    words = re.findall("[a-z0-9]+", source.translate(LOWER))
+    found = {label for phrase, label in licenses.BASE.items() if f" {phrase} " in f" {' '.join(words)} "}
+    for label, template in licenses.TEMPLATES.items():
+        for form in licenses._forms(template):
+            automaton = licenses.Automaton(form)
+            ends = [automaton.accepts(lambda k: words[k].encode(), p, len(words)) for p in range(len(words)) if words[p].encode() in automaton.opening]
+            assert (max(ends, default=-1) >= 0) == bool(re.search(licenses.as_regex(form), "".join(f" {w} " for w in words)))
+            found |= {label} if max(ends, default=-1) >= 0 else set()
+    assert ",".join(sorted(found)) == labels
+
+
 def test_license_markup_errors():
     for bad in ("a <<beginOptional>> b", "a <<endOptional>>"):
         with pytest.raises(ValueError):
