@@ -10,6 +10,13 @@ def seconds(ts: str | Column) -> Column:
     return F.unix_micros(F.col(ts).cast("timestamp") if isinstance(ts, str) else ts.cast("timestamp")) / 1e6
 
 
+def epoch_ms(ts: str | Column) -> Column:
+    """Whole milliseconds since the epoch, rounded half away from it."""
+    micros = F.unix_micros(F.col(ts).cast("timestamp") if isinstance(ts, str) else ts.cast("timestamp"))
+    rest = F.try_mod(micros, F.lit(1000))
+    return F.call_function("div", micros, F.lit(1000)) + F.when(rest >= 500, 1).when(rest <= -500, -1).otherwise(0)
+
+
 def between_sec(later: str | Column, earlier: str | Column) -> Column:
     return seconds(later) - seconds(earlier)
 

@@ -6,6 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from sonagrid.functions import time
 from sonagrid.operators import aggregates as agg, dataset, ingest
 from sonagrid.plans.registry import query
 from sonagrid.sources import fixtures as fx
@@ -151,7 +152,7 @@ def agg_top_species_mobile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT CAST((epoch_ms(window_start_ts) // 3600000) % 24 AS INT) AS hour, count(*) AS cnt FROM detections GROUP BY 1", _D)
 def agg_hourly_mobile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return agg.mobile_hourly(fx.detections(spark, sf_dir).withColumn("timestamp_ms", F.unix_millis(F.col("window_start_ts").cast("timestamp"))))
+    return agg.mobile_hourly(fx.detections(spark, sf_dir).withColumn("timestamp_ms", time.epoch_ms("window_start_ts")))
 
 
 @query("SELECT count(*) AS total, count(DISTINCT species_slug) AS species FROM detections", _D)

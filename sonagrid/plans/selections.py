@@ -6,6 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from sonagrid.functions import time
 from sonagrid.operators import dataset, filters
 from sonagrid.operators.filters import ObservationFilter
 from sonagrid.plans.registry import query
@@ -80,7 +81,7 @@ def flt_active_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT id FROM detections WHERE epoch_ms(window_start_ts) BETWEEN 1704844800000 AND 1705017600000", ("detections",))
 def flt_date_range_ms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ms = F.unix_millis(F.col("window_start_ts").cast("timestamp"))
+    ms = time.epoch_ms("window_start_ts")
     return fx.detections(spark, sf_dir).filter(ms.between(1704844800000, 1705017600000)).select("id")
 
 
