@@ -10,6 +10,8 @@ from pyspark.sql import Column, functions as F
 EARTH_M = 6_371_008.8
 DEGREE_M = 111_320.0
 BASE32 = "0123456789bcdefghjkmnpqrstuvwxyz"
+#: The alphabet by the three bits of one coordinate, then the two of the other.
+_BY_AXIS = "".join(BASE32[(k >> 4 & 1) * 16 + (k >> 1 & 1) * 8 + (k >> 3 & 1) * 4 + (k & 1) * 2 + (k >> 2 & 1)] for k in range(32))
 
 
 def _c(x: Column | str | float) -> Column:
@@ -47,7 +49,8 @@ def _bits(precision: int) -> tuple[int, int]:
 
 def geohash(lat, lon, precision: int) -> Column:
     """Geohash of 1 to 12 characters; a point on a border belongs to the upper cell.
-    Each coordinate's bits come from one division; then they are interleaved."""
+    Each coordinate's bits come from one division; a character has three bits of one and two
+    of the other."""
     if not 1 <= precision <= 12:
         raise ValueError("precision is 1 to 12")
     lon_bits, lat_bits = _bits(precision)
@@ -57,11 +60,10 @@ def geohash(lat, lon, precision: int) -> Column:
     def text(x: Column, y: Column) -> Column:
         chars = []
         for k in range(precision):
-            value = F.lit(0).cast("bigint")
-            for bit in range(5 * k, 5 * k + 5):
-                source, at = (x, lon_bits - 1 - bit // 2) if bit % 2 == 0 else (y, lat_bits - 1 - bit // 2)
-                value = value + F.shiftright(source, at).bitwiseAND(F.lit(1)) * (1 << (4 - bit % 5))
-            chars.append(F.substring(F.lit(BASE32), (value + 1).cast("int"), F.lit(1)))
+            three, two = (x, y) if k % 2 == 0 else (y, x)
+            left = {id(x): lon_bits - (5 * k + 6) // 2, id(y): lat_bits - (5 * k + 5) // 2}
+            part = lambda v, mask, left=left: F.shiftright(v, left[id(v)]).bitwiseAND(F.lit(mask))
+            chars.append(F.substring(F.lit(_BY_AXIS), (part(three, 7) * 4 + part(two, 3) + 1).cast("int"), F.lit(1)))
         return F.concat(*chars)
 
     plain = isinstance(lat, str) and isinstance(lon, str)
@@ -87,28 +89,30 @@ def cell_size_m(precision: int, lat: Column | float = 0.0) -> tuple[Column, Colu
 
 
 def geohash_box(cell: str | Column, precision: int) -> Column:
-    """Struct min_lat, max_lat, min_lon, max_lon of a cell of ``precision`` characters."""
+    """Struct min_lat, max_lat, min_lon, max_lon of a cell of ``precision`` characters. From a
+    column's name it stays within generated code; other expressions are computed once."""
     height, width = cell_size_deg(precision)
 
-    def axes(values: Column) -> Column:
+    def box(cell: Column) -> Column:
         x = y = F.lit(0).cast("bigint")
         for k in range(precision):
-            bit = lambda n, k=k: F.shiftright(values[k], n).bitwiseAND(F.lit(1)).cast("bigint")
-            three = bit(4) * 4 + bit(2) * 2 + bit(0)
-            two = bit(3) * 2 + bit(1)
+            value = F.instr(F.lit(_BY_AXIS), F.substring(cell, k + 1, 1)).cast("bigint") - 1
+            three, two = F.shiftright(value, 2).bitwiseAND(F.lit(7)), value.bitwiseAND(F.lit(3))
             if k % 2 == 0:
                 x, y = x * 8 + three, y * 4 + two
             else:
                 x, y = x * 4 + two, y * 8 + three
-        return F.struct((F.lit(-90.0) + y * height).alias("lat"), (F.lit(-180.0) + x * width).alias("lon"))
+        lat, lon = F.lit(-90.0) + y * height, F.lit(-180.0) + x * width
+        return F.struct(lat.alias("min_lat"), (lat + height).alias("max_lat"), lon.alias("min_lon"), (lon + width).alias("max_lon"))
 
-    values = F.transform(F.sequence(F.lit(1), F.lit(precision)), lambda k: F.instr(F.lit(BASE32), F.substring(_c(cell), k, F.lit(1))) - 1)
-    return _let(_let(values, axes), lambda q: F.struct(q["lat"].alias("min_lat"), (q["lat"] + height).alias("max_lat"), q["lon"].alias("min_lon"), (q["lon"] + width).alias("max_lon")))
+    return box(F.col(cell)) if isinstance(cell, str) else _let(cell, box)
 
 
 def geohash_center(cell: str | Column, precision: int) -> Column:
     height, width = cell_size_deg(precision)
-    return _let(geohash_box(cell, precision), lambda b: F.struct((b["min_lat"] + height / 2).alias("lat"), (b["min_lon"] + width / 2).alias("lon")))
+    centre = lambda b: F.struct((b["min_lat"] + height / 2).alias("lat"), (b["min_lon"] + width / 2).alias("lon"))
+    box = geohash_box(cell, precision)
+    return centre(box) if isinstance(cell, str) else _let(box, centre)
 
 
 def cell_polygon(cell: str | Column, precision: int) -> Column:

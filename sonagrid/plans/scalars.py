@@ -19,6 +19,11 @@ def _located(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.detections(spark, sf_dir).filter("lat is not null")
 
 
+def _celled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Located detections with their cell of six characters, computed once."""
+    return _located(spark, sf_dir).select("id", geo.geohash("lat", "lon", 6).alias("cell"))
+
+
 @query(f"SELECT id, round(2 * 6371008.8 * asin(least(1.0, sqrt(pow(sin(radians(59.9 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(59.9)) * pow(sin(radians(41.1 - lon) / 2), 2)))), 3) AS m FROM detections WHERE {_LOC}", _D)
 def fn_haversine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _located(spark, sf_dir).select("id", F.round(geo.haversine("lat", "lon", 59.9, 41.1), 3).alias("m"))
@@ -54,20 +59,20 @@ _CELL = {"min_lat": "floor((lat + 90) / 180 * 32768) * 180 / 32768 - 90", "min_l
 
 @query(f"SELECT id, round({_CELL['min_lat']}, 7) AS min_lat, round({_CELL['min_lat']} + 180 / 32768.0, 7) AS max_lat, round({_CELL['min_lon']}, 7) AS min_lon, round({_CELL['min_lon']} + 360 / 32768.0, 7) AS max_lon FROM detections WHERE {_LOC}", _D)
 def fn_geohash_bbox(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = geo.geohash_box(geo.geohash("lat", "lon", 6), 6)
-    return _located(spark, sf_dir).select("id", *[F.round(b[k], 7).alias(k) for k in ("min_lat", "max_lat", "min_lon", "max_lon")])
+    b = geo.geohash_box("cell", 6)
+    return _celled(spark, sf_dir).select("id", *[F.round(b[k], 7).alias(k) for k in ("min_lat", "max_lat", "min_lon", "max_lon")])
 
 
 @query(f"SELECT id, round({_CELL['min_lat']} + 90 / 32768.0, 7) AS lat, round({_CELL['min_lon']} + 180 / 32768.0, 7) AS lon FROM detections WHERE {_LOC}", _D)
 def fn_geohash_center(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = geo.geohash_center(geo.geohash("lat", "lon", 6), 6)
-    return _located(spark, sf_dir).select("id", F.round(c["lat"], 7).alias("lat"), F.round(c["lon"], 7).alias("lon"))
+    c = geo.geohash_center("cell", 6)
+    return _celled(spark, sf_dir).select("id", F.round(c["lat"], 7).alias("lat"), F.round(c["lon"], 7).alias("lon"))
 
 
 @query(f"SELECT id, 5 AS corners, TRUE AS closed FROM detections WHERE {_LOC}", _D)
 def fn_geohash_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = geo.cell_polygon(geo.geohash("lat", "lon", 6), 6)
-    return _located(spark, sf_dir).select("id", F.size(p).alias("corners"), (p[0] == p[4]).alias("closed"))
+    p = geo.cell_polygon("cell", 6)
+    return _celled(spark, sf_dir).select("id", F.size(p).alias("corners"), (p[0] == p[4]).alias("closed"))
 
 
 @query("SELECT device_id, round(180 / 32768.0 * 111320, 4) AS height_m, round(360 / 32768.0 * 111320 * cos(radians(lat)), 4) AS width_m FROM devices", ("devices",))
