@@ -171,33 +171,83 @@ def kde(rows: DataFrame, bandwidth_m: float = 500.0, size: int = 64, fold_m: flo
     return summed.crossJoin(F.broadcast(m)).select("gx", "gy", at("x").alias("x"), at("y").alias("y"), "density")
 
 
+class _Near:
+    """Places of one bucket by cells as wide as the reach. A place holds points until they are
+    taken, and leaves its cell with the last of them."""
+
+    def __init__(self, lat: np.ndarray, lon: np.ndarray, eps_m: float) -> None:
+        self.eps_m, self.lat, self.lon = eps_m, np.radians(lat), np.radians(lon)
+        reach = eps_m / geo.EARTH_M * 1.001
+        self.row = np.floor(np.nan_to_num(self.lat) / max(reach, 1e-9)).astype(np.int64)
+        # the greatest difference of longitudes within reach, at the latitude nearest to a pole
+        cosine = np.cos(min(np.pi / 2, np.abs(np.nan_to_num(self.lat)).max(initial=0.0)))
+        wide = np.arcsin(np.sin(reach) / cosine) if reach < np.pi / 2 and np.sin(reach) < cosine else 2 * np.pi
+        self.columns = max(1, int(2 * np.pi / max(wide * 1.001, 1e-9)))
+        self.column = np.floor((np.nan_to_num(self.lon) + np.pi) / (2 * np.pi) * self.columns).astype(np.int64) % self.columns
+        self.cells: dict[tuple[int, int], np.ndarray] = {}
+        order = np.lexsort((self.column, self.row))
+        cuts = np.flatnonzero(np.diff(self.row[order]) | np.diff(self.column[order])) + 1
+        for places in np.split(order, cuts) if len(order) else []:
+            self.cells[self.row[places[0]], self.column[places[0]]] = places
+        self.held = np.ones(len(lat), bool)
+
+    def of(self, place: int) -> np.ndarray:
+        """Places within reach that still hold points."""
+        found = []
+        for row in range(self.row[place] - 1, self.row[place] + 2):
+            for column in {(self.column[place] + k) % self.columns for k in (-1, 0, 1)}:
+                places = self.cells.get((row, column))
+                if places is None:
+                    continue
+                held = self.held[places]
+                if not held.all():
+                    places = self.cells[row, column] = places[held]
+                found.append(places)
+        other = np.concatenate(found) if found else np.zeros(0, np.int64)
+        a = np.sin((self.lat[other] - self.lat[place]) / 2) ** 2 + np.cos(self.lat[place]) * np.cos(self.lat[other]) * np.sin((self.lon[other] - self.lon[place]) / 2) ** 2
+        return other[2 * geo.EARTH_M * np.arcsin(np.minimum(1, np.sqrt(a))) <= self.eps_m]
+
+
 def _greedy(pdf: pd.DataFrame, eps_m: float, least: int) -> pd.DataFrame:
     """Order-dependent clusters of one bucket: seeds are taken from the latest; a seed
-    with too few neighbours goes for good; only its first neighbours pass it on."""
+    with too few neighbours goes for good; only its first neighbours pass it on.
+
+    Points of one place have the same neighbours, and all of them are taken at once but for
+    seeds, so distances are taken between places: each place passes a cluster on once at most."""
     pdf = pdf.sort_values(["window_start_ts", "id"])
-    lat, lon = np.radians(pdf["lat"].to_numpy()), np.radians(pdf["lon"].to_numpy())
-    left = list(range(len(pdf)))
-    label = np.zeros(len(pdf), int)
-    found = 0
-
-    def near(k: int) -> list[int]:
-        other = np.array(left, int)
-        a = np.sin((lat[other] - lat[k]) / 2) ** 2 + np.cos(lat[k]) * np.cos(lat[other]) * np.sin((lon[other] - lon[k]) / 2) ** 2
-        return other[2 * geo.EARTH_M * np.arcsin(np.minimum(1, np.sqrt(a))) <= eps_m].tolist()
-
-    while left:
-        seed = left.pop()
-        members = [seed, *near(seed)]
-        if len(members) < least:
+    spots, place = np.unique(pdf[["lat", "lon"]].to_numpy(), axis=0, return_inverse=True)
+    place = place.reshape(-1)
+    near = _Near(spots[:, 0], spots[:, 1], eps_m)
+    many = np.bincount(place, minlength=len(spots))
+    order = np.argsort(place, kind="stable")
+    begins = np.cumsum(many) - many
+    first = order[begins] if len(order) else order  # of the points that a place holds: seeds go from the end
+    left, label, found = np.ones(len(pdf), bool), np.zeros(len(pdf), int), 0
+
+    def take(places: np.ndarray, cluster: int) -> None:
+        for p in places.tolist():
+            points = order[begins[p] : begins[p] + many[p]]
+            label[points], left[points] = cluster, False
+        many[places], near.held[places] = 0, False
+
+    for seed in range(len(pdf) - 1, -1, -1):
+        if not left[seed]:
+            continue
+        left[seed] = False
+        p = int(place[seed])
+        many[p] -= 1
+        near.held[p] = many[p] > 0
+        around = near.of(p)
+        if 1 + many[around].sum() < least:
             continue
         found += 1
-        left = [p for p in left if p not in set(members)]
-        label[members] = found
-        for k in members:
-            fresh = near(k)
-            if len(fresh) >= least - 1:
-                label[fresh] = found
-                left = [p for p in left if p not in set(fresh)]
+        around = around[np.argsort(first[around])]
+        take(around, found)
+        label[seed] = found
+        for k in [p, *around.tolist()]:
+            fresh = near.of(k)
+            if many[fresh].sum() >= least - 1:
+                take(fresh, found)
     return pdf.assign(cluster=label)[lambda x: x["cluster"] > 0]
 
 
