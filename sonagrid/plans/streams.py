@@ -91,10 +91,13 @@ def _closed(table: str, time: str, end: str) -> str:
     return f"{end} <= (SELECT max({time}) - INTERVAL 2 MINUTES FROM {table})"
 
 
-@query(f"SELECT start, species_slug, cnt FROM (SELECT date_trunc('hour', window_start_ts)::TIMESTAMP AS start, species_slug, count(*) AS cnt FROM detections GROUP BY 1, 2) WHERE {_closed('detections', 'window_start_ts', 'start + INTERVAL 1 HOUR')}", ("detections",))
+@query("SELECT date_trunc('hour', window_start_ts)::TIMESTAMP AS start, species_slug, count(*) AS cnt FROM detections GROUP BY 1, 2", ("detections",))
 def stream_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hours that the watermark has closed; the last ones stay open."""
-    return _run(spark, _detections(spark, sf_dir), pipelines.activity, order=("window_start_ts", "id")).withColumn("start", F.col("start").cast("timestamp_ntz")).drop("batch")
+    """Every hour, those too that the watermark has not closed: each trigger gives the counts
+    that it changes, and the last one counts."""
+    news = _run(spark, _detections(spark, sf_dir), pipelines.activity, "update", order=("window_start_ts", "id"))
+    last = news.groupBy("start", "species_slug").agg(F.max_by("cnt", "batch").alias("cnt"))
+    return last.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 _SPELL = "(SELECT device_id, started_at, sum(new) OVER (PARTITION BY device_id ORDER BY started_at, id) AS spell FROM (SELECT *, CASE WHEN started_at < lag(started_at) OVER (PARTITION BY device_id ORDER BY started_at, id) + INTERVAL 12 HOURS THEN 0 ELSE 1 END AS new FROM chunks))"
