@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sonagrid.operators.ingest import EXPECTED_SEC, GAP_ALERT_SEC
@@ -49,65 +49,82 @@ def heartbeat(chunks: DataFrame) -> DataFrame:
 
 
 _TIMING = T.StructType().add("id", "long").add("device_id", "long").add("overlap_sec", "double").add("gap_sec", "double").add("gap_event", "boolean").add("out_of_order", "boolean")
-_TIMING_STATE = T.StructType().add("prev_start", "double").add("prev_end", "double")
+_TIMING_STATE = T.StructType().add("devices", T.ArrayType(T.LongType())).add("starts", T.ArrayType(T.DoubleType())).add("ends", T.ArrayType(T.DoubleType()))
+#: Keys share state in so many buckets, since a call for each key costs more than its rows.
+BUCKETS = 2048
+
+
+def _bucket(*keys: str) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).alias("bucket")
+
+
+def _plain(column: pd.Series) -> list:
+    """Values of a column, None for nulls."""
+    return column.astype("Int64").astype(object).where(column.notna(), None).tolist() if column.hasnans else column.tolist()
 
 
 def chunk_timing(chunks: DataFrame, expected_sec: float = EXPECTED_SEC, alert_sec: float = GAP_ALERT_SEC) -> DataFrame:
-    """Timing of each chunk against the latest-started one before it; the state of a
-    device is that chunk's start and end. Triggers have to come in order of arrival."""
+    """Timing of each chunk against the latest-started one before it; the state of a bucket
+    holds that chunk's start and end for each device. Triggers have to come in order of
+    arrival."""
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        start, end = state.get if state.exists else (float("nan"), float("nan"))
+        known = {d: (s, e) for d, s, e in zip(*state.get, strict=True)} if state.exists else {}
         out = []
-        # one device's rows of one trigger, which maxFilesPerTrigger bounds
-        for r in pd.concat(list(frames)).sort_values(["arrival", "id"]).itertuples():
-            s, e = r.started_at.timestamp(), r.ended_at.timestamp()
+        # one bucket's rows of one trigger, which maxFilesPerTrigger bounds
+        rows = pd.concat(list(frames)).sort_values(["arrival", "id"])
+        for i, device, s, e in zip(rows["id"].tolist(), _plain(rows["device_id"]), rows["s"].tolist(), rows["e"].tolist(), strict=True):
+            start, end = known.get(device, (float("nan"), float("nan")))
             late = s < start
             lead = 0.0 if late or start != start else end - s
             gap = max(0.0, -lead)
-            out.append((r.id, key[0], max(0.0, lead), gap, gap > max(1.5 * expected_sec, alert_sec), late))
+            out.append((i, device, max(0.0, lead), gap, gap > max(1.5 * expected_sec, alert_sec), late))
             if not late:
-                start, end = s, e
-        state.update((start, end))
-        yield pd.DataFrame(out, columns=_TIMING.names)
+                known[device] = (s, e)
+        state.update((list(known), [x[0] for x in known.values()], [x[1] for x in known.values()]))
+        yield pd.DataFrame(out, columns=_TIMING.names).astype({"device_id": "Int64"})
 
-    rows = chunks.select("id", "device_id", "arrival", "started_at", "ended_at")
-    return rows.groupBy("device_id").applyInPandasWithState(run, _TIMING, _TIMING_STATE, "append", GroupStateTimeout.NoTimeout)
+    rows = chunks.select("id", "device_id", "arrival", *[F.col(c).cast("double").alias(c[0]) for c in ("started_at", "ended_at")], _bucket("device_id"))
+    return rows.groupBy("bucket").applyInPandasWithState(run, _TIMING, _TIMING_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 _SEAM = T.StructType().add("id", "long").add("device_id", "long").add("species_slug", "string").add("duplicate_of_id", "long")
-_SEAM_STATE = T.StructType().add("ids", T.ArrayType(T.LongType())).add("starts", T.ArrayType(T.DoubleType())).add("ends", T.ArrayType(T.DoubleType()))
+_SEAM_STATE = T.StructType().add("devices", T.ArrayType(T.LongType())).add("slugs", T.ArrayType(T.StringType())).add("ids", T.ArrayType(T.LongType())).add("starts", T.ArrayType(T.DoubleType())).add("ends", T.ArrayType(T.DoubleType()))
 
 
 def seam_dedup(detections: DataFrame, least: float = 0.5, late: str = "7 days") -> DataFrame:
     """Marks each detection with the first canonical one that it overlaps. The state of a
-    (device, species) holds canonical spans that ended at the watermark or later, which
-    are all that rows within ``late`` of the newest can overlap."""
+    bucket holds, for each (device, species) in it, canonical spans that ended at the watermark
+    or later, which are all that rows within ``late`` of the newest can overlap."""
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept = list(zip(*state.get, strict=True)) if state.exists else []
         bound = state.getCurrentWatermarkMs() / 1000
-        kept = [x for x in kept if x[2] >= bound]
-        live, out = kept, []
-        for r in pd.concat(list(frames)).sort_values(["s", "id"]).itertuples():
-            s, e = r.s, r.e
+        held = [x for x in zip(*state.get, strict=True) if x[4] >= bound] if state.exists else []
+        lives: dict[tuple, list] = {}
+        for d, slug, *span in held:
+            lives.setdefault((d, slug), []).append(span)
+        out = []
+        rows = pd.concat(list(frames)).sort_values(["s", "id"])
+        slugs = rows["species_slug"].astype(object).where(rows["species_slug"].notna(), None).tolist()
+        for i, d, slug, s, e in zip(rows["id"].tolist(), _plain(rows["device_id"]), slugs, rows["s"].tolist(), rows["e"].tolist(), strict=True):
             of = None
-            live = [x for x in live if x[2] >= s]  # the rows of a trigger come by start
+            live = lives[d, slug] = [x for x in lives.get((d, slug), ()) if x[2] >= s]  # the rows of a trigger come by start
             for other, s0, e0 in live:
                 shorter = min(e - s, e0 - s0)
                 shared = max(0.0, min(e, e0) - max(s, s0))
                 if (shared / shorter if shorter > 0 else float(min(e, e0) >= max(s, s0))) >= least:
                     of = other
                     break
-            out.append((r.id, key[0], key[1], of))
+            out.append((i, d, slug, of))
             if of is None:
-                kept, live = [*kept, (r.id, s, e)], [*live, (r.id, s, e)]
-        state.update(tuple(map(list, zip(*kept, strict=True))) or ([], [], []))
-        yield pd.DataFrame(out, columns=_SEAM.names).astype({"duplicate_of_id": "Int64"})
+                held.append((d, slug, i, s, e))
+                live.append((i, s, e))
+        state.update(tuple(map(list, zip(*held, strict=True))) or ([], [], [], [], []))
+        yield pd.DataFrame(out, columns=_SEAM.names).astype({"device_id": "Int64", "duplicate_of_id": "Int64"})
 
     seconds = [F.col(f"window_{k}_ts").cast("double").alias(k[0]) for k in ("start", "end")]
-    rows = detections.withWatermark("window_start_ts", late).select("id", "device_id", "species_slug", "window_start_ts", *seconds)
-    return rows.groupBy("device_id", "species_slug").applyInPandasWithState(run, _SEAM, _SEAM_STATE, "append", GroupStateTimeout.NoTimeout)
+    rows = detections.withWatermark("window_start_ts", late).select("id", "device_id", "species_slug", "window_start_ts", *seconds, _bucket("device_id", "species_slug"))
+    return rows.groupBy("bucket").applyInPandasWithState(run, _SEAM, _SEAM_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def detection_sink(path: str, raw_path: str | None = None, on_batch: Callable[[DataFrame, int], None] | None = None, prepare: Callable[[DataFrame], DataFrame] | None = None) -> Callable[[DataFrame, int], None]:
