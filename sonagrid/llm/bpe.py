@@ -86,11 +86,10 @@ class _Words:
     """The pre-tokens of a block and its distinct words in the order of their hashes."""
 
     def __init__(self, data: bytes, sizes: np.ndarray) -> None:
+        data, sizes = spans.as_utf8(data, sizes)
         raw = np.frombuffer(data, np.uint8)
         heads = np.flatnonzero((raw & 0xC0) != 0x80)
-        points = np.frombuffer(data.decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
-        if len(points) != len(heads):
-            raise ValueError("a text is not UTF-8")
+        points = np.frombuffer(data.decode().encode("utf-32-le"), np.uint32)
         offsets = np.searchsorted(heads, np.concatenate((np.zeros(1, np.int64), np.cumsum(sizes))))
         starts = pretoken_starts(points, offsets)
         begins = heads[starts] if len(starts) else starts
@@ -239,8 +238,8 @@ def encode(docs: DataFrame, ranks: str, pattern: str, text: str = "text", key: s
     tiktoken library gives for the rank file ``ranks`` without special tokens; with
     ``decoded``, also the bytes that the ids decode to.
 
-    A null or empty text has no ids; repeated rows stay; null ids pass through; other
-    columns are not looked at. ``pattern`` must be the one of ``pretoken_starts``."""
+    A null or empty text has no ids; bytes that are not UTF-8 are encoded as U+FFFD;
+    repeated rows stay; null ids pass through; other columns are not looked at. ``pattern`` must be the one of ``pretoken_starts``."""
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
     count = partitions(docs.sparkSession, rows)
     buckets = min(MOST_BUCKETS, count)

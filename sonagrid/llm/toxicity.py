@@ -51,9 +51,10 @@ class _Marked:
     """The words of texts laid end to end, each with a mark before and after it."""
 
     def __init__(self, raw: bytes, sizes: np.ndarray) -> None:
+        raw, sizes = spans.as_utf8(raw, sizes)
         data = np.frombuffer(raw, np.uint8)
         heads = np.flatnonzero((data & 0xC0) != 0x80)
-        points = np.frombuffer(raw.decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
+        points = np.frombuffer(raw.decode().encode("utf-32-le"), np.uint32)
         codes = _folded()[points]
         #: ``first``: the first word of each text, one more at the end.
         starts, ends, self.first = spans.word_spans(codes > 0, np.searchsorted(heads, np.concatenate((np.zeros(1, np.int64), np.cumsum(sizes)))))
@@ -289,7 +290,7 @@ def _scored(model, threshold: float):
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Per row of ``docs``: doc_id, held_out, score, predicted. A null or empty text
-    scores 0; one without words scores as its calibration says for none; repeated rows
+    scores 0; bytes that are not UTF-8 count as U+FFFD; one without words scores as its calibration says for none; repeated rows
     stay, null ids pass through (not held out), other columns are not looked at."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
