@@ -11,14 +11,20 @@ are near each other:
 * a place that is not core belongs to the clusters of the cells around it that reach it.
 
 What is joined are a cell's (or a bin's) places in lists of about ``LIST`` places, so that rows
-grow with the cells and lists, whatever number of places lies in one spot. Tests inside two
-lists end with the first pair within reach."""
+grow with the cells and lists, whatever number of places lies in one spot. Distances between
+two lists are taken in numpy, ``PAIRS`` at a time; the joins before that keep their number of
+tasks, as these rows are few bytes but much work."""
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from itertools import count
 from math import pi, sqrt
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from sonagrid.functions import geo
 from sonagrid.sources.shared import shared_folder
@@ -26,6 +32,8 @@ from sonagrid.sources.shared import shared_folder
 KEYS = ("species_slug", "bucket")
 #: Places in a list, about.
 LIST = 256
+#: Pairs of places whose distances are taken at once.
+PAIRS = 1 << 18
 #: Bins along a side of a cell.
 BINS = 16
 _CELL = [*KEYS, "cy", "cx"]
@@ -69,13 +77,78 @@ class Grid:
         return rows.withColumn("kx", F.explode(F.array_distinct(found)))
 
 
-def _near(a: Column, b: Column, reach_m: float) -> Column:
-    return geo.haversine(a["lat"], a["lon"], b["lat"], b["lon"]) <= reach_m
+def _fields(column: pa.Array) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """(offsets, fields end to end) of a column of lists of structs without nulls."""
+    flat = column.flatten()
+    sizes = column.value_lengths().to_numpy(zero_copy_only=False)
+    return np.concatenate((np.zeros(1, np.int64), np.cumsum(sizes, dtype=np.int64))), {f.name: flat.field(k).to_numpy(zero_copy_only=False) for k, f in enumerate(flat.type)}
 
 
-def _meet(one: str, two: str, reach_m: float) -> Column:
-    """Whether a place of one list is within reach of one of the other."""
-    return F.exists(one, lambda a: F.exists(two, lambda b: _near(a, b, reach_m)))
+def _crossed(batch: pa.RecordBatch, one: str, two: str, reach_m: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, place in ``one``, place in ``two``) of the pairs within reach in each row's two
+    lists of places; places are numbered end to end."""
+    (at1, p), (at2, q) = _fields(batch.column(one)), _fields(batch.column(two))
+    lat1, lon1, lat2, lon2 = (np.radians(x) for x in (p["lat"], p["lon"], q["lat"], q["lon"]))
+    width = np.diff(at2)
+    before = np.concatenate((np.zeros(1, np.int64), np.cumsum(np.diff(at1) * width)))
+    for lo in range(0, int(before[-1]), PAIRS):
+        pair = np.arange(lo, min(lo + PAIRS, int(before[-1])))
+        row = np.searchsorted(before, pair, side="right") - 1
+        i, j = np.divmod(pair - before[row], width[row])
+        i, j = i + at1[row], j + at2[row]
+        a = np.sin((lat2[j] - lat1[i]) / 2) ** 2 + np.cos(lat1[i]) * np.cos(lat2[j]) * np.sin((lon2[j] - lon1[i]) / 2) ** 2
+        near = 2 * geo.EARTH_M * np.arcsin(np.minimum(1, np.sqrt(a))) <= reach_m
+        yield row[near], i[near], j[near]
+
+
+def _with(rows: DataFrame, kept: list[str], name: str, kind: T.DataType, of) -> DataFrame:
+    """``kept`` and a column that ``of`` makes of a batch."""
+    schema = T.StructType([*rows.select(*kept).schema.fields, T.StructField(name, kind)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(of(batch))], schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def _meet(rows: DataFrame, one: str, two: str, reach_m: float, kept: list[str]) -> DataFrame:
+    """``kept`` and linked, whether a place of one list is within reach of one of the other."""
+
+    def of(batch: pa.RecordBatch) -> np.ndarray:
+        linked = np.zeros(batch.num_rows, bool)
+        for row, _, _ in _crossed(batch, one, two, reach_m):
+            linked[row] = True
+        return linked
+
+    return _with(rows, kept, "linked", T.BooleanType(), of)
+
+
+def _points(rows: DataFrame, one: str, two: str, reach_m: float, kept: list[str]) -> DataFrame:
+    """``kept`` and m, the points (n) of the places in ``two`` that the place in ``one`` reaches."""
+
+    def of(batch: pa.RecordBatch) -> np.ndarray:
+        n, m = _fields(batch.column(two))[1]["n"], np.zeros(batch.num_rows, np.int64)
+        for row, _, j in _crossed(batch, one, two, reach_m):
+            np.add.at(m, row, n[j])
+        return m
+
+    return _with(rows, kept, "m", T.LongType(), of)
+
+
+def _bins(rows: DataFrame, one: str, two: str, reach_m: float, kept: list[str]) -> DataFrame:
+    """``kept`` with by, bx, qy, qx: the bins of the places within reach, a row for each pair."""
+    names = ("by", "bx", "qy", "qx")
+    schema = T.StructType([*rows.select(*kept).schema.fields, *[T.StructField(c, T.LongType()) for c in names]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p, q = _fields(batch.column(one))[1], _fields(batch.column(two))[1]
+            for row, i, j in _crossed(batch, one, two, reach_m):
+                found = batch.select(kept).take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([*found.columns, *[pa.array(x) for x in (p["by"][i], p["bx"][i], q["by"][j], q["bx"][j])]], schema.names)
+
+    return rows.mapInArrow(run, schema)
 
 
 def _lists(rows: DataFrame, keys: list[str], place: Column) -> DataFrame:
@@ -86,18 +159,38 @@ def _lists(rows: DataFrame, keys: list[str], place: Column) -> DataFrame:
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(id, cluster): the smallest node that the links (a, b) reach. Labels spread to
-    neighbours and jump along themselves until they settle."""
-    links = links.union(links.select("b", "a")).distinct().checkpoint()
-    label = nodes.select("id", F.col("id").alias("cluster")).checkpoint()
-    while True:
-        near = links.join(label.select(F.col("id").alias("b"), F.col("cluster").alias("c")), "b").groupBy(F.col("a").alias("id")).agg(F.min("c").alias("c"))
-        fresh = label.join(near, "id", "left").select("id", "cluster", F.least("cluster", F.coalesce("c", "cluster")).alias("to"))
-        jump = fresh.select(F.col("id").alias("to"), F.col("to").alias("far"))
-        fresh = fresh.join(jump, "to").select("id", "cluster", F.least("to", "far").alias("to")).checkpoint()
-        label = fresh.select("id", F.col("to").alias("cluster"))
-        if fresh.filter("cluster <> to").isEmpty():
-            return label
+    """(id, cluster): the smallest node that the links (a, b) reach. Large-star and small-star
+    steps in turn hang each node's neighbours under the smallest of them, so the rounds grow
+    with the logarithm of the longest path.
+
+    Rounds are written as files: after a checkpoint Spark still multiplies the sizes that it
+    estimated for the joins before, numbers whose digits double with every round."""
+    spark = links.sparkSession
+    folder = f"{shared_folder(spark)}/components-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+    def written(rows: DataFrame, k: int) -> DataFrame:
+        rows.filter("a <> b").distinct().write.parquet(f"{folder}/{k}")
+        files.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{k - 1}"), True)
+        return spark.read.schema("a long, b long").parquet(f"{folder}/{k}")
+
+    now = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), 0)
+    state = None
+    for k in count(1):
+        before, state = state, tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        if state == before:
+            break
+        both = now.union(now.select("b", "a"))
+        least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
+        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        now = written(small.union(least), k)
+    roots = now.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("root"))
+    label = nodes.join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("cluster")).checkpoint()
+    files.delete(path, True)
+    return label
 
 
 def density_clusters(points: DataFrame, eps_m: float, least: int) -> DataFrame:
@@ -114,12 +207,13 @@ def density_clusters(points: DataFrame, eps_m: float, least: int) -> DataFrame:
     full = places.groupBy(*_CELL).agg(F.sum("n").alias("points"))
     places = places.join(full, _CELL).withColumn("dense", F.col("points") >= least).drop("points").checkpoint()
 
+    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    around = [*keys, "ky", "kx"]
+
     # at most least - 1 places of a cell that is not dense, against the lists around it
-    sparse = grid.around(places.filter("not dense").select(*keys, "id", "lat", "lon"))
+    sparse = grid.around(places.filter("not dense").select(*keys, "id", "lat", "lon")).withColumn("here", F.array(F.struct("lat", "lon"))).repartition(parts, *around)
     lists = _lists(places, _CELL, F.struct("lat", "lon", "n")).withColumnsRenamed({"cy": "ky", "cx": "kx"})
-    here = F.struct(F.col("lat").alias("lat"), F.col("lon").alias("lon"))
-    within = F.aggregate("places", F.lit(0).cast("long"), lambda s, p: s + F.when(_near(here, p, eps_m), p["n"]).otherwise(F.lit(0)))
-    counted = sparse.join(lists, [*keys, "ky", "kx"]).withColumn("m", within).groupBy(*keys, "id").agg(F.sum("m").alias("m"))
+    counted = _points(sparse.join(lists, around), "here", "places", eps_m, [*keys, "id"]).groupBy(*keys, "id").agg(F.sum("m").alias("m"))
     few = counted.filter(F.col("m") >= least).select(*keys, "id")
     core = places.filter("dense").unionByName(places.filter("not dense").join(few, [*keys, "id"], "left_semi")).drop("dense")
     size = grid.height / BINS
@@ -129,10 +223,10 @@ def density_clusters(points: DataFrame, eps_m: float, least: int) -> DataFrame:
     bins = core.groupBy(*_CELL, "by", "bx").agg(F.min(F.struct("lat", "lon")).alias("p"))
     # one place of each bin: a number that does not grow with the places
     first = bins.groupBy(*_CELL).agg(F.collect_list(F.struct("p.lat", "p.lon", "by", "bx")).alias("tried"))
-    first = first.join(cells, _CELL)
+    first = first.join(cells, _CELL).checkpoint()
     other = first.select(*keys, F.col("cy").alias("ky"), F.col("cx").alias("kx"), F.col("cell").alias("b"), F.col("tried").alias("others"))
-    beside = grid.around(first.withColumnRenamed("cell", "a"), "lat0", "lat1", "lon0", "lon1").join(other, [*keys, "ky", "kx"]).filter("a < b")
-    beside = beside.select(*_CELL, "ky", "kx", "a", "b", "tried", "others", _meet("tried", "others", eps_m).alias("linked")).checkpoint()
+    beside = grid.around(first.withColumnRenamed("cell", "a"), "lat0", "lat1", "lon0", "lon1").repartition(parts, *around).join(other, around).filter("a < b")
+    beside = _meet(beside, "tried", "others", eps_m, [*_CELL, "ky", "kx", "a", "b"]).checkpoint()
     links = beside.filter("linked").select("a", "b")
     nodes = cells.select(F.col("cell").alias("id"))
     label = components(nodes, links)
@@ -141,17 +235,20 @@ def density_clusters(points: DataFrame, eps_m: float, least: int) -> DataFrame:
     slack = eps_m + 2 * eps_m / BINS * 1.01
     named = lambda end: label.select(F.col("id").alias(end), F.col("cluster").alias(f"of_{end}"))
     apart = beside.filter("not linked").join(named("a"), "a").join(named("b"), "b").filter("of_a <> of_b")
-    maybe = F.flatten(F.transform("tried", lambda p: F.transform(F.filter("others", lambda q: _near(p, q, slack)), lambda q: F.struct(p["by"].alias("by"), p["bx"].alias("bx"), q["by"].alias("qy"), q["bx"].alias("qx")))))
-    asked = apart.select(*_CELL, "ky", "kx", "a", "b", F.explode(maybe).alias("m")).select(*_CELL, "ky", "kx", "a", "b", "m.*").checkpoint()
+    tried = lambda end, name: first.select(F.col("cell").alias(end), F.col("tried").alias(name))
+    apart = apart.join(tried("b", "others"), "b").repartition(parts, "a").join(tried("a", "tried"), "a")
+    asked = _bins(apart, "tried", "others", slack, [*_CELL, "ky", "kx", "a", "b"]).checkpoint()
     if not asked.isEmpty():
         lists = _lists(core, [*_CELL, "by", "bx"], F.struct("lat", "lon"))
         others = lists.withColumnsRenamed({"cy": "ky", "cx": "kx", "by": "qy", "bx": "qx", "places": "others"})
-        more = asked.join(lists, [*_CELL, "by", "bx"]).join(others, [*keys, "ky", "kx", "qy", "qx"]).filter(_meet("places", "others", eps_m)).select("a", "b").distinct()
+        both = asked.join(lists, [*_CELL, "by", "bx"]).repartition(parts, *around, "qy", "qx").join(others, [*around, "qy", "qx"])
+        more = _meet(both, "places", "others", eps_m, ["a", "b"]).filter("linked").select("a", "b").distinct()
         label = components(nodes, links.union(more))
 
     of_cell = cells.select(*_CELL, F.col("cell").alias("id")).join(label, "id").drop("id")
     inner = core.join(of_cell, _CELL).select(*keys, "lat", "lon", "cluster")
     lists = _lists(core, _CELL, F.struct("lat", "lon")).join(of_cell, _CELL).withColumnsRenamed({"cy": "ky", "cx": "kx"})
-    loose = sparse.join(few, [*keys, "id"], "left_anti").join(lists, [*keys, "ky", "kx"]).filter(F.exists("places", lambda p: _near(here, p, eps_m)))
+    loose = sparse.join(few, [*keys, "id"], "left_anti").repartition(parts, *around).join(lists, around)
+    loose = _meet(loose, "here", "places", eps_m, [*keys, "lat", "lon", "cluster"]).filter("linked")
     found = inner.unionByName(loose.groupBy(*keys, "lat", "lon").agg(F.min("cluster").alias("cluster")))
     return located.select(*keys, "id", "lat", "lon").join(found, [*keys, "lat", "lon"]).select(*keys, "id", "cluster")
