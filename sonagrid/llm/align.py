@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sonagrid.llm import mph, ragged, spans
 from sonagrid.llm.store import Scratch, partitions
-from sonagrid.llm.token_ids import Memory
+from sonagrid.llm.token_ids import Memory, give_back
 
 #: Bytes of texts in a block, or one longer text.
 BLOCK_BYTES = 1 << 20
@@ -100,7 +100,7 @@ class _Encoder:
         if max(len(self.a_bytes), len(self.b_bytes)) > 1 << 16:
             raise ValueError("ids take two bytes here")
         self.a_size, self.b_size = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
-        self.memory = Memory(REMEMBERED)
+        self.memory = Memory(REMEMBERED, np.uint16)  # it holds units of at most LONGEST bytes
 
     def _both(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
         found = self.a.encode_batch_fast(texts, add_special_tokens=False)
@@ -188,6 +188,26 @@ def _encoder(a_path: str, b_path: str) -> _Encoder:
     return _Encoder(a_path, b_path)
 
 
+@lru_cache(maxsize=1)
+def _sizes(a_path: str, b_path: str) -> tuple[np.ndarray, np.ndarray]:
+    known = _encoder(a_path, b_path)
+    return known.a_size, known.b_size
+
+
+def _let_go() -> None:
+    """A worker outlives its tasks. Once blocks are encoded, it needs no encoder."""
+    if _encoder.cache_info().currsize:
+        _encoder.cache_clear()
+        give_back()
+
+
+def _token_sizes(a_path: str, b_path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of each token of A and of B."""
+    sizes = _sizes(a_path, b_path)
+    _let_go()
+    return sizes
+
+
 def _zip(values: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=3).compress(values.tobytes())
 
@@ -207,6 +227,7 @@ def _encoded(a_path: str, b_path: str):
                 kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, kinds, strict=True)], ["block", "doc_ids", "n_a", "n_b", "a", "b"])
                 seq += 1
+            give_back()
 
     return run
 
@@ -274,7 +295,8 @@ def _shard(keys: np.ndarray, shards: int) -> np.ndarray:
 
 def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     for batch in batches:
-        for row in batch.to_pylist():
+        for k in range(batch.num_rows):
+            row = batch.slice(k, 1).to_pylist()[0]
             yield row, _unzip(row["a"], np.uint16), _unzip(row["b"], np.uint16), np.array(row["n_a"], np.int64), np.array(row["n_b"], np.int64)
 
 
@@ -290,9 +312,9 @@ def _distinct(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np
 
 def _wanted(a_path: str, b_path: str, shards: int, runs: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _encoder(a_path, b_path)
+        sizes = _token_sizes(a_path, b_path)
         for row, a, b, n_a, n_b in _block_rows(batches):
-            doc, keys, _ = Groups(a, b, n_a, n_b, known.a_size, known.b_size).pairs()
+            doc, keys, _ = Groups(a, b, n_a, n_b, *sizes).pairs()
             if not len(keys):
                 continue
             kinds, place, shard = _distinct(keys, shards)
@@ -319,6 +341,7 @@ def _merged(parts: list[np.ndarray]) -> np.ndarray:
 
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The distinct pairs of each shard of a partition, merged as they come."""
+    _let_go()
     held: dict[int, list[np.ndarray]] = {}
     size: dict[int, int] = {}
     for batch in batches:
@@ -336,6 +359,7 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _counted(key: tuple, wanted: pa.Table, hashes: pa.Table) -> pa.Table:
     """The counts of a run of blocks, by the hash of a shard."""
+    _let_go()
     table = mph.Table(hashes.column("hash")[0].as_py())
     total = np.zeros(len(table), np.int64)
     for pairs, docs in zip(wanted.column("pairs").to_pylist(), wanted.column("docs").to_pylist(), strict=True):
@@ -364,6 +388,7 @@ def _best(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
 def _answered(key: tuple, wanted: pa.Table, index: pa.Table) -> pa.Table:
     """For each question of a run of blocks, the counts of its pairs, doubled, one more where
     it is the highest of the A id."""
+    _let_go()
     table, counts = mph.Table(index.column("hash")[0].as_py()), np.frombuffer(index.column("counts")[0].as_py(), np.int64)
     told = 2 * counts + _best(table.keys, counts)
     out = [_zip(told[table.find(np.frombuffer(raw, np.uint32))]) for raw in wanted.column("pairs").to_pylist()]
@@ -372,9 +397,9 @@ def _answered(key: tuple, wanted: pa.Table, index: pa.Table) -> pa.Table:
 
 def _looked_up(a_path: str, b_path: str, shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _encoder(a_path, b_path)
+        sizes = _token_sizes(a_path, b_path)
         for row, a, b, n_a, n_b in _block_rows(batches):
-            groups, many = Groups(a, b, n_a, n_b, known.a_size, known.b_size), len(n_a)
+            groups, many = Groups(a, b, n_a, n_b, *sizes), len(n_a)
             doc, keys, times = groups.pairs()
             kinds, place, shard = _distinct(keys, shards)
             told = np.concatenate([np.zeros(0, np.int64), *(_unzip(x["told"], np.int64) for x in sorted(row["answers"] or [], key=lambda x: x["shard"]))])

@@ -8,6 +8,9 @@ any store will do. Part files and their segments are in ascending order of doc_i
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import zlib
 from collections.abc import Iterator
@@ -84,15 +87,20 @@ def pieces(data: np.ndarray, offsets: np.ndarray, special: tuple[bytes, ...] = (
     return low, *spans.word_spans(kept, offsets, cuts)
 
 
+_NAMES = ("hashes", "sizes", "counts", "met", "begins", "firsts")
+_KEPT = (np.uint64, np.int16, np.int16, np.int32, np.int32, np.int32)
+
+
 class Memory:
     """Ids of pieces met before, in the order of the hashes of their bytes. The bytes are
     compared too, so that a hash that two pieces share does no harm."""
 
-    def __init__(self, most: int | None = None) -> None:
+    def __init__(self, most: int | None = None, kind: type = np.uint32) -> None:
+        """``kind`` holds an id."""
         self.most = most or REMEMBERED
-        self.hashes = np.zeros(0, np.uint64)
-        self.begins = self.sizes = self.firsts = self.counts = self.met = np.zeros(0, np.int64)
-        self.raw, self.ids, self.now = np.zeros(0, np.uint8), np.zeros(0, np.uint32), 0
+        # what is kept of a piece in few bytes: places are below ``most`` * LONGEST ids or bytes
+        self.hashes, self.sizes, self.counts, self.met, self.begins, self.firsts = (np.zeros(0, t) for t in _KEPT)
+        self.raw, self.ids, self.now = np.zeros(0, np.uint8), np.zeros(0, kind), 0
 
     def find(self, hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """The entry of each piece, -1 where there is none."""
@@ -120,13 +128,13 @@ class Memory:
         more, added = ragged.take(data, sizes, once, starts)
         given, lengths = ragged.take(ids, counts, once, firsts)
         columns = (hashes[once], added, lengths, np.full(len(once), self.now), len(self.raw) + np.cumsum(added) - added, len(self.ids) + np.cumsum(lengths) - lengths)
-        every = [np.concatenate(x) for x in zip(self._columns(), columns, strict=True)]
-        order = np.argsort(every[0], kind="stable")  # two sorted runs
-        self.hashes, self.sizes, self.counts, self.met, self.begins, self.firsts = (x[order] for x in every)
-        self.raw, self.ids = np.concatenate((self.raw, more)), np.concatenate((self.ids, given))
+        order = np.argsort(np.concatenate((self.hashes, columns[0])), kind="stable")  # two sorted runs
+        for name, new, kind in zip(_NAMES, columns, _KEPT, strict=True):
+            setattr(self, name, np.concatenate((getattr(self, name), new.astype(kind)))[order])
+        self.raw, self.ids = np.concatenate((self.raw, more)), np.concatenate((self.ids, given.astype(self.ids.dtype)))
 
     def _columns(self) -> tuple[np.ndarray, ...]:
-        return self.hashes, self.sizes, self.counts, self.met, self.begins, self.firsts
+        return tuple(getattr(self, name) for name in _NAMES)
 
     def _forget(self) -> None:
         """Keeps the half of the pieces that were met last."""
@@ -134,7 +142,15 @@ class Memory:
         self.raw, _ = ragged.take(self.raw, self.sizes, kept, self.begins)
         self.ids, _ = ragged.take(self.ids, self.counts, kept, self.firsts)
         self.hashes, self.sizes, self.counts, self.met = (x[kept] for x in self._columns()[:4])
-        self.begins, self.firsts = np.cumsum(self.sizes) - self.sizes, np.cumsum(self.counts) - self.counts
+        self.begins, self.firsts = ((np.cumsum(x, dtype=np.int64) - x).astype(np.int32) for x in (self.sizes, self.counts))
+
+
+def give_back() -> None:
+    """Hands what a worker has freed back to the system, where its C library can: a worker
+    lives on between tasks, and what lies between used pieces of its heap would stay."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 class _Encoder:

@@ -143,3 +143,24 @@ def test_query_over_a_whole_table(spark, plain):
     want = sorted((*r[:-1], hashlib.sha256(r[-1].encode()).hexdigest() if r[1] else "") for r in brute(rows, plain)[0])
     names = (*NAMES[:-1], "groups_sha256")
     assert sorted(tuple(r[c] for c in names) for r in queries.op13_alignment(spark, "/root/testdata/sf0.001").collect()) == want
+
+
+def test_a_worker_keeps_little_between_tasks():
+    """Executors have bounds: units are remembered in few bytes, and the encoder goes once
+    blocks are encoded."""
+    encode = align._encoder(A_PATH, B_PATH)
+    units = 4096
+    data = np.frombuffer(b"".join(b" unit%06d" % k for k in range(units)), np.uint8)
+    starts, sizes = np.arange(units) * 11, np.full(units, 11)
+    hashes = np.arange(1, units + 1, dtype=np.uint64)[::-1].copy()
+    ids, counts = np.tile(np.array([1, 50_000, 31_999], np.uint32), units), np.full(units, 3)
+    memory = type(encode.memory)(units, encode.memory.ids.dtype.type)
+    for part in (slice(0, 1000), slice(1000, None)):
+        memory.add(hashes[part], data, starts[part], sizes[part], ids[: 3 * len(hashes[part])], counts[part])
+    held = sum(x.nbytes for x in vars(memory).values() if isinstance(x, np.ndarray))
+    assert held <= units * (24 + 11 + 3 * 2)
+    found = memory.find(hashes, data, starts, sizes)
+    assert (found >= 0).all() and memory.ids[memory.firsts[found] + 1].tolist() == [50_000] * units
+    encode = memory = None
+    align._token_sizes(A_PATH, B_PATH)
+    assert align._encoder.cache_info().currsize == 0
