@@ -178,8 +178,26 @@ def _spread(often: np.ndarray, usual: int, salt_rows: int) -> np.ndarray:
     return 1 + (np.maximum(_counts(often) - _counts(np.array(usual)), 0) // salt_rows).astype(np.int64)
 
 
+#: Shingles of a set, at most; the arrays of a text with more would fit no task.
+MOST_SHINGLES = 1 << 28
+
+
+def _packed(n: int, pos: np.ndarray, rank: int) -> np.ndarray:
+    """A set's size, places in its prefix and rank as one number each. What differs from row
+    to row comes first, then zeros, so that the shuffle's rows are short when compressed."""
+    if n >= MOST_SHINGLES:
+        raise ValueError(f"a text has {n} shingles; sets have to be smaller than {MOST_SHINGLES}")
+    return rank | (n & 0xFFFF) << 8 | (pos & 0xFFFF) << 24 | (n >> 16) << 40 | (pos >> 16) << 52
+
+
+def _unpacked(rows: DataFrame) -> DataFrame:
+    n = "shiftrightunsigned(packed, 8) & 65535 | shiftleft(shiftrightunsigned(packed, 40) & 4095, 16)"
+    pos = "shiftrightunsigned(packed, 24) & 65535 | shiftleft(shiftrightunsigned(packed, 52), 16)"
+    return rows.select("h", "salt", "sig", F.expr(f"cast({n} as int)").alias("n"), F.expr(f"cast({pos} as int)").alias("pos"), F.expr("cast(packed & 127 as byte)").alias("rank"))
+
+
 def _prefixes(sketch, usual: int, salt_rows: int, shared: frozenset, size: int, num: int, den: int):
-    schema = pa.schema([("h", pa.int64()), ("salt", pa.int32()), ("sig", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("rank", pa.int8())])
+    schema = pa.schema([("h", pa.int64()), ("sig", pa.int64()), ("packed", pa.int64()), ("salt", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen, shift = sketch.value, set(), np.uint64(64 - SKETCH_BITS)
@@ -196,7 +214,7 @@ def _prefixes(sketch, usual: int, salt_rows: int, shared: frozenset, size: int,
                 chosen = np.argsort(often, kind="stable")[:take]
                 spread = _spread(often[chosen], usual, salt_rows)
                 rank = 127 - int(often.mean()) // 2
-                for k, x in enumerate((hashes[chosen].view(np.int64), np.where(spread > 1, sig % spread + 1, 0).astype(np.int32), np.full(take, sig, np.int64), np.full(take, n, np.int32), np.arange(take, dtype=np.int32), np.full(take, rank, np.int8))):
+                for k, x in enumerate((hashes[chosen].view(np.int64), np.full(take, sig, np.int64), _packed(n, np.arange(take, dtype=np.int64), rank), np.where(spread > 1, sig % spread + 1, 0).astype(np.int32))):
                     out[k].append(x)
                 held += take
                 if held > 50_000:
@@ -464,8 +482,8 @@ def _components(docs: DataFrame, size: int = SHINGLE, num: int = NUMERATOR, den:
             salt_rows = max(SALT_ROWS, int(every * (den - num) / den / (4 * parts)))
         salted = bool(_spread(counts.max(keepdims=True), usual, salt_rows)[0] > 1)
         sketch = spark.sparkContext.broadcast(counts)
-        rows = texts.mapInArrow(_prefixes(sketch, usual, salt_rows, twins, size, num, den), "h long, salt int, sig long, n int, pos int, rank byte").repartition(parts, "h", "salt")
-        shared = _shared(scratch, rows, salted, parts)
+        rows = texts.mapInArrow(_prefixes(sketch, usual, salt_rows, twins, size, num, den), "h long, sig long, packed long, salt int").repartition(parts, "h", "salt")
+        shared = _shared(scratch, _unpacked(rows), salted, parts)
         sketch.destroy()
         scratch.done()
 

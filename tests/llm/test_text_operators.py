@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import regex
 from pyspark.sql import functions as F
@@ -164,6 +165,20 @@ def test_sets_that_share_a_first_number():
     assert near._signature(hashes, frozenset({first})) == near._second(hashes) != first
 
 
+def test_prefix_rows_are_short(spark):
+    """The rows of prefixes are most of what the join writes, each column of a row takes eight bytes."""
+    cases = [(n, p, r) for n in (1, 65_535, 65_536, near.MOST_SHINGLES - 1) for p in {0, n // 3, n - 1} for r in (0, 127)]
+    packed = [int(near._packed(n, np.array([p]), r)[0]) for n, p, r in cases]
+    rows = spark.createDataFrame([(k, k, x, 0) for k, x in enumerate(packed)], "h long, sig long, packed long, salt int")
+    assert [(r.n, r.pos, r.rank) for r in near._unpacked(rows).orderBy("h").collect()] == cases
+    with pytest.raises(ValueError):
+        near._packed(near.MOST_SHINGLES, np.array([0]), 0)
+    sketch = type("Sketch", (), {"value": np.zeros(1 << near.SKETCH_BITS, np.uint8)})
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1], "text": [b"one two three four five six"]})
+    out = next(near._prefixes(sketch, 0, 1, frozenset(), 5, 3, 4)(iter([batch])))
+    assert out.num_rows == 1 and out.num_columns <= 4
+
+
 def test_keep_one_with_any_column_names(spark):
     rows = [(1, "a b c d e f", 1, 2, 3, 4, 5), (2, "a b c d e f", 1, 2, 3, 4, 5), (3, None, 1, 2, 3, 4, 5)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, _h1 long, _H2 long, _id long, _last long, root long")
