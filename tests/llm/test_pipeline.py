@@ -7,7 +7,7 @@ import os
 import pytest
 
 import corpus_pipeline
-from sonagrid.llm import quality, toxicity
+from sonagrid.llm import near, quality, store, toxicity
 from tests.llm.test_text_operators import brute_components, brute_leaks
 
 SF = "/root/testdata/sf0.001"
@@ -76,3 +76,14 @@ def test_stages_on_odd_documents(spark, odd_documents, stage):
         for r in rows:
             counts[r.text] = counts.get(r.text, 0) + 1
         assert all(n == (4 if t and t.startswith("plain") else 3) for t, n in counts.items())
+
+
+def test_driver_gives_freed_memory_back(spark, monkeypatch):
+    """What the near-duplicate stage has the JVM free does not stay with the C library."""
+    if not store.trim(spark):
+        pytest.skip("this JVM cannot")
+    calls = []
+    monkeypatch.setattr(store, "trim", lambda _: calls.append(1))
+    docs = spark.createDataFrame([(k, f"the same few words as in all of these {k % 2}") for k in range(4)], "doc_id long, text string")
+    assert near.keep_one(docs).count() == 2
+    assert calls
